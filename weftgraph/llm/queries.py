@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe
+from weftgraph.llm import bpe, mixing, sharding, url_filter
 from weftgraph.session import table
 
 #: Where the vocabulary files lie; a parameter, never copied into the repository.
@@ -19,8 +19,25 @@ def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> Dat
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.kd_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharding.with_slots(sharded).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict:
-    return {"op7_bpe": op7_bpe}
+    return {"op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict:
