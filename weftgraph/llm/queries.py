@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, mixing, sharding, url_filter
+from weftgraph.llm import bpe, exact_topk, language_id, mixing, sharding, url_filter
+from weftgraph.llm.common import fold_of
 from weftgraph.session import table
 
 #: Where the vocabulary files lie; a parameter, never copied into the repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+PIECES = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs.where(~held_out), vocabulary)
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -37,8 +50,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+
+
+#: op5 as SQL: all pairs of a query and a row, the vectors as whole numbers.
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_exact_topk": OP5_SQL}
