@@ -1,0 +1,40 @@
+"""Connected components of a graph given by its edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftgraph.session import cut
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least of u and its neighbours. The minimum is summed up before
+    the shuffle, and a hot node's edges are split by the join."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return edges.join(least, "u")
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, root for every node of ``edges`` (u, v): the root is the least node of its component.
+
+    Large-star and small-star steps in turn: each links the neighbours of a node to the
+    least of them, until every component is a star; the number of rounds grows with the
+    logarithm of the components' size.
+    """
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = None
+    for _ in range(rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        near = _with_least(down)
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
+        now = cut(small.where("u <> v").distinct())
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark == (seen["n"], seen["h"]):
+            break
+        mark = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, exact_topk, language_id, mixing, sharding, url_filter
+from weftgraph.llm import bpe, exact_topk, language_id, line_dedup, mixing, sharding, simhash, url_filter
 from weftgraph.llm.common import fold_of
 from weftgraph.session import table
 
@@ -14,6 +14,16 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1, mode="all")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -50,8 +60,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
-
+    return {"op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+
+
+#: op3 as SQL.
+OP3_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+lines AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split),
+keys AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+frequent AS (SELECT key FROM keys WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM keys k LEFT JOIN frequent f ON k.key = f.key GROUP BY r, doc_id
+"""
 
 #: op5 as SQL: all pairs of a query and a row, the vectors as whole numbers.
 OP5_SQL = """
@@ -68,4 +90,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict:
-    return {"op5_exact_topk": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL}
