@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, exact_topk, language_id, line_dedup, mixing, sharding, simhash, url_filter
+from weftgraph.llm import ann, bpe, exact_topk, language_id, line_dedup, mixing, sharding, simhash, url_filter
 from weftgraph.llm.common import fold_of
 from weftgraph.session import table
 
@@ -24,6 +24,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda ids: ids % 20 == 0, 20)
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -60,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup, "op4_ann": op4_ann, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 #: op3 as SQL.
