@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import ann, bpe, exact_topk, language_id, line_dedup, mixing, sharding, simhash, url_filter
+from weftgraph.llm import ann, bpe, exact_topk, language_id, line_dedup, lm, mixing, sharding, simhash, url_filter
 from weftgraph.llm.common import fold_of
 from weftgraph.session import table
 
@@ -14,6 +14,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, fold_of(F.col("doc_id"), 7) != 2)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -64,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup, "op4_ann": op4_ann, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup, "op4_ann": op4_ann, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
 
 
 #: op3 as SQL.
