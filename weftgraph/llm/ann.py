@@ -44,7 +44,7 @@ BLOCK = 4096
 NEIGHBOURS, BEAM, WIDTH = 32, 288, 48
 #: An iteration of building offers each vector so many of its nearest from each comparison.
 OFFERS = 6
-ITERATIONS, SETTLED = 9, 0.03
+ITERATIONS, SETTLED = 7, 0.03
 #: Candidates of each query that are scored exactly.
 RESCORED = 64
 GROUP = 256
@@ -234,8 +234,14 @@ class Builder:
         yield from self.offers(ids[row], ids[cand], s)
 
 
+def _pair(q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A query's row and 32 mixed bits of a candidate's id: two candidates that share them, one in 2^32, pass for one."""
+    return (q.astype(np.uint64) << np.uint64(32)) | (mixed(ids, 5) >> np.uint64(32))
+
+
 class Searcher:
-    """The steps of searching. A block keeps its queries' candidates: q (row of the query in the block), id, score, expanded."""
+    """The steps of searching. A block keeps its queries' nearest candidates: q (row of the query in the
+    block), id, s (score), done (expanded); and met, the sorted pairs of query and candidate met so far."""
 
     def __init__(self, blocks: int, k: int, beam: int, width: int, is_query: Callable):
         self.blocks, self.k, self.beam, self.width, self.is_query = blocks, k, beam, width, is_query
@@ -245,14 +251,11 @@ class Searcher:
         at = np.flatnonzero(self.is_query(state["ids"]))
         nbr = state["nbr"][at]
         ok = nbr >= 0
-        q = np.repeat(np.arange(len(at)), nbr.shape[1])[ok.ravel()]
-        seen = {"q": np.concatenate([q, np.arange(len(at))]), "id": np.concatenate([nbr[ok], state["ids"][at]])}
-        score = np.concatenate([state["score"][at][ok], np.full(len(at), -np.inf, np.float32)])
-        lists = {k: v for k, v in state.items() if k != "changed"}
+        q = np.repeat(np.arange(len(at), dtype=np.int32), nbr.shape[1])[ok.ravel()]
+        met = np.concatenate([_pair(q, nbr[ok]), _pair(np.arange(len(at)), state["ids"][at])])
         back = next(Builder(self.blocks, self.k).members(p, state, messages, 99))[2]["back"]
-        done = np.zeros(len(score), bool)
-        done[len(q) :] = True  # the query itself
-        yield p, STATE, lists | {"back": back, "at": at, **seen, "s": score, "done": done}
+        graph = {k: state[k] for k in ("ids", "v", "h", "nbr")} | {"back": back, "at": at}
+        yield p, STATE, graph | {"q": q, "id": nbr[ok], "s": state["score"][at][ok], "done": np.zeros(len(q), bool), "met": np.sort(met)}
 
     def expand(self, p, state, messages):
         """Take in the scores of the candidates met last; ask for the lists of the nearest not yet expanded."""
@@ -263,21 +266,20 @@ class Searcher:
             h = np.concatenate([m[2] for m in messages])[order]
             score = np.empty(len(q), np.float32)
             where = np.searchsorted(ids[order], cand)
-            for i in range(0, len(q), 1 << 16):
-                z = slice(i, i + (1 << 16))
+            for i in range(0, len(q), 1 << 14):
+                z = slice(i, i + (1 << 14))
                 score[z] = np.einsum("ij,ij->i", state["h"][state["at"][q[z]]].astype(np.float32), h[where[z]].astype(np.float32))
             add = {"q": q, "id": cand, "s": score, "done": np.zeros(len(q), bool)}
             state = state | {k: np.concatenate([state[k], add[k]]) for k in add}
         order = np.lexsort((state["id"], -state["s"], state["q"]))
         q = state["q"][order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        open_ = order[(place < self.beam) & ~state["done"][order]]
+        order = order[np.arange(len(q)) - np.searchsorted(q, q) < self.beam]  # what lies beyond is met, and no longer a candidate
+        state = {k: v[order] if k in ("q", "id", "s", "done") else v for k, v in state.items() if k not in ("new_q", "new_id")}
+        open_ = np.flatnonzero(~state["done"])
         q = state["q"][open_]
         chosen = open_[np.arange(len(q)) - np.searchsorted(q, q) < self.width]
-        done = state["done"].copy()
-        done[chosen] = True
-        state = {k: v for k, v in state.items() if k not in ("new_q", "new_id")}
-        yield p, STATE, state | {"done": done, "ask_q": state["q"][chosen], "ask": state["id"][chosen], "changed": len(chosen)}
+        state["done"][chosen] = True
+        yield p, STATE, state | {"ask_q": state["q"][chosen], "ask": state["id"][chosen], "changed": len(chosen)}
         wanted = np.unique(state["id"][chosen])
         for b, (part,) in _split(owner(wanted, self.blocks), wanted):
             yield b, MESSAGE, ("lists", p, part)
@@ -290,24 +292,18 @@ class Searcher:
 
     def meet(self, p, state, messages):
         """The candidates in these lists that a query has not met; ask for their vectors."""
-        q = cand = np.empty(0, np.int64)
+        q, cand, met = np.empty(0, np.int32), np.empty(0, np.int64), state["met"]
         if messages:
             ids = np.concatenate([m[1] for m in messages])
             order = np.argsort(ids)
-            lists = np.concatenate([m[2] for m in messages])[order]
-            found = lists[np.searchsorted(ids[order], state["ask"])]
-            q = np.repeat(state["ask_q"], found.shape[1])
-            cand = found.ravel()
-            q, cand = q[cand >= 0], cand[cand >= 0]
-            old = np.stack([state["q"], state["id"]], axis=1)
-            new = np.unique(np.stack([q, cand], axis=1), axis=0)
-            both = np.concatenate([old, new])
-            order = np.lexsort((np.r_[np.zeros(len(old)), np.ones(len(new))], both[:, 1], both[:, 0]))
-            both_s = both[order]
-            first = np.r_[True, (both_s[1:] != both_s[:-1]).any(axis=1)]
-            fresh = order[first & (order >= len(old))]
-            q, cand = both[fresh, 0], both[fresh, 1]
-        yield p, STATE, {k: v for k, v in state.items() if k not in ("ask_q", "ask")} | {"new_q": q, "new_id": cand}
+            found = np.concatenate([m[2] for m in messages])[order][np.searchsorted(ids[order], state["ask"])]
+            q = np.repeat(state["ask_q"], found.shape[1])[found.ravel() >= 0]
+            cand = found[found >= 0]
+            pairs, first = np.unique(_pair(q, cand), return_index=True)
+            fresh = met[np.minimum(np.searchsorted(met, pairs), len(met) - 1)] != pairs
+            first = first[fresh]
+            q, cand, met = q[first], cand[first], np.sort(np.concatenate([met, pairs[fresh]]))
+        yield p, STATE, {k: v for k, v in state.items() if k not in ("ask_q", "ask")} | {"new_q": q, "new_id": cand, "met": met}
         wanted = np.unique(cand)
         for b, (part,) in _split(owner(wanted, self.blocks), wanted):
             yield b, MESSAGE, ("want", p, part)
@@ -319,8 +315,7 @@ class Searcher:
 
     def last(self, p, state, messages):
         """The nearest candidates of each query, and a request for their original vectors."""
-        ok = np.isfinite(state["s"])
-        q, cand, _, _ = _best(state["q"][ok], state["id"][ok], state["s"][ok], RESCORED)
+        q, cand, _, _ = _best(state["q"], state["id"], state["s"], RESCORED)
         yield p, STATE, {"ids": state["ids"], "v": state["v"], "at": state["at"], "q": q, "id": cand}
         wanted = np.unique(cand)
         for b, (part,) in _split(owner(wanted, self.blocks), wanted):
