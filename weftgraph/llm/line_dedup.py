@@ -199,6 +199,7 @@ def _drops(batches, crossing: dict, min_docs: int, mode: str):
         else:
             held = rows[slice(last, None)]
             if len(starts) > 1:
+                firsts.pop(len(starts) - 1, None)
                 yield emit(rows[slice(0, last)], starts[:-1], frequent[:-1], firsts)
 
 

@@ -191,10 +191,10 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` without its text, with fp and component_id."""
+    """``docs`` without its text, with fp, root (the least fingerprint of the component) and component_id."""
     marked = cut(fingerprints(docs, text, shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(distinct.select("fp")))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(classes.join(named, "root").select("fp", "component_id"), "fp")
+    return marked.join(classes.join(named, "root").select("fp", "root", "component_id"), "fp")
