@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from weftgraph.plans import graph_queries, table_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +12,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return table_queries.queries() | graph_queries.queries()
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return table_queries.oracle_sql() | graph_queries.oracle_sql()
