@@ -76,24 +76,18 @@ def parse_any(text: str, hint: str | None, graph: str, base: str, label: str) ->
     raise StoreError("no reader takes the document: " + "; ".join(errors)[:500])
 
 
-LINE = turtle.LINE.pattern.replace("(?P<", "(?<").replace("\n", "").replace("    ", "")
-
-
-def read_lines(spark: SparkSession, path: str, graph: str) -> DataFrame:
-    """N-Triples or N-Quads by Spark's text reader: a line is a statement, so a file is split over tasks.
-
-    Literals without escapes are taken apart by the JVM; the few others are unescaped there too.
-    """
+def parse_lines(lines: DataFrame, graph: str) -> DataFrame:
+    """Quads of lines (a column value) of N-Triples or N-Quads, taken apart by the JVM; what is no statement is left out."""
     node = r"(?:<([^<>\s]*)>|_:(\S+))"
     whole = rf'^\s*{node}\s*<([^<>\s]*)>\s*(?:<([^<>\s]*)>|_:([^\s]+?)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z0-9-]+))?)\s*(?:<([^<>\s]*)>|_:\S+?)?\s*\.\s*(?:#.*)?$'
-    line = F.col("value")
-    part = lambda i: F.nullif(F.regexp_extract(line, whole, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract("value", whole, i), F.lit(""))
     label = F.regexp_extract(F.input_file_name(), "([^/]*)$", 1)
-    text = F.regexp_extract(line, whole, 6)
-    for a, b in (("\\\\t", "\t"), ("\\\\n", "\n"), ("\\\\r", "\r"), ('\\\\"', '"'), ("\\\\\\\\", "\\\\")):
-        text = F.regexp_replace(text, a, b)
+    # escapes: a doubled backslash is set aside first, so that it doesn't take part in another escape
+    text = F.replace(F.regexp_extract("value", whole, 6), F.lit("\\\\"), F.lit("\x00"))
+    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\x00", "\\")):
+        text = F.replace(text, F.lit(a), F.lit(b))
     literal = part(4).isNull() & part(5).isNull()
-    rows = spark.read.text(path).where(line.rlike(r"^\s*[<_]")).select(
+    rows = lines.where(F.col("value").rlike(whole)).select(
         F.coalesce(part(9), F.lit(graph)).alias("g"),
         F.when(part(1).isNotNull(), "I").otherwise("B").alias("s_kind"),
         F.coalesce(part(1), F.concat(label, F.lit("#"), part(2))).alias("s"),
@@ -103,7 +97,12 @@ def read_lines(spark: SparkSession, path: str, graph: str) -> DataFrame:
         F.when(literal, F.when(part(8).isNotNull(), F.lit(turtle.LANG_STRING)).otherwise(F.coalesce(part(7), F.lit(turtle.STRING)))).alias("o_dt"),
         F.lower(part(8)).alias("o_lang"),
     )
-    return rows.where("p IS NOT NULL").dropDuplicates()
+    return rows
+
+
+def read_lines(spark: SparkSession, path: str, graph: str) -> DataFrame:
+    """N-Triples or N-Quads by Spark's text reader: a line is a statement, so a file is split over tasks."""
+    return parse_lines(spark.read.text(path), graph).dropDuplicates()
 
 
 def read_documents(spark: SparkSession, path: str, graph: str | None = None, user: str | None = None, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
