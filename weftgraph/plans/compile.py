@@ -49,6 +49,7 @@ class Bound:
 class Relation:
     df: DataFrame
     vars: dict[str, Bound] = field(default_factory=dict)
+    suffix: object = None  # of a variable's columns, where a relation is one side of a join
 
     def columns(self) -> list[str]:
         return [c for v, b in self.vars.items() for c in b.columns(v)]
@@ -137,10 +138,11 @@ def _equal(a: Value, b: Value) -> Column:
 
 def _ordered(op: str, a: Value, b: Value) -> Column:
     x, y = (a.col, b.col) if a.what == b.what == "text" else (a.number(), b.number())
-    if "term" in (a.what, b.what):
+    if "term" in (a.what, b.what) and "num" not in (a.what, b.what):
         numeric = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-        s, t = a.text(), b.text()
-        return F.coalesce(numeric, {"<": s < t, "<=": s <= t, ">": s > t, ">=": s >= t}[op])
+        (s, _, sd, _), (t, _, td, _) = a.term(), b.term()
+        text = {"<": s < t, "<=": s <= t, ">": s > t, ">=": s >= t}[op]
+        return F.coalesce(numeric, F.when(sd == td, text))  # unlike literals have no order: an error
     if a.what == "text" and b.what == "text" and DATETIME in (a.datatype, b.datatype):
         x, y = x.try_cast("timestamp"), y.try_cast("timestamp")
     return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
@@ -157,10 +159,11 @@ def constant(t) -> Value:
     return Value("term", F.lit(t.value), kind=F.lit("L"), datatype=F.lit(t.datatype), lang=F.lit(t.lang).cast("string"), constant=t)
 
 
-def variable(rel: Relation, name: str, suffix: str = "") -> Value:
+def variable(rel: Relation, name: str) -> Value:
     b = rel.vars.get(name)
+    suffix = rel.suffix(name) if rel.suffix else ""
     if b is None:
-        return Value("term", *[F.lit(None).cast("string")] * 1, kind=F.lit(None).cast("string"), datatype=F.lit(None).cast("string"), lang=F.lit(None).cast("string"))
+        return Value("term", F.lit(None).cast("string"), kind=F.lit(None).cast("string"), datatype=F.lit(None).cast("string"), lang=F.lit(None).cast("string"))
     if b.template is not None:
         return Value("iri", _c(name + suffix), template=b.template)
     if b.datatype is not None:
@@ -244,7 +247,7 @@ def evaluate(e, rel: Relation) -> Value:
         col = {
             "str": lambda: t[0], "ucase": lambda: F.upper(t[0]), "lcase": lambda: F.lower(t[0]), "concat": lambda: F.concat(*t),
             "strbefore": lambda: F.when(F.instr(t[0], e.args[1].value) > 0, F.split_part(t[0], t[1], F.lit(1))).otherwise(F.lit("")),
-            "strafter": lambda: F.when(F.instr(t[0], e.args[1].value) > 0, F.expr("''") if False else t[0].substr(F.instr(t[0], e.args[1].value) + len(e.args[1].value), F.lit(1 << 30))).otherwise(F.lit("")),
+            "strafter": lambda: F.when(F.instr(t[0], e.args[1].value) > 0, t[0].substr(F.instr(t[0], e.args[1].value) + len(e.args[1].value), F.lit(1 << 30))).otherwise(F.lit("")),
             "encode_for_uri": lambda: F.url_encode(t[0]),
         }[name]()
         return Value("text", col, datatype=STRING)
@@ -384,26 +387,8 @@ def join(left: Relation, right: Relation, how: str = "inner", condition=None) ->
 
 
 def _evaluate_sides(e, rel: Relation, column) -> Column:
-    """An expression over a join's two sides, before they are merged."""
-    renamed = {}
-    for v in variables(e):
-        if v in rel.vars:
-            renamed[v] = rel.vars[v]
-    swap = {v: A.Var(v) for v in renamed}
-    sided = Relation(None, dict(renamed))
-    import weftgraph.plans.compile as own
-
-    original = own.variable
-
-    def sided_variable(r, name, suffix=""):
-        return original(r, name, "" if column(name) == name else "~")
-
-    own.variable = sided_variable
-    try:
-        del swap
-        return evaluate(e, sided).truth()
-    finally:
-        own.variable = original
+    """An expression over a join's two sides, before they are merged: ``column`` names where a variable lies."""
+    return evaluate(e, Relation(None, {v: b for v, b in rel.vars.items()}, lambda n: "" if column(n) == n else "~")).truth()
 
 
 def exists(left: Relation, pattern, positive: bool, graph) -> Relation:
@@ -419,14 +404,12 @@ def exists(left: Relation, pattern, positive: bool, graph) -> Relation:
             outer.append(f)
         else:
             right = filtered(right, f, graph)
-    kept = dict(left.vars)
     l2, r2, shared = _aligned(left, right)
     on = [_match(l2, r2, v) for v in shared]
     for f in outer:
         both = Relation(None, r2.vars | l2.vars)
         on.append(F.coalesce(_evaluate_sides(f, both, lambda n: n if n in l2.vars else n + "~"), F.lit(False)))
     df = l2.df.join(_suffixed(r2), _all(on) if on else F.lit(True), "left_semi" if positive else "left_anti")
-    del kept
     return Relation(df, l2.vars)
 
 

@@ -119,7 +119,6 @@ class TableGraph:
         m, df = self.tables[name], self.frame(name)
         bounds: dict = {}
         cols: dict = {}
-        wanted = {c for _, c in parts if c}
         if isinstance(subject, A.Var):
             if m.key:
                 cols[subject.name], bounds[subject.name] = F.col(m.key), C.Bound(template(name))
@@ -147,7 +146,6 @@ class TableGraph:
                 df = df.where((c.cast("string") == key) if b.template and t.o.value.startswith(b.template) else F.lit(False))
             else:
                 df = df.where(c == C.constant(t.o).col)
-        del wanted
         out = []
         for n, b in bounds.items():
             out.append(cols[n].alias(n))

@@ -12,7 +12,7 @@ from weftgraph.sources.turtle import QUAD
 
 def quads_of(table_path: str, spark: SparkSession) -> DataFrame:
     """The quads taken in so far. Batches append; a graph is a set, so repeats are dropped on reading."""
-    return spark.read.schema(QUAD).parquet(table_path).dropDuplicates()
+    return spark.read.schema(QUAD).parquet(table_path).select(*[c.split()[0] for c in QUAD.split(", ")]).dropDuplicates()
 
 
 def start(spark: SparkSession, directory: str, table_path: str, checkpoint: str, graph: str, once: bool = False) -> StreamingQuery:
