@@ -29,6 +29,7 @@ k candidates returns them all if they can be reached; an empty table gives no ro
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable
 
@@ -37,11 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import tidy
 from weftgraph.llm.vectors import matrix, nonzero, usable
 from weftgraph.session import cut
 
 BLOCK = 4096
-NEIGHBOURS, BEAM, WIDTH = 32, 288, 48
+NEIGHBOURS, BEAM, WIDTH = 32, 256, 96
 #: An iteration of building offers each vector so many of its nearest from each comparison.
 OFFERS = 6
 ITERATIONS, SETTLED = 7, 0.03
@@ -115,11 +117,12 @@ def _rounds(rows: DataFrame, blocks: int, step: Callable) -> DataFrame:
         if p is not None:
             yield from finish()
 
-    return rows.repartition(blocks, "p").sortWithinPartitions("p", "kind").mapInArrow(run, ROWS)
+    # a task for each block, however many partitions a shuffle is told to have: empty ones cost a worker's start each
+    return rows.repartition(blocks, "p").coalesce(blocks).sortWithinPartitions("p", "kind").mapInArrow(tidy(run), ROWS)
 
 
 class Builder:
-    """The steps of building; a block's state: ids (sorted), v, h (half precision), nbr and score per vector."""
+    """The steps of building; a block's state: ids (sorted), h (half precision), nbr and score per vector."""
 
     def __init__(self, blocks: int, k: int):
         self.blocks, self.k = blocks, k
@@ -130,12 +133,10 @@ class Builder:
         v = np.concatenate([m[1] for m in messages])
         order = np.argsort(ids)
         ids, v = ids[order], v[order]
-        if (v.astype(np.float32) == v).all():
-            v = v.astype(np.float32)
         scale = np.abs(v).max() or 1.0  # half precision has a small range; ranking doesn't need the scale of a block alone
         h = v.astype(np.float16) if scale < 1e4 and scale > 1e-3 else v.astype(np.float32)
         n = len(ids)
-        yield p, STATE, {"ids": ids, "v": v, "h": h, "nbr": np.full((n, self.k), -1, np.int64), "score": np.full((n, self.k), -np.inf, np.float32)}
+        yield p, STATE, {"ids": ids, "h": h, "nbr": np.full((n, self.k), -1, np.int64), "score": np.full((n, self.k), -np.inf, np.float32)}
         yield from ((q, MESSAGE, ("group", *part)) for q, part in _split((mixed(ids, 7) % np.uint64(self.blocks)).astype(np.int64), ids, h))
 
     def start(self, p, state, messages):
@@ -228,8 +229,8 @@ class Builder:
             ok = val > -np.inf
             found.append((np.broadcast_to(m[:, :, None], ok.shape)[ok], m[np.arange(len(m))[:, None, None], top][ok], val[ok]))
             if len(found) == 8:
-                found = [_best(*[np.concatenate(z) for z in zip(*found, strict=True)], 2 * OFFERS)[:3]]
-        row, cand, s, _ = _best(*[np.concatenate(z) for z in zip(*found, strict=True)], 2 * OFFERS)
+                found = [_best(*[np.concatenate(z) for z in zip(*found, strict=True)], OFFERS)[:3]]
+        row, cand, s, _ = _best(*[np.concatenate(z) for z in zip(*found, strict=True)], OFFERS)
         yield p, STATE, {k: v for k, v in state.items() if k != "back"}
         yield from self.offers(ids[row], ids[cand], s)
 
@@ -241,7 +242,7 @@ def _pair(q: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 class Searcher:
     """The steps of searching. A block keeps its queries' nearest candidates: q (row of the query in the
-    block), id, s (score), done (expanded); and met, the sorted pairs of query and candidate met so far."""
+    block), id, s (score), done (expanded)."""
 
     def __init__(self, blocks: int, k: int, beam: int, width: int, is_query: Callable):
         self.blocks, self.k, self.beam, self.width, self.is_query = blocks, k, beam, width, is_query
@@ -252,10 +253,9 @@ class Searcher:
         nbr = state["nbr"][at]
         ok = nbr >= 0
         q = np.repeat(np.arange(len(at), dtype=np.int32), nbr.shape[1])[ok.ravel()]
-        met = np.concatenate([_pair(q, nbr[ok]), _pair(np.arange(len(at)), state["ids"][at])])
         back = next(Builder(self.blocks, self.k).members(p, state, messages, 99))[2]["back"]
-        graph = {k: state[k] for k in ("ids", "v", "h", "nbr")} | {"back": back, "at": at}
-        yield p, STATE, graph | {"q": q, "id": nbr[ok], "s": state["score"][at][ok], "done": np.zeros(len(q), bool), "met": np.sort(met)}
+        graph = {k: state[k] for k in ("ids", "h", "nbr")} | {"back": back, "at": at}
+        yield p, STATE, graph | {"q": q, "id": nbr[ok], "s": state["score"][at][ok], "done": np.zeros(len(q), bool)}
 
     def expand(self, p, state, messages):
         """Take in the scores of the candidates met last; ask for the lists of the nearest not yet expanded."""
@@ -291,8 +291,9 @@ class Searcher:
             yield m[1], MESSAGE, ("lists", m[2], np.concatenate([state["nbr"][at], state["back"][at]], axis=1))
 
     def meet(self, p, state, messages):
-        """The candidates in these lists that a query has not met; ask for their vectors."""
-        q, cand, met = np.empty(0, np.int32), np.empty(0, np.int64), state["met"]
+        """What these lists hold besides the query's candidates; ask for the vectors. One that was met before
+        and fell out of the beam is looked at again, and falls out again: so a query's state has a bound."""
+        q, cand = np.empty(0, np.int32), np.empty(0, np.int64)
         if messages:
             ids = np.concatenate([m[1] for m in messages])
             order = np.argsort(ids)
@@ -300,10 +301,10 @@ class Searcher:
             q = np.repeat(state["ask_q"], found.shape[1])[found.ravel() >= 0]
             cand = found[found >= 0]
             pairs, first = np.unique(_pair(q, cand), return_index=True)
-            fresh = met[np.minimum(np.searchsorted(met, pairs), len(met) - 1)] != pairs
-            first = first[fresh]
-            q, cand, met = q[first], cand[first], np.sort(np.concatenate([met, pairs[fresh]]))
-        yield p, STATE, {k: v for k, v in state.items() if k not in ("ask_q", "ask")} | {"new_q": q, "new_id": cand, "met": met}
+            held = np.concatenate([_pair(state["q"], state["id"]), _pair(np.arange(len(state["at"])), state["ids"][state["at"]])])
+            first = first[~np.isin(pairs, held)]
+            q, cand = q[first], cand[first]
+        yield p, STATE, {k: v for k, v in state.items() if k not in ("ask_q", "ask")} | {"new_q": q, "new_id": cand}
         wanted = np.unique(cand)
         for b, (part,) in _split(owner(wanted, self.blocks), wanted):
             yield b, MESSAGE, ("want", p, part)
@@ -316,26 +317,40 @@ class Searcher:
     def last(self, p, state, messages):
         """The nearest candidates of each query, and a request for their original vectors."""
         q, cand, _, _ = _best(state["q"], state["id"], state["s"], RESCORED)
-        yield p, STATE, {"ids": state["ids"], "v": state["v"], "at": state["at"], "q": q, "id": cand}
+        yield p, STATE, {"asked": state["ids"][state["at"]], "q": q, "id": cand}
         wanted = np.unique(cand)
         for b, (part,) in _split(owner(wanted, self.blocks), wanted):
             yield b, MESSAGE, ("want", p, part)
 
     def originals(self, p, state, messages):
-        yield p, STATE, state
+        """The original vectors arrive anew; those of the candidates go to the queries' blocks."""
+        raw = [m for m in messages if not isinstance(m[0], str)]
+        ids, v = (np.concatenate([m[i] for m in raw]) for i in range(2))
+        order = np.argsort(ids)
+        ids, v = ids[order], v[order]
+        yield p, STATE, state | {"v": v[np.searchsorted(ids, state["asked"])]}
         for m in messages:
-            yield m[1], MESSAGE, ("have", m[2], state["v"][np.searchsorted(state["ids"], m[2])])
+            if isinstance(m[0], str):
+                yield m[1], MESSAGE, ("have", m[2], v[np.searchsorted(ids, m[2])])
 
     def results(self, p, state, messages, top):
         if not messages:
             return
         ids = np.concatenate([m[1] for m in messages])
         order = np.argsort(ids)
-        v = np.concatenate([m[2] for m in messages])[order].astype(np.float64)
+        v = np.concatenate([m[2] for m in messages])[order]
         q, cand = state["q"], state["id"]
-        score = np.einsum("ij,ij->i", state["v"][state["at"][q]].astype(np.float64), v[np.searchsorted(ids[order], cand)])
+        score = np.einsum("ij,ij->i", state["v"][q], v[np.searchsorted(ids[order], cand)])
         q, cand, score, place = _best(q, cand, score, top)
-        yield p, OUT, (state["ids"][state["at"][q]], place + 1, cand, score)
+        yield p, OUT, (state["asked"][q], place + 1, cand, score)
+
+
+def _settle(rows: DataFrame) -> DataFrame:
+    """Cut the lineage, and let Spark's cleaner give back the disk of the rounds that are over."""
+    done = cut(rows)
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def _load(vectors: DataFrame, blocks: int, dim: int) -> DataFrame:
@@ -359,8 +374,8 @@ def _changed(rows: DataFrame) -> int:
     return rows.where(F.col("kind") == STATE).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def build(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """The graph as blocks' rows with backlinks under way, and the number of blocks. ``vectors``: vec_id, v."""
+def build(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> tuple[DataFrame, int, int]:
+    """The graph as blocks' rows with backlinks under way, the number of blocks and the dimension. ``vectors``: vec_id, v."""
     sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim, n = (sizes["dim"], sizes["n"]) if sizes else (1, 0)
     blocks = max(1, -(-n // block))
@@ -370,10 +385,10 @@ def build(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> tuple[
     for i in range(ITERATIONS):
         rows = _rounds(rows, blocks, lambda p, s, m, i=i: make.members(p, s, m, i))
         rows = _rounds(_rounds(rows, blocks, make.reply), blocks, make.compare)
-        rows = cut(_rounds(rows, blocks, make.merge))
+        rows = _settle(_rounds(rows, blocks, make.merge))
         if _changed(rows) <= SETTLED * n * k:
             break
-    return rows, blocks
+    return rows, blocks, dim
 
 
 def search(vectors: DataFrame, is_query: Callable, top: int, k: int = NEIGHBOURS, beam: int = BEAM, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -382,13 +397,14 @@ def search(vectors: DataFrame, is_query: Callable, top: int, k: int = NEIGHBOURS
     ``vectors`` has vec_id and embedding; ``is_query`` tells from an array of ids which are queries.
     """
     ready = cut(usable(vectors).where(nonzero(F.col("v"))))
-    rows, blocks = build(ready, k, block)
+    rows, blocks, dim = build(ready, k, block)
     go = Searcher(blocks, k, beam, width, is_query)
     rows = cut(_rounds(_rounds(rows, blocks, go.begin), blocks, go.expand))
     while _changed(rows):
         rows = _rounds(_rounds(rows, blocks, go.lists), blocks, go.meet)
-        rows = cut(_rounds(_rounds(rows, blocks, go.vectors), blocks, go.expand))
-    rows = _rounds(_rounds(rows.where(F.col("kind") == STATE), blocks, go.last), blocks, go.originals)
+        rows = _settle(_rounds(_rounds(rows, blocks, go.vectors), blocks, go.expand))
+    rows = _rounds(rows.where(F.col("kind") == STATE), blocks, go.last).unionByName(_load(ready, blocks, dim))
+    rows = _rounds(rows, blocks, go.originals)
     rows = _rounds(rows, blocks, lambda p, s, m: go.results(p, s, m, top))
 
     def unpack(batches):

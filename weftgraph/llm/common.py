@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     """The batch cut so that each cut's texts stay near ``max_bytes``: bounds a Python worker's memory."""
     n = batch.num_rows
     if n == 0:
@@ -49,3 +52,42 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns named so, whatever their case."""
     low = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+#: A side of a join goes to every task only if it was counted to have at most so many rows.
+SMALL = 20_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, to be broadcast if a count finds few rows; else a plain side of a join, which Spark deals by key and splits where skewed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_keeper: list = [None, None]
+
+
+def _give_back() -> None:
+    """Return free memory to the system: workers live on after a task, beside the next one's JVM work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim with
+
+
+def tidy(run, name: str = "", forget=None):
+    """``run``, a function for mapInArrow, so that a worker gives memory back when a task ends.
+
+    Tables that a worker keeps for its next task under ``name`` are dropped by ``forget``
+    once a task of another name runs in it.
+    """
+
+    def tidied(batches):
+        if _keeper[0] != name and _keeper[1] is not None:
+            _keeper[1]()
+        _keeper[:] = name, forget
+        yield from run(batches)
+        _give_back()
+
+    return tidied
