@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import n_words
+from weftgraph.llm.common import if_small, n_words
 from weftgraph.session import cut
 
 #: Random slots are ranked in so many parts, then within a part.
@@ -105,8 +105,8 @@ def mix(
     source_size, target, taken, and ``shards``, the output shard of each repeat.
 
     The table of sources has a row per source and that of blocks a row per
-    ``block_rows`` documents; both are joined, and broadcast only if Spark
-    measures them as small.
+    ``block_rows`` documents; both are counted, and broadcast only if they have few
+    rows, so that a source with very many documents doesn't meet in one task.
     """
     base = cut(
         docs.select(
@@ -124,7 +124,7 @@ def mix(
     sources = cut(_targets(sizes, weights, share, max_repeats))
     # a block's number: as many leading bits of the permutation as the source's documents need
     bits = F.least(F.lit(30), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / F.lit(float(block_rows)))).cast("int")))
-    placed = base.join(sources.withColumn("bits", bits), by_source).withColumn(
+    placed = base.join(if_small(sources.withColumn("bits", bits)), by_source).withColumn(
         "block", F.expr("CASE WHEN bits = 0 THEN 0L ELSE shiftrightunsigned(draw, 64 - bits) END")
     )
     summed = placed.groupBy(*by_source, "block").agg(
@@ -153,7 +153,7 @@ def mix(
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "shard"))), lambda x: x["shard"]).alias("shards"))
     )
     chosen = blocks.join(dealt, [*by_source, "at"], "left").select(*by_source, "block", "before", "in_rest", "is_cut", "shards")
-    rows = placed.join(cut(chosen), [*by_source, "block"])
+    rows = placed.join(if_small(cut(chosen)), [*by_source, "block"])
     whole = rows.where(~F.col("is_cut")).withColumn("extra", F.when(F.col("in_rest"), F.col("size")).otherwise(F.lit(0)))
     inside = W.partitionBy(*by_source).orderBy("draw", "doc_id", "text_hash", "size")
     at = F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
