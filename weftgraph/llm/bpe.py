@@ -28,13 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import append_columns, slices
+from weftgraph.llm.common import append_columns, slices, tidy
 
 #: Fixed value: the published pre-tokenization pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces whose encoding a worker remembers; beyond it the memory is emptied and filled anew.
-MEMORY = 300_000
+MEMORY = 150_000
+#: Pairs of tokens whose fit it remembers.
+PAIRS = 200_000
 
 NEVER = 1 << 60
 
@@ -114,7 +116,7 @@ class Vocabulary:
                 a_until, a = a_born, self.parts[a][1]
             else:
                 b_until, b = b_born, self.parts[b][0]
-        if len(self.fit) > 2_000_000:
+        if len(self.fit) > PAIRS:
             self.fit.clear()
         self.fit[key] = fits
         return fits
@@ -223,4 +225,4 @@ def encode_decode(df: DataFrame, tokenizer_file: str, text: str = "text", decode
                     arrays.append(pa.array([vocabulary.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out.fields])
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(tidy(run, "bpe", _loaded.clear), out)

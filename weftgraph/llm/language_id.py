@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import append_columns, slices
+from weftgraph.llm.common import append_columns, slices, tidy
 
 WORDS = regex.compile(r"\p{L}+")
 #: Labelled documents of each language that learning reads, about: the bound of its sample.
@@ -200,7 +200,7 @@ def fit(labelled: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE,
     for lang, n in sizes.items():
         limit = F.when(F.col("lang") == lang, F.lit(1_000_000 * per_language // n + 1)).otherwise(limit)
     sample = labelled.where(million < limit).select("text", "lang")
-    rows = sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(tidy(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     words = sorted(set(rows["word"]), key=lambda w: (len(w.encode()), w))
     at, col = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(words), len(languages)))
@@ -224,4 +224,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in out.fields])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run, "language", _loaded.clear), out)

@@ -17,7 +17,7 @@ Defined results: a null or an empty text is one empty line; keys shorter than
 ``min_chars`` code points are kept; rows with one doc_id are one document when
 documents are counted, and all null ids are one document; rows that repeat both id
 and text get the same decision, so both keep a first occurrence; an empty table
-gives no rows. Only doc_id and text are read; other columns pass.
+gives no rows. Only doc_id and text are read; other columns pass, but for those named like the new ones.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import WS, append_columns, slices
+from weftgraph.llm.common import WS, append_columns, slices, tidy, without
 from weftgraph.session import cut
 
 STRIP = WS.encode()
@@ -68,7 +68,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                     names=["h1", "h2", "doc", "th", "pos", "n"],
                 )
 
-    return docs.select("_doc", "_th", "text").mapInArrow(run, LINES)
+    return docs.select("_doc", "_th", "text").mapInArrow(tidy(run), LINES)
 
 
 class _Rows:
@@ -210,7 +210,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode:
     order = ["h1", "h2", "doc", "th", "pos"]
     lines = cut(line_hashes(docs, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order))
     crossing = across_borders(lines.mapInArrow(_summarise, SUMMARY).collect())  # two rows per partition at most
-    dropped = lines.mapInArrow(lambda b: _drops(b, crossing, min_docs, mode), DROPPED)
+    dropped = lines.mapInArrow(tidy(lambda b: _drops(b, crossing, min_docs, mode)), DROPPED)
     by_doc = dropped.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.max("n").alias("n"), F.collect_set("pos").alias("gone"))
 
     def pack(batches):
@@ -228,8 +228,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode:
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with its dropped lines taken out of ``text``, and n_lines and n_dropped. A null text without dropped lines stays null."""
+    docs = without(docs, "n_lines", "n_dropped", "keep_bits")
     rows = keyed(docs)
-    joined = rows.join(keep_bitmaps(rows, **options).hint("shuffle_hash"), ["_doc", "_th"], "left").select(*[rows[f"`{c}`"] for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "keep_bits")], "keep_bits")
+    bits = keep_bitmaps(rows, **options).select("_doc", "_th", "keep_bits")
+    joined = rows.join(bits.hint("shuffle_hash"), ["_doc", "_th"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "keep_bits")
     out = append_columns(joined.drop("keep_bits"), [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches):
@@ -250,4 +252,4 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
                 made = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
                 yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(index[f.name]) for f in out.fields], names=[f.name for f in out.fields])
 
-    return joined.mapInArrow(run, out)
+    return joined.mapInArrow(tidy(run), out)

@@ -19,7 +19,7 @@ doc_id of its documents.
 Defined results: a text without words (null and empty ones too) has fingerprint 0
 and is linked like any other; a text with fewer words than a shingle is one
 shingle; repeated rows are rows of one component; a component without any doc_id
-has a null id; an empty table gives no rows. Other columns pass.
+has a null id; an empty table gives no rows. Other columns pass, but for those named like the new ones.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import append_columns, slices, words_of
+from weftgraph.llm.common import append_columns, slices, tidy, without, words_of
 from weftgraph.llm.components import components
 from weftgraph.session import cut
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
                 arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in out.fields[:-1]]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(fps.view(np.int64))], names=[f.name for f in out.fields])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def _variants(batches):
@@ -182,9 +182,9 @@ def near_links(distinct: DataFrame) -> DataFrame:
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def grouped(rows, step):
-        return rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(step, LINKS)
+        return rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(tidy(step), LINKS)
 
-    found = cut(grouped(distinct.mapInArrow(_variants, "key long, fp long"), _links).distinct())
+    found = cut(grouped(distinct.mapInArrow(tidy(_variants), "key long, fp long"), _links).distinct())
     crowded = found.where("u = v").select(F.col("u").alias("fp"))
     stars = grouped(crowded.mapInArrow(_centres, "key long, fp long"), _stars)
     return found.where("u <> v").unionByName(stars)
@@ -192,7 +192,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """``docs`` without its text, with fp, root (the least fingerprint of the component) and component_id."""
-    marked = cut(fingerprints(docs, text, shingle))
+    marked = cut(fingerprints(without(docs, "root", "component_id"), text, shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(distinct.select("fp")))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
