@@ -24,6 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import if_small
 from weftgraph.session import cut
 
 #: The rules of the query: action, then host and path.
@@ -105,4 +106,4 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping:
         .fillna(0.0, ["trust", "distrust"])
     )
     by_host = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return urls.join(scores, "host").select("page_id", "host", "path", "rule", F.coalesce("action", by_host).alias("verdict"), "trust", "distrust")
+    return urls.join(if_small(cut(scores)), "host").select("page_id", "host", "path", "rule", F.coalesce("action", by_host).alias("verdict"), "trust", "distrust")
