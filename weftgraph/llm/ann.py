@@ -362,7 +362,7 @@ def _load(vectors: DataFrame, blocks: int, dim: int) -> DataFrame:
                 p, kind, body = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], names=["p", "kind", "body"])
 
-    return vectors.mapInArrow(run, ROWS)
+    return vectors.where(F.size("v") == dim).mapInArrow(run, ROWS)
 
 
 def _changed(rows: DataFrame) -> int:
@@ -380,7 +380,7 @@ def build(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> tuple[
     dim, n = (sizes["dim"], sizes["n"]) if sizes else (1, 0)
     blocks = max(1, -(-n // block))
     make = Builder(blocks, k)
-    rows = _rounds(_load(vectors.where(F.size("v") == dim), blocks, dim), blocks, make.load)
+    rows = _rounds(_load(vectors, blocks, dim), blocks, make.load)
     rows = cut(_rounds(_rounds(rows, blocks, make.start), blocks, make.merge))
     for i in range(ITERATIONS):
         rows = _rounds(rows, blocks, lambda p, s, m, i=i: make.members(p, s, m, i))

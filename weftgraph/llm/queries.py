@@ -98,5 +98,33 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def _op10_sql() -> str:
+    """op10 as SQL: one step of the recursion for each round of both spreads."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    low = lambda c: f"translate({c}, '{upper}', '{lower}')"
+    cases = []
+    for action, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])):
+        host, slash, rest = rule.partition("/")
+        cases.append((f"WHEN (host = '{host}' OR suffix(host, '.{host}')) AND starts_with(path, '{slash}{rest}')", rule, action))
+    rules, actions = (" ".join(f"{c[0]} THEN '{c[i]}'" for c in cases) for i in (1, 2))
+    link = url_filter.LINK.replace("'", "''")
+    parts = [
+        f"p AS (SELECT page_id, html, coalesce({low("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
+        f"u AS (SELECT page_id, host, path, CASE {rules} END AS rule, CASE {actions} END AS action FROM p)",
+        "seeds AS (SELECT host, avg(coalesce(action = 'allow', false)::INT) AS allowed, avg(coalesce(action = 'block', false)::INT) AS blocked FROM u GROUP BY host)",
+        f"l AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS t FROM p)",
+        f"links AS (SELECT src, {low('t')} AS dst, count(*)::DOUBLE AS weight FROM l WHERE src <> '' AND t <> '' AND src <> {low('t')} GROUP BY 1, 2)",
+        f"share_t AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) * {url_filter.DAMPING} AS share FROM links)",
+        f"share_d AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) * {url_filter.DAMPING} AS share FROM links)",
+    ]
+    for k, seed in (("t", "allowed"), ("d", "blocked")):
+        parts.append(f"{k}0 AS (SELECT host, {seed} AS score FROM seeds WHERE {seed} > 0 AND host <> '')")
+        for i in range(1, url_filter.ROUNDS + 1):
+            parts.append(f"{k}{i} AS (SELECT host, sum(x) AS score FROM (SELECT host, score AS x FROM {k}0 UNION ALL SELECT dst, score * share FROM {k}{i - 1} JOIN share_{k} ON host = src) GROUP BY host)")
+    n = url_filter.ROUNDS
+    blocked = f"coalesce(d.score, 0) >= {url_filter.THRESHOLD} AND coalesce(d.score, 0) > coalesce(t.score, 0)"
+    return f"WITH {', '.join(parts)} SELECT page_id, u.host, path, rule, coalesce(action, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN t{n} t ON t.host = u.host LEFT JOIN d{n} d ON d.host = u.host"
+
+
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op10_url_filter": _op10_sql()}
