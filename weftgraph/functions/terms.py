@@ -68,3 +68,48 @@ def graph_name(name: Column, user: Column | None = None, app: str = "weftgraph")
     clean = F.translate(F.regexp_replace(name, " ", "_"), "()[]", "")
     parts = [F.lit(f"urn:{app}:"), *([F.lit("user:"), user, F.lit(":")] if user is not None else []), F.lit("graph:"), clean]
     return F.concat(*parts)
+
+
+#: The type a literal's value gets, by the local name of its datatype; others stay text.
+SPARK_TYPES = (
+    {"boolean": "boolean", "byte": "byte", "short": "short", "int": "int", "long": "long", "float": "float", "double": "double", "decimal": "decimal(38,18)"}
+    | dict.fromkeys(("integer", "negativeInteger", "nonNegativeInteger", "nonPositiveInteger", "positiveInteger"), "decimal(38,0)")
+    | {"unsignedByte": "short", "unsignedShort": "int", "unsignedInt": "long", "unsignedLong": "decimal(20,0)", "date": "date", "dateTime": "timestamp", "dateTimeStamp": "timestamp"}
+)
+#: Signs that a whole number's datatype allows.
+SIGNS = {"negativeInteger": (None, -1), "nonNegativeInteger": (0, None), "nonPositiveInteger": (None, 0), "positiveInteger": (1, None), "unsignedByte": (0, 255), "unsignedShort": (0, 65535), "unsignedInt": (0, (1 << 32) - 1), "unsignedLong": (0, (1 << 64) - 1)}
+
+
+def typed_value(lexical: Column, datatype: str) -> Column:
+    """A literal's value with the type of its datatype; null if the text isn't one of its forms."""
+    local = datatype.removeprefix(V.XSD) if datatype.startswith(V.XSD) else ""
+    if local in ("hexBinary", "base64Binary"):
+        return F.try_to_binary(lexical, F.lit("hex" if local == "hexBinary" else "base64"))
+    if datatype == V.OWL + "real":
+        return lexical.try_cast("double")
+    if local not in SPARK_TYPES:
+        return lexical
+    if local == "boolean":
+        return F.when(lexical.isin("true", "1"), True).when(lexical.isin("false", "0"), False)
+    value = lexical.try_cast(SPARK_TYPES[local])
+    low, high = SIGNS.get(local, (None, None))
+    ok = F.lit(True)
+    if low is not None:
+        ok = ok & (value >= F.lit(low).cast("decimal(38,0)"))
+    if high is not None:
+        ok = ok & (value <= F.lit(high).cast("decimal(38,0)"))
+    return F.when(ok, value)
+
+
+def literal_only(kind: Column, text: Column) -> Column:
+    """The text of a literal; of any other term null, to be reported."""
+    return F.when(kind == "L", text)
+
+
+def is_truthy(text: Column) -> Column:
+    return text == "true"
+
+
+def term_of(text: Column) -> Column:
+    """kind and text of a name: an IRI if it has a scheme, else a blank node."""
+    return F.struct(F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "I").otherwise("B").alias("kind"), text.alias("text"))

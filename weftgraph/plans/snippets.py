@@ -72,7 +72,17 @@ GROUPS = {
     "label": '{ OPTIONAL { ?id rdfs:label ?l1 } OPTIONAL { ?id rdf:resource ?l2 } OPTIONAL { ?id rdf:ID ?l3 } BIND(COALESCE(?l1, ?l2, ?l3, "") AS ?label) }',
 }
 VOID = "{ ?id ?nodeType ?target . ?id rdfs:label ?label FILTER(false) }"
-WEIGHT = "BIND(IF(?nodeType = owl:Ontology, 0, IF(?nodeType = owl:Class || ?target = owl:Axiom, 1, 2)) AS ?weight)"
+# Where rows come in the order of the query. A row is tested from the first rank on;
+# one that can't be tested, as it binds no target, has no weight and comes before all.
+RANKS = (("?nodeType = owl:Ontology", 0), ("?nodeType = owl:Class || ?target = owl:Axiom", 1))
+LAST_RANK = 2
+
+
+def _weight() -> str:
+    text = str(LAST_RANK)
+    for test, rank in reversed(RANKS):
+        text = f"IF({test}, {rank}, {text})"
+    return f"BIND({text} AS ?weight)"
 
 
 def _rule_text(types: dict, predicates: dict) -> list[str]:
@@ -86,7 +96,7 @@ def _rule_text(types: dict, predicates: dict) -> list[str]:
 
 
 def assemble(parts: list[str], graph: str | None = None) -> str:
-    body = f"{{ {' UNION '.join(parts)} }} {WEIGHT}"
+    body = f"{{ {' UNION '.join(parts)} }} {_weight()}"
     scope = f"GRAPH <{graph}> {{ {body} }}" if graph else body
     return f"SELECT ?id ?nodeType ?target ?label WHERE {{ {scope} }} ORDER BY ?weight"
 
@@ -146,10 +156,12 @@ def solutions(quads: DataFrame) -> DataFrame:
     out = by_rules(quads)
     for text in GROUPS.values():
         out = out.unionByName(_rows(C.select(parse(f"SELECT ?id ?nodeType ?target ?label WHERE {text}"), graph)))
-    first = F.col("nodetype") == OWL + "Ontology"
-    second = (F.col("nodetype") == OWL + "Class") | (F.col("target") == OWL + "Axiom")
-    weight = F.when(first, 0).when(~first, F.when(second, 1).when(~second, 2))
-    return out.withColumn("weight", weight)
+    renamed = {"nodeType": ("nodetype", "nodetype_kind", None), "target": ("target", "target_kind", "target_dt")}
+    none = F.lit(None).cast("string")
+    cols = {v + p: (F.col(c) if c else none) for v, names in renamed.items() for p, c in zip(C.PARTS, (*names, None), strict=True)}
+    row = C.Relation(out.withColumns({k: c for k, c in cols.items() if k not in ("nodeType", "target")} | {"nodeType": F.col("nodetype")}), {v: C.Bound() for v in renamed})
+    asked = parse("SELECT ?w { " + _weight().replace("?weight", "?w") + " }").pattern
+    return row.df.withColumn("weight", C.evaluate(asked.expression, row).col).select(*out.columns, "weight")
 
 
 def run_text(quads: DataFrame, text: str) -> DataFrame:
