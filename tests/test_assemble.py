@@ -76,6 +76,8 @@ def test_counts_traits_metadata_header(spark):
     assert a["source"] == "urn:o#A" and list(a["annotations"].values()) == ["why"]
     assert '"triples"' in to_json(d).first()["graph"]
     assert {r["element_type"]: r["n"] for r in facets.counts(d.nodes, d.edges).collect()}["owl:ObjectProperty"] == 1
+    total = facets.summary(d.nodes, d.edges).first()
+    assert total["nodes"] == d.nodes.count() and total["edges"] == d.edges.count() and total["with_characteristics"] == 1
     kept, left = facets.hide(d.nodes, d.edges, {"rdfs:Resource": False})
     assert kept.where("element_type = 'rdfs:Resource'").count() == 0 and left.where("edge_type = 'NoDraw'").count() == 0
     assert facets.metadata_in(d.metadata, "fr").where("term = 'urn:o#A'").first()["values"] == ["about A"]

@@ -90,6 +90,9 @@ def test_store(spark, tmp_path):
         store.upload_chunk(key, part)
     up = store.complete_upload(key)
     assert "urn:u:b" in store.export(up, "ntriples") and store.graph(up).count() == 1
+    assert [r["o"] for r in store.query("SELECT ?o { ?s <urn:u:b> ?o }", up).collect()] == ["urn:u:c"]
+    with pytest.raises(ValueError):
+        store.query("ASK { ?s ?p ?o }")
     with pytest.raises(StoreError):
         store.insert_file(str(tmp_path / "a.unknown"))
     with pytest.raises(StoreError):

@@ -55,6 +55,13 @@ def test_aggregates(graph):
     assert ask(graph, "SELECT ?s (SUM(?n) AS ?t) { ?s :n ?n } GROUP BY ?s HAVING(SUM(?n) > 1)") == [("urn:x:b", 2.5)]
 
 
+def test_variable_graph(spark):
+    rows = read_turtle(DOC, "urn:g1", "urn:x:", "doc") + read_turtle(DOC, "urn:g2", "urn:x:", "two")
+    both = C.QuadGraph(rows_frame(spark, rows))
+    assert ask(both, "SELECT ?g ?c { GRAPH ?g { :a :p ?b . ?b :p ?c } }") == [("urn:g1", "urn:x:c"), ("urn:g2", "urn:x:c")]
+    assert ask(both, "SELECT ?b { GRAPH <urn:g2> { :a :p ?b } }") == [("urn:x:b",)]
+
+
 def test_only_select():
     for text in ("ASK { ?s ?p ?o }", "CONSTRUCT { ?s ?p ?o } WHERE { ?s ?p ?o }", "SELECT ?x { ?x nope:y ?z }", "SELECT ?x { ?x :p }"):
         with pytest.raises(SparqlError):

@@ -31,6 +31,13 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("element_type").unionByName(drawn.select(F.col("edge_type").alias("element_type"))).groupBy("element_type").agg(F.count("*").alias("n")).orderBy("element_type")
 
 
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Totals of a display graph, one row."""
+    n = nodes.agg(F.count("*").alias("nodes"), F.count("label").alias("node_labels"), F.coalesce(F.sum("individuals"), F.lit(0)).alias("individuals"))
+    e = edges.agg(F.count("*").alias("edges"), F.count("label").alias("edge_labels"), F.count(F.coalesce("card_min", "card_max")).alias("cardinalities"), F.coalesce(F.sum((F.size("characteristics") > 0).cast("long")), F.lit(0)).alias("with_characteristics"))
+    return n.crossJoin(e)  # one row each
+
+
 def visible(counted: DataFrame, shown: dict[str, bool]) -> DataFrame:
     """Per group: how many elements are shown, and how many there are. Types not named are shown."""
     on = F.lit(True)

@@ -464,12 +464,16 @@ def unit(spark: SparkSession) -> Relation:
 class QuadGraph:
     """Triples of a table of quads: g, s_kind, s, p, o_kind, o, o_dt, o_lang."""
 
-    def __init__(self, quads: DataFrame):
-        self.spark, self.quads = quads.sparkSession, quads
+    def __init__(self, quads: DataFrame, graph_var: str | None = None):
+        self.spark, self.quads, self.graph_var = quads.sparkSession, quads, graph_var
 
     def named(self, name: str) -> QuadGraph:
         return QuadGraph(self.quads.where(F.col("g") == name))
 
+    def each_named(self, var: str) -> QuadGraph:
+        """Every named graph by itself: the variable binds each triple's graph, so joined triples share it."""
+        return QuadGraph(self.quads.where("g IS NOT NULL"), var)
+
     def bgp(self, triples: list) -> Relation:
         return by_triples(self, triples)
 
@@ -498,6 +502,8 @@ class QuadGraph:
             bind(t.p, F.col("p"), F.lit("I"), nothing, nothing, "I")
         bind(t.s, F.col("s"), F.col("s_kind"), nothing, nothing, None)
         bind(t.o, F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"), None)
+        if self.graph_var:
+            bind(A.Var(self.graph_var), F.col("g"), F.lit("I"), nothing, nothing, "I")
         for a, b in same:
             df = df.where(a == b)
         out = df.select(*[_c(f"{n}~{i}").alias(n + p) for n in bounds for i, p in enumerate(PARTS)]) if bounds else df.select(F.lit(1).alias("_unit"))
@@ -547,6 +553,8 @@ def _with_path(graph, rel: Relation, t: A.Triple) -> Relation:
 
 def _repeated(graph, rel: Relation, t: A.Triple) -> Relation:
     p: A.Repeat = t.p
+    if getattr(graph, "graph_var", None):
+        raise ValueError("unsupported: a repeated path under a variable graph")
     a, b = A.Var("_a"), A.Var("_b")
     edges = as_term(as_term(_with_path(graph, unit(graph.spark), A.Triple(a, p.path, b)), "_a"), "_b").df
     pack = lambda n: F.struct(*[_c(n + x).alias(y) for x, y in zip(PARTS, ("t", "k", "d", "g"), strict=True)])
@@ -598,7 +606,7 @@ def compile_pattern(node, graph) -> Relation:
     if isinstance(node, A.Values):
         return _values(node, graph.spark)
     if isinstance(node, A.Graph):
-        return compile_pattern(node.child, graph.named(node.name.value))
+        return compile_pattern(node.child, graph.named(node.name.value) if isinstance(node.name, A.Iri) else graph.each_named(node.name.name))
     if isinstance(node, A.Select):
         return select(node, graph)
     raise ValueError(f"unsupported pattern {type(node).__name__}")

@@ -68,6 +68,9 @@ class TableGraph:
     def named(self, name: str) -> TableGraph:
         return self
 
+    def each_named(self, var: str) -> TableGraph:
+        return self
+
     def _place(self, t: A.Triple) -> tuple[str, str] | None:
         """The table and column of a triple's predicate; the type is the column ''."""
         if not isinstance(t.p, A.Link):

@@ -52,7 +52,7 @@ def new_user() -> str:
     return str(uuid.uuid4())
 
 
-def parse(text: str, kind: str, graph: str, base: str, label: str) -> list[tuple]:
+def parse_as(text: str, kind: str, graph: str, base: str, label: str) -> list[tuple]:
     """A document's rows, without repeats."""
     if kind not in READERS:
         raise StoreError(f"no reader of {kind}")
@@ -67,7 +67,7 @@ def parse_any(text: str, hint: str | None, graph: str, base: str, label: str) ->
     errors = []
     for kind in dict.fromkeys([*([hint] if hint in READERS else []), *ORDER]):
         try:
-            rows = parse(text, kind, graph, base, label)
+            rows = parse_as(text, kind, graph, base, label)
         except ValueError as e:
             errors.append(f"{kind}: {e}")
             continue
@@ -234,6 +234,14 @@ class Store:
             self.add(rows_frame(self.spark, rows))
             front += [(r[5], url) for r in rows if r[3] == OWL + "imports" and r[4] == "I"]
 
+    def query(self, text: str, g: str | None = None, terms: bool = False) -> DataFrame:
+        """A SELECT over one graph, or over all of them; GRAPH clauses name graphs. Other query forms are refused."""
+        from weftgraph.plans import compile as C
+        from weftgraph.plans.sparql import parse as parse_query
+
+        quads = self.graph(g) if g else self.quads
+        return C.solutions(C.select(parse_query(text), C.QuadGraph(quads)), terms)
+
     def graph(self, g: str) -> DataFrame:
         return self.quads.where(F.col("g") == g)
 
