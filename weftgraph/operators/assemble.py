@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import terms
 from weftgraph.functions import vocabulary as V
 from weftgraph.functions.vocabulary import DC, DCTERMS, OWL, RDF, RDFS
-from weftgraph.operators.closure import closure, least_members, representatives
+from weftgraph.operators.closure import closure, least_members, prepared, representatives
 from weftgraph.session import cut
 
 NODE = "term string, term_kind string, element_type string, label string, individuals long"
@@ -51,6 +51,7 @@ class Assembler:
         self.spark = quads.sparkSession
         self.q = cut(quads.dropDuplicates())
         self.base = self._base()
+        self.rest = prepared(self.of(V.REST).where(F.col("o") != V.NIL).select(F.col("s").alias("a"), F.col("o").alias("b")))
 
     # ---- helpers
     def of(self, *predicates: str) -> DataFrame:
@@ -62,8 +63,7 @@ class Assembler:
     def lists(self, predicate: str) -> DataFrame:
         """(owner, owner_kind, and the member's o_kind, o, o_dt, o_lang) of all lists that a predicate points at."""
         heads = self.of(predicate).select(F.col("s").alias("owner"), F.col("s_kind").alias("owner_kind"), F.col("o").alias("head"))
-        edges = self.of(V.REST).where(F.col("o") != V.NIL).select(F.col("s").alias("a"), F.col("o").alias("b"))
-        reach = closure(edges, heads.select(F.col("head").alias("a")))
+        reach = closure(self.rest, heads.select(F.col("head").alias("a")))
         firsts = self.of(V.FIRST).select(F.col("s").alias("b"), "o_kind", "o", "o_dt", "o_lang")
         return heads.join(reach.withColumnRenamed("a", "head"), "head").join(firsts, "b").where(F.col("o") != V.NIL).select("owner", "owner_kind", "o_kind", "o", "o_dt", "o_lang").distinct()
 

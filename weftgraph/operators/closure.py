@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from weftgraph.session import cut
 
 
+def prepared(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) as several closures over them can share: distinct, and computed once."""
+    return cut(edges.select(F.col("a").alias("_from"), F.col("b").alias("_to")).distinct())
+
+
 def closure(edges: DataFrame, seeds: DataFrame, reflexive: bool = True, rounds: int = 10_000) -> DataFrame:
     """Distinct pairs (a, b): b is reachable from the seed a over ``edges`` (a, b).
 
     Semi-naive: each round joins only what the last one found, and drops pairs already
-    known, so cycles end. ``seeds`` has a column a.
+    known, so cycles end. ``seeds`` has a column a; ``edges`` may be ``prepared``.
     """
     start = seeds.select("a").distinct().select("a", F.col("a").alias("b"))
-    edges = cut(edges.select(F.col("a").alias("_from"), F.col("b").alias("_to")).distinct())
+    edges = edges if "_from" in edges.columns else prepared(edges)
+    if reflexive and edges.isEmpty():
+        return start
     known = cut(start if reflexive else start.join(edges, start["b"] == edges["_from"]).select("a", F.col("_to").alias("b")).distinct())
     front = known
     for _ in range(rounds):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.vocabulary import NUMERIC, RDF, TYPE, XSD
-from weftgraph.operators.closure import closure
+from weftgraph.operators.closure import closure, prepared
 from weftgraph.plans import algebra as A
 
 INTEGER, DOUBLE, STRING, BOOLEAN, DATETIME = (XSD + x for x in ("integer", "double", "string", "boolean", "dateTime"))
@@ -466,6 +466,7 @@ class QuadGraph:
 
     def __init__(self, quads: DataFrame, graph_var: str | None = None):
         self.spark, self.quads, self.graph_var = quads.sparkSession, quads, graph_var
+        self.steps: dict = {}
 
     def named(self, name: str) -> QuadGraph:
         return QuadGraph(self.quads.where(F.col("g") == name))
@@ -555,10 +556,12 @@ def _repeated(graph, rel: Relation, t: A.Triple) -> Relation:
     p: A.Repeat = t.p
     if getattr(graph, "graph_var", None):
         raise ValueError("unsupported: a repeated path under a variable graph")
-    a, b = A.Var("_a"), A.Var("_b")
-    edges = as_term(as_term(_with_path(graph, unit(graph.spark), A.Triple(a, p.path, b)), "_a"), "_b").df
     pack = lambda n: F.struct(*[_c(n + x).alias(y) for x, y in zip(PARTS, ("t", "k", "d", "g"), strict=True)])
-    edges = edges.select(pack("_a").alias("a"), pack("_b").alias("b"))
+    if p.path not in graph.steps:  # closures over one path share its edges
+        a, b = A.Var("_a"), A.Var("_b")
+        found = as_term(as_term(_with_path(graph, unit(graph.spark), A.Triple(a, p.path, b)), "_a"), "_b").df
+        graph.steps[p.path] = prepared(found.select(pack("_a").alias("a"), pack("_b").alias("b")))
+    edges = graph.steps[p.path]
     if isinstance(t.s, A.Var) and t.s.name in rel.vars:
         seeds = as_term(rel, t.s.name).df.where(_c(t.s.name).isNotNull()).select(pack(t.s.name).alias("a"))
     elif isinstance(t.s, A.Iri):
@@ -566,7 +569,8 @@ def _repeated(graph, rel: Relation, t: A.Triple) -> Relation:
     else:
         seeds = graph.nodes().select(F.struct(*[_c("x" + x).alias(y) for x, y in zip(PARTS, ("t", "k", "d", "g"), strict=True)]).alias("a"))
     if p.most == 1:
-        pairs = seeds.distinct().select("a", F.col("a").alias("b")).unionByName(edges.join(seeds.distinct(), "a", "left_semi")).distinct()
+        once = edges.select(F.col("_from").alias("a"), F.col("_to").alias("b"))
+        pairs = seeds.distinct().select("a", F.col("a").alias("b")).unionByName(once.join(seeds.distinct(), "a", "left_semi")).distinct()
     else:
         pairs = closure(edges, seeds, reflexive=p.least == 0)
     out = Relation(pairs, {})

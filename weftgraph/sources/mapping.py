@@ -59,6 +59,7 @@ class TableGraph:
     def __init__(self, spark: SparkSession, sf_dir: str, tables: dict[str, TableMap] | None = None):
         self.spark, self.sf_dir, self.tables = spark, sf_dir, tables or TABLES
         self._frames: dict[str, DataFrame] = {}
+        self.steps: dict = {}
 
     def frame(self, name: str) -> DataFrame:
         if name not in self._frames:
