@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +26,21 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "weftgraph"
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application, unless their path has it already."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if (root / "weftgraph").is_dir() and root not in {Path(p).resolve() for p in places if p}:
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='weftgraph-')}/weftgraph", "zip", root, "weftgraph"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the shared folder the cluster names; use a private one only where none is set."""
     if spark.conf.get("spark.checkpoint.dir", None):
@@ -50,4 +68,5 @@ def cut_table(df):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ from weftgraph.functions.vocabulary import OWL, PREFIXES
 from weftgraph.plans.sparql import unescape
 from weftgraph.sources import formats, owl, rdfxml, turtle
 from weftgraph.sources.turtle import QUAD, ParseError
-from weftgraph.session import cut
+from weftgraph.session import cut, ship
 
 READERS = {
     "ttl": turtle.read_turtle, "trig": turtle.read_trig, "n3": turtle.read_n3, "ntriples": turtle.read_nquads, "nquads": turtle.read_nquads,
@@ -129,6 +129,7 @@ def read_documents(spark: SparkSession, path: str, graph: str | None = None, use
                 columns = list(zip(*out, strict=True)) if out else [[]] * 10
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=names)
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = cut(files.mapInArrow(run, QUAD + ", severity string, message string"))
     quads = found.where("severity IS NULL").drop("severity", "message")
