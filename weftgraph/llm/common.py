@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.session import ship
+
 #: White space between words and around lines: space and the controls 9 to 13.
 WS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: A word, as a Java regular expression.
@@ -44,6 +46,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
 
 def append_columns(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     """The schema of ``df`` with ``fields`` put in; a clashing name of ``df`` gives way."""
+    ship(df.sparkSession)
     names = {f.name.lower() for f in fields}
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + fields)
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.common import WS, append_columns, slices, tidy, without
-from weftgraph.session import cut
+from weftgraph.session import cut, ship
 
 STRIP = WS.encode()
 LINES = "h1 long, h2 long, doc long, th long, pos int, n int"
@@ -47,6 +47,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    ship(docs.sparkSession)
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import ship
+
 #: Vectors in a packed block: bounds what one step of a search holds.
 BLOCK = 4096
 
@@ -15,11 +17,14 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     """vec_id, v: the vectors that can take part. A null vector or id, an empty vector
     and one with a null or non-finite component cannot. Rows that repeat an id count
     once, with the smallest of their vectors."""
+    ship(vectors.sparkSession)
     v = F.col(vector).cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+    def finite(x):
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
     ok = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
-    ok = ok.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite.isNotNull())
-    ok = ok.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    ok = ok.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
     return ok.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
