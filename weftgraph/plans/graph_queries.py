@@ -102,6 +102,11 @@ _NODES = f"""SELECT DISTINCT {_T} AS term, 'owl:Class' AS element_type, concat('
   UNION ALL SELECT '{BASE}#size_localthing', 'owl:Thing', 'Thing', 0 UNION ALL SELECT '{BASE}#size_localliteral', 'rdfs:Literal', 'Literal', 0"""
 _COUNTS = f"SELECT t AS element_type, count(*) AS n FROM (SELECT element_type AS t FROM ({_NODES}) UNION ALL SELECT edge_type FROM ({_EDGES})) GROUP BY 1"
 
+_SOLUTIONS = f"""WITH c AS (SELECT count(*) AS parts, count(DISTINCT p_type) AS types, count(DISTINCT p_brand) AS brands, count(DISTINCT (p_type, p_brand)) AS pairs FROM part)
+  SELECT '{OWL}Ontology' AS nodetype, 0 AS weight, 1::BIGINT AS n UNION ALL SELECT '{OWL}Class', 1, types + brands FROM c UNION ALL SELECT '{OWL}versionInfo', 2, 1
+  UNION ALL SELECT '{RDFS}subClassOf', 2, pairs FROM c UNION ALL SELECT '{OWL}ObjectProperty', NULL, 1 UNION ALL SELECT '{OWL}FunctionalProperty', NULL, 1 UNION ALL SELECT '{OWL}DatatypeProperty', NULL, 1
+  UNION ALL SELECT '{OWL}NamedIndividual', 2, parts + types + brands + 4 FROM c UNION ALL SELECT '{BASE}#madeAs', 2, 2 * types FROM c UNION ALL SELECT '{BASE}#size', 2, 1 UNION ALL SELECT NULL, NULL, types FROM c"""
+
 QUERIES = {
     "graph_nodes": (graph_nodes, _NODES),
     "graph_edges": (graph_edges, _EDGES),
@@ -110,7 +115,7 @@ QUERIES = {
         graph_visible,
         f"SELECT CASE WHEN element_type IN ('owl:Class','owl:Thing') THEN 'classes' WHEN element_type='rdfs:Literal' THEN 'rdf' ELSE 'properties' END AS filter_group, sum(CASE WHEN element_type='rdfs:subClassOf' THEN 0 ELSE n END)::BIGINT AS shown, sum(n)::BIGINT AS total FROM ({_COUNTS}) GROUP BY 1",
     ),
-    "graph_solutions": (graph_solutions, None),
+    "graph_solutions": (graph_solutions, _SOLUTIONS),
     "graph_search": (graph_search, "SELECT 'owl:Class' AS element_type, string_agg(DISTINCT concat('Type ', p_type), ',' ORDER BY concat('Type ', p_type)) AS labels FROM part"),
     "graph_lines_round_trip": (
         graph_lines_round_trip,
