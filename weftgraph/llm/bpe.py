@@ -33,10 +33,10 @@ from weftgraph.llm.common import append_columns, slices, tidy
 #: Fixed value: the published pre-tokenization pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pieces whose encoding a worker remembers; beyond it the memory is emptied and filled anew.
-MEMORY = 150_000
+#: Pieces whose encoding a worker remembers, in each of two generations.
+MEMORY = 400_000
 #: Pairs of tokens whose fit it remembers.
-PAIRS = 200_000
+PAIRS = 400_000
 
 NEVER = 1 << 60
 
@@ -122,9 +122,9 @@ class Vocabulary:
         return fits
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        n = len(piece)
+        n, text = len(piece), piece.decode("latin-1")
         longest = [0] * n
-        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
+        for end, (token, size) in self.automaton.iter(text):
             longest[end + 1 - size] = token  # later ends are longer
         if self.length[longest[0]] == n:
             return [longest[0]]
@@ -173,16 +173,23 @@ class Vocabulary:
 
 
 class _Known(dict):
-    """Encodings of pieces met before, made when first asked for."""
+    """Encodings of pieces met before, made when first asked for.
+
+    When it is full it becomes the old generation, and what is still asked for moves over from there:
+    so at most twice ``MEMORY`` pieces are held, and frequent ones stay.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(vocabulary.bytes_of))]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.vocabulary.encode_piece(piece.encode("utf-8"))
-        out = np.array(ids, dtype="<u4").tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            out = b"".join(map(self.packed.__getitem__, self.vocabulary.encode_piece(piece.encode("utf-8"))))
         if len(self) >= MEMORY:
+            self.old = dict(self)
             self.clear()
         if len(piece) < 64:
             self[piece] = out
