@@ -1,0 +1,78 @@
+"""Near copies by Jaccard similarity, and the pipeline's stage that drops them."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from weftgraph.llm import line_dedup, minhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({b" ".join(words)} if words else set())
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def classes(texts):
+    """Smallest index reachable over links of similar texts, all pairs compared."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def near_copies(rng, words, n, edits):
+    for _ in range(n):
+        copy = list(words)
+        for _ in range(rng.randint(*edits)):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**9)}"
+        yield " ".join(copy)
+
+
+def texts():
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 120, 400]))] for _ in range(40)]
+    out = [" ".join(w) for w in base]
+    for w in base[:25]:
+        out += near_copies(rng, w, 3, (1, max(1, len(w) // 25)))
+    out += near_copies(rng, base[30], 60, (1, 4)) if len(base[30]) > 100 else near_copies(rng, base[30] * 5, 60, (1, 4))  # more than a key pairs up
+    return out + [None, "", " \n", "one", "ONE", "a b c d", "a  b c d", out[3], out[3].upper()]
+
+
+def test_near_copies_against_all_pairs(spark):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts())]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    want = sorted(set(classes(texts())))
+    assert len(want) < len(rows) - 100  # near copies, not exact ones alone
+    assert sorted(r["doc_id"] for r in kept) == want
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET", 1)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in minhash.near_duplicates(line_dedup.keyed(df)).collect()}
+    want = classes(texts())
+    pairs = {(got[i], want[i]) for i in range(len(want))}
+    assert len(pairs) == len(set(want)) == len(set(got.values()))
+
+
+def test_forest_ties_what_pairs_tie():
+    sets = [np.arange(i, i + 60) for i in range(0, 200, 4)] + [np.arange(1000, 1005)]
+    links = minhash.forest(sets)
+    assert len(links) == len(sets) - 2  # one chain, and one apart
+    assert all(minhash.near(sets[a], sets[b]) for a, b in links)

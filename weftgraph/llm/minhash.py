@@ -1,0 +1,186 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, verified exactly.
+
+Two texts are linked when the sets of their shingles (five words; a shorter text is
+one shingle) have a similarity of ``LEAST`` or more. Candidates share one of ``BANDS``
+keys, each made of ``ROWS`` min-hashes: a pair at just 0.8 shares none with a chance of
+(1 - 0.8^4)^20, some 3 in 100,000, and less above. Each candidate pair's sets are then
+compared whole, so no pair under the bound is linked.
+
+Texts with one set of shingles are one member. A key of up to ``BUCKET`` members gives
+all its pairs. The members of a larger key go, with their sets, to one group for each
+of their keys, and are searched from near copy to near copy: a member once reached isn't
+compared again as a target, so a group of near copies costs its size and gives fewer
+links than it has members, yet what its links tie together stays tied together.
+
+Defined results: a text without words (null and empty ones too) has the empty set, and
+these are copies of each other; shingles are taken as their 64-bit hashes, and so are sets.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftgraph.llm.common import append_columns, slices, tidy, words_of
+from weftgraph.llm.components import components
+from weftgraph.llm.simhash import LINKS, _groups, shingle_hashes
+from weftgraph.session import cut
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 20, 4
+#: Members that a key may tie pair by pair; those of keys with more are searched as a group.
+BUCKET = 16
+#: Shingles that are permuted at once.
+CHUNK = 1 << 12
+
+_draw = np.random.default_rng(42)
+_TIMES = _draw.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_PLUS = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MIX = _draw.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(words_of(text), SHINGLE), np.uint64))
+
+
+def name_of(found: np.ndarray) -> int:
+    """The name of a set, signed."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band, signed; the empty set has none."""
+    if not len(found):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(found), CHUNK):
+        part = found[None, i : i + CHUNK] * _TIMES[:, None]
+        part += _PLUS[:, None]
+        part ^= part >> np.uint64(32)
+        np.minimum(least, part.min(axis=1), out=least)
+    keys = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64)
+    return (keys * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= LEAST * (len(a) + len(b) - both)
+
+
+def _with_sets(docs: DataFrame, of, **fields: T.DataType) -> DataFrame:
+    """``docs`` without its text, with the columns that ``of`` makes of the text's shingle set."""
+    made = [T.StructField(name, kind) for name, kind in fields.items()]
+    out = append_columns(docs.drop("text"), made)
+    kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.list_(pa.int64()) for f in made]
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = [of(shingle_set(x)) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+                arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in out.fields[: -len(made)]]
+                arrays += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=out.fieldNames())
+
+    return docs.mapInArrow(tidy(run), out)
+
+
+def _pairs(batches):
+    """Candidate pairs of each key; a row (u, u) marks a member of a key that has too many."""
+    for key, member, starts in _groups(batches, BUCKET):
+        if key is None:
+            left = right = np.unique(member)
+        else:
+            sizes = np.diff(np.r_[starts, len(key)])
+            last = np.repeat(starts + sizes, sizes)
+            rows, pairs = np.arange(len(key)), []
+            for step in range(1, int(sizes.max())):
+                rows = rows[rows + step < last[rows]]
+                pairs.append(np.stack([member[rows + step], member[rows]], axis=1))
+            if not pairs:
+                continue
+            left, right = np.unique(np.concatenate(pairs), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["u", "v"])
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that tie together all that near pairs do: from each member reached to those not reached yet."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)]
+    own = [flat[starts[i] : starts[i + 1]] for i in range(len(sets))]
+    left, body = np.arange(len(sets)), flat
+    marked = np.zeros(len(kinds), bool)
+    links, queue = [], []
+    while len(left):
+        if queue:
+            x = queue.pop()
+        else:
+            x = int(left[0])
+            body, left = body[sizes[x] :], left[1:]
+        if not len(left):
+            break
+        marked[own[x]] = True
+        both = np.add.reduceat(marked[body], np.r_[0, np.cumsum(sizes[left])[:-1]], dtype=np.int64)
+        marked[own[x]] = False
+        ok = both >= LEAST * (sizes[left] + sizes[x] - both)
+        if ok.any():
+            met = left[ok].tolist()
+            links += [(x, y) for y in met]
+            queue += met
+            body = body[np.repeat(~ok, sizes[left])]
+            left = left[~ok]
+    return links
+
+
+def _forests(batches):
+    def links(names, sets):
+        found = np.array(forest(sets), np.int64).reshape(-1, 2)
+        names = np.array(names, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[found[:, 0]]), pa.array(names[found[:, 1]])], names=["u", "v"])
+
+    key, names, sets = None, [], []
+    for batch in batches:
+        for k, name, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if k != key and names:
+                yield links(names, sets)
+                names, sets = [], []
+            key = k
+            names.append(name)
+            sets.append(hashes.values.to_numpy(zero_copy_only=False))
+    if names:
+        yield links(names, sets)
+
+
+def _verified(batches):
+    for batch in batches:
+        u, v, a, b = (batch.column(i) for i in range(4))
+        ok = [near(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(a, b, strict=True)]
+        keep = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` without its text, with root: the least set of those it is tied to. A row is named by _doc and _th (``line_dedup.keyed``)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    longs = T.ArrayType(T.LongType())
+    marked = cut(_with_sets(docs, lambda s: (name_of(s), band_keys(s)), _set=T.LongType(), _keys=longs))
+    members = marked.groupBy("_set").agg(F.first("_keys").alias("_keys"), F.min(F.struct("_doc", "_th")).alias("one"))
+    keyed = members.select(F.explode("_keys").alias("key"), F.col("_set").alias("member"))
+    found = cut(keyed.repartition(n, "key").sortWithinPartitions("key", "member").mapInArrow(tidy(_pairs), LINKS).distinct())
+    pairs, crowded = found.where("u <> v"), found.where("u = v").select(F.col("u").alias("_set"))
+
+    # the sets of candidates alone, each from one of its texts
+    wanted = found.select(F.explode(F.array("u", "v")).alias("_set")).distinct()
+    texts = docs.select("_doc", "_th", "text").join(members.join(wanted, "_set").select("_set", "one.*"), ["_doc", "_th"])
+    sets = cut(_with_sets(texts.select("_set", "text").dropDuplicates(["_set"]), lambda s: (s.view(np.int64),), hashes=longs))
+
+    u, v = (sets.select(F.col("_set").alias(k), F.col("hashes").alias(f"of_{k}")) for k in "uv")
+    links = pairs.join(u, "u").join(v, "v").select("u", "v", "of_u", "of_v").mapInArrow(tidy(_verified), LINKS)
+    groups = crowded.join(members, "_set").select("_set", F.explode("_keys").alias("key")).join(sets, "_set").select("key", "_set", "hashes")
+    links = links.unionByName(groups.repartition(n, "key").sortWithinPartitions("key", "_set").mapInArrow(tidy(_forests), LINKS))
+    roots = components(links).withColumnRenamed("node", "_set")
+    return marked.drop("_keys").join(roots, "_set", "left").withColumn("root", F.coalesce("root", "_set")).drop("_set")
