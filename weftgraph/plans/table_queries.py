@@ -215,7 +215,16 @@ def external_test(spark, sf_dir):
 
 
 def symmetric_edge_dedup(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_suppkey").distinct()
+    return _symmetric_edges(table(spark, sf_dir, "lineitem").where("l_orderkey < 500"))
+
+
+def symmetric_edge_dedup_whole(spark, sf_dir):
+    """Like symmetric_edge_dedup, over all orders: an order has few suppliers, so the join grows with the table."""
+    return _symmetric_edges(table(spark, sf_dir, "lineitem"))
+
+
+def _symmetric_edges(lines):
+    items = lines.select("l_orderkey", "l_suppkey").distinct()
     other = items.select("l_orderkey", F.col("l_suppkey").alias("o"))
     pairs = items.join(other, "l_orderkey").where("l_suppkey <> o")
     return pairs.select(F.least("l_suppkey", "o").alias("x"), F.greatest("l_suppkey", "o").alias("y")).distinct()
@@ -261,6 +270,10 @@ OPERATORS = {
         symmetric_edge_dedup,
         "SELECT DISTINCT least(a.l_suppkey,b.l_suppkey) AS x, greatest(a.l_suppkey,b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_suppkey<>b.l_suppkey WHERE a.l_orderkey<500",
     ),
+    "symmetric_edge_dedup_whole": (
+        symmetric_edge_dedup_whole,
+        "SELECT DISTINCT least(a.l_suppkey,b.l_suppkey) AS x, greatest(a.l_suppkey,b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_suppkey<>b.l_suppkey",
+    ),
     "equivalence_merge": (equivalence_merge, "SELECT DISTINCT (c_nationkey//2)*2 AS domain, c_mktsegment AS range FROM customer"),
     "type_priority": (
         type_priority,
