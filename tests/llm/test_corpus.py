@@ -58,6 +58,16 @@ def test_lm_without_training_and_empty(spark):
     assert lm.score(df.where("doc_id > 5"), F.lit(True)).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark):
+    words = [[b"d%dw%d" % (i, j) for j in range(4)] for i in range(60)]
+    head = {w: 3 for of in words for w in of}
+    codes = lm.Codes(head, 60, [(s, c, 0, c // 3) for s, c in Counter(w[-2:] for w in head for _ in range(3)).items()])
+    df = spark.createDataFrame([(i, b" ".join(of * 3).decode()) for i, of in enumerate(words)], "doc_id long, text string")
+    before, after = lm.initial(codes), lm.learn(df, codes, 100_000_000)  # the tokens of a large corpus
+    moved = [i for i, of in enumerate(words) if all((before["x"][codes.encode([w])[0][0] + 1] != after["x"][codes.encode([w])[0][0] + 1]).any() for w in of)]
+    assert moved == list(range(60))
+
+
 def small_codes():
     words = [b"w%d" % i for i in range(60)]
     head = {w: 200 - 3 * i for i, w in enumerate(words)}

@@ -9,12 +9,12 @@ the whole corpus, after a part for words never met, as large as the class's shar
 words met once (Good and Turing). So every word has a probability, and only the
 shortlist, the class totals and the weights (all of fixed size) go to the workers.
 
-Learning. Counts cover every training document. The weights are learned by truncated
-backpropagation through windows of ``WINDOW`` tokens, with the state carried from one
-window to the next within a document. The documents they learn from are a share of all,
-by a hash of the id (``SHARE``, or more where that gives fewer than ``LEAST`` tokens), so
-they grow with the corpus. Replicas learn from about ``PER_REPLICA`` tokens each, in
-rounds; after each round their weights are averaged.
+Learning. Counts cover every training document, and so does learning: the weights are
+learned by truncated backpropagation through windows of ``WINDOW`` tokens, with the state
+carried from one window to the next within a document. A hash deals the documents to
+rounds and replicas, each document to one; after each round the replicas' weights are
+averaged. The number of replicas is the square root of that of spans of ``PER_REPLICA``
+tokens, so both it and the gradient steps in sequence grow with the corpus.
 
 Scoring. Documents run side by side in lanes, the state carried through windows to the
 document's end, so a score is the whole document's log-likelihood. Words beyond the
@@ -44,7 +44,7 @@ from weftgraph.session import cut_table, ship
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
 HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 64, 16, 512
-SHARE, LEAST, PER_REPLICA, ROUNDS, RATE = 1 / 24, 2_000_000, 500_000, 4, 0.01
+LEAST, PER_REPLICA, ROUNDS, RATE = 2_000_000, 500_000, 4, 0.01
 #: A corpus of fewer than LEAST tokens is gone over as often as makes up for it, but no more often than so.
 PASSES = 6
 #: Tokens that a worker scores together, and words that it counts before it passes the counts on.
@@ -347,12 +347,10 @@ def codes_of(counts: DataFrame, ends: int) -> tuple[Codes, int, int]:
 def learn(training: DataFrame, codes: Codes, tokens: int, text: str = "text") -> dict[str, np.ndarray]:
     """The weights, learned in rounds by replicas whose weights are averaged after each."""
     spark = training.sparkSession
-    share = min(1.0, max(SHARE, LEAST / max(tokens, 1)))
-    replicas = max(1, round(tokens * share / PER_REPLICA))
+    replicas = max(1, round((tokens / PER_REPLICA) ** 0.5))
     passes = int(min(PASSES, max(1, LEAST // max(tokens, 1))))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), F.col(text)), 1)
-    sample = training.where(F.pmod(place, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = cut_table(sample.select(text, place.alias("place"), F.pmod(F.shiftright(place, 44), F.lit(ROUNDS)).cast("int").alias("round")))
+    dealt = training.select(text, place.alias("place"), F.pmod(F.shiftright(place, 44), F.lit(ROUNDS)).cast("int").alias("round"))
     p = initial(codes)
     shared = spark.sparkContext.broadcast(pickle.dumps(codes, 5))
     for r in range(ROUNDS):
@@ -381,7 +379,7 @@ def learn(training: DataFrame, codes: Codes, tokens: int, text: str = "text") ->
             if learner:
                 yield _packed(learner.p, 1)
 
-        learned = sample.where(F.col("round") == r).select(text, "place").repartition(replicas, "place").coalesce(replicas).mapInArrow(tidy(train), "n int, body binary")
+        learned = dealt.where(F.col("round") == r).select(text, "place").repartition(replicas, "place").coalesce(replicas).mapInArrow(tidy(train), "n int, body binary")
         # as many tasks as replicas, however many partitions a shuffle is told to have: each returns a set of weights
         groups = max(1, int(replicas**0.5))
         if groups > 1:  # average in two steps: the driver gets the root of the number of replicas
