@@ -12,9 +12,10 @@ shortlist, the class totals and the weights (all of fixed size) go to the worker
 Learning. Counts cover every training document, and so does learning: the weights are
 learned by truncated backpropagation through windows of ``WINDOW`` tokens, with the state
 carried from one window to the next within a document. A hash deals the documents to
-rounds and replicas, each document to one; after each round the replicas' weights are
-averaged. The number of replicas is the square root of that of spans of ``PER_REPLICA``
-tokens, so both it and the gradient steps in sequence grow with the corpus.
+rounds and replicas, each document to one and once, whatever the corpus's size; after each
+round the replicas' weights are averaged in a tree of fixed fan-in. The number of replicas
+is the square root of that of spans of ``PER_REPLICA`` tokens, so both it and the gradient
+steps in sequence grow with the corpus.
 
 Scoring. Documents run side by side in lanes, the state carried through windows to the
 document's end, so a score is the whole document's log-likelihood. Words beyond the
@@ -27,6 +28,7 @@ training documents all counts are zero. Only doc_id and text are read; other col
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import pickle
 from collections import Counter
@@ -44,9 +46,9 @@ from weftgraph.session import cut_table, ship
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
 HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 64, 16, 512
-LEAST, PER_REPLICA, ROUNDS, RATE = 2_000_000, 500_000, 4, 0.01
-#: A corpus of fewer than LEAST tokens is gone over as often as makes up for it, but no more often than so.
-PASSES = 6
+PER_REPLICA, ROUNDS, RATE = 500_000, 4, 0.01
+#: Sets of weights that one task, or the driver, adds up at a time.
+FAN_IN = 32
 #: Tokens that a worker scores together, and words that it counts before it passes the counts on.
 TOGETHER, COUNTED = 4_000_000, 400_000
 LOG10 = np.log(10.0)
@@ -94,8 +96,8 @@ class Codes:
         self.counts = counts
         self.n_in = 2 + len(words) + (self.n_classes - n)
         self.n_short_classes = n
-        order = np.argsort(self.class_of, kind="stable")
-        self.members = np.split(order, np.searchsorted(self.class_of[order], np.arange(1, n)))
+        edges = np.searchsorted(self.class_of, np.arange(n + 1)).tolist()  # classes follow the shortlist's order
+        self.members = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
         # of each word of the head: its code, log10 of its count plus one, and log10 of its share of its class
         self.index = {w: i for i, w in enumerate(ranked)}
@@ -179,50 +181,70 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def states(p: dict, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
-    """The states before each target, and the last; with ``keep``, what backpropagation needs."""
+    """The states before each target, and the last; with ``keep``, what backpropagation needs: of each step the state before, gates, and both parts of the candidate."""
     n = HIDDEN
-    out = np.empty((*inputs.shape, n), np.float32)
-    saved = []
     x = p["x"][inputs]
+    out = np.empty((*inputs.shape, n), x.dtype)
+    saved = [np.empty((*inputs.shape, k), x.dtype) for k in (n, 2 * n, n, n)] if keep else None
     begins = inputs == 0
     any_begin = begins.any(axis=1)
     for t in range(len(inputs)):
         if any_begin[t]:
-            h = np.where(begins[t][:, None], np.float32(0), h)
+            h = np.where(begins[t][:, None], x.dtype.type(0), h)
         hu = h @ p["u"]
-        gates = _sigmoid(x[t, :, : 2 * n] + hu[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        un = hu[:, 2 * n :] + p["b"]
-        c = np.tanh(x[t, :, 2 * n :] + r * un)
+        hu[:, 2 * n :] += p["b"]
+        gates = hu[:, : 2 * n] + x[t, :, : 2 * n]
+        _sigmoid(gates)
+        z, un = gates[:, :n], hu[:, 2 * n :]
+        c = gates[:, n:] * un
+        c += x[t, :, 2 * n :]
+        np.tanh(c, out=c)
         if keep:
-            saved.append((h, gates, un, c))
-        h = c + z * (h - c)
+            for into, value in zip(saved, (h, gates, un, c), strict=True):
+                into[t] = value
+        h = h - c
+        h *= z
+        h += c
         out[t] = h
     return out, h, saved
 
 
-def _softmax_log(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, made in place of ``logits``, and the log of those of the columns ``told``."""
     logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    log = logits[np.arange(len(told)), told]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    logits *= (1 / total)[:, None]
+    return logits, log - np.log(total)
+
+
+def _class_of(codes: Codes, target: np.ndarray) -> np.ndarray:
+    return np.where(target >= 0, codes.class_of[np.maximum(target, 0)], -target)
+
+
+def _by_class(codes: Codes, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+    """An order of the targets by class; and, for each class of two words or more that is met, its words and its place in that order."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    bounds = np.searchsorted(cls[order], np.arange(codes.n_short_classes + 1)).tolist()
+    return order, [(m, slice(a, b)) for m, a, b in zip(codes.members, bounds, bounds[1:], strict=False) if b > a and m.stop - m.start > 1]
 
 
 def token_logs(p: dict, codes: Codes, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of P(class) for words beyond the shortlist, of P(word) for the shortlist."""
-    cls = np.where(target >= 0, codes.class_of[np.maximum(target, 0)], -target)
+    cls = _class_of(codes, target)
     logits = h @ p["wc"]
     logits += p["bc"]
-    logits -= logits.max(axis=1, keepdims=True)
-    out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits, out=logits).sum(axis=1))
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(codes.n_short_classes + 1))
-    for k, members in enumerate(codes.members):
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows) and len(members) > 1:
-            inner = h[rows] @ p["wo"][members].T
-            inner += p["bo"][members]
-            inner -= inner.max(axis=1, keepdims=True)
-            place = np.searchsorted(members, target[rows])
-            out[rows] += inner[np.arange(len(rows)), place] - np.log(np.exp(inner, out=inner).sum(axis=1))
+    out = _softmax(logits, cls)[1]
+    order, met = _by_class(codes, cls)
+    if met:
+        order = order[: met[-1][1].stop]
+        sorted_h, told, logs = h[order], target[order], np.zeros(len(order), out.dtype)
+        for words, rows in met:
+            inner = sorted_h[rows] @ p["wo"][words].T
+            inner += p["bo"][words]
+            logs[rows] = _softmax(inner, told[rows] - words.start)[1]
+        out[order] += logs
     return out
 
 
@@ -246,51 +268,61 @@ class Learner:
     def window(self, inputs, targets, real, h, rate):
         p, codes, n = self.p, self.codes, HIDDEN
         out, last, saved = states(p, inputs, h, keep=True)
-        flat, target, weight = out.reshape(-1, n), targets.reshape(-1), real.reshape(-1).astype(np.float32)
-        count = max(weight.sum(), 1)
-        cls = np.where(target >= 0, codes.class_of[np.maximum(target, 0)], -target)
-        log_p = _softmax_log(flat @ p["wc"] + p["bc"])
-        loss = -float((log_p[np.arange(len(cls)), cls] * weight).sum())
-        d = np.exp(log_p)
+        flat, target, weight = out.reshape(-1, n), targets.reshape(-1), real.reshape(-1).astype(out.dtype)
+        weight /= max(weight.sum(), 1)
+        cls = _class_of(codes, target)
+        logits = flat @ p["wc"]
+        logits += p["bc"]
+        d, log = _softmax(logits, cls)
+        loss = -float(log @ weight)
         d[np.arange(len(cls)), cls] -= 1
-        d *= weight[:, None] / count
+        d *= weight[:, None]
         g = {"wc": flat.T @ d, "bc": d.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
         dh = d @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(codes.n_short_classes + 1))
-        for k, members in enumerate(codes.members):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if not len(rows) or len(members) < 2:
-                continue
-            inner = _softmax_log(flat[rows] @ p["wo"][members].T + p["bo"][members])
-            place = np.searchsorted(members, target[rows])
-            loss -= float((inner[np.arange(len(rows)), place] * weight[rows]).sum())
-            e = np.exp(inner)
-            e[np.arange(len(rows)), place] -= 1
-            e *= weight[rows][:, None] / count
-            g["wo"][members] += e.T @ flat[rows]
-            g["bo"][members] += e.sum(axis=0)
-            dh[rows] += e @ p["wo"][members]
+        order, met = _by_class(codes, cls)
+        if met:
+            order = order[: met[-1][1].stop]
+            sorted_h, told, by_row, inner_dh = flat[order], target[order], weight[order], np.zeros((len(order), n), out.dtype)
+            for words, rows in met:
+                inner = sorted_h[rows] @ p["wo"][words].T
+                inner += p["bo"][words]
+                e, log = _softmax(inner, told[rows] - words.start)
+                loss -= float(log @ by_row[rows])
+                e[np.arange(len(e)), told[rows] - words.start] -= 1
+                e *= by_row[rows][:, None]
+                g["wo"][words] = e.T @ sorted_h[rows]
+                g["bo"][words] = e.sum(axis=0)
+                np.matmul(e, p["wo"][words], out=inner_dh[rows])
+            dh[order] += inner_dh
+        loss *= max(float(real.sum()), 1)
         dh = dh.reshape(out.shape)
-        dx = np.empty((*inputs.shape, 3 * n), np.float32)
-        du, db, back = np.zeros_like(p["u"]), np.zeros_like(p["b"]), np.zeros_like(h)
+        # what of each step's gradient doesn't hang on the steps after it, for all steps at once
+        before, gates, un, c = saved
+        z, r = gates[..., :n], gates[..., n:]
+        of_c = (1 - z) * (1 - c * c)
+        of_z = (before - c) * z * (1 - z)
+        of_r = un * r * (1 - r)
+        dx, dhu, ut = np.empty((*inputs.shape, 3 * n), out.dtype), np.empty((*inputs.shape, 3 * n), out.dtype), np.ascontiguousarray(p["u"].T)
+        begins = (inputs == 0)[..., None]
+        any_begin = begins.any(axis=(1, 2))
+        back = np.zeros(dh.shape[1:], out.dtype)
         for t in range(len(inputs) - 1, -1, -1):
-            before, gates, un, c = saved[t]
-            z, r = gates[:, :n], gates[:, n:]
-            total = dh[t] + back
-            dc = total * (1 - z) * (1 - c * c)
-            dz = total * (before - c) * z * (1 - z)
-            dun = dc * r
-            dr = dc * un * r * (1 - r)
-            dhu = np.concatenate([dz, dr, dun], axis=1)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dc
-            du += before.T @ dhu
-            db += dun.sum(axis=0)
-            back = total * z + dhu @ p["u"].T
-            back[inputs[t] == 0] = 0
-        rows, where = np.unique(inputs.reshape(-1), return_inverse=True)
-        gx = np.zeros((len(rows), 3 * n), np.float32)
-        np.add.at(gx, where.reshape(-1), dx.reshape(-1, 3 * n))
+            back += dh[t]
+            dc = np.multiply(back, of_c[t], out=dx[t, :, 2 * n :])
+            np.multiply(back, of_z[t], out=dhu[t, :, :n])
+            np.multiply(dc, of_r[t], out=dhu[t, :, n : 2 * n])
+            np.multiply(dc, r[t], out=dhu[t, :, 2 * n :])
+            back *= z[t]
+            back += dhu[t] @ ut
+            if any_begin[t]:
+                back *= ~begins[t]
+        dx[..., : 2 * n] = dhu[..., : 2 * n]
+        du = before.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
+        db = dhu[..., 2 * n :].sum(axis=(0, 1))
+        read = inputs.reshape(-1)
+        order = np.argsort(read, kind="stable")
+        starts = np.flatnonzero(np.r_[True, read[order][1:] != read[order][:-1]])
+        rows, gx = read[order][starts], np.add.reduceat(dx.reshape(-1, 3 * n)[order], starts, axis=0)
         g |= {"u": du, "b": db}
         self.steps += 1
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()) + float((gx * gx).sum()))
@@ -298,10 +330,19 @@ class Learner:
         step = rate * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for k, x in [*g.items(), ("x", gx)]:
             at = rows if k == "x" else slice(None)
-            x = x * scale
-            self.m[k][at] = 0.9 * self.m[k][at] + 0.1 * x
-            self.v[k][at] = 0.999 * self.v[k][at] + 0.001 * x * x
-            p[k][at] -= step * self.m[k][at] / (np.sqrt(self.v[k][at]) + 1e-6)
+            x *= x.dtype.type(scale)
+            m, v = self.m[k][at], self.v[k][at]  # views, or copies of the rows of "x"
+            m += 0.1 * (x - m)
+            x *= x
+            x -= v
+            v += 0.001 * x
+            if k == "x":
+                self.m[k][at], self.v[k][at] = m, v
+            change = np.sqrt(v, out=x)
+            change += 1e-6
+            np.divide(m, change, out=change)
+            change *= step
+            p[k][at] -= change
         return last, loss
 
 
@@ -348,7 +389,6 @@ def learn(training: DataFrame, codes: Codes, tokens: int, text: str = "text") ->
     """The weights, learned in rounds by replicas whose weights are averaged after each."""
     spark = training.sparkSession
     replicas = max(1, round((tokens / PER_REPLICA) ** 0.5))
-    passes = int(min(PASSES, max(1, LEAST // max(tokens, 1))))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), F.col(text)), 1)
     dealt = training.select(text, place.alias("place"), F.pmod(F.shiftright(place, 44), F.lit(ROUNDS)).cast("int").alias("round"))
     p = initial(codes)
@@ -363,8 +403,7 @@ def learn(training: DataFrame, codes: Codes, tokens: int, text: str = "text") ->
             def go():
                 nonlocal learner, docs
                 learner = learner or Learner(pickle.loads(sent.value), c)
-                for _ in range(passes):
-                    learner.learn(docs, rate)
+                learner.learn(docs, rate)
                 docs = []
 
             for batch in batches:
@@ -381,9 +420,10 @@ def learn(training: DataFrame, codes: Codes, tokens: int, text: str = "text") ->
 
         learned = dealt.where(F.col("round") == r).select(text, "place").repartition(replicas, "place").coalesce(replicas).mapInArrow(tidy(train), "n int, body binary")
         # as many tasks as replicas, however many partitions a shuffle is told to have: each returns a set of weights
-        groups = max(1, int(replicas**0.5))
-        if groups > 1:  # average in two steps: the driver gets the root of the number of replicas
-            learned = learned.repartition(groups).mapInArrow(_summed, "n int, body binary")
+        sets = replicas
+        while sets > FAN_IN:  # averaged in a tree of fixed fan-in, so no task and not the driver holds more
+            sets = -(-sets // FAN_IN)
+            learned = learned.repartition(sets).mapInArrow(_summed, "n int, body binary")
         sums = [(x["n"], pickle.loads(x["body"])) for x in learned.collect()]
         if sums:
             total = sum(n for n, _ in sums)
@@ -449,7 +489,8 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     n_all, n_kinds = words + ends, distinct + (ends > 0)
     per_token = float(np.log10(n_all + n_kinds + 1))
     weights = learn(lessons, codes, n_all, text)
-    packed = spark.sparkContext.broadcast((str(id(codes)) + str(n_all), pickle.dumps(codes, 5), pickle.dumps(weights, 5)))
+    model = pickle.dumps(codes, 5), pickle.dumps(weights, 5)
+    packed = spark.sparkContext.broadcast((hashlib.sha256(b"".join(model)).hexdigest(), *model))
     fields = [("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_base", T.DoubleType()), ("head_score", T.DoubleType()), ("tail", TAIL)]
     source = docs.select(*kept, (~F.coalesce(training, F.lit(False))).alias("held_out"), text)
     out = T.StructType([*source.drop(text).schema.fields, *[T.StructField(n, t) for n, t in fields]])
