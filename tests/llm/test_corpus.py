@@ -246,6 +246,22 @@ def test_sharding_narrows_large_bins(spark, monkeypatch):
     assert len(size) == 7 and max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 7
 
 
+@pytest.mark.parametrize("rows", [[(7, "w " * 50)] * 2400, [(None, "")] * 1200 + [(i, "t" * (i % 40)) for i in range(1200)]], ids=["equal", "nulls"])
+def test_sharding_divides_equal_rows(spark, monkeypatch, rows):
+    monkeypatch.setattr(sharding, "FEW", 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.with_slots(sharding.kd_shards(df)).collect()
+    size, slots, largest = defaultdict(int), defaultdict(list), max(r["size"] for r in got)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and set(size) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # a cut lies within half a row and half the slack of its goal on each of five levels
+    assert max(size.values()) - min(size.values()) <= 2 * largest + 0.02 * sum(size.values()) / 24
+    if len(set(size.values())) > 1 and len(set(rows)) == 1:
+        assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 # ---- urls
 def test_rules(spark):
     urls = ["http://a.example.net/en/1", "HTTPS://B.EXAMPLE.NET/fr/", "x://net/", "http://net", "http://notnet/", "http://example.com/de/x?y#z", "http://example.com/de", "http://q.org/fr/", "nothing", None, "http://h/p?a://b/c", "http://u.net?x/"]

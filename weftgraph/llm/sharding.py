@@ -9,15 +9,16 @@ The median is found without sorting a node: bytes are summed per bin of the
 node's range, the bin that holds the median is cut into bins again until it has
 few rows, and only these are ordered. All nodes of a level are split by the same
 jobs; the driver sees one row per node and round. Documents with equal
-coordinates are ordered by their text's checksum and a hash of their id, so
-copies of a text lie side by side. A cut moves to the edge of such a group where
-that costs less than ``slack`` of a shard's bytes; a larger group is divided, for
-no group may unbalance the shards.
+coordinates are ordered by their text's checksum, a hash of their id and a number
+of their own, so copies of a text lie side by side and even equal rows can be told
+apart. A cut moves to the edge of a group of copies where that costs less than
+``slack`` of a shard's bytes; a larger group is divided, for no group may unbalance
+the shards.
 
 Defined results: a null text has 8 bytes and checksum 0, like the empty one; an
-empty table gives no rows; repeated rows are separate rows of one shard, each with
-a slot; with fewer documents than shards some shards are empty. Only doc_id and
-text are read, so other columns don't matter.
+empty table gives no rows; repeated rows are separate rows, each with a slot, and
+may go to different shards; with fewer documents than shards some shards are empty.
+Only doc_id and text are read, so other columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftgraph.session import cut
+from weftgraph.session import cut, numbered
 
 BINS = 1024
 #: A bin with at most so many rows is ordered exactly.
 FEW = 10_000
-#: Slots are counted in so many parts of a shard.
-PARTS = 1024
+#: What orders rows of equal coordinates; ``row`` differs for all.
+TIES = ("text_crc32", "tie", "row")
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -47,7 +48,7 @@ class _Node:
     def __init__(self, first: int, shards: int, left: int, row, dim: str):
         self.first, self.shards, self.left = first, shards, left
         self.goal = row["bytes"] * left / shards
-        self.digits = [dim, "text_crc32", "tie"]
+        self.digits = [dim, *TIES]
         self.at, self.fixed, self.below = 0, [], 0
         self.lo, self.hi = row[f"min_{dim}"], row[f"max_{dim}"]
         self.rows, self.group = row["n"], row["bytes"]
@@ -109,8 +110,8 @@ def _narrow(placed: DataFrame, nodes: list[_Node], slack: float) -> None:
             x.lo, x.hi, x.rows, x.group = r["lo"], r["hi"], r["n"], r["bytes"]
             if x.lo < x.hi:
                 continue
-            if x.at == 2 or (x.at == 1 and x.group <= slack):
-                x.rows = 0  # one group, to go to the nearer side as a whole
+            if x.at == len(TIES) or (x.at == 1 and x.group <= slack):
+                x.rows = 0  # one row or one group, to go to the nearer side as a whole
             else:
                 x.fixed.append(x.lo)
                 x.at += 1
@@ -124,7 +125,7 @@ def _cut_points(placed: DataFrame, nodes: list[_Node], slack: float) -> Column:
     whole = [x for x in nodes if not x.rows]
     left = [x.under() for x in nodes] + [x.inside() for x in whole if x.below + x.group / 2 <= x.goal]
     if by_order:
-        coords = F.struct(_cases(by_order, lambda x: F.col(x.digits[0])).alias("c"), "text_crc32", "tie", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+        coords = F.struct(_cases(by_order, lambda x: F.col(x.digits[0])).alias("c"), *TIES)
         rows = placed.where(_any([x.inside() for x in by_order])).select("node", "size", coords.alias("o"))
         ordered = W.partitionBy("node").orderBy("o").rowsBetween(W.unboundedPreceding, 0)
         group = W.partitionBy("node", "o.c", "o.text_crc32")
@@ -140,8 +141,8 @@ def _cut_points(placed: DataFrame, nodes: list[_Node], slack: float) -> Column:
         last = {r["node"]: r for r in ends.collect()}  # one row for each node at most
         for x in by_order:
             if r := last.get(x.first):
-                here = F.struct(F.col(x.digits[0]).alias("c"), "text_crc32", "tie")
-                left.append(x.inside() & (here <= F.struct(F.lit(r["c"]).cast("long").alias("c"), F.lit(r["text_crc32"]).cast("long").alias("text_crc32"), F.lit(r["tie"]).cast("long").alias("tie"))))
+                here = F.struct(F.col(x.digits[0]).alias("c"), *TIES)
+                left.append(x.inside() & (here <= F.struct(*[F.lit(r[k]).cast("long").alias(k) for k in ("c", *TIES)])))
     return _any(left)
 
 
@@ -160,6 +161,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, dims: dict[str, Column] | None
             size.alias("size"),
             crc.alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 1).alias("tie"),
+            F.monotonically_increasing_id().alias("row"),  # tells equal rows apart, and nothing else
             *[c.cast("long").alias(n) for n, c in dims.items() if n not in ("size", "text_crc32")],
         )
     ).withColumn("node", F.lit(0))
@@ -190,11 +192,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, dims: dict[str, Column] | None
 
 
 def with_slots(sharded: DataFrame) -> DataFrame:
-    """``sharded`` with a gapless place from 0 in each shard: counted per part of a shard, then within the part."""
-    parted = sharded.withColumn("part", F.pmod(F.col("tie"), F.lit(PARTS)))
-    by_part = W.partitionBy("shard").orderBy("part")
-    offsets = parted.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    offsets = offsets.select("shard", "part", (F.sum("n").over(by_part) - F.col("n")).alias("before"))
-    inside = W.partitionBy("shard", "part").orderBy("tie", "doc_id", "text_crc32", "size")
-    numbered = parted.withColumn("within", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("within")).cast("long"))
+    """``sharded`` with a gapless place from 0 in each shard, in the order of ``tie``: a number over all shards less the shard's first."""
+    rows = numbered(sharded, "slot", "shard", "tie", "text_crc32", "size")
+    first = rows.groupBy(F.col("shard").alias("of")).agg(F.min("slot").alias("first"))  # a row for each shard
+    return rows.join(F.broadcast(first), F.col("shard") == F.col("of")).withColumn("slot", F.col("slot") - F.col("first")).drop("of", "first")
