@@ -208,11 +208,56 @@ def test_mixing(spark):
     assert all(abs(words[s] - t) <= 9000 / 2 + 1 for s, t in want.items())
 
 
-def test_tree_halves_exactly(spark):
-    slots = spark.range(1000).select(F.lit("s").alias("skey"), F.lit(False).alias("no_source"), F.col("id").alias("slot"), F.xxhash64("id").alias("draw"))
+def test_hypergeometric_counts(spark):
+    n, marked, draws, many = 30, 12, 10, 6000
+    u = F.xxhash64("id").alias("h")
+    got = spark.range(many).select(mixing.hypergeometric(F.lit(n), F.lit(marked), F.lit(draws), mixing._uniform(F.lit(3), F.col("id"))).alias("x"))
+    found = Counter(r["x"] for r in got.collect())
+    want = {x: math.comb(marked, x) * math.comb(n - marked, draws - x) / math.comb(n, draws) for x in range(draws + 1)}
+    assert set(found) <= set(want)
+    assert sum((found[x] - many * p) ** 2 / (many * p) for x, p in want.items() if many * p > 5) < 30  # chi square, some nine degrees
+    edges = [(0, 0, 0, 0), (5, 5, 3, 3), (5, 0, 3, 0), (5, 3, 5, 3), (5, 2, 0, 0)]
+    assert [spark.range(1).select(mixing.hypergeometric(*[F.lit(v) for v in e[:3]], F.lit(0.7))).first()[0] for e in edges] == [e[3] for e in edges]
+    large = spark.range(200).select(mixing.hypergeometric(F.lit(10**7), F.lit(4 * 10**6), F.lit(5 * 10**6), mixing._uniform(F.col("id"))).alias("x"))
+    m, sd = large.agg(F.avg("x"), F.stddev("x")).first()
+    assert abs(m - 2e6) < 250 and 650 < sd < 900  # the root of 5e6 * .4 * .6 * .5 is 775
+
+
+def test_tree_keeps_quotas(spark):
+    quotas = spark.createDataFrame([("a", False, 700), ("b", False, 300), ("", True, 1), ("z", False, 0)], "skey string, no_source boolean, draws int")
     for shards in (1, 2, 3, 8, 11):
-        n = [r["count"] for r in mixing._split(slots, shards).groupBy("shard").count().collect()]
-        assert sum(n) == 1000 and len(n) == shards and max(n) - min(n) <= (1000 % shards > 0) * 4
+        rows = mixing.split(quotas, shards, 5).collect()
+        by_source, by_shard = Counter(), Counter()
+        for r in rows:
+            assert r["n"] >= 0
+            by_source[r["skey"], r["no_source"]] += r["n"]
+            by_shard[r["shard"]] += r["n"]
+        assert by_source == {("a", False): 700, ("b", False): 300, ("", True): 1, ("z", False): 0}
+        assert len(by_shard) == shards and max(by_shard.values()) - min(by_shard.values()) <= 4
+    counts = [sum(r["n"] for r in mixing.split(quotas, 2, seed).collect() if r["skey"] == "a" and r["shard"] == 0) for seed in range(12)]
+    assert len(set(counts)) > 3 and abs(np.mean(counts) - 350) < 15  # drawn, not divided
+
+
+def test_what_is_taken_comes_from_the_leaves(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * 9, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    whole, tree = mixing.mix(df, block_rows=16).agg(F.sum("taken")).first()[0], mixing.split
+    monkeypatch.setattr(mixing, "split", lambda q, shards, seed: tree(q, shards, seed).where("shard > 0"))
+    assert mixing.mix(df, block_rows=16).agg(F.sum("taken")).first()[0] < 0.95 * whole
+
+
+def test_mixed_documents_follow_the_plan(spark):
+    rows = [(1, "w " * 7, "a")] * 300 + [(None, "x " * 5, "b")] * 200 + [(i, "y " * (i % 9), None) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, _text string, source string").withColumnsRenamed({"_text": "text"}).withColumns({c: F.lit("clash") for c in ("_k", "_n", "_times", "_i", "size", "draw", "shard", "block", "extra", "whole_row", "place")})
+    plan = {r["source"]: r["t"] for r in mixing.mix(df, block_rows=64).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    out = mixing.mixed_documents(df, block_rows=64)
+    assert out.columns == df.columns
+    words = Counter()
+    for r in out.collect():
+        words[r["source"]] += len(r["text"].split())
+        assert r["_k"] == r["draw"] == "clash"
+    assert all(abs(words[s] - plan[s]) <= 5 for s in plan)
+    ids = [r["doc_id"] for r in out.where("source IS NULL").collect()]
+    assert ids != sorted(ids)  # shuffled
 
 
 # ---- sharding
