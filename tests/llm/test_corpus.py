@@ -63,7 +63,8 @@ def test_lm_learns_from_every_training_document(spark):
     head = {w: 3 for of in words for w in of}
     codes = lm.Codes(head, 60, [(s, c, 0, c // 3) for s, c in Counter(w[-2:] for w in head for _ in range(3)).items()])
     df = spark.createDataFrame([(i, b" ".join(of * 3).decode()) for i, of in enumerate(words)], "doc_id long, text string")
-    before, after = lm.initial(codes), lm.learn(df, codes, 100_000_000)  # the tokens of a large corpus
+    coded = lm.encoded(df.select(F.xxhash64("doc_id").alias("place"), "text"), codes)
+    before, after = lm.initial(codes), lm.learn(coded, codes, 100_000_000)  # the tokens of a large corpus
     moved = [i for i, of in enumerate(words) if all((before["x"][codes.encode([w])[0][0] + 1] != after["x"][codes.encode([w])[0][0] + 1]).any() for w in of)]
     assert moved == list(range(60))
 
@@ -98,6 +99,38 @@ def test_windows_do_not_change_a_score(monkeypatch):
         assert lm.log_likelihoods(p, codes, docs) == pytest.approx(whole, rel=1e-4)
 
 
+def test_score_in_plain_loops():
+    codes, rng = small_codes(), np.random.default_rng(6)
+    p = {k: v + rng.normal(0, 0.3, v.shape) for k, v in lm.initial(codes).items()}
+    n, sig = lm.HIDDEN, lambda a: 1 / (1 + math.exp(-a))
+
+    def dot(h, column):
+        return sum(a * b for a, b in zip(h, column, strict=True))
+
+    def log_share(h, columns, biases, of):
+        logits = [dot(h, c) + b for c, b in zip(columns, biases, strict=True)]
+        return logits[of] - math.log(sum(map(math.exp, logits)))
+
+    def plain(words):
+        h, read, total = [0.0] * n, 0, 0.0
+        for w in [*words, 0]:
+            x, hu = p["x"][read], [dot(h, c) for c in p["u"].T]
+            z, r = [sig(x[i] + hu[i]) for i in range(n)], [sig(x[n + i] + hu[n + i]) for i in range(n)]
+            c = [math.tanh(x[2 * n + i] + r[i] * (hu[2 * n + i] + p["b"][i])) for i in range(n)]
+            h = [(1 - z[i]) * c[i] + z[i] * h[i] for i in range(n)]
+            cls = codes.class_of[w] if w >= 0 else -w
+            total += log_share(h, p["wc"].T, p["bc"], cls)
+            if w >= 0:
+                members = np.flatnonzero(codes.class_of == cls)
+                total += log_share(h, p["wo"][members], p["bo"][members], int(np.flatnonzero(members == w)[0]))
+            read = w + 1 if w > 0 else len(codes.counts) + 1 - w - codes.n_short_classes
+        return total / math.log(10)
+
+    docs = [rng.integers(1, 61, 12), np.array([], int), np.array([-codes.rest, 3, -codes.n_short_classes, 7])]
+    got = lm.log_likelihoods(p, codes, [d.astype(np.int16) for d in docs])
+    assert got == pytest.approx([plain(d.tolist()) for d in docs], rel=1e-6)
+
+
 def test_gradients():
     codes, rng = small_codes(), np.random.default_rng(2)
     p = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in lm.initial(codes).items()}

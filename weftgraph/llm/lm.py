@@ -28,6 +28,7 @@ training documents all counts are zero. Only doc_id and text are read; other col
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import heapq
 import pickle
@@ -45,10 +46,10 @@ from weftgraph.session import cut_table, ship
 
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
-HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 64, 16, 512
+HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 128, 16, 512
 PER_REPLICA, ROUNDS, RATE = 500_000, 4, 0.01
 #: Sets of weights that one task, or the driver, adds up at a time.
-FAN_IN = 32
+FAN_IN = 8
 #: Tokens that a worker scores together, and words that it counts before it passes the counts on.
 TOGETHER, COUNTED = 4_000_000, 400_000
 LOG10 = np.log(10.0)
@@ -106,6 +107,13 @@ class Codes:
         self.base = np.log10(count + 1)
         self.static = np.where(self.code > 0, 0, np.log10(np.maximum(count, 1)) + self.log_per_count[np.maximum(-self.code, 0)])
 
+    def small(self) -> Codes:
+        """What learning and scoring need of it, without the words."""
+        out = copy.copy(self)
+        for name in ("index", "code", "base", "static", "suffix"):
+            delattr(out, name)
+        return out
+
     def word_class(self, w: bytes) -> int:
         return self.suffix.get(w[-2:], self.rest)
 
@@ -209,13 +217,27 @@ def states(p: dict, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
     return out, h, saved
 
 
-def _softmax(logits: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, made in place of ``logits``, and the log of those of the columns ``told``."""
-    logits -= logits.max(axis=1, keepdims=True)
+def _shifted(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Biases less their largest, and whether logits so made need no other shift: states lie within -1 and 1,
+    so a logit is within the sum of its weights' sizes from its bias, and the largest bias is 0."""
+    return b - b.max(), float(np.abs(w).sum(axis=0).max()) < 40
+
+
+def _shifted_words(p: dict, codes: Codes) -> tuple[np.ndarray, bool]:
+    """The same for the words of all classes of the shortlist, each less its class's largest."""
+    most = np.maximum.reduceat(p["bo"], [m.start for m in codes.members])
+    return p["bo"] - most[codes.class_of], float(np.abs(p["wo"]).sum(axis=1).max()) < 40
+
+
+def _softmax(logits: np.ndarray, told: np.ndarray, safe: bool, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The log probability of the columns ``told``; with ``whole`` also all probabilities, made in place of ``logits``."""
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
     log = logits[np.arange(len(told)), told]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    logits *= (1 / total)[:, None]
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    if whole:
+        logits *= (1 / total)[:, None]
     return logits, log - np.log(total)
 
 
@@ -233,17 +255,19 @@ def _by_class(codes: Codes, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[sli
 def token_logs(p: dict, codes: Codes, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of P(class) for words beyond the shortlist, of P(word) for the shortlist."""
     cls = _class_of(codes, target)
+    bias, safe = _shifted(p["wc"], p["bc"])
     logits = h @ p["wc"]
-    logits += p["bc"]
-    out = _softmax(logits, cls)[1]
+    logits += bias
+    out = _softmax(logits, cls, safe)[1]
     order, met = _by_class(codes, cls)
     if met:
+        bias, safe = _shifted_words(p, codes)
         order = order[: met[-1][1].stop]
         sorted_h, told, logs = h[order], target[order], np.zeros(len(order), out.dtype)
         for words, rows in met:
             inner = sorted_h[rows] @ p["wo"][words].T
-            inner += p["bo"][words]
-            logs[rows] = _softmax(inner, told[rows] - words.start)[1]
+            inner += bias[words]
+            logs[rows] = _softmax(inner, told[rows] - words.start, safe)[1]
         out[order] += logs
     return out
 
@@ -271,27 +295,30 @@ class Learner:
         flat, target, weight = out.reshape(-1, n), targets.reshape(-1), real.reshape(-1).astype(out.dtype)
         weight /= max(weight.sum(), 1)
         cls = _class_of(codes, target)
+        bias, safe = _shifted(p["wc"], p["bc"])
         logits = flat @ p["wc"]
-        logits += p["bc"]
-        d, log = _softmax(logits, cls)
+        logits += bias
+        d, log = _softmax(logits, cls, safe, True)
         loss = -float(log @ weight)
         d[np.arange(len(cls)), cls] -= 1
         d *= weight[:, None]
-        g = {"wc": flat.T @ d, "bc": d.sum(axis=0), "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
+        ones = np.ones(len(d), out.dtype)
+        g = {"wc": flat.T @ d, "bc": ones @ d, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
         dh = d @ p["wc"].T
         order, met = _by_class(codes, cls)
         if met:
+            bias, safe = _shifted_words(p, codes)
             order = order[: met[-1][1].stop]
             sorted_h, told, by_row, inner_dh = flat[order], target[order], weight[order], np.zeros((len(order), n), out.dtype)
             for words, rows in met:
                 inner = sorted_h[rows] @ p["wo"][words].T
-                inner += p["bo"][words]
-                e, log = _softmax(inner, told[rows] - words.start)
+                inner += bias[words]
+                e, log = _softmax(inner, told[rows] - words.start, safe, True)
                 loss -= float(log @ by_row[rows])
                 e[np.arange(len(e)), told[rows] - words.start] -= 1
                 e *= by_row[rows][:, None]
                 g["wo"][words] = e.T @ sorted_h[rows]
-                g["bo"][words] = e.sum(axis=0)
+                g["bo"][words] = ones[: len(e)] @ e
                 np.matmul(e, p["wo"][words], out=inner_dh[rows])
             dh[order] += inner_dh
         loss *= max(float(real.sum()), 1)
@@ -385,40 +412,77 @@ def codes_of(counts: DataFrame, ends: int) -> tuple[Codes, int, int]:
     return codes, sum(r["tokens"] for r in bins), sum(r["n"] for r in bins)
 
 
-def learn(training: DataFrame, codes: Codes, tokens: int, text: str = "text") -> dict[str, np.ndarray]:
-    """The weights, learned in rounds by replicas whose weights are averaged after each."""
-    spark = training.sparkSession
+CODED = [
+    T.StructField("n_tokens", T.LongType()),
+    T.StructField("head_known", T.LongType()),
+    T.StructField("head_base", T.DoubleType()),
+    T.StructField("head_score", T.DoubleType()),
+    T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("unseen", T.FloatType())]))),
+    T.StructField("codes", T.BinaryType()),
+]
+_TAIL = pa.list_(pa.struct([("word", pa.binary()), ("unseen", pa.float32())]))
+
+
+def encoded(docs: DataFrame, codes: Codes, ends: int = 0, per_token: float = 0.0) -> DataFrame:
+    """``docs``, whose last column is the text, with ``CODED`` in its place: the words as 16-bit codes, made
+    once for learning and scoring, and what the workers' table says of the words it holds and of the others."""
+    packed = docs.sparkSession.sparkContext.broadcast(_packed_model(codes))
+    ship(docs.sparkSession)
+    text, out = docs.columns[-1], T.StructType([*docs.schema.fields[:-1], *CODED])
+
+    def run(batches):
+        (c,) = _held(*packed.value)
+        for whole in batches:
+            for batch in slices(whole, text):
+                rows = []
+                for x in batch.column(batch.num_columns - 1).to_pylist():
+                    found = words_of(x)
+                    told, place = c.encode(found)
+                    met = place[place >= 0]
+                    beyond = np.flatnonzero(place < 0)
+                    static = c.static[met].sum() + c.log_per_count[-told[beyond]].sum()
+                    apart = (c.log_unseen - c.log_per_count)[-told[beyond]].tolist()
+                    tail = [{"word": found[i], "unseen": u} for i, u in zip(beyond.tolist(), apart, strict=True)]
+                    base = np.log10(ends + 1.0) - (len(found) + 1) * per_token + float(c.base[met].sum())
+                    rows.append((len(found) + 1, len(met) + (ends > 0), base, float(static), tail, told.astype("<i2").tobytes()))
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), _TAIL, pa.binary()]
+                arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=out.fieldNames())
+
+    return docs.mapInArrow(tidy(run, "lm codes", _loaded.clear), out)
+
+
+def learn(coded: DataFrame, codes: Codes, tokens: int) -> dict[str, np.ndarray]:
+    """The weights, learned in rounds by replicas whose weights are averaged after each. ``coded``: codes, place (64 mixed bits of a document)."""
+    spark = coded.sparkSession
     replicas = max(1, round((tokens / PER_REPLICA) ** 0.5))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), F.col(text)), 1)
-    dealt = training.select(text, place.alias("place"), F.pmod(F.shiftright(place, 44), F.lit(ROUNDS)).cast("int").alias("round"))
+    dealt = coded.select("codes", "place", F.pmod(F.shiftright(F.col("place"), 44), F.lit(ROUNDS)).cast("int").alias("round"))
     p = initial(codes)
-    shared = spark.sparkContext.broadcast(pickle.dumps(codes, 5))
+    shared = spark.sparkContext.broadcast(pickle.dumps(codes.small(), 5))
     for r in range(ROUNDS):
         sent = spark.sparkContext.broadcast(pickle.dumps(p, 5))
 
         def train(batches, rate=RATE * 0.6**r, sent=sent):
-            docs, c = [], pickle.loads(shared.value)
-            learner, used = None, 0
+            docs, learner, used = [], None, 0
 
             def go():
-                nonlocal learner, docs
-                learner = learner or Learner(pickle.loads(sent.value), c)
+                nonlocal learner, docs, used
+                learner = learner or Learner(pickle.loads(sent.value), pickle.loads(shared.value))
                 learner.learn(docs, rate)
-                docs = []
+                docs, used = [], 0
 
             for batch in batches:
-                for x in batch.column(0).to_pylist():
-                    docs.append(c.encode(words_of(x))[0])
+                for x in batch.column(0):
+                    docs.append(np.frombuffer(x.as_buffer(), "<i2"))
                     used += len(docs[-1]) + 1
                     if used > TOGETHER:
                         go()
-                        used = 0
             if docs:
                 go()
             if learner:
                 yield _packed(learner.p, 1)
 
-        learned = dealt.where(F.col("round") == r).select(text, "place").repartition(replicas, "place").coalesce(replicas).mapInArrow(tidy(train), "n int, body binary")
+        learned = dealt.where(F.col("round") == r).select("codes", "place").repartition(replicas, "place").coalesce(replicas).mapInArrow(tidy(train), "n int, body binary")
         # as many tasks as replicas, however many partitions a shuffle is told to have: each returns a set of weights
         sets = replicas
         while sets > FAN_IN:  # averaged in a tree of fixed fan-in, so no task and not the driver holds more
@@ -448,10 +512,16 @@ def _summed(batches):
 _loaded: dict = {}
 
 
-def _scorer(key, codes, weights):
+def _packed_model(*parts) -> tuple:
+    """A name by content and the pickled parts."""
+    raw = [pickle.dumps(x, 5) for x in parts]
+    return hashlib.sha256(b"".join(raw)).hexdigest(), *raw
+
+
+def _held(key: str, *raw: bytes) -> tuple:
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = pickle.loads(codes), pickle.loads(weights)
+        _loaded[key] = tuple(map(pickle.loads, raw))
     return _loaded[key]
 
 
@@ -470,9 +540,6 @@ def log_likelihoods(p: dict, codes: Codes, docs: list[np.ndarray]) -> np.ndarray
     return out / LOG10
 
 
-TAIL = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("unseen", T.FloatType())]))
-
-
 def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     """``docs`` without its text, with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -487,64 +554,47 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     counts = cut_table(count(lessons, text))
     codes, words, distinct = codes_of(counts, ends)
     n_all, n_kinds = words + ends, distinct + (ends > 0)
-    per_token = float(np.log10(n_all + n_kinds + 1))
-    weights = learn(lessons, codes, n_all, text)
-    model = pickle.dumps(codes, 5), pickle.dumps(weights, 5)
-    packed = spark.sparkContext.broadcast((hashlib.sha256(b"".join(model)).hexdigest(), *model))
-    fields = [("n_tokens", T.LongType()), ("head_known", T.LongType()), ("head_base", T.DoubleType()), ("head_score", T.DoubleType()), ("tail", TAIL)]
-    source = docs.select(*kept, (~F.coalesce(training, F.lit(False))).alias("held_out"), text)
-    out = T.StructType([*source.drop(text).schema.fields, *[T.StructField(n, t) for n, t in fields]])
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("unseen", pa.float32())]))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), F.col(text)), 1)
+    user = F.struct(*[F.col(f"`{c}`") for c in kept])
+    source = docs.select(user.alias("user"), (~F.coalesce(training, F.lit(False))).alias("held_out"), place.alias("place"), text)
+    coded = cut_table(encoded(source, codes, ends, float(np.log10(n_all + n_kinds + 1))).withColumn("row", F.monotonically_increasing_id()))
+    weights = learn(coded.where(~F.col("held_out")), codes, n_all)
+    packed = spark.sparkContext.broadcast(_packed_model(codes.small(), weights))
 
     def run(batches):
-        c, p = _scorer(*packed.value)
-        held, tokens = [], 0
+        c, p = _held(*packed.value)
+        held, docs_, tokens = [], [], 0
 
         def emit():
-            logs = log_likelihoods(p, c, [d for _, rows in held for d, *_ in rows])
-            at = 0
-            for batch, rows in held:
-                n = len(rows)
-                base = [np.log10(ends + 1.0) - (len(d) + 1) * per_token + b for d, _, b, _, _ in rows]
-                arrays = [pa.array([len(d) + 1 for d, *_ in rows], pa.int64()), pa.array([k + (ends > 0) for _, k, *_ in rows], pa.int64()), pa.array(base, pa.float64())]
-                arrays += [pa.array(logs[at : at + n] + np.array([s for *_, s, _ in rows])), pa.array([t for *_, t in rows], tail_type)]
+            logs, at = log_likelihoods(p, c, docs_), 0
+            for rows, n in held:
+                yield pa.RecordBatch.from_arrays([rows, pa.array(logs[at : at + n])], names=["row", "modelled"])
                 at += n
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=out.fieldNames())
 
-        for whole in batches:
-            for batch in slices(whole, text):
-                rows = []
-                for x in batch.column(batch.num_columns - 1).to_pylist():
-                    found = words_of(x)
-                    codes_, place = c.encode(found)
-                    met = place[place >= 0]
-                    beyond = np.flatnonzero(place < 0)
-                    static = c.static[met].sum() + c.log_per_count[-codes_[beyond]].sum()
-                    apart = (c.log_unseen - c.log_per_count)[-codes_[beyond]].tolist()
-                    tail = [{"word": found[i], "unseen": u} for i, u in zip(beyond.tolist(), apart, strict=True)]
-                    rows.append((codes_, len(met), float(c.base[met].sum()), float(static), tail))
-                    tokens += len(found) + 1
-                held.append((batch.select(range(batch.num_columns - 1)), rows))
-                if tokens >= TOGETHER:
-                    yield from emit()
-                    held, tokens = [], 0
+        for batch in batches:
+            docs_ += [np.frombuffer(x.as_buffer(), "<i2") for x in batch.column(1)]
+            held.append((batch.column(0), batch.num_rows))
+            tokens += sum(map(len, docs_[-batch.num_rows :])) if batch.num_rows else 0
+            if tokens >= TOGETHER:
+                yield from emit()
+                held, docs_, tokens = [], [], 0
         if held:
             yield from emit()
 
-    scored = cut_table(source.mapInArrow(tidy(run, "lm", _loaded.clear), out).withColumn("_row", F.monotonically_increasing_id()))
-    words_left = scored.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.unseen")
-    met = words_left.join(counts, "word", "left").groupBy("_row").agg(
+    modelled = coded.select("row", "codes").mapInArrow(tidy(run, "lm", _loaded.clear), "row long, modelled double")
+    words_left = coded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.unseen")
+    met = words_left.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), 1).otherwise(0)).alias("tail_known"),
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail_base"),
         F.sum(F.when(F.col("c").isNotNull(), F.log10(F.col("c").cast("double"))).otherwise(F.col("unseen").cast("double"))).alias("tail_score"),
     )
-    whole = scored.drop("tail").join(met, "_row", "left")
+    whole = coded.drop("tail", "codes", "place").join(modelled, "row").join(met, "row", "left")
     return whole.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"user.`{c}`") for c in kept],
         "held_out",
         "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("head_base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
+        (F.col("head_score") + F.col("modelled") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
     )
