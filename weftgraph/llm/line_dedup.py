@@ -23,6 +23,7 @@ gives no rows. Only doc_id and text are read; other columns pass, but for those
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import zlib
 
 import numpy as np
@@ -36,14 +37,15 @@ from weftgraph.llm.common import WS, append_columns, slices, tidy, without
 from weftgraph.session import cut, ship
 
 STRIP = WS.encode()
+#: Rows of one hash that a task holds in memory; more go to a file until the hash's documents are counted.
+HELD = 1 << 20
 LINES = "h1 long, h2 long, doc long, th long, pos int, n int"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the pair (_doc, _th) that names a row up to repetition."""
-    return docs.withColumns(
-        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.coalesce(F.xxhash64("text"), F.lit(0))}
-    )
+def row_names() -> list:
+    """Columns doc and th, the pair that names a row up to repetition."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return [doc.alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")]
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -70,7 +72,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                     names=["h1", "h2", "doc", "th", "pos", "n"],
                 )
 
-    return docs.select("_doc", "_th", "text").mapInArrow(tidy(run), LINES)
+    return docs.select(*row_names(), "text").mapInArrow(tidy(run), LINES)
 
 
 class _Rows:
@@ -163,57 +165,100 @@ def across_borders(rows: list) -> dict[tuple[int, int], tuple[int, tuple[int, in
 DROPPED = "doc long, th long, pos int, n int"
 
 
+class _Spool:
+    """Rows put by until it is known what becomes of them: up to ``HELD`` in memory, more in a file of the task's own."""
+
+    def __init__(self):
+        self.rows, self.n, self.file, self.parts = [], 0, None, 0
+
+    def add(self, rows: _Rows) -> None:
+        self.rows.append(np.stack([c.astype(np.int64) for c in rows.columns]))
+        self.n += len(rows)
+        if self.n > HELD:
+            self.file = self.file or tempfile.TemporaryFile()
+            np.save(self.file, np.concatenate(self.rows, axis=1))
+            self.rows, self.n, self.parts = [], 0, self.parts + 1
+
+    def __iter__(self):
+        if self.file:
+            self.file.seek(0)
+            for _ in range(self.parts):
+                yield np.load(self.file)
+        yield from self.rows
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+
+
 def _drops(batches, crossing: dict, min_docs: int, mode: str):
-    """Stream sorted rows; hold only the last hash's rows, while it is found in too few documents to tell."""
+    """Stream sorted rows. Of the hash that a batch ends with it is known in how many documents it was
+    found and where first; its rows are put by only while these are too few to tell."""
 
-    def emit(rows: _Rows, starts: np.ndarray, frequent: np.ndarray, firsts: dict) -> pa.RecordBatch:
-        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
-        drop = frequent[group]
-        if mode == "later":
-            own = starts.copy()
-            first = np.stack([c[own] for c in rows.columns[2:5]], axis=1).astype(np.int64)
-            for k, place in firsts.items():
-                first[k] = place
-            here = np.stack(rows.columns[2:5], axis=1).astype(np.int64)
-            drop &= (here != first[group]).any(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c[drop]) for c in rows.columns[2:6]], names=["doc", "th", "pos", "n"])
-
-    held: _Rows | None = None
-    known = None  # (hash, first place) of a hash already told to be frequent
+    def out(columns, drop) -> pa.RecordBatch:
+        doc, th, pos, n = (c[drop] for c in columns)
+        arrays = [pa.array(doc.astype(np.int64)), pa.array(th.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc", "th", "pos", "n"])
+
+    def told(columns, first) -> np.ndarray:
+        """Which rows of a frequent hash go."""
+        if mode != "later":
+            return np.ones(len(columns[0]), bool)
+        return (columns[0] != first[0]) | (columns[1] != first[1]) | (columns[2] != first[2])
+
+    name, docs, last_doc, first, frequent, spool = None, 0, None, None, False, _Spool()
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = _Rows.of(batch).after(held)
+        rows = _Rows.of(batch)
         starts = rows.starts()
-        frequent = _doc_counts(rows, starts) >= min_docs
-        firsts = {}
-        for k in sorted({0, len(starts) - 1}):
-            name = rows.name(int(starts[k]))
-            if known is not None and known[0] == name:
-                frequent[k], firsts[k] = True, known[1]
-            elif name in crossing:
-                frequent[k], firsts[k] = crossing[name][0] >= min_docs, crossing[name][1]
-        last = int(starts[-1])
-        name = rows.name(last)
-        if frequent[-1]:
-            known, held = (name, firsts.get(len(starts) - 1, rows.place(last))), None
-            yield emit(rows, starts, frequent, firsts)
+        counts = _doc_counts(rows, starts)
+        places = [c[starts].astype(np.int64) for c in rows.columns[2:5]]
+        if rows.name(0) == name:
+            counts[0] += docs - (last_doc == int(rows.doc[0]))
+            for of, value in zip(places, first, strict=True):
+                of[0] = value
         else:
-            held = rows[slice(last, None)]
-            if len(starts) > 1:
-                firsts.pop(len(starts) - 1, None)
-                yield emit(rows[slice(0, last)], starts[:-1], frequent[:-1], firsts)
+            spool.close()
+            name, frequent, spool = None, False, _Spool()
+        often = counts >= min_docs
+        for k in {0, len(starts) - 1}:
+            known = crossing.get(rows.name(int(starts[k])))
+            if known is not None:
+                often[k] = known[0] >= min_docs
+                for of, value in zip(places, known[1], strict=True):
+                    of[k] = value
+        if name is not None and often[0] and not frequent:
+            at = [of[0] for of in places]
+            for part in spool:
+                yield out(part[2:6], told(part[2:5], at))
+            spool.close()
+            spool = _Spool()
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rows)]))
+        drop = often[group]
+        if drop.any():
+            if mode == "later":
+                drop &= told(rows.columns[2:5], [of[group] for of in places])
+            yield out(rows.columns[2:6], drop)
+        last = int(starts[-1])
+        if len(starts) > 1:
+            spool.close()
+            spool = _Spool()
+        name, docs, last_doc, frequent = rows.name(last), int(counts[-1]), int(rows.doc[-1]), bool(often[-1])
+        first = [of[-1] for of in places]
+        if not frequent and name not in crossing:
+            spool.add(rows[slice(last, None)])
+    spool.close()
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "all") -> DataFrame:
-    """_doc, _th, n_dropped and keep_bits of each document that loses lines; the bits are packed, then deflated."""
-    docs = keyed(docs) if "_doc" not in docs.columns else docs
+    """doc, th (``row_names``), n_dropped and keep_bits of each document that loses lines; the bits are packed, then deflated."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc", "th", "pos"]
     lines = cut(line_hashes(docs, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order))
     crossing = across_borders(lines.mapInArrow(_summarise, SUMMARY).collect())  # two rows per partition at most
     dropped = lines.mapInArrow(tidy(lambda b: _drops(b, crossing, min_docs, mode)), DROPPED)
-    by_doc = dropped.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.max("n").alias("n"), F.collect_set("pos").alias("gone"))
+    by_doc = dropped.groupBy("doc", "th").agg(F.max("n").alias("n"), F.collect_set("pos").alias("gone"))
 
     def pack(batches):
         for batch in batches:
@@ -223,17 +268,17 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode:
                 keep[gone] = 0
                 bits.append(zlib.compress(np.packbits(keep).tobytes()))
             sizes = pa.array([len(g) for g in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(bits, pa.binary())], names=["_doc", "_th", "n_dropped", "keep_bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(bits, pa.binary())], names=["doc", "th", "n_dropped", "keep_bits"])
 
-    return by_doc.mapInArrow(pack, "_doc long, _th long, n_dropped long, keep_bits binary")
+    return by_doc.mapInArrow(pack, "doc long, th long, n_dropped long, keep_bits binary")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with its dropped lines taken out of ``text``, and n_lines and n_dropped. A null text without dropped lines stays null."""
     docs = without(docs, "n_lines", "n_dropped", "keep_bits")
-    rows = keyed(docs)
-    bits = keep_bitmaps(rows, **options).select("_doc", "_th", "keep_bits")
-    joined = rows.join(bits.hint("shuffle_hash"), ["_doc", "_th"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "keep_bits")
+    bits = keep_bitmaps(docs, **options).select("doc", "th", "keep_bits")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_names())
+    joined = rows.join(bits.hint("shuffle_hash"), ["doc", "th"], "left").select("row.*", "keep_bits")
     out = append_columns(joined.drop("keep_bits"), [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches):
