@@ -16,20 +16,55 @@ def vectors(n, dim, seed):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def test_exact_against_brute_force(spark):
+def brute(rows, is_query, k, score):
+    """Per query row: the k best other rows of its length, by score and then id."""
+    use = [(i, v) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for at, (q, v) in enumerate(use):
+        if is_query(q):
+            found = sorted((-score(v, w), c) for to, (c, w) in enumerate(use) if to != at and len(w) == len(v))[:k]
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
+    return sorted(out)
+
+
+def whole_product(v, w):
+    return int(np.floor(256 * np.float32(v).astype(float)) @ np.floor(256 * np.float32(w).astype(float)))
+
+
+def test_exact_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "SAMPLE", 20)
     x = vectors(700, 24, 1)
     x[100:160] = x[100]  # ties
+    x[300:] *= np.linspace(0.05, 3, 400)[:, None]
     rows = [(i, x[i].tolist(), "a", "b") for i in range(700)]
-    rows += [(700, None, "", ""), (701, [float("nan")] * 24, "", ""), (702, [None] * 24, "", ""), (703, [], "", ""), (None, x[0].tolist(), "", ""), (704, [float("inf")] + [0.0] * 23, "", ""), (100, x[100].tolist(), "", ""), (705, [1.0, 2.0], "", "")]
-    got = {}
-    for r in exact_topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, 5).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    v = np.floor(256 * x.astype(np.float64)).astype(int)
-    assert set(got) == {i for i in range(0, 700, 50)}
-    for q, found in got.items():
-        s = v @ v[q]
-        order = sorted((i for i in range(700) if i != q), key=lambda i: (-s[i], i))[:5]
-        assert sorted(found) == [(k + 1, i, s[i]) for k, i in enumerate(order)]
+    rows += [(700, None, "", ""), (701, [float("nan")] * 24, "", ""), (702, [None] * 24, "", ""), (703, [], "", ""), (None, x[0].tolist(), "", ""), (704, [float("inf")] + [0.0] * 23, "", "")]
+    rows += [(100, x[100].tolist(), "", ""), (100, x[7].tolist(), "", ""), (7, x[8].tolist(), "", "")] + [(i, [1.0 * i, 2.0], "", "") for i in (50, 705, 706, 100, 708, 709, 710)] + [(150, [3.0], "", "")]
+    for queries in (2048, 5):
+        monkeypatch.setattr(exact_topk, "QUERIES", queries)
+        monkeypatch.setattr(exact_topk, "BLOCK", 64)
+        got = exact_topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, 5).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, lambda i: i % 50 == 0, 5, whole_product)
+
+
+def test_envelopes_bound_the_product():
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(0.3, 1, (40, 30)), rng.normal(-0.2, 2, (50, 30))
+    bound = exact_topk.largest(np.stack([exact_topk.envelope(q), exact_topk.envelope(q[:1])]), exact_topk.envelope(x))
+    assert bound[0] >= (q @ x.T).max() - 1e-9 and bound[1] >= (q[:1] @ x.T).max() - 1e-9 and bound[1] <= bound[0]
+
+
+def test_blocks_out_of_reach_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 16)
+    largest = exact_topk.largest
+    x = vectors(64, 8, 5)
+    rows = [(i, (x[i] * (10 if i < 32 else 0.01)).tolist(), "", "") for i in range(64)]
+    q = np.abs(x[:1]) * 10
+    known = exact_topk.Best(np.array([0]), np.array([0]), q, 2)
+    known.add(np.arange(1, 33), np.arange(1, 33), np.abs(x[:32]) * 10)
+    far = exact_topk.envelope(x[32:] * 0.01)
+    assert largest(exact_topk.envelope(q)[None], far)[0] < known.least.min()
+    got = exact_topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, lambda i: i % 50 == 0, 5, whole_product)
 
 
 def test_exact_with_few_and_huge(spark):

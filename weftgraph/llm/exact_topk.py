@@ -8,16 +8,19 @@ the inner product of the statistics. A block of vectors goes through the coarse
 bound, then the fine one; exact products are computed for what could still be
 among a query's best k.
 
-Queries are packed into blocks and so are the vectors; a task runs the vectors'
-blocks past one block of queries at a time and keeps k candidates for each query,
-so its memory has a bound, and it returns k rows for each query.
+Queries are packed into blocks and so are the vectors. A block of queries is sent to
+some tasks, and each block of vectors to one of them, for each block of queries of its
+dimension; a task runs the vectors' blocks past its block of queries and keeps k
+candidates for each query, so its memory has a bound, and it returns k rows for each
+query. A vectors' block whose largest possible product with any query of the block
+lies under what each query already has from its first task's sample is not sent.
 
 Defined results: null vectors, empty ones and those holding null or non-finite
-components take no part, nor do rows with a null id; rows that repeat an id count
-once; vectors of different lengths aren't compared; of equal scores the smaller
-id comes first; a query with fewer than k candidates returns them all; an empty
-table gives no rows. Scores are exact whole numbers; one beyond 64 bits is given
-as the largest or smallest long.
+components take no part, nor do rows with a null id; ids may repeat: each row is a
+candidate for all rows but itself, and each row that is a query is answered; vectors of
+different lengths aren't compared; of equal scores the smaller id comes first; a query
+with fewer than k candidates returns them all; an empty table gives no rows. Scores are
+exact whole numbers; one beyond 64 bits is given as the largest or smallest long.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import tidy
 from weftgraph.llm.vectors import BLOCK, PACKED, pack, unpack, usable
 from weftgraph.session import cut
 
@@ -36,6 +40,8 @@ COARSE, FINE = 4, 16
 QUERIES = 2048
 STEP = 512
 EXACT = float(1 << 53)
+#: Vectors of each of the ``LENGTHS`` commonest lengths, those of the largest norms, that all queries meet first: bounds what is broadcast.
+SAMPLE, LENGTHS = 512, 8
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -52,8 +58,9 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 class Best:
     """The best k candidates so far of each query of a block."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+    def __init__(self, own: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int):
+        """``own``: the queries' rows."""
+        self.own, self.ids, self.q, self.k = own, ids, q, k
         self.largest = float(np.abs(q).max(initial=0))
         self.coarse, self.fine = statistics(q, COARSE), statistics(q, FINE)
         self.norm = np.linalg.norm(q, axis=1)
@@ -73,20 +80,20 @@ class Best:
         last = place == self.k - 1
         self.least[rows[last]] = scores[last].astype(np.float64)
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def add(self, own: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         for i in range(0, len(ids), STEP):
-            self.add_step(ids[i : i + STEP], x[i : i + STEP])
+            self.add_step(own[i : i + STEP], ids[i : i + STEP], x[i : i + STEP])
 
-    def add_step(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def add_step(self, own: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         slack = 1e-9 * np.outer(self.norm, np.linalg.norm(x, axis=1)) + 1e-6
         need = self.least[:, None] - slack
         alive = self.coarse @ statistics(x, COARSE).T >= need
         columns = np.flatnonzero(alive.any(axis=0))
         if not len(columns):
             return
-        ids, x = ids[columns], x[columns]
+        own, ids, x = own[columns], ids[columns], x[columns]
         alive = alive[:, columns] & (self.fine @ statistics(x, FINE).T >= need[:, columns])
-        alive &= self.ids[:, None] != ids[None, :]
+        alive &= self.own[:, None] != own[None, :]
         rows, cols = np.nonzero(alive)
         if not len(rows):
             return
@@ -102,43 +109,107 @@ class Best:
             self.take(rows, ids[cols], np.array(big, np.int64))
 
 
+def envelope(x: np.ndarray) -> np.ndarray:
+    """Of a block's coarse statistics and norms the least and the largest, as one row."""
+    s = np.hstack([statistics(x, COARSE), np.linalg.norm(x, axis=1)[:, None]])
+    return np.concatenate([s.min(axis=0), s.max(axis=0)])
+
+
+def largest(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """No product of vectors within the envelopes ``q`` (rows) and ``x`` (one) is larger."""
+    q_lo, q_hi = np.split(q, 2, axis=1)
+    x_lo, x_hi = np.split(x, 2)
+    ends = np.max([q_lo * x_lo, q_lo * x_hi, q_hi * x_lo, q_hi * x_hi], axis=0)
+    return np.minimum(ends[:, :-1].sum(axis=1), q_hi[:, -1] * x_hi[-1])
+
+
+def _sample(whole: DataFrame) -> dict[int, tuple]:
+    """Of each of the commonest lengths the rows that come first."""
+    lengths = whole.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
+    out = {}
+    for r in lengths:
+        rows = whole.where(F.size("v") == r["dim"]).orderBy("row").limit(SAMPLE).collect()  # SAMPLE rows
+        out[r["dim"]] = tuple(np.array([x[c] for x in rows]) for c in ("row", "vec_id", "v"))
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of floor(scale * x)."""
+    spark = vectors.sparkSession
     # floor() gives longs; beyond their range a double is whole anyway
     def scaled(x):
         return F.when(F.abs(x * scale) < 4e18, F.floor(x * scale).cast("double")).otherwise(x * scale)
 
-    whole = usable(vectors).select("vec_id", F.transform("v", scaled).alias("v"))
-    whole = cut(whole)
+    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    whole = cut(usable(vectors, first=-norm).withColumn("v", F.transform("v", scaled)))  # long vectors first, blocks of like lengths
     asked = whole.where(is_query)
     n_blocks = max(1, -(-asked.count() // QUERIES))
-    queries = asked.repartition(n_blocks, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).mapInArrow(lambda b: pack(b, QUERIES), PACKED)
+    queries = asked.repartition(n_blocks, F.pmod(F.xxhash64("row"), F.lit(n_blocks))).mapInArrow(lambda b: pack(b, QUERIES), PACKED)
     queries = cut(queries.withColumn("q", F.monotonically_increasing_id()))
-    n_tasks = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = whole.mapInArrow(lambda b: pack(b, BLOCK), PACKED)
-    # each block of vectors meets each block of queries of its dimension
-    pairs = packed.join(queries.select("dim", "q", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "dim")
-    dealt = pairs.repartition(n_tasks, "q", F.xxhash64("ids")).sortWithinPartitions("q")
+    sample = spark.sparkContext.broadcast(_sample(whole))
+
+    def met_first(batches):
+        """Of each block of queries: its length, its envelope, and what its queries reach at least among the sample."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                best = Best(*unpack(row["dim"], row["rows"], row["ids"], row["data"]), k)
+                if row["dim"] in sample.value:
+                    best.add(*sample.value[row["dim"]])
+                body = np.concatenate([[best.least.min()], envelope(best.q)])
+                yield pa.RecordBatch.from_pydict({"q": [row["q"]], "dim": pa.array([row["dim"]], pa.int32()), "body": [body.tobytes()]})
+
+    known: dict[int, list] = {}
+    for r in queries.mapInArrow(tidy(met_first), "q long, dim int, body binary").collect():  # a row of some 200 bytes for each block of queries
+        known.setdefault(r["dim"], []).append((r["q"], np.frombuffer(r["body"])))
+    bounds = spark.sparkContext.broadcast({d: (np.array([q for q, _ in x], np.int64), np.stack([b for _, b in x])) for d, x in known.items()})
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = max(1, -(-2 * n_tasks // n_blocks))
+
+    def send(batches):
+        """Each block of vectors, to the blocks of queries that may find a neighbour in it."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dim"] not in bounds.value:
+                    continue
+                q, known = bounds.value[row["dim"]]
+                x = envelope(unpack(row["dim"], row["rows"], row["ids"], row["data"])[2])
+                most = largest(known[:, 1:], x)
+                q = q[most + 1e-9 * np.abs(most) + 1e-6 >= known[:, 0]]
+                if not len(q):
+                    continue
+                split = int(np.frombuffer(row["rows"], np.int64)[0] // BLOCK % splits)
+                for i in range(0, len(q), 16):
+                    n = len(q[i : i + 16])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q[i : i + n]), pa.array([split] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array([row["dim"]] * n, pa.int32()), *[pa.array([row[c]] * n, pa.binary()) for c in ("rows", "ids", "data")]],
+                        names=["q", "s", "kind", "dim", "rows", "ids", "data"],
+                    )
+
+    sent = whole.mapInArrow(tidy(lambda b: pack(b, BLOCK)), PACKED).mapInArrow(tidy(send), "q long, s int, kind int, " + PACKED)
+    copies = queries.select("q", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("s"), F.lit(0).alias("kind"), "dim", "rows", "ids", "data")
+    dealt = copies.unionByName(sent).repartition(n_tasks, "q", "s").sortWithinPartitions("q", "s", "kind")
 
     def search(batches):
-        best, at = None, None
+        best = None
 
         def result():
             return pa.RecordBatch.from_arrays(
-                [pa.array(best.ids[best.rows]), pa.array(best.found), pa.array(best.scores)], names=["query_id", "vec_id", "score"]
+                [pa.array(best.own[best.rows]), pa.array(best.ids[best.rows]), pa.array(best.found), pa.array(best.scores)], names=["asked", "query_id", "vec_id", "score"]
             )
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pydict()
-                if row["q"][0] != at:
+                row = batch.slice(i, 1).to_pylist()[0]
+                part = unpack(row["dim"], row["rows"], row["ids"], row["data"])
+                if row["kind"] == 0:
                     if best is not None:
                         yield result()
-                    at, best = row["q"][0], Best(*unpack(row["dim"][0], row["q_ids"][0], row["q_data"][0]), k)
-                best.add(*unpack(row["dim"][0], row["ids"][0], row["data"][0]))
+                    best = Best(*part, k)
+                else:
+                    best.add(*part)
         if best is not None:
             yield result()
 
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(tidy(search), "asked long, query_id long, vec_id long, score long")
+    order = W.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
