@@ -103,7 +103,16 @@ def test_ann_edges(spark):
     assert ann.search(frame(spark, []), lambda ids: ids >= 0, 3).count() == 0
     rows = [(0, [1.0, 0.0], "", ""), (1, [1.0, 0.0], "", ""), (2, [0.0, 0.0], "", ""), (3, None, "", ""), (4, [float("nan"), 1.0], "", ""), (5, [0.5, 0.0], "", ""), (5, [0.5, 0.0], "", ""), (6, [1.0], "", "")]
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(frame(spark, rows), lambda ids: ids == 0, 3).collect())
-    assert got == [(0, 1, 1), (0, 2, 5)]
+    assert got == [(0, 1, 1), (0, 2, 5), (0, 3, 5)]
+
+
+def test_repeated_ids_and_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=d).astype(np.float32).tolist(), "", "") for d, ids in ((2, range(100, 130)), (3, range(95, 115)), (7, [100])) for i in ids]
+    rows += [(1, [1.0, 0.5], "", ""), (1, [1.0, 0.9], "", ""), (100, rows[0][1], "", "")]
+    got = ann.search(frame(spark, rows), lambda ids: ids % 20 == 0, 25).collect()
+    want = brute(rows, lambda i: i % 20 == 0, 25, lambda v, w: float(np.float32(v).astype(float) @ np.float32(w).astype(float)))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == [(q, k, c, round(s, 9)) for q, k, c, s in want]
 
 
 def test_walk_is_repeatable(spark):

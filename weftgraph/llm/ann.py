@@ -8,8 +8,9 @@ was sent to it, and a lost task is run again from the last checkpoint.
 
 Building. Lists start with the nearest of two random groups. In each iteration a
 vector's neighbours and as many of those that list it (at random, as NN-descent
-does) are compared with each other, and each is offered its nearest: the join of
-neighbours of neighbours. It ends when few lists change.
+does) are compared with each other, where at least one of two is fresh (not compared
+before), and each is offered its nearest: the join of neighbours of neighbours. A list
+that holds nothing fresh asks for no vectors. It goes on until few lists change.
 
 Searching. A query starts from its own list (or, for a vector that isn't in the
 graph, from the ids given as entries), and again and again expands the nearest
@@ -21,10 +22,11 @@ Nearness is the inner product. The result is approximate: recall is measured in
 the tests and in the README.
 
 Defined results: null vectors, empty ones, zero ones and those holding null or
-non-finite components take no part, nor do rows with a null id; rows that repeat an
-id count once; vectors must have one length (others than the most common length
-take no part); of equal scores the smaller id comes first; a query with fewer than
-k candidates returns them all if they can be reached; an empty table gives no rows.
+non-finite components take no part, nor do rows with a null id; ids may repeat: each
+row is a candidate for all rows but itself, and each row that is a query is answered;
+vectors are compared with those of their own length, whatever lengths there are; of
+equal scores the smaller id comes first; a query with fewer than k candidates returns
+them all if they can be reached; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,10 +45,11 @@ from weftgraph.llm.vectors import matrix, nonzero, usable
 from weftgraph.session import cut
 
 BLOCK = 4096
-NEIGHBOURS, BEAM, WIDTH = 32, 256, 96
-#: An iteration of building offers each vector so many of its nearest from each comparison.
+NEIGHBOURS, BEAM, WIDTH = 32, 288, 96
+#: An iteration of building offers each vector at most so many new neighbours from a block's comparisons, the nearest.
 OFFERS = 6
-ITERATIONS, SETTLED = 7, 0.03
+#: Building ends when so small a share of all places in the lists changes.
+SETTLED = 0.03
 #: Candidates of each query that are scored exactly.
 RESCORED = 64
 GROUP = 256
@@ -62,8 +65,23 @@ def mixed(ids: np.ndarray, salt: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def owner(ids: np.ndarray, blocks: int) -> np.ndarray:
-    return (mixed(ids) % np.uint64(blocks)).astype(np.int64)
+class Spans:
+    """Which blocks hold the vectors of which length: a run of blocks for each length."""
+
+    def __init__(self, sizes: list[tuple[int, int]], block: int):
+        """``sizes``: each length and its number of vectors."""
+        self.dims = [d for d, _ in sizes]
+        self.counts = np.array([max(1, -(-n // block)) for _, n in sizes] or [1], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
+        self.blocks = int(self.counts.sum())
+
+    def owner(self, at: int, ids: np.ndarray, salt: int = 0) -> np.ndarray:
+        """The blocks of vectors (by their rows) that have the length of those of block ``at``."""
+        i = int(np.searchsorted(self.starts, at, side="right")) - 1
+        return self.starts[i] + (mixed(ids, salt) % np.uint64(self.counts[i])).astype(np.int64)
+
+    def of_length(self, dim: int, ids: np.ndarray) -> np.ndarray:
+        return self.owner(int(self.starts[self.dims.index(dim)]), ids)
 
 
 def _split(to: np.ndarray, *arrays: np.ndarray):
@@ -117,33 +135,37 @@ def _rounds(rows: DataFrame, blocks: int, step: Callable) -> DataFrame:
         if p is not None:
             yield from finish()
 
-    # a task for each block, however many partitions a shuffle is told to have: empty ones cost a worker's start each
-    return rows.repartition(blocks, "p").coalesce(blocks).sortWithinPartitions("p", "kind").mapInArrow(tidy(run), ROWS)
+    # the block's number is the partition's: a task for each block, none empty
+    return rows.repartitionById(blocks, F.col("p")).sortWithinPartitions("p", "kind").mapInArrow(tidy(run), ROWS)
 
 
 class Builder:
-    """The steps of building; a block's state: ids (sorted), h (half precision), nbr and score per vector."""
+    """The steps of building; a block's state: ids (rows, sorted), vec (their vec_id), h (half precision), and per
+    vector nbr, score and fresh (not yet compared)."""
 
-    def __init__(self, blocks: int, k: int):
-        self.blocks, self.k = blocks, k
+    def __init__(self, spans: Spans, k: int):
+        self.spans, self.k = spans, k
 
     def load(self, p, state, messages):
         """Vectors arrive: make the block's state, and deal its vectors to random blocks for a group of strangers."""
-        ids = np.concatenate([m[0] for m in messages])
-        v = np.concatenate([m[1] for m in messages])
+        ids, vec, v = (np.concatenate([m[i] for m in messages]) for i in range(3))
         order = np.argsort(ids)
-        ids, v = ids[order], v[order]
+        ids, vec, v = ids[order], vec[order], v[order]
         scale = np.abs(v).max() or 1.0  # half precision has a small range; ranking doesn't need the scale of a block alone
         h = v.astype(np.float16) if scale < 1e4 and scale > 1e-3 else v.astype(np.float32)
         n = len(ids)
-        yield p, STATE, {"ids": ids, "h": h, "nbr": np.full((n, self.k), -1, np.int64), "score": np.full((n, self.k), -np.inf, np.float32)}
-        yield from ((q, MESSAGE, ("group", *part)) for q, part in _split((mixed(ids, 7) % np.uint64(self.blocks)).astype(np.int64), ids, h))
+        yield p, STATE, {"ids": ids, "vec": vec, "h": h, "nbr": np.full((n, self.k), -1, np.int64), "score": np.full((n, self.k), -np.inf, np.float32), "fresh": np.zeros((n, self.k), bool)}
+        yield from ((q, MESSAGE, ("group", *part)) for q, part in _split(self.spans.owner(p, ids, 7), ids, h))
 
     def start(self, p, state, messages):
         """The nearest within random groups: of the block's own vectors, and of those dealt here."""
-        yield p, STATE, state
-        dealt = [np.concatenate([m[i] for m in messages]) for i in (1, 2)] if messages else [np.empty(0, np.int64), state["h"][:0]]
-        for salt, (ids, h) in ((11, (state["ids"], state["h"])), (13, dealt)):
+        if state is not None:
+            yield p, STATE, state
+        dealt = [np.concatenate([m[i] for m in messages]) for i in (1, 2)] if messages else None
+        for salt, group in ((11, (state["ids"], state["h"]) if state is not None else None), (13, dealt)):
+            if group is None:
+                continue
+            ids, h = group
             order = np.argsort(mixed(ids, salt))
             for i in range(0, len(ids), GROUP):
                 at = order[i : i + GROUP]
@@ -155,46 +177,65 @@ class Builder:
                 m = min(self.k // 2, len(at) - 1)
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m]
                 row = np.repeat(ids[at], m)
-                yield from self.offers(row, ids[at][top].ravel(), np.take_along_axis(s, top, 1).ravel())
+                yield from self.offers(p, row, ids[at][top].ravel(), np.take_along_axis(s, top, 1).ravel())
 
-    def offers(self, row, cand, score):
-        for q, part in _split(owner(row, self.blocks), row, cand, score.astype(np.float32)):
+    def offers(self, p, row, cand, score):
+        for q, part in _split(self.spans.owner(p, row), row, cand, score.astype(np.float32)):
             yield q, MESSAGE, ("offer", *part)
 
     def merge(self, p, state, messages):
         """Take the offers into the lists, then tell each listed vector who lists it. The state counts what changed."""
+        if state is None:
+            return
         offers = [m for m in messages if m[0] == "offer"]
-        ids, nbr, score = state["ids"], state["nbr"], state["score"]
+        ids, nbr, score, fresh = state["ids"], state["nbr"], state["score"], state["fresh"]
         own = np.flatnonzero(nbr.ravel() >= 0)
         rows = [np.repeat(np.arange(len(ids)), self.k)[own], *[np.searchsorted(ids, m[1]) for m in offers]]
         row, cand, s, place = _best(np.concatenate(rows), np.concatenate([nbr.ravel()[own], *[m[2] for m in offers]]), np.concatenate([score.ravel()[own], *[m[3] for m in offers]]), self.k)
+        # what was listed before and compared is not fresh; everything else is
+        pairs = _pair(rows[0], nbr.ravel()[own])
+        old = np.sort(pairs[~fresh.ravel()[own]])
         before = nbr
-        nbr, score = np.full_like(nbr, -1), np.full_like(score, -np.inf)
+        nbr, score, fresh = np.full_like(nbr, -1), np.full_like(score, -np.inf), np.zeros_like(fresh)
         nbr[row, place], score[row, place] = cand, s
+        mine = _pair(row, cand)
+        at = np.minimum(np.searchsorted(old, mine), max(len(old) - 1, 0))
+        is_fresh = (old[at] != mine) if len(old) else np.ones(len(mine), bool)
+        fresh[row, place] = is_fresh
         changed = int((np.sort(nbr, axis=1) != np.sort(before, axis=1)).sum())
-        yield p, STATE, state | {"nbr": nbr, "score": score, "changed": changed}
-        yield from self.backlinks(ids[row], cand)
+        yield p, STATE, state | {"nbr": nbr, "score": score, "fresh": fresh, "changed": changed}
+        yield from self.backlinks(p, ids[row], cand, is_fresh)
 
-    def backlinks(self, lister, listed):
-        for q, part in _split(owner(listed, self.blocks), listed, lister):
+    def backlinks(self, p, lister, listed, fresh):
+        for q, part in _split(self.spans.owner(p, listed), listed, lister, fresh):
             yield q, MESSAGE, ("back", *part)
 
-    def members(self, p, state, messages, salt):
-        """Each vector's list both ways, and a request for the vectors met in them."""
+    def both_ways(self, state, messages, salt):
+        """Each vector's lists both ways, k at random of those that list it, and which of all these are fresh."""
         ids = state["ids"]
-        listed = np.concatenate([m[1] for m in messages if m[0] == "back"] or [np.empty(0, np.int64)])
-        lister = np.concatenate([m[2] for m in messages if m[0] == "back"] or [np.empty(0, np.int64)])
+        back = [m for m in messages if m[0] == "back"]
+        listed, lister = (np.concatenate([m[i] for m in back] or [np.empty(0, np.int64)]) for i in (1, 2))
+        is_fresh = np.concatenate([m[3] for m in back] or [np.empty(0, bool)])
         row = np.searchsorted(ids, listed)
         order = np.lexsort((mixed(lister, salt), row))
-        row, lister = row[order], lister[order]
+        row, lister, is_fresh = row[order], lister[order], is_fresh[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < self.k
-        back = np.full((len(ids), self.k), -1, np.int64)
-        back[row[keep], place[keep]] = lister[keep]
-        yield p, STATE, state | {"back": back}
-        wanted = np.unique(np.concatenate([state["nbr"].ravel(), back.ravel()]))
-        wanted = wanted[wanted >= 0] if (wanted >= 0).any() else wanted[:0]
-        for q, (part,) in _split(owner(wanted, self.blocks), wanted):
+        out, fresh = np.full((len(ids), self.k), -1, np.int64), np.zeros((len(ids), self.k), bool)
+        out[row[keep], place[keep]], fresh[row[keep], place[keep]] = lister[keep], is_fresh[keep]
+        return out, np.concatenate([state["fresh"], fresh], axis=1)
+
+    def members(self, p, state, messages, salt):
+        """Lists both ways, and a request for the vectors met in those that hold anything fresh."""
+        if state is None:
+            return
+        back, fresh = self.both_ways(state, messages, salt)
+        active = np.flatnonzero(fresh.any(axis=1))
+        both = np.concatenate([state["nbr"], back], axis=1)[active]
+        yield p, STATE, state | {"both": both, "new": fresh[active], "fresh": np.zeros_like(state["fresh"])}
+        wanted = np.unique(both)
+        wanted = wanted[wanted >= 0]
+        for q, (part,) in _split(self.spans.owner(p, wanted), wanted):
             yield q, MESSAGE, ("want", p, part)
 
     def reply(self, p, state, messages):
@@ -205,34 +246,46 @@ class Builder:
             yield m[1], MESSAGE, ("have", m[2], state["h"][at], worst[at])
 
     def compare(self, p, state, messages):
-        """Compare the members of each vector's list with each other; offer each its nearest."""
+        """Compare the members of each vector's lists with each other, the fresh ones with all; offer each its nearest."""
+        kept = {k: v for k, v in state.items() if k not in ("both", "new")}
+        yield p, STATE, kept
         ids = np.concatenate([m[1] for m in messages] or [np.empty(0, np.int64)])
         if not len(ids):
-            yield p, STATE, state
             return
         order = np.argsort(ids)
         ids = ids[order]
         h = np.concatenate([m[2] for m in messages])[order].astype(np.float32)
         worst = np.concatenate([m[3] for m in messages])[order]
-        both = np.concatenate([state["nbr"], state["back"]], axis=1)
+        both, new = state["both"], state["new"]
         here = np.where(both >= 0, np.searchsorted(ids, np.maximum(both, ids[0])), -1)
+        # what the block's own vectors list already needs no offer
+        mine = np.isin(ids, state["ids"])
+        at = np.searchsorted(state["ids"], ids[mine])
+        listed = np.sort(_pair(np.repeat(np.flatnonzero(mine), self.k), state["nbr"][at].ravel()))
         found: list = []
         for i in range(0, len(here), 128):
-            m = here[i : i + 128]
+            m, f = here[i : i + 128], new[i : i + 128]
             x = h[m]
             s = x @ x.transpose(0, 2, 1)
-            s[(m[:, :, None] == m[:, None, :]) | (m < 0)[:, :, None] | (m < 0)[:, None, :]] = -np.inf
+            s[(m[:, :, None] == m[:, None, :]) | (m < 0)[:, :, None] | (m < 0)[:, None, :] | ~(f[:, :, None] | f[:, None, :])] = -np.inf
             s[s <= worst[m][:, :, None]] = -np.inf
             t = min(OFFERS, s.shape[2] - 1)
             top = np.argpartition(-s, t - 1, axis=2)[:, :, :t]
             val = np.take_along_axis(s, top, 2)
             ok = val > -np.inf
-            found.append((np.broadcast_to(m[:, :, None], ok.shape)[ok], m[np.arange(len(m))[:, None, None], top][ok], val[ok]))
+            row, cand = np.broadcast_to(m[:, :, None], ok.shape)[ok], m[np.arange(len(m))[:, None, None], top][ok]
+            known = np.zeros(len(row), bool)
+            local = mine[row]
+            if local.any():
+                pairs = _pair(row[local], ids[cand[local]])
+                known[local] = listed[np.minimum(np.searchsorted(listed, pairs), len(listed) - 1)] == pairs
+            found.append((row[~known], cand[~known], val[ok][~known]))
             if len(found) == 8:
                 found = [_best(*[np.concatenate(z) for z in zip(*found, strict=True)], OFFERS)[:3]]
+        if not found:
+            return
         row, cand, s, _ = _best(*[np.concatenate(z) for z in zip(*found, strict=True)], OFFERS)
-        yield p, STATE, {k: v for k, v in state.items() if k != "back"}
-        yield from self.offers(ids[row], ids[cand], s)
+        yield from self.offers(p, ids[row], ids[cand], s)
 
 
 def _pair(q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -244,16 +297,18 @@ class Searcher:
     """The steps of searching. A block keeps its queries' nearest candidates: q (row of the query in the
     block), id, s (score), done (expanded)."""
 
-    def __init__(self, blocks: int, k: int, beam: int, width: int, is_query: Callable):
-        self.blocks, self.k, self.beam, self.width, self.is_query = blocks, k, beam, width, is_query
+    def __init__(self, spans: Spans, k: int, beam: int, width: int, is_query: Callable):
+        self.spans, self.k, self.beam, self.width, self.is_query = spans, k, beam, width, is_query
 
     def begin(self, p, state, messages):
         """Lists both ways; each query starts from its own."""
-        at = np.flatnonzero(self.is_query(state["ids"]))
+        if state is None:
+            return
+        at = np.flatnonzero(self.is_query(state["vec"]))
         nbr = state["nbr"][at]
         ok = nbr >= 0
         q = np.repeat(np.arange(len(at), dtype=np.int32), nbr.shape[1])[ok.ravel()]
-        back = next(Builder(self.blocks, self.k).members(p, state, messages, 99))[2]["back"]
+        back, _ = Builder(self.spans, self.k).both_ways(state, messages, 99)
         graph = {k: state[k] for k in ("ids", "h", "nbr")} | {"back": back, "at": at}
         yield p, STATE, graph | {"q": q, "id": nbr[ok], "s": state["score"][at][ok], "done": np.zeros(len(q), bool)}
 
@@ -281,7 +336,7 @@ class Searcher:
         state["done"][chosen] = True
         yield p, STATE, state | {"ask_q": state["q"][chosen], "ask": state["id"][chosen], "changed": len(chosen)}
         wanted = np.unique(state["id"][chosen])
-        for b, (part,) in _split(owner(wanted, self.blocks), wanted):
+        for b, (part,) in _split(self.spans.owner(p, wanted), wanted):
             yield b, MESSAGE, ("lists", p, part)
 
     def lists(self, p, state, messages):
@@ -306,7 +361,7 @@ class Searcher:
             q, cand = q[first], cand[first]
         yield p, STATE, {k: v for k, v in state.items() if k not in ("ask_q", "ask")} | {"new_q": q, "new_id": cand}
         wanted = np.unique(cand)
-        for b, (part,) in _split(owner(wanted, self.blocks), wanted):
+        for b, (part,) in _split(self.spans.owner(p, wanted), wanted):
             yield b, MESSAGE, ("want", p, part)
 
     def vectors(self, p, state, messages):
@@ -319,30 +374,35 @@ class Searcher:
         q, cand, _, _ = _best(state["q"], state["id"], state["s"], RESCORED)
         yield p, STATE, {"asked": state["ids"][state["at"]], "q": q, "id": cand}
         wanted = np.unique(cand)
-        for b, (part,) in _split(owner(wanted, self.blocks), wanted):
+        for b, (part,) in _split(self.spans.owner(p, wanted), wanted):
             yield b, MESSAGE, ("want", p, part)
 
     def originals(self, p, state, messages):
-        """The original vectors arrive anew; those of the candidates go to the queries' blocks."""
+        """The original vectors arrive anew; those of the candidates go to the queries' blocks, with their ids."""
         raw = [m for m in messages if not isinstance(m[0], str)]
-        ids, v = (np.concatenate([m[i] for m in raw]) for i in range(2))
+        ids, vec, v = (np.concatenate([m[i] for m in raw]) for i in range(3))
         order = np.argsort(ids)
-        ids, v = ids[order], v[order]
-        yield p, STATE, state | {"v": v[np.searchsorted(ids, state["asked"])]}
+        ids, vec, v = ids[order], vec[order], v[order]
+        asked = np.searchsorted(ids, state["asked"])
+        yield p, STATE, state | {"v": v[asked], "vec": vec[asked]}
         for m in messages:
             if isinstance(m[0], str):
-                yield m[1], MESSAGE, ("have", m[2], v[np.searchsorted(ids, m[2])])
+                at = np.searchsorted(ids, m[2])
+                yield m[1], MESSAGE, ("have", m[2], vec[at], v[at])
 
     def results(self, p, state, messages, top):
         if not messages:
             return
-        ids = np.concatenate([m[1] for m in messages])
+        ids, vec, v = (np.concatenate([m[i] for m in messages]) for i in (1, 2, 3))
         order = np.argsort(ids)
-        v = np.concatenate([m[2] for m in messages])[order]
-        q, cand = state["q"], state["id"]
-        score = np.einsum("ij,ij->i", state["v"][q], v[np.searchsorted(ids[order], cand)])
-        q, cand, score, place = _best(q, cand, score, top)
-        yield p, OUT, (state["asked"][q], place + 1, cand, score)
+        q = state["q"]
+        at = order[np.searchsorted(ids[order], state["id"])]
+        score = np.einsum("ij,ij->i", state["v"][q], v[at])
+        order = np.lexsort((vec[at], -score, q))  # candidates are distinct rows; their ids may repeat
+        q, found, score = q[order], vec[at][order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < top
+        yield p, OUT, (state["vec"][q[keep]], place[keep] + 1, found[keep], score[keep])
 
 
 def _settle(rows: DataFrame) -> DataFrame:
@@ -353,16 +413,21 @@ def _settle(rows: DataFrame) -> DataFrame:
     return done
 
 
-def _load(vectors: DataFrame, blocks: int, dim: int) -> DataFrame:
+def _load(vectors: DataFrame, spans: Spans) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(ids):
-                out = [(p, MESSAGE, pickle.dumps(part, 5)) for p, part in _split(owner(ids, blocks), ids, matrix(batch.column(1), dim))]
+            rows, vec = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            out = []
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                v = matrix(batch.column(2).take(pa.array(at)), int(dim))
+                out += [(p, MESSAGE, pickle.dumps(part, 5)) for p, part in _split(spans.of_length(int(dim), rows[at]), rows[at], vec[at], v)]
+            if out:
                 p, kind, body = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], names=["p", "kind", "body"])
 
-    return vectors.where(F.size("v") == dim).mapInArrow(run, ROWS)
+    return vectors.mapInArrow(run, ROWS)
 
 
 def _changed(rows: DataFrame) -> int:
@@ -374,21 +439,25 @@ def _changed(rows: DataFrame) -> int:
     return rows.where(F.col("kind") == STATE).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def build(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> tuple[DataFrame, int, int]:
-    """The graph as blocks' rows with backlinks under way, the number of blocks and the dimension. ``vectors``: vec_id, v."""
-    sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, n = (sizes["dim"], sizes["n"]) if sizes else (1, 0)
-    blocks = max(1, -(-n // block))
-    make = Builder(blocks, k)
-    rows = _rounds(_load(vectors, blocks, dim), blocks, make.load)
+def build(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> tuple[DataFrame, Spans]:
+    """The graph as blocks' rows with backlinks under way, and where the blocks are. ``vectors``: row, vec_id, v."""
+    sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()  # a row for each length
+    spans, n = Spans([(r["dim"], r["n"]) for r in sizes], block), sum(r["n"] for r in sizes)
+    make, blocks = Builder(spans, k), spans.blocks
+    rows = _rounds(_load(vectors, spans), blocks, make.load)
     rows = cut(_rounds(_rounds(rows, blocks, make.start), blocks, make.merge))
-    for i in range(ITERATIONS):
+    for i in range(iterations(n)):
         rows = _rounds(rows, blocks, lambda p, s, m, i=i: make.members(p, s, m, i))
         rows = _rounds(_rounds(rows, blocks, make.reply), blocks, make.compare)
         rows = _settle(_rounds(rows, blocks, make.merge))
         if _changed(rows) <= SETTLED * n * k:
-            break
-    return rows, blocks, dim
+            return rows, spans
+    raise RuntimeError("the neighbour graph did not settle")
+
+
+def iterations(n: int) -> int:
+    """Rounds in which lists settle at the latest: news travels the graph's width, the logarithm of its size, a few times."""
+    return 12 + 4 * max(1, n).bit_length()
 
 
 def search(vectors: DataFrame, is_query: Callable, top: int, k: int = NEIGHBOURS, beam: int = BEAM, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -397,13 +466,13 @@ def search(vectors: DataFrame, is_query: Callable, top: int, k: int = NEIGHBOURS
     ``vectors`` has vec_id and embedding; ``is_query`` tells from an array of ids which are queries.
     """
     ready = cut(usable(vectors).where(nonzero(F.col("v"))))
-    rows, blocks, dim = build(ready, k, block)
-    go = Searcher(blocks, k, beam, width, is_query)
+    rows, spans = build(ready, k, block)
+    blocks, go = spans.blocks, Searcher(spans, k, beam, width, is_query)
     rows = cut(_rounds(_rounds(rows, blocks, go.begin), blocks, go.expand))
     while _changed(rows):
         rows = _rounds(_rounds(rows, blocks, go.lists), blocks, go.meet)
         rows = _settle(_rounds(_rounds(rows, blocks, go.vectors), blocks, go.expand))
-    rows = _rounds(rows.where(F.col("kind") == STATE), blocks, go.last).unionByName(_load(ready, blocks, dim))
+    rows = _rounds(rows.where(F.col("kind") == STATE), blocks, go.last).unionByName(_load(ready, spans))
     rows = _rounds(rows, blocks, go.originals)
     rows = _rounds(rows, blocks, lambda p, s, m: go.results(p, s, m, top))
 
