@@ -46,7 +46,7 @@ from weftgraph.session import cut_table, ship
 
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
-HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 128, 16, 512
+HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 16, 512
 PER_REPLICA, ROUNDS, RATE = 500_000, 4, 0.01
 #: Sets of weights that one task, or the driver, adds up at a time.
 FAN_IN = 8
