@@ -1,12 +1,13 @@
 """Display graphs of small ontologies, by term and label."""
 
+import re
+
 import pytest
 
+from weftgraph.functions import vocabulary as V
 from weftgraph.operators import facets
 from weftgraph.operators.assemble import assemble, to_json
-from weftgraph.plans import compile as C
 from weftgraph.plans import snippets
-from weftgraph.plans.sparql import parse
 from weftgraph.sources.store import rows_frame
 from weftgraph.sources.turtle import read_turtle
 
@@ -96,11 +97,46 @@ def test_empty_graph(spark):
     assert d.nodes.count() == 0 and d.edges.count() == 0 and d.diagnostics.count() == 1
 
 
-def test_rules_fused_or_not_give_the_same_rows(spark):
-    q = graph(spark, CASES["nested"][0] + CASES["inverse"][0])
-    fused = snippets.solutions(q).select("id", "nodetype", "target", "label").collect()
-    text = C.solutions(C.select(parse(snippets.default_query()), C.QuadGraph(q))).collect()
-    assert sorted(map(tuple, fused), key=str) == sorted(map(tuple, text), key=str)
-    assert C.solutions(C.select(parse(snippets.filtered_query({"x": False})), C.QuadGraph(q))).count() == 0
-    some = snippets.run_text(q, snippets.filtered_query({"http://www.w3.org/2002/07/owl#Class": True}))
-    assert "http://www.w3.org/2002/07/owl#Class" in {r["nodeType"] for r in some.collect()}
+PIECES = """
+:N rdfs:subClassOf [ a owl:Class ; owl:unionOf (:A :B) ] . :M rdfs:subClassOf [ owl:complementOf :A ] . :D owl:disjointUnionOf (:A :B :A) .
+[] a owl:Class ; owl:intersectionOf (:A [ a owl:Restriction ; owl:onProperty :p ; owl:someValuesFrom :B ]) . :A rdfs:subClassOf :D, :B .
+:E owl:equivalentClass [ a owl:Class ; owl:oneOf (:i :j) ] . :F owl:oneOf (:i "lit"@en) . :p rdfs:range [ owl:oneOf (:k) ] .
+:G owl:deprecated true . :H owl:deprecated "TRUE" . :I owl:deprecated "1"^^xsd:boolean . :J owl:deprecated false .
+:q a owl:DatatypeProperty ; rdfs:domain :A, :B . :r a owl:ObjectProperty, owl:SymmetricProperty ; rdfs:range :A . :s a rdf:Property . :t a owl:DatatypeProperty ; rdfs:range xsd:int .
+:R a rdfs:Class . :S a rdfs:Class, owl:Class . :A rdfs:label "a"@de, "b" . :A rdf:ID "c" . :i a :A, owl:NamedIndividual . """
+
+
+def test_solutions_of_each_kind(spark):
+    rows = snippets.solutions(graph(spark, PIECES)).collect()
+    local = lambda x: None if x is None else re.sub(".*[#/]", "", x)
+    of = lambda kind: sorted((local(r["id"]) if r["id_kind"] == "I" else "_", local(r["target"]) if r["target_kind"] != "B" else "_") for r in rows if local(r["nodetype"]) == kind)
+    assert of("unionOf") == [("N", "A"), ("N", "B")]  # the anonymous class's operands go to the class below it
+    assert of("complementOf") == [("M", "A")]
+    assert of("disjointUnionOf") == [("D", "A"), ("D", "A"), ("D", "B")]  # a list may hold a member twice
+    assert of("intersectionOf") == [("_", "A"), ("_", "_")]
+    assert of("subClassOf") == [("A", "B")]  # what has a set operator is no super class
+    assert of("blanknode") == [("_", None)] * 3  # intersection, restriction, enumeration; not the union below which :N is
+    # an anonymous enumeration's members come once more for each statement that points at it
+    assert of("oneOf") == [("F", "i"), ("F", "lit")] + [("_", x) for x in "iijjkk"]
+    assert of("deprecated") == [("G", "true"), ("H", "TRUE"), ("I", "1")]
+    assert of("q") == [("A", "Literal"), ("B", "Literal")] and of("t") == [("Literal", "int")]
+    assert of("r") == [("Thing", "A")] * 2 and of("s") == [("Thing", "Thing")]  # once for each type
+    assert of("Class") == [("R", None), ("S", None)] and of("NamedIndividual").count(("A", "i")) == 1 and ("NamedIndividual", "i") not in of("NamedIndividual")
+    labels = sorted((r["label"], r["label_lang"] or "") for r in rows if r["nodetype"] is None)
+    assert labels == [("a", "de"), ("b", "")]
+    weights = {(local(r["nodetype"]), r["weight"]) for r in rows}
+    assert {("Class", 1), ("subClassOf", 2), ("blanknode", None), (None, None), ("ObjectProperty", None)} <= weights
+
+
+def test_solutions_without_labels(spark):
+    lone = [r for r in snippets.solutions(graph(spark, ":A a owl:Class .")).collect() if r["nodetype"] is None]
+    assert [(r["id"], r["label"]) for r in lone] == [(None, "")]
+    other = [r for r in snippets.solutions(graph(spark, ':A rdf:ID "x", "y" .')).collect() if r["nodetype"] is None]
+    assert sorted(r["label"] for r in other) == ["x", "y"]
+
+
+def test_filtered_solutions(spark):
+    q = graph(spark, PIECES + ':A dc:title "t" . :v a xsd:int .')
+    assert snippets.solutions(q, {"x": False}).count() == 0
+    some = {r["nodetype"] for r in snippets.solutions(q, {V.OWL + "Class": True, V.XSD + "int": True, "unionOf": True, "subclass": False}).collect()}
+    assert {V.OWL + "Class", V.XSD + "int", V.OWL + "unionOf", V.OWL + "oneOf"} <= some and not some & {V.DC + "title", V.RDFS + "subClassOf", V.OWL + "complementOf"}

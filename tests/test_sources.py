@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftgraph.functions.vocabulary import PREFIXES, RDF, XSD
 from weftgraph.sources import formats
-from weftgraph.sources.store import READERS, WRITERS, Store, StoreError, graph_name, parse_any, read_documents, read_lines, write_lines
+from weftgraph.sources.store import READERS, WRITERS, Store, StoreError, graph_name, parse_any, read_documents, read_lines, rejected_lines, write_lines
 from weftgraph.sources.turtle import ParseError, read_nquads, read_turtle, write_nquads
 
 ONTOLOGY = {
@@ -120,6 +122,48 @@ def test_lines(spark, tmp_path):
     assert canon([tuple(r) for r in read_lines(spark, str(tmp_path / "out"), "g").collect()]) == canon(rows)
 
 
+def escaped(rng, text, iri=False):
+    """The text with its characters written in one of the ways the syntax has, at random."""
+    out = []
+    for c in text:
+        ways = [] if c in '"\\\n\r' or (iri and c in "<> \\") else [c]
+        if not iri and c in SHORT:
+            ways.append("\\" + SHORT[c])
+        ways.append("\\U%08X" % ord(c) if ord(c) > 0xFFFF else rng.choice(["\\u%04X", "\\u%04x", "\\U%08X"]) % ord(c))
+        out.append(rng.choice(ways))
+    return "".join(out)
+
+
+SHORT = {"\t": "t", "\b": "b", "\n": "n", "\r": "r", "\f": "f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def test_lines_are_read_like_documents(spark, tmp_path):
+    rng = random.Random(11)
+    letters = "ab u U t\\\\\\\"'\t\b\n\r\f\u00e9\u4e2d\U0001f600\ud7ff\ue000\U0010ffff#.<>@^_:"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    lines, want = [], []
+    for i in range(400):
+        value, name = text(12), "urn:x" + "".join(rng.choice("ab\u00e9\U0001f600>") for _ in range(4))
+        obj, lang = f'"{escaped(rng, value)}"', rng.choice([None, "de-AT"])
+        tail, kind = rng.choice([("", None), ("^^<urn:d\\u00e9>", "urn:d\u00e9"), (f"@{lang}", "@")]) if lang else ("", None)
+        graph, g = rng.choice([("", "g"), (" <urn:g\\u00E9>", "urn:g\u00e9"), (" _:own", "f#own")])
+        lines.append(f"<{escaped(rng, name, True)}> <urn:p{i}> {obj}{tail}{graph} .")
+        want.append((g, "I", name, f"urn:p{i}", "L", value, RDF + "langString" if kind == "@" else kind or XSD + "string", "de-at" if kind == "@" else None))
+    bad = ['<urn:a> <urn:p> "\\x" .', '<urn:a> <urn:p> "\\uD800" .', '<urn:a> <urn:p> "\\U00110000" .', "<urn:a> <urn:p> .", "<urn:a b> <urn:p> <urn:c> .", "<> <urn:p> <urn:c> .", 'plain text']
+    for line in bad:
+        with pytest.raises(ParseError):
+            read_nquads(line, "g", "", "f")
+    (tmp_path / "f").write_text("\n".join([*lines, *bad, "", "  # comment"]), newline="")
+    got = [tuple(r) for r in read_lines(spark, str(tmp_path / "f"), "g").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) == sorted(read_nquads("\n".join(lines), "g", "", "f"), key=str)
+    notes = rejected_lines(spark.read.text(str(tmp_path / "f"))).collect()
+    assert len(notes) == len(bad) and {r["severity"] for r in notes} == {"Critical"}
+    store = Store(spark)
+    (tmp_path / "f.nq").write_text("\n".join(bad[:2] + lines[:3]), newline="")
+    store.insert_file(str(tmp_path / "f.nq"))
+    assert store.quads.count() == 3 and store.diagnostics().count() == 2
+
+
 def test_streaming_intake(spark, tmp_path):
     from weftgraph.streaming.ingest import counts_by_graph, quads_of, start
 

@@ -9,7 +9,6 @@ from weftgraph.functions import vocabulary as V
 
 #: Ends of the IRIs of nodes that stand in for an end that a property lacks.
 SUFFIXES = ("_literal", "_localliteral", "_localthing", "_thing", "_value")
-OWN = tuple([V.RDF + x for x in ("HTML", "XMLLiteral", "PlainLiteral", "langString", "Property", "List", "nil")] + [V.RDFS + x for x in ("Class", "Literal", "Resource", "Datatype")] + [V.OWL + x for x in ("Thing", "Nothing", "Class", "real", "rational", "topObjectProperty", "bottomObjectProperty", "topDataProperty", "bottomDataProperty")] + [V.XSD + x for x in V.XSD_NAMES])
 
 
 def iri_label(iri: Column) -> Column:
@@ -34,12 +33,12 @@ def is_synthetic(term: Column) -> Column:
 
 def is_reserved(term: Column) -> Column:
     """Whether a term belongs to the languages themselves."""
-    return term.isin(*OWN)
+    return term.isin(*V.RESERVED)
 
 
 def reserved_type(term: Column) -> Column:
-    """The node type of a reserved term: Thing, or Datatype for every datatype; else null."""
-    return F.when(term == V.OWL + "Thing", F.lit("owl:Thing")).when(term == V.RDFS + "Literal", F.lit("rdfs:Literal")).when(term == V.RDFS + "Resource", F.lit("rdfs:Resource")).when(term.isin(*V.DATATYPES), F.lit("rdfs:Datatype"))
+    """The node type that a reserved term has of itself: Thing, or Datatype for every datatype; others have none."""
+    return F.when(term == V.OWL + "Thing", F.lit("owl:Thing")).when(term.isin(*V.DATATYPES), F.lit("rdfs:Datatype"))
 
 
 def in_base(base: Column, iri: Column) -> Column:

@@ -31,19 +31,45 @@ CHARACTERISTICS = (
     "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "ReflexiveProperty",
     "IrreflexiveProperty", "SymmetricProperty", "AsymmetricProperty",
 )
-PROPERTY_TYPES = tuple(
-    [OWL + x for x in ("DeprecatedProperty", "DatatypeProperty", "ObjectProperty")] + [RDF + "Property"] + [OWL + x for x in CHARACTERISTICS if x != "TransitiveProperty"] + [OWL + "TransitiveProperty"]
-)
+# The types that make a term a property.
+PROPERTY_TYPES = (
+    OWL + "ObjectProperty", OWL + "DatatypeProperty", OWL + "DeprecatedProperty", RDF + "Property", *(OWL + x for x in CHARACTERISTICS),
+)
+# The predicates that a restriction is made of.
 RESTRICTION_PREDICATES = tuple(
     OWL + x
     for x in (
-        "onProperty", "someValuesFrom", "allValuesFrom", "hasSelf", "hasValue", "minCardinality", "maxCardinality",
-        "cardinality", "minQualifiedCardinality", "maxQualifiedCardinality", "qualifiedCardinality", "onClass", "onDataRange",
+        "onProperty", "onClass", "onDataRange", "someValuesFrom", "allValuesFrom", "hasValue", "hasSelf", "cardinality",
+        "minCardinality", "maxCardinality", "qualifiedCardinality", "minQualifiedCardinality", "maxQualifiedCardinality",
     )
 )
-SET_OPERATORS = {OWL + "unionOf": "owl:unionOf", OWL + "intersectionOf": "owl:intersectionOf", OWL + "complementOf": "owl:complementOf", OWL + "disjointUnionOf": "owl:disjointUnionOf"}
-#: Datatypes that become nodes of type rdfs:Datatype.
-DATATYPES = tuple([XSD + x for x in XSD_NAMES] + [XSD + "dayTimeDuration", XSD + "yearMonthDuration"] + [OWL + "real", OWL + "rational"] + [RDF + x for x in ("HTML", "XMLLiteral", "PlainLiteral", "langString")])
+# Datatypes that become nodes of type rdfs:Datatype.
+DATATYPES = (
+    RDF + "XMLLiteral", RDF + "HTML", RDF + "PlainLiteral", OWL + "real", OWL + "rational",
+    *(
+        XSD + x
+        for x in (
+            "anyURI", "base64Binary", "boolean", "byte", "date", "dateTime", "dateTimeStamp", "dayTimeDuration", "decimal",
+            "double", "duration", "float", "gDay", "gMonth", "gMonthDay", "gYear", "gYearMonth", "hexBinary", "int", "integer",
+            "language", "long", "Name", "NCName", "negativeInteger", "NMTOKEN", "nonNegativeInteger", "nonPositiveInteger",
+            "normalizedString", "positiveInteger", "short", "string", "time", "token", "unsignedByte", "unsignedInt",
+            "unsignedLong", "unsignedShort", "yearMonthDuration",
+        )
+    ),
+)
+# Terms of the languages themselves, which are never external.
+RESERVED = (
+    *DATATYPES, OWL + "Thing",
+    *(RDFS + x for x in ("domain", "Literal", "range", "Resource", "subClassOf", "subPropertyOf")),
+    *(
+        OWL + x
+        for x in (
+            "AllDisjointClasses", "AllDisjointProperties", "complementOf", "datatypeComplementOf", "deprecated", "DeprecatedClass",
+            "DeprecatedProperty", "differentFrom", "disjointUnionOf", "disjointWith", "equivalentClass", "equivalentProperty",
+            "intersectionOf", "unionOf",
+        )
+    ),
+)
 NUMERIC = tuple(XSD + x for x in XSD_NAMES if x in ("int", "integer", "negativeInteger", "nonNegativeInteger", "nonPositiveInteger", "positiveInteger", "unsignedInt", "unsignedLong", "unsignedShort", "decimal", "float", "double", "short", "long", "unsignedByte", "byte"))
 
 

@@ -46,19 +46,38 @@ def representatives(pointers: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("the pointers have a cycle")
 
 
-def least_members(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root): the least node connected with each node of the undirected ``pairs`` (a, b).
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least of u and its neighbours. The minimum is summed up before
+    the shuffle, and a hot node's edges are split by the join."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return edges.join(least, "u")
 
-    Each round every node takes the least root among its neighbours and then follows it once more.
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, root for every node of ``edges`` (u, v): the root is the least node of its component.
+
+    Large-star and small-star steps in turn: each links the neighbours of a node to the
+    least of them, until every component is a star; the number of rounds grows with the
+    logarithm of the components' size.
     """
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    now = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root"))
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = None
     for _ in range(rounds):
-        near = both.join(now, both["b"] == now["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        better = now.join(near, "node").select("node", F.least("root", "near").alias("new"), "root")
-        up = now.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
-        step = cut(better.join(up, better["new"] == up["_n"], "left").select("node", F.least("new", F.coalesce("_up", "new")).alias("new"), "root"))
-        now = step.select("node", F.col("new").alias("root"))
-        if step.where("new <> root").isEmpty():
-            return now
-    raise RuntimeError("components did not settle")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        near = _with_least(down)
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
+        now = cut(small.where("u <> v").distinct())
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if mark == (seen["n"], seen["h"]):
+            break
+        mark = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def least_members(pairs: DataFrame) -> DataFrame:
+    """(node, root): the least node connected with each node of the undirected ``pairs`` (a, b)."""
+    return components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))

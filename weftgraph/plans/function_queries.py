@@ -31,10 +31,15 @@ def fn_cardinality(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", terms.numeric_cardinality(low, high).alias("numeric"))
 
 
+#: Names of the languages that aren't reserved, beside one of no language.
+COMMON = (OWL + "inverseOf", OWL + "Class", OWL + "Nothing", V.RDF + "List", V.RDF + "langString", V.RDFS + "label", V.RDFS + "Class", XSD + "anySimpleType", XSD + "QName", "urn:x")
+
+
 def fn_reserved(spark, sf_dir):
-    names = F.array(F.lit(OWL + "Thing"), F.lit(XSD + "int"), F.lit("urn:x"), F.lit(OWL + "inverseOf"))
-    t = F.element_at(names, (F.col("n_nationkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", terms.is_reserved(t).alias("reserved"), terms.reserved_type(t).alias("node"))
+    """Every reserved name, and some that aren't, dealt over the parts."""
+    names = (*V.RESERVED, *COMMON)
+    t = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", t.alias("term"), terms.is_reserved(t).alias("reserved"), terms.reserved_type(t).alias("node"))
 
 
 def fn_external(spark, sf_dir):
@@ -78,7 +83,10 @@ QUERIES = {
     "fn_synthetic": (fn_synthetic, "SELECT p_partkey, concat('urn:', p_type, CASE WHEN p_partkey % 2 = 0 THEN '_thing' ELSE '' END) AS term, p_partkey % 2 = 0 AS made FROM part"),
     "fn_trim_circumfix": (fn_trim_circumfix, "SELECT n_nationkey, n_name AS t FROM nation"),
     "fn_cardinality": (fn_cardinality, "SELECT o_orderkey, o_orderkey % 3 <> 0 AS numeric FROM orders"),
-    "fn_reserved": (fn_reserved, "SELECT n_nationkey, n_nationkey % 4 IN (0,1) AS reserved, CASE n_nationkey % 4 WHEN 0 THEN 'owl:Thing' WHEN 1 THEN 'rdfs:Datatype' END AS node FROM nation"),
+    "fn_reserved": (
+        fn_reserved,
+        f"""SELECT p_partkey, term, reserved, node FROM part JOIN (VALUES {", ".join(f"({i}, '{t}', {i < len(V.RESERVED)}, {chr(39) + 'owl:Thing' + chr(39) if t == OWL + 'Thing' else chr(39) + 'rdfs:Datatype' + chr(39) if t in V.DATATYPES else 'NULL::VARCHAR'})" for i, t in enumerate((*V.RESERVED, *COMMON)))}) t(i, term, reserved, node) ON i = p_partkey % {len(V.RESERVED) + len(COMMON)}""",
+    ),
     "fn_external": (fn_external, "SELECT page_id, page_id % 10 <> 0 AND NOT starts_with(url, 'http://ththre.example.com/') AS ext FROM pages"),
     "fn_language_fallback": (
         fn_language_fallback,

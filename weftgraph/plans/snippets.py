@@ -1,20 +1,25 @@
-"""The default query over an ontology graph: which patterns become rows (id, nodeType, target, label).
+"""The default query over an ontology graph: which quads become rows (id, nodeType, target, label).
 
-Most patterns look for one predicate or one type. They are rows of two rule tables, so
-that one pass over the quads, joined with the rules, replaces a union of many scans.
-The others are SPARQL groups. ``default_query`` writes all of them as one SPARQL text;
-``solutions`` runs them, rules fused; both give the same rows.
+Most rows come from one predicate or one type: these are two rule tables, so one pass over
+the quads, joined with the rules, replaces a union of many scans. The rest is put together
+from a few tables that are made once: the members of all lists, the operands of all set
+operators, the named classes right below anonymous ones, and the ends of properties.
+
+The result is a bag, and says how often something is stated; where a row stands for several
+statements at once it is repeated (``_times``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vocabulary as V
 from weftgraph.functions.vocabulary import DC, DCTERMS, OWL, RDF, RDFS, XML, XSD
+from weftgraph.operators.closure import closure
 from weftgraph.plans import compile as C
 from weftgraph.plans.sparql import parse
+from weftgraph.session import cut
 
 NOT_SUB = (RDFS + "subClassOf", RDFS + "subPropertyOf")
 
@@ -34,109 +39,20 @@ PREDICATE_RULES |= {RDFS + x: RDFS + x for x in ("comment", "isDefinedBy", "seeA
 PREDICATE_RULES |= {OWL + x: OWL + x for x in ("versionInfo", "versionIRI", "priorVersion", "incompatibleWith", "backwardCompatibleWith", "annotatedSource", "annotatedProperty", "annotatedTarget")}
 METADATA = tuple(p for p in PREDICATE_RULES if p.startswith((DC, DCTERMS)) or p in {RDFS + x for x in ("comment", "isDefinedBy", "seeAlso")} | {OWL + x for x in ("versionInfo", "versionIRI", "priorVersion", "incompatibleWith", "backwardCompatibleWith", "annotatedSource", "annotatedProperty", "annotatedTarget")})
 
-_SETS = "unionOf intersectionOf complementOf disjointUnionOf".split()
-
-
-def _operator(name: str) -> str:
-    """Operands of a set operator; an anonymous operand list under a named class belongs to that class."""
-    path = f"owl:{name}" + ("" if name == "complementOf" else "/rdf:rest*/rdf:first")
-    end = "" if name == "complementOf" else "FILTER(?target != rdf:nil)"
-    return f"""{{ {{ ?id {path} ?target {end} FILTER NOT EXISTS {{ ?sub rdfs:subClassOf ?id FILTER(isIRI(?sub)) FILTER(!isIRI(?id)) }} }}
-      UNION {{ ?sub rdfs:subClassOf ?anon FILTER(isIRI(?sub) && !isIRI(?anon)) ?anon {path} ?target {end} BIND(?sub AS ?id) }} BIND(owl:{name} AS ?nodeType) }}"""
-
-
-def _ends() -> str:
-    """Every property with its domain and range, missing ends put in."""
-    kinds = " ".join(f"<{p}>" for p in V.PROPERTY_TYPES)
-    typed = f"VALUES ?kind {{ {kinds} }} ?nodeType a ?kind ."
-    default = "BIND(IF(?kind = owl:DatatypeProperty, rdfs:Literal, owl:Thing) AS ?{0})"
-    no = "FILTER NOT EXISTS {{ ?nodeType rdfs:{0} ?other }}"
-    return f"""{{ {{ {typed} ?nodeType rdfs:range ?target . ?nodeType rdfs:domain ?id }}
-      UNION {{ {typed} ?nodeType rdfs:range ?target {no.format("domain")} {default.format("id")} }}
-      UNION {{ {typed} ?nodeType rdfs:domain ?id {no.format("range")} {default.format("target")} }}
-      UNION {{ {typed} {no.format("range")} {no.format("domain")} BIND(owl:Thing AS ?id) {default.format("target")} }} }}"""
-
-
-GROUPS = {
-    "anonymous": "{ { ?id a owl:Class FILTER(!isIRI(?id)) } UNION { ?id a owl:Restriction FILTER(!isIRI(?id)) } FILTER NOT EXISTS { ?sub rdfs:subClassOf ?id FILTER(isIRI(?sub)) "
-    + " UNION ".join(f"{{ ?id owl:{x} ?part }}" for x in _SETS)
-    + ' } BIND("blanknode" AS ?nodeType) }',
-    **{x: _operator(x) for x in _SETS},
-    "rdfs_class": "{ ?id a rdfs:Class FILTER(?id != owl:Class) FILTER NOT EXISTS { ?id a owl:Class } BIND(rdfs:Class AS ?nodeType) }",
-    "subclass": "{ ?id rdfs:subClassOf ?target " + " ".join(f"FILTER NOT EXISTS {{ ?target owl:{x} ?part }}" for x in _SETS) + " BIND(rdfs:subClassOf AS ?nodeType) }",
-    "xml_base": "{ ?id <" + XML + "base> ?where BIND(<" + XML + "base> AS ?nodeType) }",
-    "deprecated": '{ ?id owl:deprecated ?target FILTER(?target = true || lcase(str(?target)) = "true") BIND(owl:deprecated AS ?nodeType) }',
-    "members": "{ { ?id owl:oneOf ?list } UNION { ?owner ?link ?id FILTER(?link IN (owl:equivalentClass, rdfs:subClassOf, rdfs:range)) FILTER(!isIRI(?id)) ?id owl:oneOf ?list } ?list rdf:rest*/rdf:first ?target FILTER(?target != rdf:nil) BIND(owl:oneOf AS ?nodeType) }",
-    "individuals": "{ ?target a ?id FILTER(isIRI(?id)) FILTER(isIRI(?target)) FILTER(?id != owl:NamedIndividual) BIND(owl:NamedIndividual AS ?nodeType) }",
-    "ends": _ends(),
-    "label": '{ OPTIONAL { ?id rdfs:label ?l1 } OPTIONAL { ?id rdf:resource ?l2 } OPTIONAL { ?id rdf:ID ?l3 } BIND(COALESCE(?l1, ?l2, ?l3, "") AS ?label) }',
-}
-VOID = "{ ?id ?nodeType ?target . ?id rdfs:label ?label FILTER(false) }"
-# Where rows come in the order of the query. A row is tested from the first rank on;
-# one that can't be tested, as it binds no target, has no weight and comes before all.
-RANKS = (("?nodeType = owl:Ontology", 0), ("?nodeType = owl:Class || ?target = owl:Axiom", 1))
-LAST_RANK = 2
-
-
-def _weight() -> str:
-    text = str(LAST_RANK)
-    for test, rank in reversed(RANKS):
-        text = f"IF({test}, {rank}, {text})"
-    return f"BIND({text} AS ?weight)"
-
-
-def _rule_text(types: dict, predicates: dict) -> list[str]:
-    out = []
-    for o, (node, kinds, left_out) in types.items():
-        tests = "FILTER(isIRI(?id))" if kinds == "I" else "FILTER(isIRI(?id) || isBlank(?id))"
-        if left_out:
-            tests += f" FILTER(?id NOT IN ({', '.join(f'<{x}>' for x in left_out)}))"
-        out.append(f"{{ ?id a <{o}> {tests} BIND(<{node}> AS ?nodeType) }}")
-    return out + [f"{{ ?id <{p}> ?target BIND(<{n}> AS ?nodeType) }}" for p, n in predicates.items()]
-
-
-def assemble(parts: list[str], graph: str | None = None) -> str:
-    body = f"{{ {' UNION '.join(parts)} }} {_weight()}"
-    scope = f"GRAPH <{graph}> {{ {body} }}" if graph else body
-    return f"SELECT ?id ?nodeType ?target ?label WHERE {{ {scope} }} ORDER BY ?weight"
-
-
-def default_query(graph: str | None = None) -> str:
-    return assemble(_rule_text(TYPE_RULES, PREDICATE_RULES) + list(GROUPS.values()), graph)
-
-
-def filtered_query(shown: dict[str, bool], graph: str | None = None) -> str:
-    """The query for the checked element types (node types as IRIs, or names of groups); metadata is left out.
-    With none checked it finds nothing."""
-    on = [k for k, v in shown.items() if v]
-    if not on:
-        return assemble([VOID], graph)
-    types = {o: r for o, r in (TYPE_RULES | VALUE_RULES).items() if r[0] in on}
-    predicates = {p: n for p, n in PREDICATE_RULES.items() if n in on and p not in METADATA}
-    groups = [g for k, g in GROUPS.items() if k in on or k in ("label", "ends", "members", "individuals", "deprecated", "xml_base")]
-    types |= {OWL + "Ontology": TYPE_RULES[OWL + "Ontology"]}
-    return assemble(_rule_text(types, predicates) + groups, graph)
-
-
 COLUMNS = ["id_kind", "id", "nodetype_kind", "nodetype", "target_kind", "target", "target_dt", "target_lang", "label", "label_lang"]
 
 
-def _rows(rel: C.Relation) -> DataFrame:
-    none = F.lit(None).cast("string")
-    for v in rel.vars:
-        rel = C.as_term(rel, v)
-    col = lambda v, p="": F.col(f"`{v}{p}`") if v in rel.vars else none
-    return rel.df.select(
-        col("id", "#k").alias("id_kind"), col("id").alias("id"), col("nodeType", "#k").alias("nodetype_kind"), col("nodeType").alias("nodetype"),
-        col("target", "#k").alias("target_kind"), col("target").alias("target"), col("target", "#d").alias("target_dt"), col("target", "#g").alias("target_lang"),
-        col("label").alias("label"), col("label", "#g").alias("label_lang"),
-    )
-
+def by_rules(quads: DataFrame, on: set[str] | None = None) -> DataFrame:
+    """Rows of all rules in one pass: a quad's predicate, or its type, looked up in the rules (some 120 rows, broadcast).
 
-def by_rules(quads: DataFrame) -> DataFrame:
-    """Rows of all rules in one pass: a quad's predicate, or its type, looked up in the rules (some 120 rows, broadcast)."""
+    ``on``: the node types that a filter lets through; it may name types of values, and leaves metadata out."""
     spark = quads.sparkSession
-    rules = [("p", p, n, "IB", []) for p, n in PREDICATE_RULES.items()] + [("t", o, n, k, list(x)) for o, (n, k, x) in TYPE_RULES.items()]
+    types, predicates = TYPE_RULES, PREDICATE_RULES
+    if on is not None:
+        base = {OWL + "Ontology"} if on else set()
+        types = {o: r for o, r in (TYPE_RULES | VALUE_RULES).items() if r[0] in on | base}
+        predicates = {p: n for p, n in PREDICATE_RULES.items() if n in on and p not in METADATA}
+    rules = [("p", p, n, "IB", []) for p, n in predicates.items()] + [("t", o, n, k, list(x)) for o, (n, k, x) in types.items()]
     table = F.broadcast(spark.createDataFrame(rules, "how string, key string, node string, kinds string, left_out array<string>"))
     is_type = (F.col("p") == V.TYPE) & (F.col("o_kind") == "I")
     keyed = quads.withColumn("how", F.when(is_type, "t").otherwise("p")).withColumn("key", F.when(is_type, F.col("o")).otherwise(F.col("p")))
@@ -150,18 +66,142 @@ def by_rules(quads: DataFrame) -> DataFrame:
     )
 
 
-def solutions(quads: DataFrame) -> DataFrame:
-    """The default query's rows with their weight; the order is by weight, rows without one first."""
-    graph = C.QuadGraph(quads)
-    out = by_rules(quads)
-    for text in GROUPS.values():
-        out = out.unionByName(_rows(C.select(parse(f"SELECT ?id ?nodeType ?target ?label WHERE {text}"), graph)))
-    renamed = {"nodeType": ("nodetype", "nodetype_kind", None), "target": ("target", "target_kind", "target_dt")}
+#: Predicates whose object is a list, and those of set operators.
+LISTS = tuple(OWL + x for x in ("unionOf", "intersectionOf", "disjointUnionOf", "oneOf"))
+OPERATORS = (*(x for x in LISTS if x != OWL + "oneOf"), OWL + "complementOf")
+#: Statements that point at an anonymous enumeration, each of which counts its members once more.
+ENUMERATION_USES = (OWL + "equivalentClass", RDFS + "subClassOf", RDFS + "range")
+#: Where a label is looked for; the first of these that the graph uses at all gives the rows.
+LABELS = (RDFS + "label", RDF + "resource", RDF + "ID")
+#: Kinds of rows that a filter can't switch off.
+ALWAYS = ("label", "ends", "members", "individuals", "deprecated", "xml_base")
+O = ("o_kind", "o", "o_dt", "o_lang")
+
+
+def _row(df: DataFrame, node, id_kind="s_kind", id_="s", target=None, node_kind: Column | None = None, label: Column | None = None, label_lang: Column | None = None) -> DataFrame:
+    """Rows in the form of ``COLUMNS``. ``target``: names of four columns, or none."""
     none = F.lit(None).cast("string")
-    cols = {v + p: (F.col(c) if c else none) for v, names in renamed.items() for p, c in zip(C.PARTS, (*names, None), strict=True)}
-    row = C.Relation(out.withColumns({k: c for k, c in cols.items() if k not in ("nodeType", "target")} | {"nodeType": F.col("nodetype")}), {v: C.Bound() for v in renamed})
-    asked = parse("SELECT ?w { " + _weight().replace("?weight", "?w") + " }").pattern
-    return row.df.withColumn("weight", C.evaluate(asked.expression, row).col).select(*out.columns, "weight")
+    to_kind, to, dt, lang = [F.col(c) for c in target] if target else [none] * 4
+    node = F.lit(node) if isinstance(node, str) else node
+    kind = F.when(node.isNotNull(), F.coalesce(node_kind, F.lit("I")) if node_kind is not None else F.lit("I"))
+    values = [F.col(id_kind), F.col(id_), kind, node, to_kind, to, dt, lang, none if label is None else label, none if label_lang is None else label_lang]
+    return df.select(*[v.alias(c) for v, c in zip(values, COLUMNS, strict=True)])
+
+
+def _times(df: DataFrame, n: Column) -> DataFrame:
+    """Each row as often as ``n`` says."""
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("_copy")
+
+
+class Groups:
+    """The rows that rules over single quads can't give, by kind."""
+
+    def __init__(self, quads: DataFrame):
+        self.q = quads
+        stated = self.of(*LISTS).select("s_kind", "s", "p", F.col("o").alias("head"))
+        cells = self.of(V.REST).select(F.col("s").alias("a"), F.col("o").alias("b"))
+        reached = closure(cells, stated.select(F.col("head").alias("a"))).withColumnRenamed("a", "head")
+        firsts = self.of(V.FIRST).where((F.col("o_kind") != "I") | (F.col("o") != V.NIL)).select(F.col("s").alias("b"), *O)
+        #: s_kind, s, p and a member (o ...) of every list that p leads to.
+        self.listed = cut(stated.join(reached, "head").join(firsts, "b").select("s_kind", "s", "p", *O))
+        self.operands = self.listed.where(F.col("p") != OWL + "oneOf").unionByName(self.of(OWL + "complementOf").select("s_kind", "s", "p", *O))
+        #: An anonymous class and the named classes stated to be below it: these own what it is made of.
+        self.below = cut(self.of(RDFS + "subClassOf").where("s_kind = 'I' AND o_kind <> 'I'").select(F.col("o").alias("s"), F.col("s").alias("named")))
+        #: Whatever has a set operator, told from the statement, not from its operands.
+        self.made = cut(self.of(*OPERATORS).select("s", "s_kind").distinct())
+
+    def of(self, *predicates: str) -> DataFrame:
+        return self.q.where(F.col("p").isin(*predicates))
+
+    def typed(self, *types: str) -> DataFrame:
+        return self.of(V.TYPE).where((F.col("o_kind") == "I") & F.col("o").isin(*types))
+
+    def operators(self, predicates=OPERATORS) -> DataFrame:
+        rows = self.operands.where(F.col("p").isin(*predicates)).withColumn("anon", F.when(F.col("s_kind") != "I", F.col("s")))
+        owned = rows.join(self.below.withColumnRenamed("s", "anon"), "anon", "left")
+        owned = owned.withColumns({"id": F.coalesce("named", "s"), "id_kind": F.when(F.col("named").isNotNull(), "I").otherwise(F.col("s_kind"))})
+        return _row(owned, F.col("p"), "id_kind", "id", O)
+
+    def anonymous(self) -> DataFrame:
+        drawn_with_their_owner = self.below.select("s").distinct().join(self.made.where("s_kind <> 'I'").select("s"), "s", "left_semi")
+        rows = self.typed(OWL + "Class", OWL + "Restriction").where("s_kind <> 'I'").join(drawn_with_their_owner, "s", "left_anti")
+        return _row(rows, "blanknode", node_kind=F.lit("L"))
+
+    def rdfs_class(self) -> DataFrame:
+        better = self.typed(OWL + "Class").select("s", "s_kind").distinct()
+        rows = self.typed(RDFS + "Class").where((F.col("s_kind") != "I") | (F.col("s") != OWL + "Class"))
+        return _row(rows.join(better, ["s", "s_kind"], "left_anti"), RDFS + "Class")
+
+    def subclass(self) -> DataFrame:
+        made = self.made.select(F.col("s").alias("o"), F.col("s_kind").alias("o_kind"))
+        return _row(self.of(RDFS + "subClassOf").join(made, ["o", "o_kind"], "left_anti"), RDFS + "subClassOf", target=O)
+
+    def xml_base(self) -> DataFrame:
+        return _row(self.of(XML + "base"), XML + "base")
+
+    def deprecated(self) -> DataFrame:
+        boolean = (F.col("o_kind") == "L") & (F.col("o_dt") == XSD + "boolean") & F.col("o").isin("true", "1")
+        said = (F.col("o_kind") != "B") & (F.lower("o") == "true")
+        return _row(self.of(OWL + "deprecated").where(F.coalesce(boolean, F.lit(False)) | said), OWL + "deprecated", target=O)
+
+    def members(self) -> DataFrame:
+        uses = self.of(*ENUMERATION_USES).where("o_kind <> 'I'").groupBy(F.col("o").alias("s"), F.col("o_kind").alias("s_kind")).agg(F.count("*").alias("uses"))
+        rows = self.listed.where(F.col("p") == OWL + "oneOf").join(uses, ["s", "s_kind"], "left")
+        return _row(_times(rows, 1 + F.coalesce("uses", F.lit(0))), OWL + "oneOf", target=O)
+
+    def individuals(self) -> DataFrame:
+        rows = self.of(V.TYPE).where((F.col("o_kind") == "I") & (F.col("s_kind") == "I") & (F.col("o") != OWL + "NamedIndividual"))
+        rows = rows.withColumns({"dt": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+        return _row(rows, OWL + "NamedIndividual", "o_kind", "o", ("s_kind", "s", "dt", "lang"))
+
+    def ends(self) -> DataFrame:
+        """A property, for each of its types, from each domain to each range; what is missing is a Thing, or a Literal for a datatype property."""
+        kinds = self.typed(*V.PROPERTY_TYPES).select("s_kind", "s", F.when(F.col("o") == OWL + "DatatypeProperty", RDFS + "Literal").otherwise(OWL + "Thing").alias("usual"))
+        domains = self.of(RDFS + "domain").select("s_kind", "s", F.col("o_kind").alias("id_kind"), F.col("o").alias("id"))
+        ranges = self.of(RDFS + "range").select("s_kind", "s", *O)
+        rows = kinds.join(domains, ["s", "s_kind"], "left").join(ranges, ["s", "s_kind"], "left")
+        from_ = F.coalesce("id", F.when(F.col("o").isNull(), OWL + "Thing").otherwise(F.col("usual")))
+        rows = rows.withColumns({"id": from_, "id_kind": F.coalesce("id_kind", F.lit("I")), "o": F.coalesce("o", "usual"), "o_kind": F.coalesce("o_kind", F.lit("I"))})
+        return _row(rows, F.col("s"), "id_kind", "id", O, node_kind=F.col("s_kind"))
+
+    def label(self) -> DataFrame:
+        for i, p in enumerate(LABELS):
+            rows = self.of(p)
+            if rows.isEmpty():
+                continue
+            for other in LABELS[i + 1 :]:  # a statement under a later name repeats the row
+                more = self.of(other).groupBy("s", "s_kind").agg(F.count("*").alias("n"))
+                rows = _times(rows.join(more, ["s", "s_kind"], "left"), F.coalesce("n", F.lit(1))).drop("n")
+            return _row(rows, F.lit(None).cast("string"), label=F.when(F.col("o_kind") != "B", F.col("o")), label_lang=F.col("o_lang"))
+        nothing = self.q.sparkSession.createDataFrame([(None, None)], "s_kind string, s string")
+        return _row(nothing, F.lit(None).cast("string"), label=F.lit(""))
+
+
+def _weight() -> Column:
+    """Where rows come in the order of the query. The ontology first, then classes and axioms, then
+    the rest. A row is tested against one after the other; what can't be told, for it has no target, has no weight."""
+    axiom = (F.col("target_kind") == "I") & (F.col("target") == OWL + "Axiom")
+    tests = F.when(F.col("nodetype") == OWL + "Ontology", 0).when(F.col("nodetype") == OWL + "Class", 1).when(F.col("target").isNull(), F.lit(None)).when(axiom, 1).otherwise(2)
+    return F.when(F.col("nodetype").isNotNull(), tests).cast("int")
+
+
+def solutions(quads: DataFrame, shown: dict[str, bool] | None = None) -> DataFrame:
+    """The default query's rows with their weight; the order is by weight, rows without one first.
+
+    ``shown``: of the element types (node types as IRIs, or names of kinds) those that are switched on give rows,
+    beside what no filter switches off; metadata is then left out, and with nothing on there are no rows.
+    """
+    on = None if shown is None else {k for k, v in shown.items() if v}
+    groups = Groups(quads)
+    parts = {k: getattr(groups, k) for k in ("anonymous", "rdfs_class", "subclass", *ALWAYS)}
+    out = by_rules(quads, on)
+    for name, rows in parts.items():
+        if on is None or name in on or (on and name in ALWAYS):
+            out = out.unionByName(rows())
+    operators = [p for p in OPERATORS if on is None or p in on or p.removeprefix(OWL) in on]
+    if operators:
+        out = out.unionByName(groups.operators(operators))
+    return out.select(*COLUMNS, _weight().alias("weight"))
 
 
 def run_text(quads: DataFrame, text: str) -> DataFrame:

@@ -14,7 +14,7 @@ from datetime import datetime, timezone
 from urllib.parse import urljoin, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.vocabulary import OWL, PREFIXES
@@ -76,28 +76,51 @@ def parse_any(text: str, hint: str | None, graph: str, base: str, label: str) ->
     raise StoreError("no reader takes the document: " + "; ".join(errors)[:500])
 
 
+def decoded(text: Column) -> Column:
+    """Text with its escapes decoded, in the JVM: doubled backslashes are set apart first, so every other one begins an escape."""
+    simple = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'"}
+
+    def one(piece: Column) -> Column:
+        kind = F.substr(piece, F.lit(1), F.lit(1))
+        code = lambda digits: F.decode(F.unhex(F.lpad(F.substr(piece, F.lit(2), F.lit(digits)), 8, "0")), "UTF-32")
+        out = F.when(kind == "u", F.concat(code(4), F.substr(piece, F.lit(6)))).when(kind == "U", F.concat(code(8), F.substr(piece, F.lit(10))))
+        for letter, value in simple.items():
+            out = out.when(kind == letter, F.concat(F.lit(value), F.substr(piece, F.lit(2))))
+        return out.otherwise(piece)
+
+    def part(segment: Column) -> Column:
+        return F.array_join(F.transform(F.split(segment, r"\\"), lambda piece, i: F.when(i == 0, piece).otherwise(one(piece))), "")
+
+    whole = F.array_join(F.transform(F.split(text, r"\\\\"), part), "\\")
+    return F.when(F.contains(text, F.lit("\\")), whole).otherwise(text)
+
+
 def parse_lines(lines: DataFrame, graph: str) -> DataFrame:
-    """Quads of lines (a column value) of N-Triples or N-Quads, taken apart by the JVM; what is no statement is left out."""
-    node = r"(?:<([^<>\s]*)>|_:(\S+))"
-    whole = rf'^\s*{node}\s*<([^<>\s]*)>\s*(?:<([^<>\s]*)>|_:([^\s]+?)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z0-9-]+))?)\s*(?:<([^<>\s]*)>|_:\S+?)?\s*\.\s*(?:#.*)?$'
-    part = lambda i: F.nullif(F.regexp_extract("value", whole, i), F.lit(""))
-    label = F.regexp_extract(F.input_file_name(), "([^/]*)$", 1)
-    # escapes: a doubled backslash is set aside first, so that it doesn't take part in another escape
-    text = F.replace(F.regexp_extract("value", whole, 6), F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\x00", "\\")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    literal = part(4).isNull() & part(5).isNull()
-    rows = lines.where(F.col("value").rlike(whole)).select(
-        F.coalesce(part(9), F.lit(graph)).alias("g"),
-        F.when(part(1).isNotNull(), "I").otherwise("B").alias("s_kind"),
-        F.coalesce(part(1), F.concat(label, F.lit("#"), part(2))).alias("s"),
-        part(3).alias("p"),
-        F.when(literal, "L").when(part(4).isNotNull(), "I").otherwise("B").alias("o_kind"),
-        F.when(literal, text).otherwise(F.coalesce(part(4), F.concat(label, F.lit("#"), part(5)))).alias("o"),
-        F.when(literal, F.when(part(8).isNotNull(), F.lit(turtle.LANG_STRING)).otherwise(F.coalesce(part(7), F.lit(turtle.STRING)))).alias("o_dt"),
-        F.lower(part(8)).alias("o_lang"),
-    )
-    return rows
+    """Quads of lines (a column value) of N-Triples or N-Quads, taken apart by the JVM; ``rejected_lines`` has those that are no statement."""
+    part = lambda i: F.regexp_extract("value", turtle.STATEMENT, i)
+    iri = lambda i: decoded(F.nullif(part(i), F.lit("")))
+    blank = lambda i: F.concat(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1), F.lit("#"), F.nullif(part(i), F.lit("")))
+    # an object that is neither IRI nor blank is a literal, though its text may be empty
+    literal = (part(4) == "") & (part(5) == "")
+    lang = F.nullif(part(8), F.lit(""))
+    return lines.where(F.col("value").rlike(turtle.STATEMENT)).select(
+        F.coalesce(iri(9), blank(10), F.lit(graph)).alias("g"),
+        F.when(part(2) == "", "I").otherwise("B").alias("s_kind"),
+        F.coalesce(blank(2), decoded(part(1))).alias("s"),
+        decoded(part(3)).alias("p"),
+        F.when(part(5) != "", "B").when(literal, "L").otherwise("I").alias("o_kind"),
+        F.coalesce(blank(5), F.when(literal, decoded(part(6)))).alias("o_text"),
+        iri(4).alias("o_iri"),
+        F.when(literal, F.when(lang.isNotNull(), F.lit(turtle.LANG_STRING)).otherwise(F.coalesce(iri(7), F.lit(turtle.STRING)))).alias("o_dt"),
+        F.lower(lang).alias("o_lang"),
+    ).select("g", "s_kind", "s", "p", "o_kind", F.coalesce("o_iri", "o_text").alias("o"), "o_dt", "o_lang")
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Diagnostics for the lines that are neither empty, nor a comment, nor a statement."""
+    bad = lines.where(~F.col("value").rlike(turtle.STATEMENT) & ~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    message = F.concat(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1), F.lit(": not a statement: "), F.substring("value", 1, 60))
+    return bad.select(F.current_timestamp().cast("string").alias("timestamp"), F.lit("Critical").alias("severity"), F.lit("Parser").alias("error_type"), message.alias("message"))
 
 
 def read_lines(spark: SparkSession, path: str, graph: str) -> DataFrame:
@@ -149,13 +172,18 @@ class Store:
         self.spark, self.user, self.resolve_imports, self.limit = spark, user, resolve_imports, limit
         self.quads = rows_frame(spark, [])
         self.notes: list[dict] = []
+        self.line_notes: list[str] = []
         self.uploads: dict[str, list] = {}
 
     def note(self, severity: str, kind: str, message: str) -> None:
         self.notes.append({"timestamp": datetime.now(timezone.utc).isoformat(), "severity": severity, "error_type": kind, "message": message})
 
     def diagnostics(self) -> DataFrame:
-        return self.spark.createDataFrame([tuple(n.values()) for n in self.notes], "timestamp string, severity string, error_type string, message string")
+        """What was noted, and the lines of line formats that are no statement; the others of such a file are kept."""
+        out = self.spark.createDataFrame([tuple(n.values()) for n in self.notes], "timestamp string, severity string, error_type string, message string")
+        for path in self.line_notes:
+            out = out.unionByName(rejected_lines(self.spark.read.text(path)))
+        return out
 
     def add(self, quads: DataFrame) -> None:
         """Graphs are sets: what is already there stays once."""
@@ -169,6 +197,7 @@ class Store:
         g = graph_name(name or path.rsplit("/", 1)[-1], self.user)
         if kind in ("ntriples", "nquads"):
             self.add(read_lines(self.spark, path, g))
+            self.line_notes.append(path)
         else:
             quads, notes = read_documents(self.spark, path, g, self.user, self.limit)
             bad = notes.where("severity = 'Critical'").limit(1).collect()

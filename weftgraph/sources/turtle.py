@@ -226,12 +226,15 @@ def read_n3(text: str, graph: str, base: str, label: str) -> list[tuple]:
     return Turtle(text, graph, base, label, n3=True).parse()
 
 
-LINE = re.compile(
-    r"""\s*(?:<(?P<s>[^<>\s]*)>|(?P<sb>_:\S+))\s*<(?P<p>[^<>\s]*)>\s*
-    (?:<(?P<o>[^<>\s]*)>|(?P<ob>_:[^\s]+?)|"(?P<l>(?:[^"\\]|\\.)*)"(?:\^\^<(?P<d>[^<>\s]*)>|@(?P<g>[A-Za-z0-9-]+))?)
-    \s*(?:<(?P<c>[^<>\s]*)>|(?P<cb>_:\S+?))?\s*\.\s*(?:\#.*)?$""",
-    re.VERBOSE,
-)
+# A statement of N-Triples or N-Quads on a line, as a regular expression that Python and Java take alike. Groups: 1, 2 the
+# subject (IRI, blank), 3 the predicate, 4-8 the object (IRI, blank, literal, datatype, language), 9, 10 the graph (IRI, blank).
+_CODE = r"\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|\\U(?!0000[dD][89a-fA-F])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
+_S = r"[\x20\x09-\x0d]"
+_IRI = rf"<((?:[^<>\x00-\x20\\]|{_CODE})+)>"
+_BLANK = r"_:([^\x00-\x20]+{0})"
+_TEXT = rf"""\"((?:[^"\\]|\\[tbnrf"'\\]|{_CODE})*)\"(?:\^\^{_IRI}|@([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*))?"""
+STATEMENT = rf"^{_S}*(?:{_IRI}|{_BLANK.format('')}){_S}*{_IRI}{_S}*(?:{_IRI}|{_BLANK.format('?')}|{_TEXT}){_S}*(?:{_IRI}|{_BLANK.format('?')})?{_S}*\.{_S}*(?:#[\s\S]*)?(?![\s\S])"
+LINE = re.compile(STATEMENT)
 
 
 def read_nquads(text: str, graph: str, base: str, label: str) -> list[tuple]:
@@ -243,12 +246,13 @@ def read_nquads(text: str, graph: str, base: str, label: str) -> list[tuple]:
         m = LINE.match(line)
         if not m:
             raise ParseError(f"line {n} is not a statement: {line[:60]!r}")
-        s = ("I", unescape(m["s"])) if m["s"] is not None else ("B", f"{label}#{m['sb'][2:]}")
-        if m["l"] is not None:
-            o = ("L", unescape(m["l"]), LANG_STRING if m["g"] else m["d"] or STRING, m["g"].lower() if m["g"] else None)
+        s = ("I", unescape(m[1])) if m[1] is not None else ("B", f"{label}#{m[2]}")
+        if m[6] is not None:
+            o = ("L", unescape(m[6]), LANG_STRING if m[8] else unescape(m[7]) if m[7] else STRING, m[8].lower() if m[8] else None)
         else:
-            o = ("I", unescape(m["o"]), None, None) if m["o"] is not None else ("B", f"{label}#{m['ob'][2:]}", None, None)
-        out.append((unescape(m["c"]) if m["c"] else graph, *s, unescape(m["p"]), *o))
+            o = ("I", unescape(m[4]), None, None) if m[4] is not None else ("B", f"{label}#{m[5]}", None, None)
+        g = unescape(m[9]) if m[9] else f"{label}#{m[10]}" if m[10] else graph
+        out.append((g, *s, unescape(m[3]), *o))
     return out
 
 
