@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.common import append_columns, slices, tidy, without, words_of
-from weftgraph.llm.components import components
+from weftgraph.operators.closure import components
 from weftgraph.session import cut
 
 SEED = 42
