@@ -5,7 +5,7 @@ import re
 import pytest
 
 from weftgraph.functions import vocabulary as V
-from weftgraph.operators import facets
+from weftgraph.operators import closure, facets
 from weftgraph.operators.assemble import assemble, to_json
 from weftgraph.plans import snippets
 from weftgraph.sources.store import rows_frame
@@ -140,3 +140,12 @@ def test_filtered_solutions(spark):
     assert snippets.solutions(q, {"x": False}).count() == 0
     some = {r["nodetype"] for r in snippets.solutions(q, {V.OWL + "Class": True, V.XSD + "int": True, "unionOf": True, "subclass": False}).collect()}
     assert {V.OWL + "Class", V.XSD + "int", V.OWL + "unionOf", V.OWL + "oneOf"} <= some and not some & {V.DC + "title", V.RDFS + "subClassOf", V.OWL + "complementOf"}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(closure, "FEW_EDGES", few)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, 7), (5, 9), (9, 5), (9, 2), (300, 140), (1000, 2000)]
+    got = {r["node"]: r["root"] for r in closure.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 100 for i in (*range(100, 141), 300)} | {5: 2, 9: 2, 2: 2, 1000: 1000, 2000: 1000}
+    assert closure.components(spark.createDataFrame([], "u long, v long")).count() == 0

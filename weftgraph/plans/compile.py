@@ -12,7 +12,9 @@ an error is null, COALESCE passes over errors, FILTER takes null for false.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -326,20 +328,72 @@ def _suffixed(rel: Relation) -> DataFrame:
     return rel.df.select(*[_c(c).alias(c + "~") for c in rel.columns()])
 
 
-def _match(left: Relation, right: Relation, v: str) -> Column:
+def _same(left: Relation, right: Relation, v: str) -> Column:
+    """A variable bound alike on both sides."""
     a, b = left.vars[v], right.vars[v]
-    if a.native:
-        same = _c(v) == _c(v + "~")
-    else:
-        same = (_c(v) == _c(v + "~")) & (_c(v + "#k") == _c(v + "#k~"))
+    same = _c(v) == _c(v + "~")
+    if not a.native:
+        same &= _c(v + "#k") == _c(v + "#k~")
         if a.kind != "I" and b.kind != "I":
             same &= _c(v + "#d").eqNullSafe(_c(v + "#d~")) & _c(v + "#g").eqNullSafe(_c(v + "#g~"))
-    for side, name in ((a, v), (b, v + "~")):
-        if side.maybe:
-            same = same | _c(name).isNull()
     return same
 
 
+#: Variables that may be unbound by which a side is taken apart; a join has one or two as a rule.
+SPLIT = 3
+
+
+def _bound_or_not(rel: Relation, shared: list[str]) -> list[tuple[Column | None, set[str]]]:
+    """The rows of a relation by which of the shared variables they leave unbound: a condition, and those variables."""
+    loose = [v for v in shared if rel.vars[v].maybe]
+    if len(loose) > SPLIT:
+        raise ValueError(f"unsupported: {len(loose)} variables that may be unbound in one join")
+    out = []
+    for unbound in chain.from_iterable(combinations(loose, n) for n in range(len(loose) + 1)):
+        tests = [_c(v).isNull() if v in unbound else _c(v).isNotNull() for v in loose]
+        out.append((_all(tests) if tests else None, set(unbound)))
+    return out
+
+
+def _compatible(left: Relation, right: Relation, shared: list[str], also: list[Column]):
+    """Compatible solutions agree where both are bound. Each side is taken apart by what it leaves unbound, so that every
+    part is joined by equality: (left's rows, [(right's rows, conditions)])."""
+    for on_left, no_left in _bound_or_not(left, shared):
+        parts = []
+        for on_right, no_right in _bound_or_not(right, shared):
+            rows = right.df if on_right is None else right.df.where(on_right)
+            parts.append((_suffixed(Relation(rows, right.vars)), [_same(left, right, v) for v in shared if v not in no_left | no_right] + also))
+        yield left.df if on_left is None else left.df.where(on_left), parts
+
+
+def _pieces(left: Relation, right: Relation, shared: list[str], how: str, also: list[Column]) -> DataFrame:
+    """The join of two aligned relations, both sides' columns side by side; for semi and anti joins the left's alone."""
+    out = None
+
+    def add(df: DataFrame) -> None:
+        nonlocal out
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+
+    def one(rows: DataFrame, part: DataFrame, on: list[Column], how: str) -> DataFrame:
+        return rows.join(part, _all(on), how) if on else rows.crossJoin(part) if how == "inner" else rows.join(part, F.lit(True), how)
+
+    for rows, parts in _compatible(left, right, shared, also):
+        if len(parts) == 1 or how == "inner":
+            for part, on in parts:
+                add(one(rows, part, on, how))
+            continue
+        rest = rows
+        for part, on in parts:
+            if how == "left":
+                add(one(rows, part, on, "inner"))
+            elif how == "left_semi":
+                add(one(rest, part, on, "left_semi"))
+            rest = one(rest, part, on, "left_anti")
+        if how != "left_semi":  # what no part fits
+            add(rest)
+    return out
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -362,20 +416,15 @@ def join(left: Relation, right: Relation, how: str = "inner", condition=None) ->
     if not left.vars and how == "inner" and left.df.columns == ["_unit"]:
         return right
     left, right, shared = _aligned(left, right)
-    on = [_match(left, right, v) for v in shared]
-    merged = _merge_vars(left, right, how == "left")
+    merged, also = _merge_vars(left, right, how == "left"), []
     if condition is not None:
         both = Relation(None, {v: left.vars.get(v) or b for v, b in merged.items()})
 
         def column(name: str) -> str:
             return name if name in left.vars else name + "~"
 
-        renamed = _evaluate_sides(condition, both, column)
-        on.append(F.coalesce(renamed, F.lit(False)))
-    if not on:
-        df = left.df.crossJoin(_suffixed(right)) if how == "inner" else left.df.join(_suffixed(right), F.lit(True), how)
-    else:
-        df = left.df.join(_suffixed(right), _all(on), how)
+        also.append(F.coalesce(_evaluate_sides(condition, both, column), F.lit(False)))
+    df = _pieces(left, right, shared, how, also)
     cols = []
     for v, b in merged.items():
         for c in b.columns(v):
@@ -405,24 +454,25 @@ def exists(left: Relation, pattern, positive: bool, graph) -> Relation:
         else:
             right = filtered(right, f, graph)
     l2, r2, shared = _aligned(left, right)
-    on = [_match(l2, r2, v) for v in shared]
+    also = []
     for f in outer:
         both = Relation(None, r2.vars | l2.vars)
-        on.append(F.coalesce(_evaluate_sides(f, both, lambda n: n if n in l2.vars else n + "~"), F.lit(False)))
-    df = l2.df.join(_suffixed(r2), _all(on) if on else F.lit(True), "left_semi" if positive else "left_anti")
-    return Relation(df, l2.vars)
+        also.append(F.coalesce(_evaluate_sides(f, both, lambda n: n if n in l2.vars else n + "~"), F.lit(False)))
+    return Relation(_pieces(l2, r2, shared, "left_semi" if positive else "left_anti", also), l2.vars)
 
 
 def minus(left: Relation, right: Relation) -> Relation:
+    """Solutions that no compatible one of ``right`` shares a variable with."""
     left, right, shared = _aligned(left, right)
     if not shared:
         return left
-    on = [_match(left, right, v) for v in shared]
-    bound = [_c(v).isNotNull() & _c(v + "~").isNotNull() for v in shared]
-    some = bound[0]
-    for b in bound[1:]:
-        some = some | b
-    return Relation(left.df.join(_suffixed(right), _all(on) & some, "left_anti"), left.vars)
+    out = None
+    for rows, parts in _compatible(left, right, shared, []):
+        for part, on in parts:
+            if on:  # some variable is bound on both sides
+                rows = rows.join(part, _all(on), "left_anti")
+        out = rows if out is None else out.unionByName(rows)
+    return Relation(out, left.vars)
 
 
 def union(parts: list[Relation]) -> Relation:
@@ -519,10 +569,35 @@ class QuadGraph:
 
 def by_triples(graph, triples: list) -> Relation:
     """Triples one by one; a path is taken apart, and a closure starts from what is bound before it."""
-    rel = unit(graph.spark)
-    for t in triples:
-        rel = _with_path(graph, rel, t)
-    return rel
+    return joined(graph.spark, [(_names(t), _has_repeat(t.p), lambda rel, t=t: _with_path(graph, rel, t)) for t in triples])
+
+
+def _names(t: A.Triple) -> set[str]:
+    """The variables of a triple pattern."""
+    return {x.name for x in (t.s, t.p, t.o) if isinstance(x, A.Var)}
+
+
+def joined(spark: SparkSession, parts: list[tuple[set[str], bool, Callable]]) -> Relation:
+    """Patterns joined one by one: (variables, whether it is a repeated path, how it joins a relation).
+
+    The next one shares a variable with those before it, plain ones before repeated paths, which then start from
+    what is bound. Only what shares none with anything is multiplied, and then as a whole, at the end.
+    """
+    out, left = unit(spark), list(parts)
+    while left:
+        rel, bound = unit(spark), set()
+        while True:
+            ready = [p for p in left if p[0] & bound or not p[0]] if bound else left[:1] if all(p[1] for p in left) else [p for p in left if not p[1]][:1]
+            if not ready:
+                break
+            nearest = min(ready, key=lambda p: p[1])
+            left.remove(nearest)
+            rel = nearest[2](rel)
+            bound |= nearest[0]
+            if not left:
+                break
+        out = join(out, rel)
+    return out
 
 
 _fresh = 0

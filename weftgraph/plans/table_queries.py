@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import terms
-from weftgraph.operators.closure import closure, least_members, representatives
+from weftgraph.functions.vocabulary import FIRST, OWL, RDFS, REST, TYPE, XSD
+from weftgraph.operators import facets
+from weftgraph.operators.assemble import Assembler, assemble
+from weftgraph.operators.closure import least_members, representatives
 from weftgraph.plans import compile as C
 from weftgraph.plans.sparql import parse
-from weftgraph.session import table
+from weftgraph.session import cut, table
 from weftgraph.sources.mapping import PREFIXES, TableGraph
+from weftgraph.sources.store import Store
 
 
 def sparql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -34,6 +38,19 @@ SPARQL = {
         "SELECT ?c_custkey ?n_name ?r_name { ?c customer:c_custkey ?c_custkey ; customer:c_nationkey ?n . ?n nation:n_name ?n_name ; nation:n_regionkey ?r . ?r region:r_name ?r_name }",
         "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey",
     ),
+    "bgp_any_order": (
+        "SELECT ?rn ?cn { ?r region:r_name ?rn . ?c customer:c_name ?cn ; customer:c_nationkey ?n . ?n nation:n_regionkey ?r }",
+        "SELECT r_name AS rn, c_name AS cn FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey",
+    ),
+    "compatible_mappings": (
+        "SELECT ?c ?s ?n { { ?x customer:c_custkey ?c ; customer:c_acctbal ?b OPTIONAL { ?x customer:c_nationkey ?n FILTER(?b < 9900) } } { ?y supplier:s_suppkey ?s ; supplier:s_acctbal ?d ; supplier:s_nationkey ?m OPTIONAL { ?m nation:n_name ?name BIND(?m AS ?n) FILTER(?d < 9000) } } }",
+        """WITH l AS (SELECT c_custkey AS c, CASE WHEN c_acctbal < 9900 THEN concat('urn:t:nation:',c_nationkey) END AS n FROM customer), r AS (SELECT s_suppkey AS s, CASE WHEN s_acctbal < 9000 THEN concat('urn:t:nation:',s_nationkey) END AS n FROM supplier)
+          SELECT c, s, l.n FROM l JOIN r ON l.n=r.n UNION ALL SELECT c, s, l.n FROM l JOIN r ON l.n IS NOT NULL AND r.n IS NULL UNION ALL SELECT c, s, r.n FROM l JOIN r ON l.n IS NULL""",
+    ),
+    "filter_typed_boolean": (
+        "SELECT ?doc_id { ?l labels:doc_id ?d ; labels:toxic ?t . ?d documents:doc_id ?doc_id BIND(?t = 1 AS ?flag) FILTER(?flag = true) }",
+        "SELECT doc_id FROM documents JOIN labels USING(doc_id) WHERE toxic=1",
+    ),
     "bgp_chain_fact": (
         "SELECT ?o_orderkey ?l_linenumber ?c_name { ?l lineitem:l_orderkey ?o ; lineitem:l_linenumber ?l_linenumber ; lineitem:l_quantity ?q FILTER(?q > 49) ?o orders:o_orderkey ?o_orderkey ; orders:o_custkey ?c . ?c customer:c_name ?c_name }",
         "SELECT o_orderkey, l_linenumber, c_name FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey WHERE l_quantity>49",
@@ -158,24 +175,53 @@ SPARQL = {
 }
 
 
-# ---- operators of the graph assembly on the tables
+# ---- operators of the engine on the tables
+def _quads(df: DataFrame, s, p: str, o, s_kind: str = "I", o_kind: str = "I", dt: str | None = None, lang=None) -> DataFrame:
+    """Rows of a table as quads of one predicate."""
+    text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
+    return df.select(F.lit("urn:g").alias("g"), F.lit(s_kind).alias("s_kind"), text(s).alias("s"), F.lit(p).alias("p"), F.lit(o_kind).alias("o_kind"), text(o).alias("o"), text(dt).alias("o_dt"), text(lang).alias("o_lang"))
+
+
+def _iri(kind: str, column: str):
+    return F.concat(F.lit(f"urn:o#{kind}_"), F.col(column).cast("string"))
+
+
+def _together(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def graph_set_semantics(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates()
+    """A store's graph is a set: what comes in again, in one batch or a later one, stays once."""
+    lines = table(spark, sf_dir, "lineitem")
+    quads = _quads(lines, F.col("l_orderkey").cast("string"), "urn:line", F.col("l_linenumber").cast("string"), o_kind="L", dt=XSD + "int")
+    store = Store(spark)
+    store.add(quads)
+    store.add(quads.where("o <> '1'"))
+    return store.quads.select(F.col("s").cast("long").alias("l_orderkey"), F.col("o").cast("int").alias("l_linenumber"))
 
 
 def path_star_list(spark, sf_dir):
-    """A list is flattened from its heads along "rest": the turns of a conversation are its cells."""
+    """Lists are flattened along the path rdf:rest*/rdf:first: a conversation's turns are its cells, those that follow on."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
-    cell = F.struct("conv_id", "turn")
-    edges = turns.select(cell.alias("a"), F.struct("conv_id", (F.col("turn") + 1).alias("turn")).alias("b"))
-    edges = edges.join(turns.select(cell.alias("b")), "b", "left_semi")
-    heads = turns.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(cell.alias("a"))
-    return closure(edges, heads).select("b.conv_id", "b.turn")
+    cell = lambda t: F.concat_ws("_", F.lit("urn:c"), F.col("conv_id"), t)
+    heads = turns.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    quads = _together(
+        _quads(heads, F.concat(F.lit("urn:conv:"), F.col("conv_id")), "urn:list", cell(F.col("turn"))),
+        _quads(turns, cell(F.col("turn")), FIRST, F.col("turn").cast("string"), o_kind="L", dt=XSD + "long"),
+        _quads(turns, cell(F.col("turn")), REST, cell(F.col("turn") + 1)),
+    )
+    found = C.solutions(C.select(parse("SELECT ?conv ?turn { ?conv <urn:list>/rdf:rest*/rdf:first ?turn }"), C.QuadGraph(cut(quads))))
+    return found.select(F.regexp_replace("conv", "^urn:conv:", "").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
 
 
 def redirect_closure(spark, sf_dir):
-    """Representatives of a forest of pointers, here i -> i div 2."""
-    return representatives(spark.range(1, 500).select(F.col("id").alias("a"), F.expr("id div 2").alias("b")))
+    """Representatives of a forest of pointers: every order's key points at its half."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"))
+    pointers = keys.where("a > 0").select("a", F.expr("a div 2").alias("b"))
+    return representatives(pointers)
 
 
 def equivalence_components(spark, sf_dir):
@@ -187,60 +233,72 @@ def equivalence_components(spark, sf_dir):
     return s.join(roots, s["s_suppkey"] == roots["node"], "left").select("s_suppkey", F.coalesce("root", "s_suppkey").alias("root"))
 
 
-def first_wins(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("v"))
-
+def label_choice(spark, sf_dir):
+    """Of a term's labels the assembler takes the least, with its language."""
+    events = table(spark, sf_dir, "events").withColumn("lang", F.when(F.col("event_id") % 3 == 0, "en").otherwise("de"))
+    found = Assembler(_quads(events, F.concat(F.lit("urn:o#u"), F.col("user_id")), RDFS + "label", F.col("event_type"), o_kind="L", dt=XSD + "string", lang=F.col("lang")))
+    found.labels()
+    return found.explicit.select("term", "label", "lang")
 
-def last_wins(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("v"))
 
-
-def pivot_restriction(spark, sf_dir):
+def type_priority(spark, sf_dir):
+    """Of a term's types the assembler takes the most telling: customers typed by the status of their orders."""
     orders = table(spark, sf_dir, "orders")
-    return orders.groupBy("o_custkey").agg(*[F.max(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))).alias(s.lower()) for s in "FOP"])
+    typ = F.when(F.col("o_orderstatus") == "P", OWL + "DeprecatedClass").when(F.col("o_orderstatus") == "F", RDFS + "Class").otherwise(OWL + "Class")
+    found = Assembler(_quads(orders, _iri("c", "o_custkey"), TYPE, typ))
+    found.types()
+    return found.nodes.select("term", "element_type")
+
+
+def restriction_pivot(spark, sf_dir):
+    """The statements of a restriction become one row, owned by the class above it: a part's size is how often it has what it is made from."""
+    part = table(spark, sf_dir, "part")
+    r = F.concat(F.lit("r"), F.col("p_partkey").cast("string"))
+    brand = F.concat(F.lit("urn:o#b_"), F.regexp_replace("p_brand", "#", "_"))
+    card = F.when(F.col("p_size") % 3 == 0, OWL + "minQualifiedCardinality").when(F.col("p_size") % 3 == 1, OWL + "maxQualifiedCardinality").otherwise(OWL + "qualifiedCardinality")
+    count = _quads(part, r, "", F.col("p_size").cast("string"), "B", "L", XSD + "nonNegativeInteger").drop("p")
+    count = part.select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("s"), card.alias("p")).join(count, "s").select("g", "s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang")
+    one = spark.range(1)
+    quads = _together(
+        _quads(one, "urn:o", TYPE, OWL + "Ontology"), _quads(one, "urn:o#made", TYPE, OWL + "ObjectProperty"), _quads(part, _iri("p", "p_partkey"), TYPE, OWL + "Class"),
+        _quads(part.select("p_brand").distinct(), brand, TYPE, OWL + "Class"), _quads(part, _iri("p", "p_partkey"), RDFS + "subClassOf", r, o_kind="B"), _quads(part, r, TYPE, OWL + "Restriction", "B"),
+        _quads(part, r, OWL + "onProperty", "urn:o#made", "B"), _quads(part, r, OWL + "onClass", brand, "B"), count,
+    )
+    return assemble(quads).edges.select("domain", "range", "edge_type", "property", "card_min", "card_max")
 
 
 def visible_counts(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).alias("shown"), F.count("*").alias("total"))
-
-
-def label_fallback(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", terms.iri_label(F.regexp_replace("url", r"\?[^#]*", "")).alias("label"))
-
-
-def external_test(spark, sf_dir):
-    base = "http://ththre.example.com"
-    return table(spark, sf_dir, "pages").select("page_id", (~F.col("url").startswith(base)).alias("ext"))
+    """How many elements of each group are shown: an event is an element of one of some types."""
+    types = F.array(*[F.lit(t) for t in ("owl:Class", "rdfs:Literal", "owl:UnionOf", "rdfs:subClassOf", "urn:else")])
+    events = table(spark, sf_dir, "events").groupBy(F.element_at(types, (F.col("user_id") % 5 + 1).cast("int")).alias("element_type")).agg(F.count("*").alias("n"))
+    return facets.visible(events, {"rdfs:Literal": False, "urn:else": False})
 
 
 def symmetric_edge_dedup(spark, sf_dir):
-    return _symmetric_edges(table(spark, sf_dir, "lineitem").where("l_orderkey < 500"))
-
-
-def symmetric_edge_dedup_whole(spark, sf_dir):
-    """Like symmetric_edge_dedup, over all orders: an order has few suppliers, so the join grows with the table."""
-    return _symmetric_edges(table(spark, sf_dir, "lineitem"))
-
-
-def _symmetric_edges(lines):
-    items = lines.select("l_orderkey", "l_suppkey").distinct()
-    other = items.select("l_orderkey", F.col("l_suppkey").alias("o"))
-    pairs = items.join(other, "l_orderkey").where("l_suppkey <> o")
-    return pairs.select(F.least("l_suppkey", "o").alias("x"), F.greatest("l_suppkey", "o").alias("y")).distinct()
+    """Disjointness stated both ways is one edge: suppliers of one order are disjoint."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    pairs = items.join(items.withColumnRenamed("l_suppkey", "other"), "l_orderkey").where("l_suppkey <> other").select("l_suppkey", "other").distinct()
+    suppliers = items.select("l_suppkey").distinct()
+    quads = _together(_quads(suppliers, _iri("s", "l_suppkey"), TYPE, OWL + "Class"), _quads(pairs, _iri("s", "l_suppkey"), OWL + "disjointWith", _iri("s", "other")))
+    edges = assemble(quads).edges.where("edge_type = 'owl:disjointWith'")
+    key = lambda c: F.regexp_replace(c, "^urn:o#s_", "").cast("long")
+    return edges.select(F.least(key("domain"), key("range")).alias("x"), F.greatest(key("domain"), key("range")).alias("y"))
 
 
 def equivalence_merge(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("range")).distinct()
-    canon = table(spark, sf_dir, "nation").select("n_nationkey", F.expr("(n_nationkey div 2) * 2").cast("int").alias("rep"))
-    moved = customer.join(canon, customer["c_nationkey"] == canon["n_nationkey"], "left")
-    return moved.select(F.coalesce("rep", "c_nationkey").alias("domain"), "range").distinct()
+    """Equivalent classes become one, and edges move to it: each odd nation is equivalent to the one before it."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey")
+    customer = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    odd = nation.where("n_nationkey % 2 = 1").withColumn("even", F.col("n_nationkey") - 1)
+    quads = _together(
+        _quads(nation, _iri("n", "n_nationkey"), TYPE, OWL + "Class"), _quads(customer.select("c_mktsegment").distinct(), _iri("m", "c_mktsegment"), TYPE, OWL + "Class"),
+        _quads(odd, _iri("n", "even"), OWL + "equivalentClass", _iri("n", "n_nationkey")), _quads(customer, _iri("n", "c_nationkey"), RDFS + "subClassOf", _iri("m", "c_mktsegment")),
+    )
+    return assemble(quads).edges.where("edge_type = 'rdfs:subClassOf'").select("domain", "range")
 
 
-def type_priority(spark, sf_dir):
-    has = lambda s: F.max(F.col("o_orderstatus") == s)
-    t = F.when(has("P"), "Deprecated").when(has("F"), "Class").otherwise("Thing")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(t.alias("t"))
+def label_fallback(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", terms.iri_label(F.regexp_replace("url", r"\?[^#]*", "")).alias("label"))
 
 
 OPERATORS = {
@@ -251,33 +309,33 @@ OPERATORS = {
     ),
     "redirect_closure": (
         redirect_closure,
-        "WITH RECURSIVE m(a,b) AS (SELECT i, i//2 FROM range(1,500) t(i)), p(a,b,d) AS (SELECT a,b,1 FROM m UNION ALL SELECT p.a,m.b,d+1 FROM p JOIN m ON p.b=m.a) SELECT a, arg_max(b,d) AS root FROM p GROUP BY a",
+        "WITH RECURSIVE m(a,b) AS (SELECT o_orderkey, o_orderkey//2 FROM orders WHERE o_orderkey > 0), p(a,b,d) AS (SELECT a,b,1 FROM m UNION ALL SELECT p.a,m.b,d+1 FROM p JOIN m ON p.b=m.a) SELECT a, arg_max(b,d) AS root FROM p GROUP BY a",
     ),
-    "equivalence_components": (equivalence_components, "SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS root FROM supplier"),
-    "first_wins": (first_wins, "SELECT user_id, arg_min(event_type, (ts,event_id)) AS v FROM events GROUP BY user_id"),
-    "last_wins": (last_wins, "SELECT user_id, arg_max(event_type, (ts,event_id)) AS v FROM events GROUP BY user_id"),
-    "pivot_restriction": (
-        pivot_restriction,
-        "SELECT o_custkey, max(CASE WHEN o_orderstatus='F' THEN o_totalprice END) AS f, max(CASE WHEN o_orderstatus='O' THEN o_totalprice END) AS o, max(CASE WHEN o_orderstatus='P' THEN o_totalprice END) AS p FROM orders GROUP BY 1",
+    "label_choice": (
+        label_choice,
+        "SELECT concat('urn:o#u', user_id) AS term, min(event_type) AS label, min(CASE WHEN event_id % 3 = 0 THEN 'en' ELSE 'de' END) FILTER (WHERE event_type = least_type) AS lang FROM (SELECT *, min(event_type) OVER (PARTITION BY user_id) AS least_type FROM events) GROUP BY user_id",
     ),
-    "visible_counts": (visible_counts, "SELECT event_type, sum(CASE WHEN value>50 THEN 1 ELSE 0 END)::BIGINT AS shown, count(*) AS total FROM events GROUP BY 1"),
-    "label_fallback": (
-        label_fallback,
-        r"SELECT page_id, coalesce(nullif(regexp_extract(url,'#(.*)$',1),''), nullif(regexp_extract(regexp_replace(url,'[?#].*$',''),'/([^/]*)$',1),'')) AS label FROM pages",
+    "type_priority": (
+        type_priority,
+        "SELECT concat('urn:o#c_', o_custkey) AS term, CASE WHEN max(o_orderstatus NOT IN ('P','F')) THEN 'owl:Class' WHEN max(o_orderstatus='F') THEN 'rdfs:Class' ELSE 'owl:DeprecatedClass' END AS element_type FROM orders GROUP BY o_custkey",
+    ),
+    "restriction_pivot": (
+        restriction_pivot,
+        "SELECT concat('urn:o#p_', p_partkey) AS domain, concat('urn:o#b_', replace(p_brand, '#', '_')) AS range, 'owl:ObjectProperty' AS edge_type, 'urn:o#made' AS property, CASE p_size % 3 WHEN 1 THEN '' ELSE p_size::VARCHAR END AS card_min, CASE p_size % 3 WHEN 0 THEN '*' ELSE p_size::VARCHAR END AS card_max FROM part",
+    ),
+    "visible_counts": (
+        visible_counts,
+        "SELECT g AS filter_group, sum(CASE WHEN s THEN n ELSE 0 END)::BIGINT AS shown, sum(n)::BIGINT AS total FROM (SELECT user_id % 5 AS k, count(*) AS n FROM events GROUP BY 1) JOIN (VALUES (0,'classes',true),(1,'rdf',false),(2,'set_operators',true),(3,'properties',true),(4,'other',false)) t(i,g,s) ON i=k GROUP BY g",
     ),
-    "external_test": (external_test, "SELECT page_id, NOT (url LIKE 'http://ththre.example.com%') AS ext FROM pages"),
     "symmetric_edge_dedup": (
         symmetric_edge_dedup,
-        "SELECT DISTINCT least(a.l_suppkey,b.l_suppkey) AS x, greatest(a.l_suppkey,b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_suppkey<>b.l_suppkey WHERE a.l_orderkey<500",
-    ),
-    "symmetric_edge_dedup_whole": (
-        symmetric_edge_dedup_whole,
         "SELECT DISTINCT least(a.l_suppkey,b.l_suppkey) AS x, greatest(a.l_suppkey,b.l_suppkey) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_suppkey<>b.l_suppkey",
     ),
-    "equivalence_merge": (equivalence_merge, "SELECT DISTINCT (c_nationkey//2)*2 AS domain, c_mktsegment AS range FROM customer"),
-    "type_priority": (
-        type_priority,
-        "SELECT o_custkey, CASE WHEN max(o_orderstatus='P') THEN 'Deprecated' WHEN max(o_orderstatus='F') THEN 'Class' ELSE 'Thing' END AS t FROM orders GROUP BY 1",
+    "equivalence_merge": (equivalence_merge, "SELECT DISTINCT concat('urn:o#n_', (c_nationkey//2)*2) AS domain, concat('urn:o#m_', c_mktsegment) AS range FROM customer"),
+    "equivalence_components": (equivalence_components, "SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS root FROM supplier"),
+    "label_fallback": (
+        label_fallback,
+        r"SELECT page_id, coalesce(nullif(regexp_extract(url,'#(.*)$',1),''), nullif(regexp_extract(regexp_replace(url,'[?#].*$',''),'/([^/]*)$',1),'')) AS label FROM pages",
     ),
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -69,6 +70,14 @@ def cut(df):
     return df.checkpoint()
 
 
+def settle(df):
+    """``cut``, and then what earlier rounds of a loop left on disk is given back, as far as nothing refers to it."""
+    done = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
+
+
 _tables: dict[str, list[str]] = {}
 
 

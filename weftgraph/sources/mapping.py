@@ -91,14 +91,15 @@ class TableGraph:
                 stars[key] = []
                 order.append(key)
             stars[key].append((t, place))
-        rel = C.unit(self.spark)
+        parts = []
         for key in order:
             group = stars[key]
+            names = set().union(*(C._names(t) for t, _ in group))
             if group[0][1] is None:
-                rel = C._with_path(self, rel, group[0][0])
+                parts.append((names, C._has_repeat(group[0][0].p), lambda rel, t=group[0][0]: C._with_path(self, rel, t)))
             else:
-                rel = C.join(rel, self._star(key[0], key[1], [(t, place[1]) for t, place in group]))
-        return rel
+                parts.append((names, False, lambda rel, key=key, group=group: C.join(rel, self._star(key[0], key[1], [(t, place[1]) for t, place in group]))))
+        return C.joined(self.spark, parts)
 
     def triple(self, t: A.Triple) -> C.Relation:
         place = self._place(t)
@@ -160,30 +161,24 @@ class TableGraph:
         return C.Relation(df.select(*out), bounds)
 
     def _any_predicate(self, t: A.Triple) -> C.Relation:
-        """A variable predicate: each table once, its columns unpivoted; a later filter on the predicate reaches the scan."""
-        parts = []
+        """A variable predicate: each table read once, its columns unpivoted within the scan."""
+        quads = None
         for name in self.tables:
             df, key = self._subject(name, self.frame(name))
             m = self.tables[name]
             kinds = dict(df.dtypes)
-            columns = [c for c, k in kinds.items() if k in KINDS and c != "_row"]
-            items = [
-                F.struct(
-                    F.lit(f"{NS}{name}#{c}").alias("p"),
-                    (F.concat(F.lit(template(m.references[c])), F.col(c).cast("string")) if c in m.references else F.col(c).cast("string")).alias("o"),
-                    F.lit("I" if c in m.references else "L").alias("k"),
-                    F.lit(None if c in m.references else XSD + KINDS[kinds[c]]).cast("string").alias("d"),
-                )
-                for c in columns
-            ]
-            items.append(F.struct(F.lit(TYPE).alias("p"), F.lit(NS + name).alias("o"), F.lit("I").alias("k"), F.lit(None).cast("string").alias("d")))
+            items = [F.struct(F.lit(TYPE).alias("p"), F.lit(NS + name).alias("o"), F.lit("I").alias("k"), F.lit(None).cast("string").alias("d"))]
+            for c in (c for c, k in kinds.items() if k in KINDS and c != "_row"):
+                linked = c in m.references
+                text = F.col(c).cast("string")
+                items.append(F.struct(
+                    F.lit(f"{NS}{name}#{c}").alias("p"), (F.concat(F.lit(template(m.references[c])), text) if linked else text).alias("o"),
+                    F.lit("I" if linked else "L").alias("k"), F.lit(None if linked else XSD + KINDS[kinds[c]]).cast("string").alias("d"),
+                ))
             s = F.concat(F.lit(template(name) if m.key else f"{name}#"), F.col(key).cast("string"))
-            for item in items:
-                part = df.select(s.alias("s"), F.lit("I" if m.key else "B").alias("s_kind"), item.alias("x")).select("s", "s_kind", "x.*")
-                parts.append(part.where("o IS NOT NULL").select("s_kind", "s", "p", F.col("k").alias("o_kind"), "o", F.col("d").alias("o_dt"), F.lit(None).cast("string").alias("o_lang")))
-        quads = parts[0]
-        for p in parts[1:]:
-            quads = quads.unionByName(p)
+            part = df.select(F.lit("I" if m.key else "B").alias("s_kind"), s.alias("s"), F.explode(F.array(*items)).alias("x")).where("x.o IS NOT NULL")
+            part = part.select("s_kind", "s", "x.p", F.col("x.k").alias("o_kind"), "x.o", F.col("x.d").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+            quads = part if quads is None else quads.unionByName(part)
         return C.QuadGraph(quads.withColumn("g", F.lit(None).cast("string"))).triple(t)
 
     def nodes(self) -> DataFrame:
