@@ -31,7 +31,6 @@ them all if they can be reached; an empty table gives no rows.
 
 from __future__ import annotations
 
-import gc
 import pickle
 from collections.abc import Callable
 
@@ -42,7 +41,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import tidy
 from weftgraph.llm.vectors import matrix, nonzero, usable
-from weftgraph.session import cut
+from weftgraph.session import cut, settle
 
 BLOCK = 4096
 NEIGHBOURS, BEAM, WIDTH = 32, 288, 96
@@ -405,14 +404,6 @@ class Searcher:
         yield p, OUT, (state["vec"][q[keep]], place[keep] + 1, found[keep], score[keep])
 
 
-def _settle(rows: DataFrame) -> DataFrame:
-    """Cut the lineage, and let Spark's cleaner give back the disk of the rounds that are over."""
-    done = cut(rows)
-    gc.collect()
-    rows.sparkSession.sparkContext._jvm.System.gc()
-    return done
-
-
 def _load(vectors: DataFrame, spans: Spans) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -449,7 +440,7 @@ def build(vectors: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> tuple[
     for i in range(iterations(n)):
         rows = _rounds(rows, blocks, lambda p, s, m, i=i: make.members(p, s, m, i))
         rows = _rounds(_rounds(rows, blocks, make.reply), blocks, make.compare)
-        rows = _settle(_rounds(rows, blocks, make.merge))
+        rows = settle(_rounds(rows, blocks, make.merge))
         if _changed(rows) <= SETTLED * n * k:
             return rows, spans
     raise RuntimeError("the neighbour graph did not settle")
@@ -471,7 +462,7 @@ def search(vectors: DataFrame, is_query: Callable, top: int, k: int = NEIGHBOURS
     rows = cut(_rounds(_rounds(rows, blocks, go.begin), blocks, go.expand))
     while _changed(rows):
         rows = _rounds(_rounds(rows, blocks, go.lists), blocks, go.meet)
-        rows = _settle(_rounds(_rounds(rows, blocks, go.vectors), blocks, go.expand))
+        rows = settle(_rounds(_rounds(rows, blocks, go.vectors), blocks, go.expand))
     rows = _rounds(rows.where(F.col("kind") == STATE), blocks, go.last).unionByName(_load(ready, spans))
     rows = _rounds(rows, blocks, go.originals)
     rows = _rounds(rows, blocks, lambda p, s, m: go.results(p, s, m, top))
