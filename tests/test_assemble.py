@@ -6,7 +6,7 @@ import pytest
 
 from weftgraph.functions import vocabulary as V
 from weftgraph.operators import closure, facets
-from weftgraph.operators.assemble import assemble, to_json
+from weftgraph.operators.assemble import assemble, elements, to_json
 from weftgraph.plans import snippets
 from weftgraph.sources.store import rows_frame
 from weftgraph.sources.turtle import read_turtle
@@ -89,7 +89,8 @@ def test_mismatched_inverse_stays_with_a_warning(spark):
     text = ":A a owl:Class . :B a owl:Class . :C a owl:Class . :p a owl:ObjectProperty ; rdfs:domain :A ; rdfs:range :B ; owl:inverseOf :q . :q a owl:ObjectProperty ; rdfs:domain :C ; rdfs:range :A ."
     d = assemble(graph(spark, text))
     assert {r["edge_type"] for r in d.edges.collect()} == {"owl:ObjectProperty"}
-    assert [r["severity"] for r in d.diagnostics.collect()] == ["Warning"]
+    notes = d.diagnostics.collect()
+    assert {r["severity"] for r in notes} == {"Warning"} and sum("inverse" in r["message"] for r in notes) == 1
 
 
 def test_empty_graph(spark):
@@ -149,3 +150,27 @@ def test_components(spark, monkeypatch, few):
     got = {r["node"]: r["root"] for r in closure.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 100 for i in (*range(100, 141), 300)} | {5: 2, 9: 2, 2: 2, 1000: 1000, 2000: 1000}
     assert closure.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_what_cannot_be_drawn_is_reported(spark):
+    text = ":A a owl:Class ; rdfs:subClassOf :Unknown , :B . :B a owl:Class . rdfs:label a owl:ObjectProperty . [] a owl:DatatypeProperty . :p a owl:ObjectProperty ; rdfs:comment 'c' ; rdfs:domain :A ; rdfs:range :B ."
+    d = assemble(graph(spark, text))
+    assert {r["term"] for r in d.nodes.collect()} == {"urn:o#A", "urn:o#B"}
+    assert {(r["domain"], r["range"], r["edge_type"]) for r in d.edges.collect()} == {("urn:o#A", "urn:o#B", "rdfs:subClassOf"), ("urn:o#A", "urn:o#B", "owl:ObjectProperty")}
+    notes = sorted((r["severity"], r["message"]) for r in d.diagnostics.collect())
+    critical = [m for s, m in notes if s == "Critical"]
+    assert len(critical) == 3 and any("Triple{ <urn:o#A> - rdfs:subClassOf - <urn:o#Unknown> }: unresolved reference: <urn:o#Unknown>" in m for m in critical)
+    assert any(m.startswith("Triple{ _:") and "blank node" in m for m in critical) and any("rdf-schema#label>" in m and "property" in m for m in critical)
+    dropped = {m.split(" is dropped")[0] for s, m in notes if s == "Warning"}
+    assert f"<{V.RDFS}comment> of <urn:o#p>" in dropped and f"<{V.DC}title> of <urn:o>" in dropped
+
+
+def test_elements_are_numbered(spark):
+    d = assemble(graph(spark, CASES["inverse"][0]))
+    drawn, triples = (x.collect() for x in elements(d))
+    n = d.nodes.count()
+    assert sorted(r["id"] for r in drawn) == list(range(len(drawn))) and {r["id"] for r in drawn if r["individuals"] is not None} == set(range(n))
+    assert len(triples) == d.edges.count() and len({r["element"] for r in triples}) == len(drawn) - n < len(triples)  # an inverse's two directions are one element
+    term = {r["id"]: r["term"] for r in drawn}
+    assert {(term[r["domain"]], term[r["range"]]) for r in triples} == {(r["domain"], r["range"]) for r in d.edges.collect()}
+    assert [r["name"] for r in facets.entries(facets.counts(d.nodes, d.edges)).collect()] == sorted(r["name"] for r in facets.entries(facets.counts(d.nodes, d.edges)).collect())

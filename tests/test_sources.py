@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from weftgraph.functions.vocabulary import PREFIXES, RDF, XSD
 from weftgraph.sources import formats
-from weftgraph.sources.store import READERS, WRITERS, Store, StoreError, graph_name, parse_any, read_documents, read_lines, rejected_lines, write_lines
+from weftgraph.sources.store import CATALOG, READERS, WRITERS, Store, StoreError, graph_name, parse_any, read_documents, read_lines, rejected_lines, write_lines
 from weftgraph.sources.turtle import ParseError, read_nquads, read_turtle, write_nquads
 
 ONTOLOGY = {
@@ -97,6 +97,10 @@ def test_store(spark, tmp_path):
         store.query("ASK { ?s ?p ?o }")
     with pytest.raises(StoreError):
         store.insert_file(str(tmp_path / "a.unknown"))
+    (tmp_path / CATALOG["OntoViBe"][0]).write_text(ONTOLOGY["ttl"])
+    assert store.graph(store.insert_stored("OntoViBe", str(tmp_path))).count() > 0
+    with pytest.raises(StoreError):
+        store.insert_stored("another", str(tmp_path))
     with pytest.raises(StoreError):
         Store(spark, limit=5).insert_text("@prefix : <urn:u:> .", "x.ttl")
     with pytest.raises(StoreError):

@@ -112,3 +112,21 @@ def is_truthy(text: Column) -> Column:
 def term_of(text: Column) -> Column:
     """kind and text of a name: an IRI if it has a scheme, else a blank node."""
     return F.struct(F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "I").otherwise("B").alias("kind"), text.alias("text"))
+
+
+def display_term(kind: Column, text: Column, datatype: Column | None = None, lang: Column | None = None) -> Column:
+    """A term as diagnostics show it, as N-Triples writes it; nothing for none."""
+    none = F.lit(None).cast("string")
+    tail = F.coalesce(F.concat(F.lit("@"), none if lang is None else lang), F.concat(F.lit("^^<"), F.nullif(none if datatype is None else datatype, F.lit(V.XSD + "string")), F.lit(">")), F.lit(""))
+    literal = F.concat(F.lit('"'), text, F.lit('"'), tail)
+    return F.coalesce(F.when(kind == "I", F.concat(F.lit("<"), text, F.lit(">"))).when(kind == "B", F.concat(F.lit("_:"), text)).otherwise(literal), F.lit(""))
+
+
+def display_triple(subject: Column, predicate: Column, object_: Column) -> Column:
+    """Fixed format: a triple of displayed terms."""
+    return F.format_string("Triple{ %s - %s - %s }", subject, predicate, object_)
+
+
+def display_edge(domain: Column, edge_type: Column, range_: Column) -> Column:
+    """Fixed format: an edge of displayed terms."""
+    return F.format_string("Edge{ %s - %s - %s }", domain, edge_type, range_)

@@ -21,7 +21,7 @@ from weftgraph.functions import terms
 from weftgraph.functions import vocabulary as V
 from weftgraph.functions.vocabulary import DC, DCTERMS, OWL, RDF, RDFS
 from weftgraph.operators.closure import closure, least_members, prepared, representatives
-from weftgraph.session import cut
+from weftgraph.session import cut, numbered
 
 NODE = "term string, term_kind string, element_type string, label string, individuals long"
 EDGE = ["domain", "range", "edge_type", "property", "label", "card_min", "card_max"]
@@ -30,6 +30,10 @@ RANK = ("owl:Class", "owl:AnonymousClass", "rdfs:Class", "owl:DeprecatedClass",
 #: Set operators, and the node type they give their owner.
 OPERATORS = {OWL + "unionOf": "owl:UnionOf", OWL + "intersectionOf": "owl:IntersectionOf", OWL + "complementOf": "owl:Complement", OWL + "disjointUnionOf": "owl:DisjointUnion"}
 NO_DRAW = "NoDraw"
+#: Terms that say what a property is like, and can't be one that is drawn.
+NO_PROPERTIES = (RDFS + "domain", RDFS + "label", RDFS + "range")
+#: A mark for ends of edges that nothing tells what they are.
+UNRESOLVED = "unresolved"
 
 
 @dataclass
@@ -119,7 +123,7 @@ class Assembler:
         told = self.typed(*kinds).select("s", "s_kind", F.when(F.col("o") == OWL + "DatatypeProperty", 1).otherwise(2).alias("k"))
         guessed = traits.select("s", "s_kind").unionByName(inverse).select("s", "s_kind", F.lit(3).alias("k"))
         props = told.unionByName(guessed).where("s_kind = 'I'").groupBy(F.col("s").alias("property")).agg(F.min("k").alias("k"))
-        props = props.where(~F.col("property").isin(RDFS + "subClassOf", RDFS + "subPropertyOf"))
+        props = props.where(~F.col("property").isin(RDFS + "subClassOf", RDFS + "subPropertyOf", *NO_PROPERTIES))
         outside = terms.is_external(F.lit("I"), F.col("property"), F.lit(self.base).cast("string"))
         old = self.typed(OWL + "DeprecatedProperty").select(F.col("s").alias("property")).unionByName(truth.select(F.col("term").alias("property"))).distinct().withColumn("_d", F.lit(True))
         kind = F.when(F.col("k") == 1, "owl:DatatypeProperty").otherwise("owl:ObjectProperty")
@@ -285,6 +289,12 @@ class Assembler:
         edges = edges.withColumns({"domain": F.when(swap, F.least("domain", "range")).otherwise(F.col("domain")), "range": F.when(swap, F.greatest("domain", "range")).otherwise(F.col("range"))})
         edges = cut(edges.dropDuplicates(["domain", "range", "edge_type", "property", "card_min", "card_max"]))
         nodes = self._nodes(edges)
+        # an edge with an end that nothing tells of is reported, not drawn
+        lost = nodes.where(F.col("element_type") == UNRESOLVED).select("term")
+        self.lost = cut(edges.withColumn("end", F.explode(F.array_distinct(F.array("domain", "range")))).join(lost.withColumnRenamed("term", "end"), "end"))
+        nodes = nodes.where(F.col("element_type") != UNRESOLVED)
+        for end in ("domain", "range"):
+            edges = edges.join(lost.withColumnRenamed("term", end), end, "left_anti")
         traits = self.typed(*[OWL + x for x in V.CHARACTERISTICS]).select(F.col("s").alias("property"), F.regexp_replace("o", "^.*#", "").alias("trait"))
         partner = self.inverse.where("fits").select(F.col("p1").alias("property"), F.col("p2").alias("o")).unionByName(self.inverse.where("fits").select(F.col("p2").alias("property"), F.col("p1").alias("o")))
         traits = traits.unionByName(partner.join(traits.select(F.col("property").alias("o"), "trait"), "o").select("property", "trait"))
@@ -320,7 +330,7 @@ class Assembler:
         made = F.when(t.rlike("(_literal|_localliteral)$"), "rdfs:Literal").when(t.rlike("_value$"), "rdfs:Literal").when(t.rlike("(_thing|_localthing)$"), "owl:Thing")
         late = F.coalesce(
             F.when(terms.is_synthetic(t), made), F.when(F.col("_k").isNotNull(), "rdfs:Resource"), F.when(F.col("value").isNotNull(), F.when(F.col("_data"), "rdfs:Datatype").otherwise("rdfs:Resource")),
-            terms.reserved_type(t), F.when(F.col("_b"), "owl:AnonymousClass"), F.when(terms.is_external(F.lit("I"), t, F.lit(self.base).cast("string")), "owl:ExternalClass"), F.lit("rdfs:Resource"),
+            terms.reserved_type(t), F.when(F.col("_b"), "owl:AnonymousClass"), F.when(terms.is_external(F.lit("I"), t, F.lit(self.base).cast("string")), "owl:ExternalClass"), F.lit(UNRESOLVED),
         )
         ends = ends.select("term", F.when(F.col("_b"), "B").otherwise("I").alias("term_kind"), late.alias("element_type"))
         nodes = nodes.unionByName(ends)
@@ -343,7 +353,9 @@ class Assembler:
         """Values of description properties by term, property and language; and the ontology's own as one row."""
         kept = [RDFS + x for x in ("comment", "isDefinedBy", "seeAlso", "label")] + [OWL + x for x in ("versionInfo", "versionIRI", "priorVersion", "incompatibleWith", "backwardCompatibleWith")] + [ns + n for ns in (DC, DCTERMS) for n in V.DC_NAMES]
         rows = cut(self.of(*kept).select(F.col("s").alias("term"), F.col("p").alias("prop"), F.coalesce("o_lang", F.lit("None")).alias("lang"), F.col("o").alias("value")).distinct())
-        of_nodes = self.moved(rows.where(F.col("prop") != RDFS + "label"), "term").join(nodes.select("term"), "term", "left_semi")
+        said = self.moved(rows.where(F.col("prop") != RDFS + "label"), "term")
+        of_nodes = said.join(nodes.select("term"), "term", "left_semi")
+        self.homeless = said.join(nodes.select("term"), "term", "left_anti").select("term", "prop").distinct()
         own = rows.where(F.col("term") == F.lit(self.base).cast("string"))
         present = {r["prop"] for r in rows.select("prop").distinct().collect()}  # at most as many as are looked for
 
@@ -378,8 +390,16 @@ class Assembler:
 
     def _diagnostics(self) -> DataFrame:
         note = lambda df, severity, message: df.select(F.current_timestamp().cast("string").alias("timestamp"), F.lit(severity).alias("severity"), F.lit("Assembly").alias("error_type"), message.alias("message"))
+        iri = lambda c: terms.display_term(F.lit("I"), F.col(c))
         lonely = self.restricted.join(self.folded.select(F.col("r").alias("a")), "a", "left_anti")
         out = note(lonely, "Critical", F.format_string("restriction %s has no owner or says nothing", "a"))
+        edge = terms.display_triple(iri("domain"), F.coalesce(F.when(F.col("property").isNotNull(), iri("property")), "edge_type"), iri("range"))
+        out = out.unionByName(note(self.lost, "Critical", F.concat(edge, F.lit(": unresolved reference: "), iri("end"))))
+        typed = self.typed(*V.PROPERTY_TYPES)
+        triple = terms.display_triple(terms.display_term(F.col("s_kind"), F.col("s")), iri("p"), iri("o"))
+        out = out.unionByName(note(typed.where("s_kind = 'B'"), "Critical", F.concat(triple, F.lit(": a blank node is no property"))))
+        out = out.unionByName(note(typed.where(F.col("s").isin(*NO_PROPERTIES)), "Critical", F.concat(triple, F.lit(": a term of the language can't be drawn as a property"))))
+        out = out.unionByName(note(self.homeless, "Warning", F.concat(iri("prop"), F.lit(" of "), iri("term"), F.lit(" is dropped: no node is drawn for it"))))
         out = out.unionByName(note(self.inverse.where("NOT fits"), "Warning", F.format_string("%s and %s are inverse, but their ends don't match", "p1", "p2")))
         more = self.typed(OWL + "Ontology").where((F.col("s_kind") == "I") & (F.col("s") != F.lit(self.base).cast("string")))
         out = out.unionByName(note(more, "Warning", F.format_string("a further ontology is ignored: %s", "s")))
@@ -393,14 +413,25 @@ def assemble(quads: DataFrame) -> Display:
     return Assembler(quads).run()
 
 
+def elements(display: Display) -> tuple[DataFrame, DataFrame]:
+    """What is drawn, numbered from 0: (id, term, element_type, label, individuals), nodes first and then an element for
+    each edge, one for both directions of an inverse; and (domain, element, range) by these numbers."""
+    nodes = numbered(display.nodes.select("term", "element_type", "label", "individuals"), "id", "term", "element_type")
+    n = nodes.count()
+    shared = F.when(F.col("edge_type") == "owl:InverseOf", F.concat_ws("\n", F.least("domain", "range"), F.greatest("domain", "range"), "label"))
+    edges = display.edges.withColumn("one", F.coalesce(shared, F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in EDGE])))
+    drawn = edges.groupBy("one").agg(F.min("property").alias("term"), F.first("edge_type").alias("element_type"), F.first("label").alias("label"))
+    drawn = numbered(drawn, "id", "one").withColumn("id", F.col("id") + n)
+    end = lambda c: nodes.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id"))
+    triples = edges.join(drawn.select("one", "id"), "one").join(end("domain"), "domain").join(end("range"), "range")
+    both = nodes.unionByName(drawn.select("id", "term", "element_type", "label", F.lit(None).cast("long").alias("individuals")))
+    return both, triples.select(F.col("domain_id").alias("domain"), F.col("id").alias("element"), F.col("range_id").alias("range"), "card_min", "card_max", "characteristics")
+
+
 def to_json(display: Display) -> DataFrame:
-    """One row: the display graph with numbered elements, nodes first and then an element for each edge, as JSON.
-
-    For drawing: the graph must fit one row."""
-    nodes = F.array_sort(F.collect_list(F.struct("term", "element_type", "label", "individuals")))
-    elements = display.nodes.agg(nodes.alias("nodes"))
-    edges = display.edges.agg(F.array_sort(F.collect_list(F.struct("domain", "property", "range", "edge_type", "label", "card_min", "card_max", "characteristics"))).alias("edges"))
-    both = elements.crossJoin(edges).crossJoin(display.header)
-    index = lambda t: F.array_position(F.transform("nodes", lambda n: n["term"]), t) - 1
-    triples = F.transform("edges", lambda e, i: F.array(index(e["domain"]), i + F.size("nodes"), index(e["range"])))
-    return both.select(F.to_json(F.struct("nodes", "edges", triples.alias("triples"), "document_base", "title", "description", "languages")).alias("graph"))
+    """One row: the numbered elements and triples of a display graph, as JSON. For drawing: the graph must fit one row."""
+    drawn, triples = elements(display)
+    nodes = drawn.agg(F.array_sort(F.collect_list(F.struct("id", "term", "element_type", "label", "individuals"))).alias("elements"))
+    edges = triples.agg(F.array_sort(F.collect_list(F.struct("element", "domain", "range", "card_min", "card_max", "characteristics"))).alias("triples"))
+    whole = nodes.crossJoin(edges).crossJoin(display.header)  # one row each
+    return whole.select(F.to_json(F.struct("elements", "triples", "document_base", "title", "description", "languages")).alias("graph"))

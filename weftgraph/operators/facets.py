@@ -31,6 +31,17 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("element_type").unionByName(drawn.select(F.col("edge_type").alias("element_type"))).groupBy("element_type").agg(F.count("*").alias("n")).orderBy("element_type")
 
 
+def display_name(element_type: Column) -> Column:
+    """What a type is called in a list: its local name in words."""
+    local = F.regexp_replace(element_type, "^[^:]*:", "")
+    return F.initcap(F.regexp_replace(local, "(?<=[a-z])(?=[A-Z])", " "))
+
+
+def entries(counted: DataFrame) -> DataFrame:
+    """The entries of a filter list, by what they are called."""
+    return counted.select(display_name(F.col("element_type")).alias("name"), "element_type", "n").orderBy("name", "element_type")
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Totals of a display graph, one row."""
     n = nodes.agg(F.count("*").alias("nodes"), F.count("label").alias("node_labels"), F.coalesce(F.sum("individuals"), F.lit(0)).alias("individuals"))

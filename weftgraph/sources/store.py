@@ -189,6 +189,12 @@ class Store:
         """Graphs are sets: what is already there stays once."""
         self.quads = cut(self.quads.unionByName(quads).dropDuplicates())
 
+    def insert_stored(self, dataset: str, folder: str) -> str:
+        """A dataset of the ``CATALOG``, whose file lies in ``folder``; its graph's name."""
+        if dataset not in CATALOG:
+            raise StoreError(f"no stored dataset {dataset!r}; there are {', '.join(CATALOG)}")
+        return self.insert_file(f"{folder.rstrip('/')}/{CATALOG[dataset][0]}")
+
     def insert_file(self, path: str, name: str | None = None) -> str:
         """A file by its extension, which must be known; its graph's name."""
         kind = formats.strict_type_of(path)
@@ -327,6 +333,12 @@ def fetch(url: str, limit: int = LIMIT) -> bytes:
     return _read(url, limit)
 
 
-#: Documents that can be opened by name; where they lie is up to the caller.
-CATALOG = ("foaf.ttl", "ontovibe.ttl", "clinical-trials.owl", "benchmark-2500.ofn", "envo.owl")
+# The stored datasets by name, with their file's name and number of classes.
+CATALOG = {
+    "Friend of a Friend": ("foaf.ttl", 13),
+    "OntoViBe": ("ontovibe.ttl", 43),
+    "Clinical Trials Ontology": ("ClinicalTrialOntology-merged.owl", 273),
+    "Rendering Benchmark": ("benchmark-2500.ofn", 2500),
+    "Environment Ontology": ("envo.owl", 6900),
+}
 __all__ = ["CATALOG", "Store", "StoreError", "fetch", "graph_name", "parse_any", "read_documents", "read_lines", "unescape", "write_lines"]
