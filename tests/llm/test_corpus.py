@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ import __spark_entry__
 import corpus_pipeline
 from weftgraph.llm import language_id, lm, mixing, sharding, url_filter
 from weftgraph.llm import queries as Q
-from weftgraph.llm.common import fold_of
+from weftgraph.llm.common import fold_of, words_of
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,6 +59,14 @@ def test_lm_without_training_and_empty(spark):
     assert lm.score(df.where("doc_id > 5"), F.lit(True)).count() == 0
 
 
+def test_words_are_split_as_stated():
+    texts = ["  A b\tÉ ", None, "", " \x0b", "x\x1cy\x85z\u2003w\x0cq", "one"]
+    words, bounds = lm.split_words(pa.array(texts))
+    assert words.to_pylist() == ["a", "b", "É", "x\x1cy\x85z\u2003w", "q", "one"] and bounds.tolist() == [0, 3, 3, 3, 3, 5, 6]
+    assert [w.decode() for t in texts for w in words_of(t)] == words.to_pylist()
+    assert lm._sums(np.arange(6.0), bounds).tolist() == [3, 0, 0, 0, 7, 5]
+
+
 def test_lm_learns_from_every_training_document(spark):
     words = [[b"d%dw%d" % (i, j) for j in range(4)] for i in range(60)]
     head = {w: 3 for of in words for w in of}
@@ -65,7 +74,7 @@ def test_lm_learns_from_every_training_document(spark):
     df = spark.createDataFrame([(i, b" ".join(of * 3).decode()) for i, of in enumerate(words)], "doc_id long, text string")
     coded = lm.encoded(df.select(F.xxhash64("doc_id").alias("place"), "text"), codes)
     before, after = lm.initial(codes), lm.learn(coded, codes, 100_000_000)  # the tokens of a large corpus
-    moved = [i for i, of in enumerate(words) if all((before["x"][codes.encode([w])[0][0] + 1] != after["x"][codes.encode([w])[0][0] + 1]).any() for w in of)]
+    moved = [i for i, of in enumerate(words) if all((before["x"][codes.encode(pa.array([w.decode()]))[0][0] + 1] != after["x"][codes.encode(pa.array([w.decode()]))[0][0] + 1]).any() for w in of)]
     assert moved == list(range(60))
 
 

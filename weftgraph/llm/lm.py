@@ -33,20 +33,20 @@ import hashlib
 import heapq
 import pickle
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import slices, tidy, words_of, without
+from weftgraph.llm.common import slices, tidy, without
 from weftgraph.session import cut_table, ship
 
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
-HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 16, 512
+HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 16, 256
 PER_REPLICA, ROUNDS, RATE = 500_000, 4, 0.01
 #: Sets of weights that one task, or the driver, adds up at a time.
 FAN_IN = 8
@@ -101,7 +101,7 @@ class Codes:
         self.members = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
         # of each word of the head: its code, log10 of its count plus one, and log10 of its share of its class
-        self.index = {w: i for i, w in enumerate(ranked)}
+        self.words = pa.array(ranked, pa.binary()).cast(pa.string())
         count = np.array([head[w] for w in ranked], np.float64)
         self.code = np.array([i + 1 if i < SHORT else -self.word_class(w) for i, w in enumerate(ranked)], np.int32)
         self.base = np.log10(count + 1)
@@ -110,22 +110,38 @@ class Codes:
     def small(self) -> Codes:
         """What learning and scoring need of it, without the words."""
         out = copy.copy(self)
-        for name in ("index", "code", "base", "static", "suffix"):
+        for name in ("words", "code", "base", "static", "suffix"):
             delattr(out, name)
         return out
 
     def word_class(self, w: bytes) -> int:
         return self.suffix.get(w[-2:], self.rest)
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the words: places in the shortlist, or minus the class; and the words' places in the head, or -1."""
-        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
         codes = self.code[place] if len(self.code) else np.zeros(len(words), np.int32)
-        for i in np.flatnonzero(place < 0):
-            codes[i] = -self.word_class(words[i])
+        beyond = np.flatnonzero(place < 0)
+        codes[beyond] = [-self.word_class(w.encode()) for w in words.take(pa.array(beyond)).to_pylist()]
         return codes, place
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, and where each text's words begin; the last bound is their number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real), before[bounds - bounds[0]]
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the values between the bounds."""
+    out = np.add.reduceat(np.append(values, 0.0), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+    out[bounds[1:] == bounds[:-1]] = 0
+    return out
+
+
 def initial(codes: Codes, seed: int = 1) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     h = HIDDEN
@@ -292,16 +308,18 @@ class Learner:
     def window(self, inputs, targets, real, h, rate):
         p, codes, n = self.p, self.codes, HIDDEN
         out, last, saved = states(p, inputs, h, keep=True)
-        flat, target, weight = out.reshape(-1, n), targets.reshape(-1), real.reshape(-1).astype(out.dtype)
-        weight /= max(weight.sum(), 1)
+        flat, target = out.reshape(-1, n), targets.reshape(-1)
+        some = None if real.all() else np.flatnonzero(real.reshape(-1))  # at the lanes' ends
+        if some is not None:
+            flat, target = flat[some], target[some]
+        count = max(len(target), 1)
         cls = _class_of(codes, target)
         bias, safe = _shifted(p["wc"], p["bc"])
         logits = flat @ p["wc"]
         logits += bias
         d, log = _softmax(logits, cls, safe, True)
-        loss = -float(log @ weight)
+        loss = -float(log.sum())
         d[np.arange(len(cls)), cls] -= 1
-        d *= weight[:, None]
         ones = np.ones(len(d), out.dtype)
         g = {"wc": flat.T @ d, "bc": ones @ d, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
         dh = d @ p["wc"].T
@@ -309,19 +327,22 @@ class Learner:
         if met:
             bias, safe = _shifted_words(p, codes)
             order = order[: met[-1][1].stop]
-            sorted_h, told, by_row, inner_dh = flat[order], target[order], weight[order], np.zeros((len(order), n), out.dtype)
+            sorted_h, told, inner_dh = flat[order], target[order], np.zeros((len(order), n), out.dtype)
             for words, rows in met:
                 inner = sorted_h[rows] @ p["wo"][words].T
                 inner += bias[words]
-                e, log = _softmax(inner, told[rows] - words.start, safe, True)
-                loss -= float(log @ by_row[rows])
-                e[np.arange(len(e)), told[rows] - words.start] -= 1
-                e *= by_row[rows][:, None]
+                own = told[rows] - words.start
+                e, log = _softmax(inner, own, safe, True)
+                loss -= float(log.sum())
+                e[np.arange(len(e)), own] -= 1
                 g["wo"][words] = e.T @ sorted_h[rows]
                 g["bo"][words] = ones[: len(e)] @ e
                 np.matmul(e, p["wo"][words], out=inner_dh[rows])
             dh[order] += inner_dh
-        loss *= max(float(real.sum()), 1)
+        if some is not None:
+            whole = np.zeros((real.size, n), out.dtype)
+            whole[some] = dh
+            dh = whole
         dh = dh.reshape(out.shape)
         # what of each step's gradient doesn't hang on the steps after it, for all steps at once
         before, gates, un, c = saved
@@ -352,8 +373,8 @@ class Learner:
         rows, gx = read[order][starts], np.add.reduceat(dx.reshape(-1, 3 * n)[order], starts, axis=0)
         g |= {"u": du, "b": db}
         self.steps += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()) + float((gx * gx).sum()))
-        scale = min(1.0, 1.0 / max(norm, 1e-9))
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in (*g.values(), gx))) / count
+        scale = min(1.0, 1.0 / max(norm, 1e-9)) / count
         step = rate * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for k, x in [*g.items(), ("x", gx)]:
             at = rows if k == "x" else slice(None)
@@ -374,20 +395,27 @@ class Learner:
 
 
 def _count_words(batches):
-    counts: Counter = Counter()
+    parts, n = [], 0
+
+    def summed():
+        return pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
 
-    def out():
-        words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[w] for w in words], pa.int64())], names=["word", "c"])
+    def out(table):
+        return pa.RecordBatch.from_arrays([table["word"].combine_chunks().cast(pa.binary()), table["c"].combine_chunks()], names=["word", "c"])
 
     for whole in batches:
-        for text in whole.column(0).to_pylist():
-            counts.update(words_of(text))
-            if len(counts) >= COUNTED:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+        for batch in slices(whole, whole.schema.names[0]):
+            counts = pc.value_counts(split_words(batch.column(0))[0])
+            parts.append(pa.table({"word": counts.field("values"), "c": counts.field("counts")}))
+            n += len(counts)
+            if n >= 2 * COUNTED:
+                parts = [summed()]
+                n = len(parts[0])
+                if n >= COUNTED:
+                    yield out(parts[0])
+                    parts, n = [], 0
+    if parts and n:
+        yield out(summed())
 
 
 def count(training: DataFrame, text: str = "text") -> DataFrame:
@@ -434,19 +462,22 @@ def encoded(docs: DataFrame, codes: Codes, ends: int = 0, per_token: float = 0.0
         (c,) = _held(*packed.value)
         for whole in batches:
             for batch in slices(whole, text):
-                rows = []
-                for x in batch.column(batch.num_columns - 1).to_pylist():
-                    found = words_of(x)
-                    told, place = c.encode(found)
-                    met = place[place >= 0]
-                    beyond = np.flatnonzero(place < 0)
-                    static = c.static[met].sum() + c.log_per_count[-told[beyond]].sum()
-                    apart = (c.log_unseen - c.log_per_count)[-told[beyond]].tolist()
-                    tail = [{"word": found[i], "unseen": u} for i, u in zip(beyond.tolist(), apart, strict=True)]
-                    base = np.log10(ends + 1.0) - (len(found) + 1) * per_token + float(c.base[met].sum())
-                    rows.append((len(found) + 1, len(met) + (ends > 0), base, float(static), tail, told.astype("<i2").tobytes()))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), _TAIL, pa.binary()]
-                arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                words, bounds = split_words(batch.column(batch.num_columns - 1))
+                told, place = c.encode(words)
+                known, size = place >= 0, np.diff(bounds)
+                beyond = np.flatnonzero(~known)
+                static, base = np.zeros(len(told)), np.zeros(len(told))
+                static[known], base[known] = c.static[place[known]], c.base[place[known]]
+                static[beyond] = c.log_per_count[-told[beyond]]
+                apart = (c.log_unseen - c.log_per_count)[-told[beyond]].astype(np.float32)
+                tail = pa.StructArray.from_arrays([words.take(pa.array(beyond)).cast(pa.binary()), pa.array(apart)], names=["word", "unseen"])
+                data = told.astype("<i2")
+                arrays = [
+                    pa.array(size + 1), pa.array(_sums(known.astype(float), bounds).astype(np.int64) + (ends > 0)),
+                    pa.array(np.log10(ends + 1.0) - (size + 1) * per_token + _sums(base, bounds)), pa.array(_sums(static, bounds)),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(beyond, bounds).astype(np.int32)), tail).cast(_TAIL),
+                    pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(data)]),
+                ]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=out.fieldNames())
 
     return docs.mapInArrow(tidy(run, "lm codes", _loaded.clear), out)
