@@ -12,7 +12,7 @@ from weftgraph.operators import assemble as A
 from weftgraph.operators import facets
 from weftgraph.plans import snippets
 from weftgraph.session import cut, ensure_checkpoint_dir, table
-from weftgraph.sources.store import read_lines, write_lines
+from weftgraph.sources.store import parse_lines, read_lines, rejected_lines, write_lines
 from weftgraph.sources.turtle import STRING
 
 BASE = "urn:o:catalogue"
@@ -88,6 +88,30 @@ def graph_lines_round_trip(spark, sf_dir):
     return read_lines(spark, path, G).groupBy("p", "o_kind").agg(F.count("*").alias("n"))
 
 
+def graph_clause(spark, sf_dir):
+    """Customers of a nation in a graph of its own: each graph with its name, and one by its name."""
+    customer = table(spark, sf_dir, "customer")
+    none = F.lit(None).cast("string")
+    quads = customer.select(
+        F.concat(F.lit("urn:n:"), F.col("c_nationkey").cast("string")).alias("g"), F.lit("I").alias("s_kind"), F.concat(F.lit("urn:c:"), F.col("c_custkey").cast("string")).alias("s"),
+        F.lit("urn:segment").alias("p"), F.lit("L").alias("o_kind"), F.col("c_mktsegment").alias("o"), F.lit(STRING).alias("o_dt"), none.alias("o_lang"),
+    )
+    return snippets.run_text(quads, "SELECT ?g ?c ?s { { GRAPH ?g { ?c <urn:segment> ?s } } UNION { GRAPH <urn:n:3> { ?c <urn:segment> ?s } } }")
+
+
+#: A statement with escapes of every kind, around a key and a name.
+ESCAPED = (r"<urn:né:", r'> <urn:p> "café ', r"\t\"\U0001F600\\n\n\b\f\n\r\'" + '"@EN _:own .')
+
+
+def lines_escapes(spark, sf_dir):
+    """N-Quads written with escapes of every kind, read line by line; and how many lines are no statement."""
+    nation = table(spark, sf_dir, "nation")
+    lines = nation.select(F.concat(F.lit(ESCAPED[0]), F.col("n_nationkey").cast("string"), F.lit(ESCAPED[1]), "n_name", F.lit(ESCAPED[2])).alias("value"))
+    both = lines.unionByName(nation.select(F.concat(F.lit('<urn:a> <urn:p> "'), "n_name", F.lit(r'\x" .')).alias("value")))
+    rejected = rejected_lines(both).agg(F.count("*").alias("rejected"))
+    return parse_lines(both, G).crossJoin(rejected).select(F.regexp_replace("g", "^.*#", "#").alias("g"), "s", F.hex("o").alias("bytes"), "o_lang", "rejected")  # one row of a count
+
+
 def graph_json(spark, sf_dir):
     return A.to_json(A.assemble(catalogue(spark, sf_dir)))
 
@@ -124,6 +148,14 @@ QUERIES = {
           UNION ALL SELECT '{TYPE}', 'I' FROM range(4) UNION ALL SELECT '{OWL}versionInfo', 'L' UNION ALL SELECT '{RDFS}label', 'L' FROM (SELECT DISTINCT p_type FROM part)
           UNION ALL SELECT '{RDFS}domain', 'I' FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT '{RDFS}subClassOf', 'I' FROM (SELECT DISTINCT p_type, p_brand FROM part)) GROUP BY 1, 2""",
     ),
+    "graph_clause": (
+        graph_clause,
+        "SELECT concat('urn:n:', c_nationkey) AS g, concat('urn:c:', c_custkey) AS c, c_mktsegment AS s FROM customer UNION ALL SELECT NULL, concat('urn:c:', c_custkey), c_mktsegment FROM customer WHERE c_nationkey = 3",
+    ),
+    "lines_escapes": (
+        lines_escapes,
+        "SELECT '#own' AS g, concat('urn:né:', n_nationkey) AS s, hex(concat('café ', n_name, chr(9), chr(34), chr(128512), chr(92), 'n', chr(10), chr(8), chr(12), chr(10), chr(13), chr(39))) AS bytes, 'en' AS o_lang, (SELECT count(*) FROM nation) AS rejected FROM nation",
+    ),
     "graph_json": (graph_json, None),
 }
 

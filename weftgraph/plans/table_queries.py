@@ -59,7 +59,8 @@ SPARQL = {
         "SELECT ?id ?target { { ?id nation:n_regionkey ?target } UNION { ?id nation:n_name ?target } FILTER(isIRI(?target)) }",
         "SELECT concat('urn:t:nation:',n_nationkey) AS id, concat('urn:t:region:',n_regionkey) AS target FROM nation",
     ),
-    "filter_is_blank": ("SELECT ?n { ?l lineitem:l_linenumber ?n FILTER(isBlank(?l) || isIRI(?l)) }", "SELECT l_linenumber AS n FROM lineitem"),
+    "filter_is_blank": ("SELECT ?n { { ?l lineitem:l_linenumber ?n } UNION { ?l nation:n_nationkey ?n } FILTER(isBlank(?l)) }", "SELECT l_linenumber AS n FROM lineitem"),
+    "bind_variable": ("SELECT ?a ?b { ?x nation:n_name ?a ; nation:n_regionkey ?r BIND(?r AS ?b) }", "SELECT n_name AS a, concat('urn:t:region:', n_regionkey) AS b FROM nation"),
     "filter_in": ("SELECT ?o_orderkey { ?o orders:o_orderkey ?o_orderkey ; orders:o_orderstatus ?s FILTER(?s IN ('F','P')) }", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F','P')"),
     "filter_not_in": ("SELECT ?event_id { ?e events:event_id ?event_id ; events:event_type ?t FILTER(?t NOT IN ('error','view')) }", "SELECT event_id FROM events WHERE event_type NOT IN ('error','view')"),
     "filter_not_equal_term": (
