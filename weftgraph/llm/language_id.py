@@ -14,7 +14,8 @@ come to the driver.
 
 Words are runs of letters, lower-cased. Distinct words are scored once in each
 worker's memory, many at a time: an Aho-Corasick automaton lists all pieces found
-in them and the forward pass goes over end positions.
+in them and the forward pass goes over end positions; a very long word is cut into
+runs that are solved side by side and put together, so its cost grows with its length.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so
 is every text if no labelled text was given. A null id counts as the empty text
@@ -47,6 +48,10 @@ ROUNDS = 4
 MEMORY = 200_000
 LONGEST = 16
 CHUNK = 20_000
+#: Words of so many bytes are scored one by one, in runs of RUN bytes of at most about SLAB bytes (for one language) at a time.
+LONG, RUN, SLAB = 2048, 256, 1 << 17
+#: Words of more bytes don't teach: a bound of the sample, for hardly a word of a language is so long.
+TEACH = 128
 #: What smoothing adds: so many uses, spread as the pieces are used in all languages.
 SMOOTHING = 200.0
 
@@ -105,6 +110,55 @@ class Lattice:
             used[:, k] += np.bincount(self.piece, share[:, k], minlength=len(used))
 
 
+def _solutions(a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run the recursion f[e] = sum over l of a[e, l] f[e - l] for many runs at once.
+
+    ``a``: run, step, language, length; ``state``: run, start, language, the LONGEST values before, the nearest first.
+    Gives the last state, scaled, and the logarithms of the scales (run, language).
+    """
+    scale = np.zeros((a.shape[0], a.shape[2]))
+    for t in range(a.shape[1]):
+        new = np.einsum("cgl,cbgl->cbg", a[:, t], state)
+        state = np.concatenate([new[..., None], state[..., :-1]], axis=3)
+        if t % 8 == 7 or t == a.shape[1] - 1:
+            most = np.maximum(state.max(axis=(1, 3)), 1e-300)
+            state /= most[:, None, :, None]
+            scale += np.log(most)
+    return state, scale
+
+
+def long_log_probability(automaton, sizes_of: np.ndarray, p: np.ndarray, word: bytes) -> np.ndarray:
+    """log probability of one long word for each language: the forward pass over runs of ``RUN`` bytes side by side.
+
+    A run is solved for each of the LONGEST values it may start from, and the runs are put together one after the other.
+    Memory is bounded by ``SLAB`` bytes of the word, whatever its length.
+    """
+    langs = p.shape[1]
+    state, total = np.zeros((langs, LONGEST)), np.zeros(langs)
+    state[:, 0] = 1.0
+    slab = max(RUN, SLAB // max(langs, 1) // RUN * RUN)
+    for at in range(0, len(word), slab):
+        n = min(slab, len(word) - at)
+        runs = -(-n // RUN)
+        a = np.zeros((runs * RUN, langs, LONGEST))
+        before = max(0, at - LONGEST + 1)
+        hits = np.fromiter(chain.from_iterable(automaton.iter(word[before : at + n].decode("latin-1"))), np.int64).reshape(-1, 2)
+        end, size = hits[:, 0] + before, sizes_of[hits[:, 1]]
+        ok = (end >= at) & (end + 1 - size >= 0)
+        a[end[ok] - at, :, size[ok] - 1] = p[hits[ok, 1]]
+        a = a.reshape(runs, RUN, langs, LONGEST)
+        last = n - (runs - 1) * RUN  # the last run may be shorter
+        parts = [_solutions(a[: runs - 1], np.broadcast_to(np.eye(LONGEST)[None, :, None, :], (runs - 1, LONGEST, langs, LONGEST)).copy())] if runs > 1 else []
+        parts.append(_solutions(a[runs - 1 :, :last], np.eye(LONGEST)[None, :, None, :].repeat(langs, axis=2)))
+        for solved, scale in parts:
+            for c in range(len(solved)):
+                state = np.einsum("gb,bgl->gl", state, solved[c])
+                most = np.maximum(state.max(axis=1), 1e-300)
+                state /= most[:, None]
+                total += np.log(most) + scale[c]
+    return total + np.log(np.maximum(state[:, 0], 1e-300))
+
+
 class Model:
     def __init__(self, pieces: list[bytes], languages: list[str], p: np.ndarray | None = None):
         self.pieces, self.languages, self.p = pieces, languages, p
@@ -136,7 +190,7 @@ class Model:
         if len(self.index) + len(new) > MEMORY and self.index:
             self.index, self.log = {}, np.zeros((0, len(self.languages)))
             new = sorted(words)
-        by_size = sorted(new, key=len)
+        by_size = sorted((w for w in new if len(w.encode()) < LONG), key=len)
         rows = [self.log]
         i = 0
         while i < len(by_size):
@@ -146,6 +200,10 @@ class Model:
             for w in part:
                 self.index[w] = len(self.index)
             i += size
+        for w in new:
+            if len(w.encode()) >= LONG:
+                rows.append(long_log_probability(self.automaton, self.sizes, self.p, b" " + w.encode())[None, :])
+                self.index[w] = len(self.index)
         self.log = np.vstack(rows)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -181,7 +239,7 @@ def _word_counts(batches):
     for whole in batches:
         counts: Counter = Counter()
         for text, lang in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
-            counts.update((lang, w) for w in WORDS.findall((text or "").lower()))
+            counts.update((lang, w) for w in WORDS.findall((text or "").lower()) if len(w) <= TEACH)
         if counts:
             langs, words = zip(*counts, strict=True)
             yield pa.RecordBatch.from_pydict({"lang": pa.array(langs), "word": pa.array(words), "n": pa.array(list(counts.values()), pa.int64())})
