@@ -46,7 +46,7 @@ from weftgraph.session import cut_table, ship
 
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
-HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 16, 256
+HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 32, 128
 PER_REPLICA, ROUNDS, RATE = 500_000, 4, 0.01
 #: Sets of weights that one task, or the driver, adds up at a time.
 FAN_IN = 8
@@ -197,40 +197,43 @@ class Lanes:
             yield self.inputs[part, :lanes], self.targets[part, :lanes], self.doc[part, :lanes], real
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def states(p: dict, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
-    """The states before each target, and the last; with ``keep``, what backpropagation needs: of each step the state before, gates, and both parts of the candidate."""
+    """The states before each target, and the last; with ``keep``, what backpropagation needs: of each step the state
+    before, the gates beside the candidate's recurrent part, and the candidate."""
     n = HIDDEN
-    x = p["x"][inputs]
-    out = np.empty((*inputs.shape, n), x.dtype)
-    saved = [np.empty((*inputs.shape, k), x.dtype) for k in (n, 2 * n, n, n)] if keep else None
+    # both gates and the candidate's part lie one after the other, each in one piece
+    x = p["x"].reshape(-1, 3, n).transpose(1, 0, 2)[:, inputs]
+    u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
+    np.negative(x[:2], out=x[:2])  # a gate is 1 / (1 + exp(-a)): both terms of a with their sign turned
+    np.negative(u[:2], out=u[:2])
+    steps, lanes = inputs.shape
+    out = np.empty((steps, lanes, n), x.dtype)
+    before, parts, cs = np.empty((steps if keep else 0, lanes, n), x.dtype), np.empty((steps if keep else 1, 3, lanes, n), x.dtype), np.empty((steps if keep else 1, lanes, n), x.dtype)
     begins = inputs == 0
     any_begin = begins.any(axis=1)
-    for t in range(len(inputs)):
+    h = h.astype(x.dtype, copy=False)
+    for t in range(steps):
         if any_begin[t]:
             h = np.where(begins[t][:, None], x.dtype.type(0), h)
-        hu = h @ p["u"]
-        hu[:, 2 * n :] += p["b"]
-        gates = hu[:, : 2 * n] + x[t, :, : 2 * n]
-        _sigmoid(gates)
-        z, un = gates[:, :n], hu[:, 2 * n :]
-        c = gates[:, n:] * un
-        c += x[t, :, 2 * n :]
+        at = t if keep else 0
+        part, c, new = parts[at], cs[at], out[t]
+        np.matmul(h, u, out=part)
+        gates, un = part[:2], part[2]
+        gates += x[:2, t]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        un += p["b"]
+        np.multiply(gates[1], un, out=c)
+        c += x[2, t]
         np.tanh(c, out=c)
         if keep:
-            for into, value in zip(saved, (h, gates, un, c), strict=True):
-                into[t] = value
-        h = h - c
-        h *= z
-        h += c
-        out[t] = h
-    return out, h, saved
+            before[t] = h
+        np.subtract(h, c, out=new)
+        new *= gates[0]
+        new += c
+        h = new
+    return out, h, (before, parts, cs)
 
 
 def _shifted(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -345,8 +348,8 @@ class Learner:
             dh = whole
         dh = dh.reshape(out.shape)
         # what of each step's gradient doesn't hang on the steps after it, for all steps at once
-        before, gates, un, c = saved
-        z, r = gates[..., :n], gates[..., n:]
+        before, parts, c = saved
+        z, r, un = parts[:, 0], parts[:, 1], parts[:, 2]
         of_c = (1 - z) * (1 - c * c)
         of_z = (before - c) * z * (1 - z)
         of_r = un * r * (1 - r)
@@ -598,13 +601,14 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
 
         def emit():
             logs, at = log_likelihoods(p, c, docs_), 0
-            for rows, n in held:
-                yield pa.RecordBatch.from_arrays([rows, pa.array(logs[at : at + n])], names=["row", "modelled"])
+            for batch in held:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logs[at : at + n])], names=[*batch.schema.names[1:], "modelled"])
                 at += n
 
         for batch in batches:
-            docs_ += [np.frombuffer(x.as_buffer(), "<i2") for x in batch.column(1)]
-            held.append((batch.column(0), batch.num_rows))
+            docs_ += [np.frombuffer(x.as_buffer(), "<i2") for x in batch.column(0)]
+            held.append(batch)
             tokens += sum(map(len, docs_[-batch.num_rows :])) if batch.num_rows else 0
             if tokens >= TOGETHER:
                 yield from emit()
@@ -612,14 +616,16 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
         if held:
             yield from emit()
 
-    modelled = coded.select("row", "codes").mapInArrow(tidy(run, "lm", _loaded.clear), "row long, modelled double")
+    told = coded.select("codes", *[c for c in coded.columns if c not in ("codes", "tail", "place")])
+    scored = T.StructType([*told.schema.fields[1:], T.StructField("modelled", T.DoubleType())])
+    modelled = told.mapInArrow(tidy(run, "lm", _loaded.clear), scored)
     words_left = coded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.unseen")
     met = words_left.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), 1).otherwise(0)).alias("tail_known"),
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("tail_base"),
         F.sum(F.when(F.col("c").isNotNull(), F.log10(F.col("c").cast("double"))).otherwise(F.col("unseen").cast("double"))).alias("tail_score"),
     )
-    whole = coded.drop("tail", "codes", "place").join(modelled, "row").join(met, "row", "left")
+    whole = modelled.join(met, "row", "left")
     return whole.select(
         *[F.col(f"user.`{c}`") for c in kept],
         "held_out",
