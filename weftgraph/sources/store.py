@@ -337,7 +337,7 @@ def fetch(url: str, limit: int = LIMIT) -> bytes:
 CATALOG = {
     "Friend of a Friend": ("foaf.ttl", 13),
     "OntoViBe": ("ontovibe.ttl", 43),
-    "Clinical Trials Ontology": ("ClinicalTrialOntology-merged.owl", 273),
+    "Clinical Trials Ontology": ("clinical-trials.owl", 273),
     "Rendering Benchmark": ("benchmark-2500.ofn", 2500),
     "Environment Ontology": ("envo.owl", 6900),
 }
