@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.plans import registry
+from weftgraph.plans import registry, table_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,5 +44,19 @@ def test_star_is_one_scan(spark):
     assert "PushedFilters" in plan and "BUILDING" in plan
 
 
+def test_connected_patterns_are_never_multiplied(spark):
+    text = "SELECT ?rn ?cn { ?r region:r_name ?rn . ?c customer:c_name ?cn ; customer:c_nationkey ?n . ?n nation:n_regionkey ?r }"
+    for name in ("bgp_any_order", "bgp_chain3", "bgp_chain_fact", "values_join", "optional_chain3", "not_exists_filtered"):
+        plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+    assert text in table_queries.SPARQL["bgp_any_order"][0]
+
+
+def test_a_variable_that_may_be_unbound_joins_by_equality(spark):
+    q = "SELECT ?c ?o { { ?x customer:c_name ?c OPTIONAL { ?x customer:c_nationkey ?n } } OPTIONAL { ?y nation:n_name ?o ; nation:n_regionkey ?r BIND(?y AS ?n) } }"
+    plan = table_queries.sparql(spark, DATA, q)._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" in plan or "SortMergeJoin" in plan
+
+
 def test_flagship_without_the_optional_part(spark):
     assert registry.flagship(spark, DATA).count() == 150
