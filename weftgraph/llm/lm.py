@@ -46,13 +46,17 @@ from weftgraph.session import cut_table, ship
 
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
-HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 32, 128
+HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 16, 256
 PER_REPLICA, ROUNDS, RATE = 500_000, 4, 0.01
 #: Sets of weights that one task, or the driver, adds up at a time.
 FAN_IN = 8
 #: Tokens that a worker scores together, and words that it counts before it passes the counts on.
 TOGETHER, COUNTED = 4_000_000, 400_000
 LOG10 = np.log(10.0)
+#: Rows of logits that are worked on at a time: they stay in a core's cache.
+ROWS = 1024
+#: Bytes of text whose words are looked up at once.
+TEXT = 4 << 20
 
 
 class Codes:
@@ -275,9 +279,11 @@ def token_logs(p: dict, codes: Codes, h: np.ndarray, target: np.ndarray) -> np.n
     """Natural log of P(class) for words beyond the shortlist, of P(word) for the shortlist."""
     cls = _class_of(codes, target)
     bias, safe = _shifted(p["wc"], p["bc"])
-    logits = h @ p["wc"]
-    logits += bias
-    out = _softmax(logits, cls, safe)[1]
+    out = np.empty(len(cls), h.dtype)
+    for i in range(0, len(cls), ROWS):
+        logits = h[i : i + ROWS] @ p["wc"]
+        logits += bias
+        out[i : i + ROWS] = _softmax(logits, cls[i : i + ROWS], safe)[1]
     order, met = _by_class(codes, cls)
     if met:
         bias, safe = _shifted_words(p, codes)
@@ -318,14 +324,19 @@ class Learner:
         count = max(len(target), 1)
         cls = _class_of(codes, target)
         bias, safe = _shifted(p["wc"], p["bc"])
-        logits = flat @ p["wc"]
-        logits += bias
-        d, log = _softmax(logits, cls, safe, True)
-        loss = -float(log.sum())
-        d[np.arange(len(cls)), cls] -= 1
-        ones = np.ones(len(d), out.dtype)
-        g = {"wc": flat.T @ d, "bc": ones @ d, "wo": np.zeros_like(p["wo"]), "bo": np.zeros_like(p["bo"])}
-        dh = d @ p["wc"].T
+        ones, loss = np.ones(len(cls), out.dtype), 0.0
+        g = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "wo", "bo")}
+        dh, back_wc = np.empty_like(flat), np.ascontiguousarray(p["wc"].T)
+        for i in range(0, len(cls), ROWS):
+            rows, own = flat[i : i + ROWS], cls[i : i + ROWS]
+            logits = rows @ p["wc"]
+            logits += bias
+            d, log = _softmax(logits, own, safe, True)
+            loss -= float(log.sum())
+            d[np.arange(len(own)), own] -= 1
+            g["wc"] += rows.T @ d
+            g["bc"] += ones[: len(own)] @ d
+            np.matmul(d, back_wc, out=dh[i : i + ROWS])
         order, met = _by_class(codes, cls)
         if met:
             bias, safe = _shifted_words(p, codes)
@@ -407,7 +418,7 @@ def _count_words(batches):
         return pa.RecordBatch.from_arrays([table["word"].combine_chunks().cast(pa.binary()), table["c"].combine_chunks()], names=["word", "c"])
 
     for whole in batches:
-        for batch in slices(whole, whole.schema.names[0]):
+        for batch in slices(whole, whole.schema.names[0], TEXT):
             counts = pc.value_counts(split_words(batch.column(0))[0])
             parts.append(pa.table({"word": counts.field("values"), "c": counts.field("counts")}))
             n += len(counts)
@@ -464,7 +475,7 @@ def encoded(docs: DataFrame, codes: Codes, ends: int = 0, per_token: float = 0.0
     def run(batches):
         (c,) = _held(*packed.value)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, TEXT):
                 words, bounds = split_words(batch.column(batch.num_columns - 1))
                 told, place = c.encode(words)
                 known, size = place >= 0, np.diff(bounds)
