@@ -33,7 +33,7 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20):
     """The batch cut so that each cut's texts stay near ``max_bytes``: bounds a Python worker's memory."""
     n = batch.num_rows
     if n == 0:

@@ -47,7 +47,7 @@ ROUNDS = 4
 #: Words a worker remembers before it starts anew.
 MEMORY = 200_000
 LONGEST = 16
-CHUNK = 20_000
+CHUNK = 8_000
 #: Words of so many bytes are scored one by one, in runs of RUN bytes of at most about SLAB bytes (for one language) at a time.
 LONG, RUN, SLAB = 2048, 256, 1 << 17
 #: Words of more bytes don't teach: a bound of the sample, for hardly a word of a language is so long.
@@ -277,7 +277,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         m = _model(shared.value)
         for whole in batches:
-            for batch in slices(whole, text, 4 << 20):
+            for batch in slices(whole, text, 2 << 20):
                 names, scores = m.score(batch.column(batch.schema.get_field_index(text)).to_pylist())
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in out.fields])
