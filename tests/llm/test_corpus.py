@@ -67,6 +67,14 @@ def test_words_are_split_as_stated():
     assert lm._sums(np.arange(6.0), bounds).tolist() == [3, 0, 0, 0, 7, 5]
 
 
+def test_words_beyond_the_head_get_their_tails_class():
+    codes = small_codes()
+    words = ["neverw7", "xé", "q", "7", "w5", "zz9w12"]
+    told, place = codes.encode(pa.array(["skip", *words]).slice(1))
+    assert [-codes.word_class(w.encode()) if p < 0 else None for w, p in zip(words, place.tolist(), strict=True)] == [c if p < 0 else None for c, p in zip(told.tolist(), place.tolist(), strict=True)]
+    assert place[4] >= 0 and told[4] > 0
+
+
 def test_lm_learns_from_every_training_document(spark):
     words = [[b"d%dw%d" % (i, j) for j in range(4)] for i in range(60)]
     head = {w: 3 for of in words for w in of}

@@ -87,6 +87,10 @@ class Codes:
         kept = [s for s, c in sorted(total.items(), key=lambda x: (-x[1], x[0])) if c > 0][:SUFFIX_CLASSES]
         self.suffix = {s: n + i for i, s in enumerate(kept)}
         self.rest = n + len(kept)
+        # the same by the last two bytes as a number; words of one byte have numbers of their own
+        self.by_tail = np.full((1 << 16) + 256, self.rest, np.int32)
+        for x, c in self.suffix.items():
+            self.by_tail[int.from_bytes(x, "big") + (len(x) == 1 and 1 << 16)] = c
         self.n_classes = self.rest + 1
         self.class_total, class_once = np.zeros(self.n_classes), np.zeros(self.n_classes)
         for s, c in total.items():
@@ -114,7 +118,7 @@ class Codes:
     def small(self) -> Codes:
         """What learning and scoring need of it, without the words."""
         out = copy.copy(self)
-        for name in ("words", "code", "base", "static", "suffix"):
+        for name in ("words", "code", "base", "static", "suffix", "by_tail"):
             delattr(out, name)
         return out
 
@@ -126,7 +130,13 @@ class Codes:
         place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
         codes = self.code[place] if len(self.code) else np.zeros(len(words), np.int32)
         beyond = np.flatnonzero(place < 0)
-        codes[beyond] = [-self.word_class(w.encode()) for w in words.take(pa.array(beyond)).to_pylist()]
+        if len(beyond):
+            _, offsets, data = words.take(pa.array(beyond)).buffers()
+            ends = np.frombuffer(offsets, np.int32)[: len(beyond) + 1]
+            letters = np.frombuffer(data, np.uint8)
+            last, size = ends[1:], np.diff(ends)
+            tail = letters[last - 1].astype(np.int32) + np.where(size > 1, letters[np.maximum(last - 2, 0)].astype(np.int32) << 8, 1 << 16)
+            codes[beyond] = -self.by_tail[tail]
         return codes, place
 
 
@@ -177,28 +187,29 @@ class Lanes:
         self.sizes = np.array([loads[i] for i in order])
         steps = int(self.sizes[0])
         n_short = len(codes.counts)
-        #: What is read and what is to be told at each step, as codes; and whose document it is.
-        self.inputs = np.zeros((steps, lanes), np.int32)
-        self.targets = np.zeros((steps, lanes), np.int32)
-        self.doc = np.zeros((steps, lanes), np.int32)
+        flat = np.concatenate([np.empty(0, np.int32), *docs]).astype(np.int32)
+        read = np.where(flat > 0, flat + 1, n_short + 1 - flat - codes.n_short_classes)
+        starts = np.concatenate([[0], np.cumsum(sizes - 1)])
+        #: What is read and what is to be told at each step, as codes; and whose document it is. A lane is a row.
+        self.inputs, self.targets, self.doc = (np.zeros((lanes, steps), np.int32) for _ in range(3))
         for lane, i in enumerate(order):
             at = 0
             for d in rows[i]:
-                code, n = docs[d], len(docs[d])
-                self.targets[at : at + n, lane] = code
-                self.targets[at + n, lane] = 0  # the end
-                read = np.where(code > 0, code + 1, n_short + 1 - code - codes.n_short_classes)
-                self.inputs[at + 1 : at + n + 1, lane] = read
-                self.doc[at : at + n + 1, lane] = d
+                a, b = int(starts[d]), int(starts[d + 1])
+                n = b - a
+                self.targets[lane, at : at + n] = flat[a:b]  # and then 0, the end
+                self.inputs[lane, at + 1 : at + n + 1] = read[a:b]
+                self.doc[lane, at : at + n + 1] = d
                 at += n + 1
 
     def windows(self, window: int):
         """(inputs, targets, doc) of each window, for the lanes that go on through some of it; with whether a step is one."""
-        for a in range(0, len(self.inputs), window):
+        steps = self.inputs.shape[1]
+        for a in range(0, steps, window):
             lanes = int((self.sizes > a).sum())
-            part = slice(a, min(a + window, len(self.inputs)))
+            part = slice(a, min(a + window, steps))
             real = np.arange(part.start, part.stop)[:, None] < self.sizes[None, :lanes]
-            yield self.inputs[part, :lanes], self.targets[part, :lanes], self.doc[part, :lanes], real
+            yield *(np.ascontiguousarray(x[:lanes, part].T) for x in (self.inputs, self.targets, self.doc)), real
 
 
 def states(p: dict, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
