@@ -88,11 +88,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     least of them, until every component is a star; the number of rounds grows with the
     logarithm of the components' size. A few edges (``FEW_EDGES``) go to one task.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     kind = now.schema["u"].dataType.simpleString()
     if kind in ("bigint", "int") and now.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
         ship(now.sparkSession)
         return cut(now.coalesce(1).mapInArrow(_tied, f"node {kind}, root {kind}"))
+    now = cut(now.distinct())
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
