@@ -258,6 +258,28 @@ def test_mixing(spark):
     assert all(abs(words[s] - t) <= 9000 / 2 + 1 for s, t in want.items())
 
 
+def test_targets_of_sources_that_tie(spark):
+    """Equal sources, and sources that tie in size over weight, against the plain version; no word is lost below the stops."""
+    mixed = {f"s{i:02d}": 30 * (1, 2, 3)[i % 3] for i in range(30)} | {"t0": 30, "t1": 6000, "t2": 90, "u": 0, "v": 0, "w": 0}
+    tables = [{f"s{i:04d}": 30 for i in range(n)} for n in (2, 6, 30, 1000)] + [mixed, {"a": 10, "b": 20, "c": 30}, {"a": 10, "b": 20, "c": 10**7}, {"a": 0, "b": 0}]
+    for sizes in tables:
+        df = spark.createDataFrame([(s, False, 1, n) for s, n in sizes.items()], "skey string, no_source boolean, n_docs long, source_size long")
+        got = {r["skey"]: r for r in mixing._targets(df, (1, 2, 3), 1.0, 3).collect()}
+        want = targets(sizes)
+        assert {s: r["target"] for s, r in got.items()} == {s: pytest.approx(t) for s, t in want.items()}
+        if any(want[s] < 3 * sizes[s] - 1e-6 for s in sizes):
+            assert sum(r["target"] for r in got.values()) == pytest.approx(sum(sizes.values()))
+
+
+def test_mixing_of_equal_sources(spark):
+    df = spark.createDataFrame([(i, "one two three", f"s{i % 6}") for i in range(60)], "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    assert {r["source"]: r["target"] for r in rows} == {f"s{i}": pytest.approx(15.0 * (1, 2, 3)[i % 3]) for i in range(6)}
+    assert sum(r["taken"] for r in rows) == 180
+    out = mixing.mixed_documents(df)
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in mixing.mixed_documents(df.repartition(5)).collect()]  # in the same order
+
+
 def test_hypergeometric_counts(spark):
     n, marked, draws, many = 30, 12, 10, 6000
     u = F.xxhash64("id").alias("h")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from importlib.util import find_spec
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,12 @@ WS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def vocabulary_file(name: str) -> str:
+    """Where a file of the public vocabularies lies; without these, the bare name, so that only queries that read it fail."""
+    found = find_spec("public_tokenizers")
+    return str(Path(found.origin).parent / name) if found else name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z lower-cased; bytes.split() splits at WS alone."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -55,8 +55,8 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_repea
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     )
     stepped = stops.withColumn("level", level).withColumn("open", F.col("stop") > F.col("level") * F.col("weight"))
-    # the first source in this order that does not stop sets the level of the rest
-    first = F.min(F.when(F.col("open"), F.struct(F.col("stop") / F.col("weight"), F.col("level")))).over(everything)["level"]
+    # the first source in this order that does not stop sets the level of the rest; of equal ratios, the first by name
+    first = F.min(F.when(F.col("open"), F.struct(F.col("stop") / F.col("weight"), *BY[::-1], F.col("level")))).over(everything)["level"]
     target = F.when(first.isNull(), F.col("stop")).otherwise(F.least(F.col("stop"), first * F.col("weight")))
     quota = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
     return (
@@ -238,8 +238,11 @@ def mixed_documents(
     rows = _keyed(docs, whole_row=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
     drawn = _drawn(rows, weights, share, max_repeats, shards, seed, block_rows)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise((F.size("draws") > 0).cast("int")).cast("int")
-    taken = drawn.withColumn("shard", F.explode(F.slice(F.transform("draws", lambda x: x["shard"]), F.lit(1), F.coalesce(times, F.lit(0)))))
-    place = F.xxhash64(F.lit(seed + 2), "shard", "doc_id", "text_hash", F.monotonically_increasing_id())
+    kept = F.slice(F.transform("draws", lambda x: x["shard"]), F.lit(1), F.coalesce(times, F.lit(0)))
+    content = F.xxhash64(*[f"whole_row.`{f.name}`" for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
+    taken = drawn.select("whole_row", content.alias("content"), F.posexplode(kept).alias("repeat", "shard"))
+    # rows that are alike in all of this are equal, and told apart only so that they don't meet in one task
+    by = ["shard", F.xxhash64(F.lit(seed + 2), "shard", "content", "repeat").alias("place"), F.monotonically_increasing_id().alias("tie")]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = taken.select("shard", place.alias("place"), "whole_row").repartitionByRange(n, "shard", "place").sortWithinPartitions("shard", "place")
+    ordered = taken.select(*by, "whole_row").repartitionByRange(n, "shard", "place", "tie").sortWithinPartitions("shard", "place", "tie")
     return ordered.select("whole_row.*")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import ann, bpe, exact_topk, language_id, line_dedup, lm, mixing, sharding, simhash, url_filter
-from weftgraph.llm.common import fold_of
+from weftgraph.llm.common import fold_of, vocabulary_file
 from weftgraph.session import table
 
 #: Where the vocabulary files lie; a parameter, never copied into the repository.
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = vocabulary_file("byte_bpe_50k.json")
+PIECES = vocabulary_file("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
