@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import ann, bpe, exact_topk, language_id, line_dedup, lm, mixing, sharding, simhash, url_filter
+from weftgraph.llm import ann, bpe, embedding_dups, exact_topk, language_id, lexical, line_dedup, lm, mixing, sharding, simhash, spelling, url_filter
 from weftgraph.llm.common import fold_of, vocabulary_file
 from weftgraph.session import table
 
@@ -68,8 +68,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return lexical.search(docs.select("doc_id", "text"), items.select("item_id", "text"), 10)
+
+
+def op12_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), min_length=6, min_count=5, factor=5)
+
+
 def queries() -> dict:
-    return {"op1_lm_scoring": op1_lm_scoring, "op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup, "op4_ann": op4_ann, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter}
+    return {"op1_lm_scoring": op1_lm_scoring, "op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup, "op4_ann": op4_ann, "op5_exact_topk": op5_exact_topk, "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding, "op10_url_filter": op10_url_filter, "op11_lexical_search": op11_lexical_search, "op12_embedding_dups": op12_embedding_dups, "op13_spelling": op13_spelling}
 
 
 #: op3 as SQL.
@@ -98,6 +111,40 @@ FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) A
 """
 
 
+#: op11 as SQL: every document's score for every item.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+whole AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS length FROM d WHERE len(ts) > 0),
+sized AS (SELECT r, doc_id, ts, 100 - 90 + (90 * len(ts) * docs) // length AS m FROM d, whole WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(ts) AS term FROM sized) GROUP BY r, doc_id, m, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, whole GROUP BY term, docs),
+s AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM b JOIN p USING (term) JOIN w USING (term) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, r) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+#: op12 as SQL: all pairs of a label, and the least id that links lead to.
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (
+  SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.r, b.r AS other, b.vec_id AS other_id FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT r, other, other_id FROM links UNION SELECT reach.r, links.other, links.other_id FROM reach JOIN links ON reach.other = links.r
+), parts AS (SELECT r, min(other_id) AS least FROM reach GROUP BY r), counts AS (SELECT r, count(*) AS n FROM links GROUP BY r)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, least) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, least) AS kept
+FROM v LEFT JOIN parts USING (r) LEFT JOIN counts USING (r)
+"""
+
+
 def _op10_sql() -> str:
     """op10 as SQL: one step of the recursion for each round of both spreads."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,4 +174,4 @@ def _op10_sql() -> str:
 
 
 def oracle_sql() -> dict:
-    return {"op3_line_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op10_url_filter": _op10_sql()}
+    return {"op3_line_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op10_url_filter": _op10_sql(), "op11_lexical_search": OP11_SQL, "op12_embedding_dups": OP12_SQL}
