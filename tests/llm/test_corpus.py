@@ -1,6 +1,7 @@
 """Language model, language ID, mixing, sharding, url verdicts and the pipeline."""
 
 import math
+import tracemalloc
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -148,6 +149,23 @@ def test_score_in_plain_loops():
     assert got == pytest.approx([plain(d.tolist()) for d in docs], rel=1e-6)
 
 
+def test_a_long_document_takes_no_place_in_other_lanes():
+    """Lanes lay out one window at a time: memory follows the documents' words, whatever the longest."""
+    codes, rng = small_codes(), np.random.default_rng(7)
+    docs = [rng.integers(1, 61, n).astype(np.int16) for n in (400_000, *rng.integers(0, 9, 300))]
+    tracemalloc.start()
+    lanes = lm.Lanes(docs, 256, codes)
+    told = np.zeros(len(docs), int)
+    for inputs, targets, doc, real in lanes.windows(64):
+        assert inputs.shape == targets.shape == doc.shape == real.shape and inputs.size <= 64 * 256
+        np.add.at(told, doc[real], 1)
+        assert ((inputs == 0) | (inputs > 1))[real].all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told.tolist() == [len(d) + 1 for d in docs]
+    assert peak < 12 << 20  # all lanes as long as the longest would take 400 MB for each of three arrays
+
+
 def test_gradients():
     codes, rng = small_codes(), np.random.default_rng(2)
     p = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in lm.initial(codes).items()}

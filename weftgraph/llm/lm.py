@@ -46,7 +46,7 @@ from weftgraph.session import cut_table, ship
 
 #: Words whose counts the workers hold; words in the shortlist; classes of the shortlist and of the rest.
 HEAD, SHORT, SHORT_CLASSES, SUFFIX_CLASSES = 1 << 18, 2048, 32, 96
-HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 256, 16, 256
+HIDDEN, WINDOW, LANES, SCORE_WINDOW, SCORE_LANES = 32, 24, 64, 16, 256
 PER_REPLICA, ROUNDS, RATE = 500_000, 4, 0.01
 #: Sets of weights that one task, or the driver, adds up at a time.
 FAN_IN = 8
@@ -184,32 +184,33 @@ class Lanes:
             heapq.heappush(heap, (load + int(sizes[d]), i))
         loads = [sum(int(sizes[d]) for d in r) for r in rows]
         order = sorted(range(lanes), key=lambda i: -loads[i])
+        #: Steps of each lane, and where it begins in ``told``.
         self.sizes = np.array([loads[i] for i in order])
-        steps = int(self.sizes[0])
-        n_short = len(codes.counts)
-        flat = np.concatenate([np.empty(0, np.int32), *docs]).astype(np.int32)
-        read = np.where(flat > 0, flat + 1, n_short + 1 - flat - codes.n_short_classes)
-        starts = np.concatenate([[0], np.cumsum(sizes - 1)])
-        #: What is read and what is to be told at each step, as codes; and whose document it is. A lane is a row.
-        self.inputs, self.targets, self.doc = (np.zeros((lanes, steps), np.int32) for _ in range(3))
-        for lane, i in enumerate(order):
-            at = 0
-            for d in rows[i]:
-                a, b = int(starts[d]), int(starts[d + 1])
-                n = b - a
-                self.targets[lane, at : at + n] = flat[a:b]  # and then 0, the end
-                self.inputs[lane, at + 1 : at + n + 1] = read[a:b]
-                self.doc[lane, at : at + n + 1] = d
-                at += n + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        #: The documents in the order of their lanes, and where each begins.
+        self.placed = np.array([d for i in order for d in rows[i]], np.int64)
+        self.begins = np.cumsum(sizes[self.placed]) - sizes[self.placed]
+        end = np.zeros(1, np.int16)
+        #: All that is to be told, lane after lane, as codes: each document's words and then 0, its end.
+        self.told = np.concatenate([part for d in self.placed for part in (docs[d], end)]) if len(docs) else end[:0]
+        self.codes = codes
 
     def windows(self, window: int):
-        """(inputs, targets, doc) of each window, for the lanes that go on through some of it; with whether a step is one."""
-        steps = self.inputs.shape[1]
-        for a in range(0, steps, window):
+        """(inputs, targets, doc) of each window, for the lanes that go on through some of it; with whether a step is one.
+
+        Only a window is laid out: a document much longer than the others takes no place in their lanes.
+        """
+        n_short = len(self.codes.counts)
+        for a in range(0, int(self.sizes.max(initial=0)), window):
             lanes = int((self.sizes > a).sum())
-            part = slice(a, min(a + window, steps))
-            real = np.arange(part.start, part.stop)[:, None] < self.sizes[None, :lanes]
-            yield *(np.ascontiguousarray(x[:lanes, part].T) for x in (self.inputs, self.targets, self.doc)), real
+            step = np.arange(a, min(a + window, int(self.sizes[0])))[:, None]
+            real = step < self.sizes[None, :lanes]
+            at = self.starts[None, :lanes] + np.minimum(step, self.sizes[None, :lanes] - 1)
+            target = np.where(real, self.told[at], 0).astype(np.int32)
+            before = np.where(at > 0, self.told[at - 1], 0).astype(np.int32)
+            read = np.where(before > 0, before + 1, n_short + 1 - before - self.codes.n_short_classes)
+            inputs = np.where(real & (before != 0), read, 0).astype(np.int32)  # after an end a document begins
+            yield inputs, target, self.placed[np.searchsorted(self.begins, at, "right") - 1], real
 
 
 def states(p: dict, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -592,7 +593,7 @@ def log_likelihoods(p: dict, codes: Codes, docs: list[np.ndarray]) -> np.ndarray
         seen, h, _ = states(p, inputs, h[: inputs.shape[1]])
         logs = token_logs(p, codes, seen.reshape(-1, HIDDEN), targets.reshape(-1))
         ok = real.reshape(-1)
-        out += np.bincount(doc.reshape(-1)[ok], logs[ok].astype(np.float64), minlength=len(docs))
+        np.add.at(out, doc.reshape(-1)[ok], logs[ok].astype(np.float64))
     return out / LOG10
 
 
