@@ -6,7 +6,7 @@ smallest term decides.
 
 1 base and labels; 2 types of nodes and properties; 3 equivalent classes merged; 4 edges of
 the class structure; 5 edges of properties with their missing ends put in; 6 restrictions
-folded into edges of their owner; 7 inverse properties merged; 8 names, counts, traits;
+folded into edges of their owner; 7 inverse properties merged, by components with a sign; 8 names, counts, traits;
 9 nodes for ends that no row typed; 10 output.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions import terms
 from weftgraph.functions import vocabulary as V
 from weftgraph.functions.vocabulary import DC, DCTERMS, OWL, RDF, RDFS
-from weftgraph.operators.closure import closure, least_members, prepared, representatives
-from weftgraph.session import cut, numbered
+from weftgraph.operators.closure import least_members, list_members, representatives, signed_components
+from weftgraph.session import cut, cut_some, nothing, numbered
 
 NODE = "term string, term_kind string, element_type string, label string, individuals long"
 EDGE = ["domain", "range", "edge_type", "property", "label", "card_min", "card_max"]
@@ -29,6 +29,10 @@ EDGE = ["domain", "range", "edge_type", "property", "label", "card_min", "card_m
 RANK = ("owl:Class", "owl:AnonymousClass", "rdfs:Class", "owl:DeprecatedClass", "rdfs:Datatype", "owl:Thing", "rdfs:Literal", "rdfs:Resource")
 #: Set operators, and the node type they give their owner.
 OPERATORS = {OWL + "unionOf": "owl:UnionOf", OWL + "intersectionOf": "owl:IntersectionOf", OWL + "complementOf": "owl:Complement", OWL + "disjointUnionOf": "owl:DisjointUnion"}
+#: Predicates that lead to a list of what they are about.
+LISTS = (OWL + "unionOf", OWL + "intersectionOf", OWL + "disjointUnionOf", OWL + "oneOf")
+#: Terms of the languages that are looked for before the phases: those that don't occur cost no job.
+MOST_TERMS = 1000
 NO_DRAW = "NoDraw"
 #: Terms that say what a property is like, and can't be one that is drawn.
 NO_PROPERTIES = (RDFS + "domain", RDFS + "label", RDFS + "range")
@@ -54,22 +58,44 @@ class Assembler:
     def __init__(self, quads: DataFrame):
         self.spark = quads.sparkSession
         self.q = cut(quads.dropDuplicates())
+        self.present = self._present()
         self.base = self._base()
-        self.rest = prepared(self.of(V.REST).where(F.col("o") != V.NIL).select(F.col("s").alias("a"), F.col("o").alias("b")))
+        self.listed = self._listed()
 
     # ---- helpers
+    def _present(self) -> set | None:
+        """Which predicates and types of the languages occur, as (predicate, type or None); None if there are too many to tell."""
+        told = lambda c: F.col(c).rlike("^(?:" + "|".join(ns.replace(".", "[.]") for ns in (OWL, RDFS, RDF, V.XSD, DC, DCTERMS)) + ")")
+        type_ = F.when((F.col("p") == V.TYPE) & (F.col("o_kind") == "I") & told("o"), F.col("o"))
+        found = self.q.where(told("p")).select("p", type_.alias("type")).distinct().limit(MOST_TERMS + 1).collect()
+        return None if len(found) > MOST_TERMS else {tuple(r) for r in found} | {(r["p"], None) for r in found}
+
+    def nothing(self) -> DataFrame:
+        """No quads, and the optimiser knows: what is joined with them costs no job."""
+        return self.q.where(F.lit(False))
+
     def of(self, *predicates: str) -> DataFrame:
-        return self.q.where(F.col("p").isin(*predicates))
+        here = [p for p in predicates if self.present is None or (p, None) in self.present]
+        return self.q.where(F.col("p").isin(*here)) if here else self.nothing()
 
     def typed(self, *types: str) -> DataFrame:
-        return self.q.where((F.col("p") == V.TYPE) & (F.col("o_kind") == "I") & F.col("o").isin(*types))
+        here = [t for t in types if self.present is None or (V.TYPE, t) in self.present]
+        return self.q.where((F.col("p") == V.TYPE) & (F.col("o_kind") == "I") & F.col("o").isin(*here)) if here else self.nothing()
+
+    def _listed(self) -> DataFrame:
+        """(p, owner, owner_kind, and the member's o_kind, o, o_dt, o_lang) of all lists that the predicates of lists point at, flattened at once."""
+        heads = self.of(*LISTS).select("p", F.col("s").alias("owner"), F.col("s_kind").alias("owner_kind"), F.col("o").alias("head"))
+        rest = self.of(V.REST).where(F.col("o") != V.NIL).select(F.col("s").alias("a"), F.col("o").alias("b"))
+        firsts = self.of(V.FIRST).where(F.col("o") != V.NIL).select(F.col("s").alias("cell"), "o_kind", "o", "o_dt", "o_lang")
+        columns = ["p", "owner", "owner_kind", "o_kind", "o", "o_dt", "o_lang"]
+        if nothing(heads):
+            return firsts.select(F.lit("").alias("p"), F.lit("").alias("owner"), F.lit("").alias("owner_kind"), *columns[3:]).where(F.lit(False))
+        return cut(list_members(rest, heads, firsts).select(*columns).distinct())
 
     def lists(self, predicate: str) -> DataFrame:
-        """(owner, owner_kind, and the member's o_kind, o, o_dt, o_lang) of all lists that a predicate points at."""
-        heads = self.of(predicate).select(F.col("s").alias("owner"), F.col("s_kind").alias("owner_kind"), F.col("o").alias("head"))
-        reach = closure(self.rest, heads.select(F.col("head").alias("a")))
-        firsts = self.of(V.FIRST).select(F.col("s").alias("b"), "o_kind", "o", "o_dt", "o_lang")
-        return heads.join(reach.withColumnRenamed("a", "head"), "head").join(firsts, "b").where(F.col("o") != V.NIL).select("owner", "owner_kind", "o_kind", "o", "o_dt", "o_lang").distinct()
+        """The rows of ``listed`` of one predicate."""
+        found = self.listed.where(F.col("p") == predicate) if self.present is None or (predicate, None) in self.present else self.listed.where(F.lit(False))
+        return found.drop("p")
 
     def _base(self) -> str | None:
         """The document's base: of several ontologies the one with the least name counts."""
@@ -79,6 +105,7 @@ class Assembler:
     # ---- phases
     def run(self) -> Display:
         self.labels()
+        self.same_properties()
         self.types()
         self.merge_equivalents()
         self.structure()
@@ -96,6 +123,42 @@ class Assembler:
         iri = F.when(~F.col(term).contains("#b") | F.col(term).rlike("^[a-z]+:"), terms.iri_label(F.col(term)))
         return df.join(found, term, "left").withColumn("label", F.coalesce("_label", iri)).drop("_label")
 
+    def same_properties(self) -> None:
+        """Properties that statements of inverses make the same.
+
+        An inverse of an inverse is the property itself, so components of the statements carry a sign. Of the names on
+        each side the least stands for all (``same``: property, rep, flip), also for blank nodes, which take the name of the
+        other side, turned round, where theirs has none. ``opposite`` pairs the two sides' names; a component in which a
+        property would be its own inverse by way of others is ``torn``, is reported, and only its blank nodes are renamed.
+        """
+        ends = F.array(F.struct(F.col("s").alias("property"), F.col("s_kind").alias("kind")), F.struct(F.col("o").alias("property"), F.col("o_kind").alias("kind")))
+        said = self.of(OWL + "inverseOf").where("o_kind <> 'L' AND s <> o")
+        if nothing(said):
+            none = lambda *names: self.nothing().select(*[F.col("s").alias(n) for n in names])
+            self.same, self.opposite, self.torn = none("property", "rep").withColumn("flip", F.lit(False)), none("p1", "p2"), none("property")
+            self.sides = none("comp", "property")
+            return
+        kinds = said.select(F.explode(ends).alias("x")).select("x.*").distinct()
+        signed = signed_components(said.select(F.col("s").alias("u"), F.col("o").alias("v"), F.lit(True).alias("opposite")))
+        members = cut(signed.select(F.col("node").alias("property"), F.col("root").alias("comp"), "opposite", "torn").join(kinds, "property"))
+        named = members.where("kind = 'I'")
+        lead = named.groupBy("comp").agg(F.min_by("opposite", "property").alias("turned"))
+        members = members.join(lead, "comp").withColumn("side", (F.col("opposite") != F.col("turned")) & ~F.col("torn"))
+        reps = members.where("kind = 'I'").groupBy("comp").agg(F.min(F.when(~F.col("side"), F.col("property"))).alias("p1"), F.min(F.when(F.col("side"), F.col("property"))).alias("p2"))
+        sided = cut(members.join(reps, "comp"))
+        own, other = F.when(F.col("side"), F.col("p2")).otherwise(F.col("p1")), F.when(F.col("side"), F.col("p1")).otherwise(F.col("p2"))
+        moved = sided.where((F.col("kind") != "I") | ~F.col("torn")).select("property", F.coalesce(own, other).alias("rep"), own.isNull().alias("flip"))
+        self.same = cut(moved.where("property <> rep"))
+        whole = sided.where(~F.col("torn") & F.col("p2").isNotNull() & (F.col("kind") == "I"))
+        self.opposite = whole.select("p1", "p2").distinct()
+        self.sides = whole.select(F.col("p1").alias("comp"), "property")
+        self.torn = sided.where("torn AND kind = 'I'").select("property")
+
+    def as_same(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with properties replaced by the one that stands for them, and ``flip`` where it is turned round."""
+        on = self.same.select(F.col("property").alias(column), "rep", "flip")
+        return df.join(on, column, "left").withColumns({column: F.coalesce("rep", column), "flip": F.coalesce("flip", F.lit(False))}).drop("rep")
+
     def types(self) -> None:
         rule = {
             OWL + "Class": F.when(F.col("s_kind") == "I", "owl:Class").otherwise("owl:AnonymousClass"), OWL + "Restriction": F.when(F.col("s_kind") == "B", "owl:AnonymousClass"),
@@ -115,25 +178,26 @@ class Assembler:
         self.deprecated = truth
         flagged = nodes.join(truth.withColumn("_d", F.lit(True)), "term", "left")
         upgrade = F.col("_d").isNotNull() & F.col("element_type").isin("owl:Class", "owl:AnonymousClass", "rdfs:Class", "owl:ExternalClass", "owl:EquivalentClass")
-        self.nodes = cut(flagged.withColumn("element_type", F.when(upgrade, "owl:DeprecatedClass").otherwise(F.col("element_type"))).drop("_d"))
+        self.nodes = cut_some(flagged.withColumn("element_type", F.when(upgrade, "owl:DeprecatedClass").otherwise(F.col("element_type"))).drop("_d"))
         # properties: object, datatype; a trait or an inverse makes an object property of what has no type
         kinds = {OWL + "DatatypeProperty": "owl:DatatypeProperty", OWL + "ObjectProperty": "owl:ObjectProperty"}
         traits = self.typed(*[OWL + x for x in V.CHARACTERISTICS], RDF + "Property", OWL + "DeprecatedProperty")
         inverse = self.of(OWL + "inverseOf").select(F.explode(F.array(F.struct("s", "s_kind"), F.struct(F.col("o").alias("s"), F.col("o_kind").alias("s_kind")))).alias("x")).select("x.*")
         told = self.typed(*kinds).select("s", "s_kind", F.when(F.col("o") == OWL + "DatatypeProperty", 1).otherwise(2).alias("k"))
         guessed = traits.select("s", "s_kind").unionByName(inverse).select("s", "s_kind", F.lit(3).alias("k"))
-        props = told.unionByName(guessed).where("s_kind = 'I'").groupBy(F.col("s").alias("property")).agg(F.min("k").alias("k"))
+        stated = told.unionByName(guessed).where("s_kind = 'I'").select(F.col("s").alias("property"), "k")
+        props = self.as_same(stated, "property").groupBy("property").agg(F.min("k").alias("k"))
         props = props.where(~F.col("property").isin(RDFS + "subClassOf", RDFS + "subPropertyOf", *NO_PROPERTIES))
         outside = terms.is_external(F.lit("I"), F.col("property"), F.lit(self.base).cast("string"))
         old = self.typed(OWL + "DeprecatedProperty").select(F.col("s").alias("property")).unionByName(truth.select(F.col("term").alias("property"))).distinct().withColumn("_d", F.lit(True))
         kind = F.when(F.col("k") == 1, "owl:DatatypeProperty").otherwise("owl:ObjectProperty")
         shown = F.when(F.col("_d").isNotNull(), "owl:DeprecatedProperty").when(outside, "owl:ExternalProperty").otherwise(kind)
-        self.props = cut(props.join(old, "property", "left").select("property", kind.alias("kind"), shown.alias("edge_type")))
+        self.props = cut_some(props.join(old, "property", "left").select("property", kind.alias("kind"), shown.alias("edge_type")))
 
     def merge_equivalents(self) -> None:
         """Equivalent classes become one node; restrictions don't take part: they are folded into their owner."""
         folded = self.of(OWL + "onProperty").select(F.col("s").alias("a")).distinct()
-        self.restricted = cut(folded)
+        self.restricted = cut_some(folded)
         pairs = self.of(OWL + "equivalentClass").where("o_kind <> 'L'").select(F.col("s").alias("a"), F.col("o").alias("b"))
         pairs = pairs.join(folded, "a", "left_anti").join(folded.withColumnRenamed("a", "b"), "b", "left_anti").where("a <> b")
         roots = least_members(pairs)
@@ -141,11 +205,11 @@ class Assembler:
         members = roots.join(kinds.groupBy("node").agg(F.min("k").alias("k"), F.min("object").alias("object")), "node")
         # the representative: a named subject, else a named class, else the least
         chosen = members.groupBy("root").agg(F.min_by("node", F.struct(F.when(F.col("k") == "I", 0).otherwise(1), "object", "node")).alias("rep"), F.sum((F.col("k") == "I").cast("int")).alias("named"))
-        self.canon = cut(members.join(chosen, "root").select(F.col("node").alias("term"), "rep", "named"))
+        self.canon = cut_some(members.join(chosen, "root").select(F.col("node").alias("term"), "rep", "named"))
         merged = self.named(self.canon.where("named > 1"), "term").groupBy(F.col("rep").alias("term")).agg(F.array_join(F.array_sort(F.collect_set("label")), "\n").alias("_merged"))
         own = self.named(self.canon.where("term = rep AND named > 1").select("term"), "term").select("term", F.col("label").alias("_own"))
         others = F.array_except(F.split("_merged", "\n"), F.array("_own"))
-        self.merged_labels = cut(merged.join(own, "term").select("term", F.array_join(F.array_union(F.array("_own"), others), "\n").alias("merged")))
+        self.merged_labels = cut_some(merged.join(own, "term").select("term", F.array_join(F.array_union(F.array("_own"), others), "\n").alias("merged")))
 
     def moved(self, df: DataFrame, *columns: str) -> DataFrame:
         """``df`` with terms replaced by what they were merged into."""
@@ -165,7 +229,7 @@ class Assembler:
                 part = self.lists(p)
             part = part.withColumn("node", F.lit(node))
             sets = part if sets is None else sets.unionByName(part)
-        sets = cut(sets)
+        sets = cut_some(sets)
         sub = self.of(RDFS + "subClassOf")
         above = sub.where("s_kind = 'I' AND o_kind = 'B'").select(F.col("o").alias("owner"), F.col("s").alias("named"))
         owned = sets.join(above, "owner", "left").withColumn("owner_kind", F.when(F.col("named").isNotNull(), "I").otherwise(F.col("owner_kind"))).withColumn("owner", F.coalesce("named", "owner"))
@@ -176,17 +240,19 @@ class Assembler:
         edges = plain.select(*edge("s", "o", F.lit("rdfs:subClassOf")))
         edges = edges.unionByName(self.of(OWL + "disjointWith").where("o_kind <> 'L'").select(*edge("s", "o", F.lit("owl:disjointWith"))))
         edges = edges.unionByName(owned.where("o_kind <> 'L'").select(*edge("owner", "o", F.lit(NO_DRAW))))
-        members = cut(self.lists(OWL + "oneOf"))
+        members = cut_some(self.lists(OWL + "oneOf"))
         value = F.when(F.col("o_kind") == "L", F.concat("owner", F.lit("_value"))).otherwise(F.col("o"))
         members = members.withColumn("member", value)
         edges = edges.unionByName(members.select(*edge("owner", "member", F.lit(NO_DRAW))))
         self.member_nodes = members.groupBy("member").agg(F.max(F.when(F.col("o_kind") == "L", F.col("o"))).alias("label"), F.max("o_kind").alias("k"))
         self.members = members.where("o_kind <> 'L'").select(F.col("owner").alias("cls"), F.col("o").alias("one"))
-        self.struct_edges = cut(self.moved(edges, "domain", "range").where("domain <> range OR edge_type NOT IN ('NoDraw', 'rdfs:subClassOf')"))
+        self.struct_edges = cut_some(self.moved(edges, "domain", "range").where("domain <> range OR edge_type NOT IN ('NoDraw', 'rdfs:subClassOf')"))
 
     def property_edges(self) -> None:
         """Edges of properties between declared ends; a missing end is a Thing or a Literal made for it."""
-        ends = lambda p, n: self.of(p).where("o_kind <> 'L'").select(F.col("s").alias("property"), F.col("o").alias(n))
+        said = self.as_same(self.of(RDFS + "domain", RDFS + "range").where("o_kind <> 'L'").select(F.col("s").alias("property"), "p", "o"), "property")
+        is_domain = (F.col("p") == RDFS + "domain") != F.col("flip")  # of an inverse, the range
+        ends = lambda p, n: said.where(is_domain if p == RDFS + "domain" else ~is_domain).select("property", F.col("o").alias(n)).distinct()
         rows = self.props.join(ends(RDFS + "domain", "domain"), "property", "left").join(ends(RDFS + "range", "range"), "property", "left")
         is_data = F.col("kind") == "owl:DatatypeProperty"
         default = F.when(is_data, RDFS + "Literal").otherwise(OWL + "Thing")
@@ -201,7 +267,7 @@ class Assembler:
         shared = (self.base or "urn:weftgraph:") + "_thing"
         domain = F.when(both & is_data, terms.synthetic(F.col("property"), "_localthing")).when(both, F.lit(shared)).when(d, F.when(thing("domain"), terms.synthetic(F.col("range"), "_thing")).otherwise(terms.synthetic(F.col("range"), "_literal"))).otherwise(F.col("domain"))
         range_ = F.when(both & is_data, terms.synthetic(F.col("property"), "_localliteral")).when(both, F.lit(shared)).when(r, F.when(thing("range"), terms.synthetic(F.col("domain"), "_thing")).otherwise(terms.synthetic(F.col("property"), "_literal"))).otherwise(F.col("range"))
-        self.prop_edges = cut(rows.select(domain.alias("domain"), range_.alias("range"), "edge_type", "property", "kind", both.alias("fallback")).distinct())
+        self.prop_edges = cut_some(rows.select(domain.alias("domain"), range_.alias("range"), "edge_type", "property", "kind", both.alias("fallback")).distinct())
 
     def restrictions(self) -> None:
         """Each restriction is one edge of its owner: property, what it leads to, and how often."""
@@ -212,9 +278,8 @@ class Assembler:
             value("hasSelf").alias("itself"), value("cardinality").alias("n"), value("qualifiedCardinality").alias("qn"), value("minCardinality").alias("lo"), value("minQualifiedCardinality").alias("qlo"),
             value("maxCardinality").alias("hi"), value("maxQualifiedCardinality").alias("qhi"), F.coalesce(value("onClass"), value("onDataRange")).alias("filler"),
         )
-        # the property may be given as the inverse of another
-        alias = self.of(OWL + "inverseOf").where("s_kind = 'B'").select(F.col("s").alias("on"), F.col("o").alias("_p"))
-        one = one.join(alias, "on", "left").withColumn("on", F.coalesce("_p", "on")).drop("_p").where("on IS NOT NULL")
+        # the property may be given by another name, or as the inverse of another
+        one = self.as_same(one.where("on IS NOT NULL"), "on").drop("flip")
         # the owner: the subject of a subclass, equivalence, set or domain statement about the restriction; nested ones are followed up
         direct = self.of(RDFS + "subClassOf", OWL + "equivalentClass").where("o_kind = 'B'").select(F.col("o").alias("r"), F.col("s").alias("owner"))
         operand = self.sets.where("o_kind = 'B'").select(F.col("o").alias("r"), "owner")
@@ -224,7 +289,7 @@ class Assembler:
         if not inner.isEmpty():
             up = representatives(owners.select(F.col("r").alias("a"), F.col("owner").alias("b")))
             owners = up.select(F.col("a").alias("r"), F.col("root").alias("owner"))
-        self.owners = cut(owners)
+        self.owners = cut_some(owners)
         kinds = self.props.select(F.col("property").alias("on"), "kind", "edge_type")
         ranges = self.prop_edges.where("NOT fallback").groupBy(F.col("property").alias("on")).agg(F.min("range").alias("declared"))
         one = self.moved(one.join(self.owners, "r").join(kinds, "on", "left").join(ranges, "on", "left"), "owner")
@@ -245,13 +310,18 @@ class Assembler:
         card_max = F.when(F.coalesce("some", "all", "value", "itself").isNotNull(), _null()).otherwise(F.coalesce("qn", F.when(low.isNotNull() & high.isNull(), "*"), high))
         shape = F.when(F.coalesce("some", "all").isNotNull(), "owl:ValuesFrom").otherwise(F.coalesce("edge_type", F.lit("owl:ObjectProperty")))
         folded = one.where(card_min.isNotNull()).select(F.col("owner").alias("domain"), target.alias("range"), shape.alias("edge_type"), F.col("on").alias("property"), card_min.alias("card_min"), card_max.alias("card_max"), "r", "value", "value_kind", F.coalesce(is_data, F.lit(False)).alias("is_data"))
-        self.folded = cut(self.moved(folded, "range"))
+        self.folded = cut_some(self.moved(folded, "range"))
 
     def inverses(self) -> None:
         """Two named inverse properties with mirrored ends are one pair of edges; others stay as they are, with a warning."""
-        pairs = self.of(OWL + "inverseOf").where("s_kind = 'I' AND o_kind = 'I'").select(F.least("s", "o").alias("p1"), F.greatest("s", "o").alias("p2")).distinct()
+        pairs = self.opposite
         shared = (self.base or "urn:weftgraph:") + "_thing"
-        solid = self.prop_edges.groupBy("property").agg(F.min_by("domain", F.struct(terms.is_synthetic(F.col("domain")), "domain")).alias("d"), F.min_by("range", F.struct(terms.is_synthetic(F.col("range")), "range")).alias("r"))
+        # of a property's ends the first of: a plain class; any stated one; one made for it; what stands in for all
+        vague = self.moved(self.sets.select(F.col("owner").alias("domain")), "domain").unionByName(self.canon.where("named > 1").select(F.col("rep").alias("domain")))
+        vague = vague.unionByName(self.nodes.where("term_kind = 'B'").select(F.col("term").alias("domain"))).distinct().withColumn("vague", F.lit(True))
+        rank = lambda c, v: F.when(~terms.is_synthetic(F.col(c)), F.when(F.col(v).isNull() & ~F.col(c).isin(OWL + "Thing", RDFS + "Literal"), 0).otherwise(1)).when(F.col(c) != shared, 2).otherwise(3)
+        ended = self.prop_edges.join(vague, "domain", "left").join(vague.select(F.col("domain").alias("range"), F.col("vague").alias("vague_range")), "range", "left")
+        solid = ended.groupBy("property").agg(F.min_by("domain", F.struct(rank("domain", "vague"), "domain")).alias("d"), F.min_by("range", F.struct(rank("range", "vague_range"), "range")).alias("r"))
         on = lambda i: solid.select(F.col("property").alias(f"p{i}"), F.col("d").alias(f"d{i}"), F.col("r").alias(f"r{i}"))
         both = pairs.join(on(1), "p1").join(on(2), "p2")
         loose = lambda c: terms.is_synthetic(F.col(c))
@@ -260,7 +330,7 @@ class Assembler:
         fits = (loose("d1") | loose("r2") | (F.col("d1") == F.col("r2"))) & (loose("r1") | loose("d2") | (F.col("r1") == F.col("d2")))
         merged = both.withColumns({"a": F.when(loose("d1") & loose("r2"), F.lit(shared)).otherwise(a), "b": F.when(loose("r1") & loose("d2"), F.lit(shared)).otherwise(b), "fits": fits})
         merged = merged.withColumns({"a": F.when((F.col("a") == shared) & (F.col("b") != shared), terms.synthetic(F.col("b"), "_thing")).otherwise(F.col("a")), "b": F.when((F.col("b") == shared) & (F.col("a") != shared), terms.synthetic(F.col("a"), "_thing")).otherwise(F.col("b"))})
-        self.inverse = cut(merged)
+        self.inverse = cut_some(merged)
 
     def output(self) -> Display:
         none = _null()
@@ -275,10 +345,10 @@ class Assembler:
         plain = self.named(kept.select("domain", "range", "edge_type", "property"), "property").select("domain", "range", "edge_type", "property", "label", none.alias("card_min"), none.alias("card_max"))
         folded = self.named(self.folded.join(gone, "property", "left_anti").unionByName(self.folded.join(gone, "property", "left_semi")), "property").select(*EDGE)
         pair = self.inverse.where("fits")
-        l1 = self.named(pair.select(F.col("p1").alias("property")), "property").select(F.col("property").alias("p1"), F.col("label").alias("l1"))
-        l2 = self.named(pair.select(F.col("p2").alias("property")), "property").select(F.col("property").alias("p2"), F.col("label").alias("l2"))
-        pair = pair.join(l1.distinct(), "p1").join(l2.distinct(), "p2")
-        text = F.when(F.col("l1") == F.col("l2"), F.col("l1")).otherwise(F.concat_ws("\n", "l1", "l2"))
+        # every name of both directions, the least property's first
+        names = self.named(self.sides, "property").groupBy(F.col("comp").alias("p1")).agg(F.array_sort(F.collect_list(F.struct("property", "label"))).alias("names"))
+        text = F.array_join(F.array_distinct(F.transform("names", lambda x: x["label"])), "\n")
+        pair = pair.join(names, "p1")
         two = pair.select(F.explode(F.array(F.struct(F.col("a").alias("domain"), F.col("b").alias("range"), F.col("p1").alias("property")), F.struct(F.col("b").alias("domain"), F.col("a").alias("range"), F.col("p2").alias("property")))).alias("x"), text.alias("label"))
         two = two.select("x.domain", "x.range", F.lit("owl:InverseOf").alias("edge_type"), "x.property", "label", none.alias("card_min"), none.alias("card_max"))
         # restrictions that were folded leave no stub
@@ -287,15 +357,15 @@ class Assembler:
         edges = struct.unionByName(plain).unionByName(folded).unionByName(two)
         swap = F.col("edge_type") == "owl:disjointWith"
         edges = edges.withColumns({"domain": F.when(swap, F.least("domain", "range")).otherwise(F.col("domain")), "range": F.when(swap, F.greatest("domain", "range")).otherwise(F.col("range"))})
-        edges = cut(edges.dropDuplicates(["domain", "range", "edge_type", "property", "card_min", "card_max"]))
+        edges = cut_some(edges.dropDuplicates(["domain", "range", "edge_type", "property", "card_min", "card_max"]))
         nodes = self._nodes(edges)
         # an edge with an end that nothing tells of is reported, not drawn
         lost = nodes.where(F.col("element_type") == UNRESOLVED).select("term")
-        self.lost = cut(edges.withColumn("end", F.explode(F.array_distinct(F.array("domain", "range")))).join(lost.withColumnRenamed("term", "end"), "end"))
+        self.lost = cut_some(edges.withColumn("end", F.explode(F.array_distinct(F.array("domain", "range")))).join(lost.withColumnRenamed("term", "end"), "end"))
         nodes = nodes.where(F.col("element_type") != UNRESOLVED)
         for end in ("domain", "range"):
             edges = edges.join(lost.withColumnRenamed("term", end), end, "left_anti")
-        traits = self.typed(*[OWL + x for x in V.CHARACTERISTICS]).select(F.col("s").alias("property"), F.regexp_replace("o", "^.*#", "").alias("trait"))
+        traits = self.as_same(self.typed(*[OWL + x for x in V.CHARACTERISTICS]).select(F.col("s").alias("property"), F.regexp_replace("o", "^.*#", "").alias("trait")), "property").select("property", "trait")
         partner = self.inverse.where("fits").select(F.col("p1").alias("property"), F.col("p2").alias("o")).unionByName(self.inverse.where("fits").select(F.col("p2").alias("property"), F.col("p1").alias("o")))
         traits = traits.unionByName(partner.join(traits.select(F.col("property").alias("o"), "trait"), "o").select("property", "trait"))
         traits = traits.groupBy("property").agg(F.array_sort(F.collect_set("trait")).alias("characteristics"))
@@ -341,7 +411,7 @@ class Assembler:
         named = self.named(nodes, "term").join(self.merged_labels, "term", "left").join(literal, "term", "left")
         plain = F.when(terms.is_synthetic(F.col("term")), F.when(F.col("element_type") == "owl:Thing", "Thing").otherwise("Literal")).when(F.col("term_kind") == "B", _null()).otherwise(F.col("label"))
         named = named.withColumn("label", F.coalesce("merged", "_text", plain)).drop("merged", "_text")
-        return cut(named.join(self._individuals(), "term", "left").select("term", "term_kind", "element_type", "label", F.coalesce("individuals", F.lit(0)).cast("long").alias("individuals")))
+        return cut_some(named.join(self._individuals(), "term", "left").select("term", "term_kind", "element_type", "label", F.coalesce("individuals", F.lit(0)).cast("long").alias("individuals")))
 
     def _individuals(self) -> DataFrame:
         """Distinct individuals of each class, after merging; members of an enumeration count for it."""
@@ -352,7 +422,7 @@ class Assembler:
     def _metadata(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Values of description properties by term, property and language; and the ontology's own as one row."""
         kept = [RDFS + x for x in ("comment", "isDefinedBy", "seeAlso", "label")] + [OWL + x for x in ("versionInfo", "versionIRI", "priorVersion", "incompatibleWith", "backwardCompatibleWith")] + [ns + n for ns in (DC, DCTERMS) for n in V.DC_NAMES]
-        rows = cut(self.of(*kept).select(F.col("s").alias("term"), F.col("p").alias("prop"), F.coalesce("o_lang", F.lit("None")).alias("lang"), F.col("o").alias("value")).distinct())
+        rows = cut_some(self.of(*kept).select(F.col("s").alias("term"), F.col("p").alias("prop"), F.coalesce("o_lang", F.lit("None")).alias("lang"), F.col("o").alias("value")).distinct())
         said = self.moved(rows.where(F.col("prop") != RDFS + "label"), "term")
         of_nodes = said.join(nodes.select("term"), "term", "left_semi")
         self.homeless = said.join(nodes.select("term"), "term", "left_anti").select("term", "prop").distinct()
@@ -401,6 +471,7 @@ class Assembler:
         out = out.unionByName(note(typed.where(F.col("s").isin(*NO_PROPERTIES)), "Critical", F.concat(triple, F.lit(": a term of the language can't be drawn as a property"))))
         out = out.unionByName(note(self.homeless, "Warning", F.concat(iri("prop"), F.lit(" of "), iri("term"), F.lit(" is dropped: no node is drawn for it"))))
         out = out.unionByName(note(self.inverse.where("NOT fits"), "Warning", F.format_string("%s and %s are inverse, but their ends don't match", "p1", "p2")))
+        out = out.unionByName(note(self.torn, "Warning", F.format_string("%s is its own inverse by way of others: statements of inverses contradict each other", "property")))
         more = self.typed(OWL + "Ontology").where((F.col("s_kind") == "I") & (F.col("s") != F.lit(self.base).cast("string")))
         out = out.unionByName(note(more, "Warning", F.format_string("a further ontology is ignored: %s", "s")))
         if self.base is None:

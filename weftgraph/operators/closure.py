@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import cut, ship
+from weftgraph.session import cut, nothing, ship
 
 
 def prepared(edges: DataFrame) -> DataFrame:
@@ -14,16 +14,62 @@ def prepared(edges: DataFrame) -> DataFrame:
     return cut(edges.select(F.col("a").alias("_from"), F.col("b").alias("_to")).distinct())
 
 
+def jumps(pointers: DataFrame, rounds: int = 64) -> tuple[list[DataFrame], DataFrame]:
+    """Of ``pointers`` (_from, _to; at most one from each node): for each power of two, where as many steps lead; and the
+    nodes from which steps never end, as they lead into a cycle.
+
+    Each table is the one before joined with itself, and holds only nodes that far from their end, so the number
+    of rounds is the logarithm of the longest chain. Beyond as many steps as there are nodes only cycles are left.
+    """
+    nodes = pointers.count()
+    tables = []
+    now = pointers
+    for k in range(rounds):
+        if now.isEmpty():
+            return tables, now.select(F.col("_from").alias("a"))
+        if 1 << k > nodes:
+            return tables, cut(now.select(F.col("_from").alias("a")))
+        tables.append(now)
+        onward = now.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        now = cut(now.join(onward, "_to").select("_from", F.col("_next").alias("_to")))
+    raise RuntimeError("chains of over 2^64 steps")
+
+
+def walks(pointers: DataFrame, seeds: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(a, b, step): the nodes that a chain leads through from each seed a, and after how many steps; no seed may lead into a cycle.
+
+    Doubling: a round takes all that is reached 2^k steps further, so a list of n cells takes log n rounds, and
+    what is joined in all of them together is twice the result at most.
+    """
+    found = cut(seeds.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(0).cast("long").alias("step")))
+    for k, table in enumerate(tables):
+        further = found.join(table, found["b"] == table["_from"]).select("a", F.col("_to").alias("b"), (F.col("step") + (1 << k)).alias("step"))
+        found = cut(found.unionByName(further))
+    return found
+
+
 def closure(edges: DataFrame, seeds: DataFrame, reflexive: bool = True, rounds: int = 10_000) -> DataFrame:
     """Distinct pairs (a, b): b is reachable from the seed a over ``edges`` (a, b).
 
-    Semi-naive: each round joins only what the last one found, and drops pairs already
-    known, so cycles end. ``seeds`` has a column a; ``edges`` may be ``prepared``.
+    Where no node has two edges (lists, redirects) chains are followed by doubling, in a logarithmic number of rounds;
+    else, and from nodes that lead into a cycle, by ``frontiers``. ``seeds`` has a column a; ``edges`` may be ``prepared``.
     """
-    start = seeds.select("a").distinct().select("a", F.col("a").alias("b"))
     edges = edges if "_from" in edges.columns else prepared(edges)
-    if reflexive and edges.isEmpty():
-        return start
+    if edges.isEmpty():
+        return seeds.select("a").distinct().select("a", F.col("a").alias("b")).where(F.lit(reflexive))
+    if not edges.groupBy("_from").count().where("count > 1").isEmpty():
+        return frontiers(edges, seeds, reflexive, rounds)
+    tables, endless = jumps(edges)
+    cyclic = not endless.isEmpty()
+    straight = seeds.join(endless, "a", "left_anti") if cyclic else seeds
+    pairs = walks(edges, straight, tables).where(F.col("step") > (-1 if reflexive else 0)).select("a", "b")
+    return pairs.unionByName(frontiers(edges, seeds.join(endless, "a", "left_semi"), reflexive, rounds)) if cyclic else pairs
+
+
+def frontiers(edges: DataFrame, seeds: DataFrame, reflexive: bool, rounds: int) -> DataFrame:
+    """Semi-naive closure over any ``prepared`` edges: each round joins only what the last one found, and drops pairs already
+    known, so cycles end."""
+    start = seeds.select("a").distinct().select("a", F.col("a").alias("b"))
     known = cut(start if reflexive else start.join(edges, start["b"] == edges["_from"]).select("a", F.col("_to").alias("b")).distinct())
     front = known
     for _ in range(rounds):
@@ -35,6 +81,49 @@ def closure(edges: DataFrame, seeds: DataFrame, reflexive: bool = True, rounds:
     raise RuntimeError("closure did not end")
 
 
+def list_members(rest: DataFrame, heads: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``heads`` (head, ...) with the members of the lists they begin, from ``firsts`` (cell, ...), and ``position`` from 0.
+
+    ``rest`` (a, b) leads from a cell to the next. A malformed list, whose cells have two followers or come round again,
+    has each of its cells once, without a position.
+    """
+    rest = rest if "_from" in rest.columns else prepared(rest)
+    seeds = heads.select(F.col("head").alias("a")).distinct()
+    none = F.lit(None).cast("long")
+    if rest.isEmpty():
+        cells = seeds.select("a", F.col("a").alias("b"), F.lit(0).cast("long").alias("step"))
+    elif not rest.groupBy("_from").count().where("count > 1").isEmpty():
+        cells = frontiers(rest, seeds, True, 10_000).withColumn("step", none)
+    else:
+        tables, endless = jumps(rest)
+        cyclic = not endless.isEmpty()
+        cells = walks(rest, seeds.join(endless, "a", "left_anti") if cyclic else seeds, tables)
+        if cyclic:
+            cells = cells.unionByName(frontiers(rest, seeds.join(endless, "a", "left_semi"), True, 10_000).withColumn("step", none))
+    placed = cells.select(F.col("a").alias("head"), F.col("b").alias("cell"), F.col("step").alias("position"))
+    return heads.join(placed, "head").join(firsts, "cell").drop("cell")
+
+
+def signed_components(edges: DataFrame) -> DataFrame:
+    """node, root, opposite, torn for every node of ``edges`` (u, v, opposite): the least node of its component, whether it is
+    the opposite of that, and whether the component contradicts itself, as a node would be its own opposite.
+
+    Each node is taken twice, as it is and reversed; an edge between opposites ties one's node to the other's reverse.
+    So components keep the sign, an inverse of an inverse is the node itself, and star contraction stays as it is.
+    """
+    plain, back = F.lit("+"), F.lit("-")
+    sign = lambda s, c: F.concat(s, F.col(c).cast("string"))
+    first = F.struct(sign(plain, "u").alias("u"), F.when(F.col("opposite"), sign(back, "v")).otherwise(sign(plain, "v")).alias("v"))
+    second = F.struct(sign(back, "u").alias("u"), F.when(F.col("opposite"), sign(plain, "v")).otherwise(sign(back, "v")).alias("v"))
+    roots = components(edges.select(F.explode(F.array(first, second)).alias("e")).select("e.*"))
+    both = roots.groupBy(F.substring("node", 2, 1 << 30).alias("node")).agg(
+        F.max(F.when(F.substring("node", 1, 1) == "+", F.col("root"))).alias("up"), F.max(F.when(F.substring("node", 1, 1) == "-", F.col("root"))).alias("down")
+    )
+    # the two copies of a component have the same nodes, each once: the least of them is the root, in one of the copies as it is
+    named = both.withColumn("home", F.least(F.substring("up", 2, 1 << 30), F.substring("down", 2, 1 << 30)))
+    return named.select("node", F.col("home").alias("root"), (F.col("up") != F.concat(plain, "home")).alias("opposite"), (F.col("up") == F.col("down")).alias("torn"))
+
+
 def representatives(pointers: DataFrame, rounds: int = 64) -> DataFrame:
     """(a, root) for every a of a forest of pointers (a, b): pointer doubling, so a chain of n takes log n rounds."""
     now = cut(pointers.select("a", F.col("b").alias("root")))
@@ -89,6 +178,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     logarithm of the components' size. A few edges (``FEW_EDGES``) go to one task.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if nothing(now):
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     kind = now.schema["u"].dataType.simpleString()
     if kind in ("bigint", "int") and now.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
         ship(now.sparkSession)

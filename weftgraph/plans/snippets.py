@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import vocabulary as V
 from weftgraph.functions.vocabulary import DC, DCTERMS, OWL, RDF, RDFS, XML, XSD
-from weftgraph.operators.closure import closure
+from weftgraph.operators.closure import list_members
 from weftgraph.plans import compile as C
 from weftgraph.plans.sparql import parse
 from weftgraph.session import cut
@@ -100,10 +100,9 @@ class Groups:
         self.q = quads
         stated = self.of(*LISTS).select("s_kind", "s", "p", F.col("o").alias("head"))
         cells = self.of(V.REST).select(F.col("s").alias("a"), F.col("o").alias("b"))
-        reached = closure(cells, stated.select(F.col("head").alias("a"))).withColumnRenamed("a", "head")
-        firsts = self.of(V.FIRST).where((F.col("o_kind") != "I") | (F.col("o") != V.NIL)).select(F.col("s").alias("b"), *O)
+        firsts = self.of(V.FIRST).where((F.col("o_kind") != "I") | (F.col("o") != V.NIL)).select(F.col("s").alias("cell"), *O)
         #: s_kind, s, p and a member (o ...) of every list that p leads to.
-        self.listed = cut(stated.join(reached, "head").join(firsts, "b").select("s_kind", "s", "p", *O))
+        self.listed = cut(list_members(cells, stated, firsts).select("s_kind", "s", "p", *O))
         self.operands = self.listed.where(F.col("p") != OWL + "oneOf").unionByName(self.of(OWL + "complementOf").select("s_kind", "s", "p", *O))
         #: An anonymous class and the named classes stated to be below it: these own what it is made of.
         self.below = cut(self.of(RDFS + "subClassOf").where("s_kind = 'I' AND o_kind <> 'I'").select(F.col("o").alias("s"), F.col("s").alias("named")))

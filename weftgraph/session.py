@@ -70,6 +70,23 @@ def cut(df):
     return df.checkpoint()
 
 
+def nothing(df) -> bool:
+    """Whether the optimiser sees, before any job, that ``df`` has no rows: a side that a join needs is known to be empty."""
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return most.isDefined() and most.get() == 0
+
+
+def cut_some(df):
+    """``cut``; where there is nothing to keep, no rows with a plan as short."""
+    return without_rows(df) if nothing(df) else cut(df)
+
+
+def without_rows(df):
+    """No rows of the columns of ``df``."""
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+    return df.sparkSession.range(0).select(*nulls).where(F.lit(False))
+
+
 def settle(df):
     """``cut``, and then what earlier rounds of a loop left on disk is given back, as far as nothing refers to it."""
     done = cut(df)
