@@ -1,8 +1,8 @@
 """Language model, language ID, mixing, sharding, url verdicts and the pipeline."""
 
 import math
-import tracemalloc
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -423,10 +423,10 @@ def test_trust_spreads(spark):
 # ---- registry and pipeline
 def test_queries_run_and_agree_with_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     known = __spark_entry__.queries()
-    assert sorted(int(m[1]) for n in known if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in known if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     for name, text in Q.oracle_sql().items():
         df, want = known[name](spark, DATA), con.sql(text)
         order = sorted(df.columns)
