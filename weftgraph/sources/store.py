@@ -7,10 +7,13 @@ binary-file scan, parsed by one task.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import urllib.request
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
+from operator import and_
 from urllib.parse import urljoin, urlparse
 
 import pyarrow as pa
@@ -21,7 +24,7 @@ from weftgraph.functions.vocabulary import OWL, PREFIXES
 from weftgraph.plans.sparql import unescape
 from weftgraph.sources import formats, owl, rdfxml, turtle
 from weftgraph.sources.turtle import QUAD, ParseError
-from weftgraph.session import cut, ship
+from weftgraph.session import cut, ensure_checkpoint_dir, ship
 
 READERS = {
     "ttl": turtle.read_turtle, "trig": turtle.read_trig, "n3": turtle.read_n3, "ntriples": turtle.read_nquads, "nquads": turtle.read_nquads,
@@ -35,6 +38,10 @@ WRITERS = {
 #: The order in which types are tried when the hinted one fails.
 ORDER = ("owl", "ofn", "owx", "ttl", "rdf", "ntriples", "nquads", "trig", "jsonld", "n3")
 LIMIT = 50_000_000
+#: Graphs of one insertion that are looked up by name; with more, all graphs are compared.
+SOME_GRAPHS = 1000
+#: Tasks that fetch at a time.
+FETCHES = 64
 APP = "weftgraph"
 
 
@@ -166,15 +173,41 @@ def rows_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 # ---- the store
 class Store:
-    """A set of quads with what can be done to it. ``user`` keeps users' graphs apart."""
+    """A set of quads with what can be done to it. ``user`` keeps users' graphs apart.
 
-    def __init__(self, spark: SparkSession, user: str | None = None, resolve_imports: bool = False, limit: int = LIMIT):
+    Quads lie in a table in ``path`` (the shared folder, if none is named), in directories by commit and graph and sorted by
+    predicate in each. An insertion is one commit: it is compared with its own graphs alone, and writes only
+    what they lack. A graph is read from its directories, a predicate from the files whose bounds fit. A table that is
+    there already is opened; a commit counts once its job has marked it as done.
+    """
+
+    def __init__(self, spark: SparkSession, user: str | None = None, resolve_imports: bool = False, limit: int = LIMIT, path: str | None = None):
         self.spark, self.user, self.resolve_imports, self.limit = spark, user, resolve_imports, limit
-        self.quads = rows_frame(spark, [])
+        if path is None:
+            ensure_checkpoint_dir(spark)
+            path = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+        self.path, self.commits = path.rstrip("/"), []
+        while self._done(len(self.commits)):
+            self.commits.append(self._commit(len(self.commits)))
         self.notes: list[dict] = []
         self.line_notes: list[str] = []
         self.uploads: dict[str, list] = {}
 
+    def _commit(self, n: int) -> str:
+        return f"{self.path}/commit={n}"
+
+    def _done(self, n: int) -> bool:
+        mark = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._commit(n)}/_SUCCESS")
+        return mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+    @property
+    def quads(self) -> DataFrame:
+        """All quads that are stored."""
+        columns = [c.split()[0] for c in QUAD.split(", ")]
+        if not self.commits:
+            return self.spark.range(0).select(*[F.lit(None).cast("string").alias(c) for c in columns]).where(F.lit(False))
+        return self.spark.read.schema(QUAD + ", commit int").option("basePath", self.path).parquet(*self.commits).select(*columns)
+
     def note(self, severity: str, kind: str, message: str) -> None:
         self.notes.append({"timestamp": datetime.now(timezone.utc).isoformat(), "severity": severity, "error_type": kind, "message": message})
 
@@ -185,9 +218,29 @@ class Store:
             out = out.unionByName(rejected_lines(self.spark.read.text(path)))
         return out
 
-    def add(self, quads: DataFrame) -> None:
-        """Graphs are sets: what is already there stays once."""
-        self.quads = cut(self.quads.unionByName(quads).dropDuplicates())
+    def add(self, quads: DataFrame, graphs: list[str] | None = None) -> None:
+        """Graphs are sets: what is already there stays once. ``graphs``: those that the quads are of, if it is known."""
+        new = quads.dropDuplicates()
+        if self.commits:
+            there = self.quads
+            if graphs is None:
+                found = [r["g"] for r in quads.select("g").distinct().limit(SOME_GRAPHS + 1).collect()]
+                graphs = found if len(found) <= SOME_GRAPHS else None
+            if graphs is not None:  # directories of other graphs aren't read
+                there = there.where(F.col("g").isin(*graphs))
+            old = there.select(*[F.col(c).alias(f"_{c}") for c in there.columns])
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c in ("o_dt", "o_lang") else F.col(c) == F.col(f"_{c}") for c in there.columns]
+            new = new.join(old, reduce(and_, same), "left_anti")
+        path = self._commit(len(self.commits))
+        new.repartitionByRange("g", "p", "s").sortWithinPartitions("g", "p", "s").write.mode("overwrite").partitionBy("g").parquet(path)
+        self.commits.append(path)
+
+    def compact(self, path: str) -> "Store":
+        """The same quads in a store at ``path``, as one commit: fewer and larger files after many small insertions."""
+        whole = Store(self.spark, self.user, self.resolve_imports, self.limit, path)
+        if self.commits:
+            whole.add(self.quads)
+        return whole
 
     def insert_stored(self, dataset: str, folder: str) -> str:
         """A dataset of the ``CATALOG``, whose file lies in ``folder``; its graph's name."""
@@ -202,15 +255,14 @@ class Store:
             raise StoreError(f"unknown type of {path}")
         g = graph_name(name or path.rsplit("/", 1)[-1], self.user)
         if kind in ("ntriples", "nquads"):
-            self.add(read_lines(self.spark, path, g))
+            self._take(g, read_lines(self.spark, path, g), path, None if kind == "nquads" else [g])
             self.line_notes.append(path)
         else:
             quads, notes = read_documents(self.spark, path, g, self.user, self.limit)
             bad = notes.where("severity = 'Critical'").limit(1).collect()
             if bad:
                 raise StoreError(bad[0]["message"])
-            self.add(quads)
-        self._imports(g, path if re.match(r"[a-z]+:", path) else f"file://{path}")
+            self._take(g, quads, path, [g] if kind != "trig" else None)
         return g
 
     def insert_text(self, text: str, name: str, base: str | None = None) -> str:
@@ -221,8 +273,7 @@ class Store:
         rows, kind = parse_any(text, hint, g, base or f"file:///{name}", name)
         if kind != hint and {kind, hint} != {"owl", "rdf"}:
             self.note("Warning", "Parser", f"{name} was read as {kind}, not as {hint}")
-        self.add(rows_frame(self.spark, rows))
-        self._imports(g, base or f"file:///{name}")
+        self._take(g, rows_frame(self.spark, rows), base or f"file:///{name}")
         return g
 
     def insert_url(self, url: str) -> str:
@@ -236,39 +287,57 @@ class Store:
     # uploads in parts
     def start_upload(self, name: str) -> str:
         key = str(uuid.uuid4())
-        self.uploads[key] = [name if formats.extension(name) else name + ".owl", b""]
+        self.uploads[key] = [name if formats.extension(name) else name + ".owl", 0, []]
         return key
 
     def upload_chunk(self, key: str, chunk: bytes) -> None:
-        self.uploads[key][1] += chunk
-        if len(self.uploads[key][1]) > self.limit:
+        self.uploads[key][1] += len(chunk)
+        self.uploads[key][2].append(chunk)
+        if self.uploads[key][1] > self.limit:
             del self.uploads[key]
             raise StoreError(f"the upload exceeds {self.limit} bytes")
 
     def complete_upload(self, key: str) -> str:
-        name, content = self.uploads.pop(key)
-        return self.insert_text(content.decode("utf-8-sig"), name)
+        name, _, chunks = self.uploads.pop(key)
+        return self.insert_text(b"".join(chunks).decode("utf-8-sig"), name)
 
     # imports
-    def _imports(self, g: str, base: str) -> None:
-        """Follow owl:imports breadth first; what they hold goes into the importing graph, failures are warnings."""
-        if not self.resolve_imports:
-            return
-        seen, front = {base}, [(i, base) for i in import_iris(self.quads.where(F.col("g") == g))]
+    def _take(self, g: str, quads: DataFrame, base: str, graphs: list[str] | None = None) -> None:
+        """Quads and, if they are followed, all that they import, as one commit into the store."""
+        if self.resolve_imports:
+            base = base if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", base) else f"file://{base}"
+            quads = cut(quads)
+            for level in self._imports(g, base, import_iris(quads.where(F.col("g") == g))):
+                quads = quads.unionByName(level)
+        self.add(quads, graphs)
+
+    def _imports(self, g: str, base: str, iris: list[str]):
+        """Quads of what is imported, level by level: the documents of a level are fetched and read by tasks, each once by its
+        resolved location, and by its content where several locations hold the same. They go into the importing graph;
+        failures are warnings. The driver holds the locations."""
+        seen, contents, front = {base}, set(), [(i, base) for i in iris]
         while front:
-            iri, parent = front.pop(0)
-            url = resolve(iri, parent)
-            if url in seen:
-                continue
-            seen.add(url)
-            try:
-                text = fetch(url, self.limit).decode("utf-8-sig")
-                rows, _ = parse_any(text, formats.type_of(urlparse(url).path), g, url, url)
-            except (OSError, ValueError) as e:
-                self.note("Warning", "Import", f"{url}: {e}")
-                continue
-            self.add(rows_frame(self.spark, rows))
-            front += [(r[5], url) for r in rows if r[3] == OWL + "imports" and r[4] == "I"]
+            urls = sorted({resolve(i, parent) for i, parent in front if _locates(i, parent)} - seen)
+            for i, parent in front:
+                if not _locates(i, parent):
+                    self.note("Warning", "Import", f"not a location: {i}")
+            seen |= set(urls)
+            if not urls:
+                return
+            asked = self.spark.createDataFrame([(u,) for u in urls], "url string").repartition(min(len(urls), FETCHES), "url")
+            found = cut(asked.mapInArrow(_fetching(g, self.limit), f"{QUAD}, url string, content string, problem string"))
+            docs = found.where("content IS NOT NULL OR problem IS NOT NULL").groupBy("url").agg(F.min("content").alias("content"), F.min("problem").alias("problem"))
+            fresh = []
+            for r in docs.orderBy("url").collect():  # one row for each location
+                if r["problem"] is not None:
+                    self.note("Warning", "Import", f"{r['url']}: {r['problem']}")
+                elif r["content"] not in contents:
+                    contents.add(r["content"])
+                    fresh.append(r["url"])
+            level = found.where(F.col("s").isNotNull() & F.col("url").isin(*fresh))
+            yield level.select(*[c.split()[0] for c in QUAD.split(", ")])
+            further = level.where((F.col("p") == OWL + "imports") & (F.col("o_kind") == "I")).select("o", "url").distinct().collect()
+            front = sorted((r["o"], r["url"]) for r in further)
 
     def query(self, text: str, g: str | None = None, terms: bool = False) -> DataFrame:
         """A SELECT over one graph, or over all of them; GRAPH clauses name graphs. Other query forms are refused."""
@@ -308,6 +377,30 @@ def write_lines(quads: DataFrame, path: str, graphs: bool = True) -> None:
     quads.select(F.concat_ws(" ", *parts, F.lit(".")).alias("value")).write.mode("overwrite").text(path)
 
 
+def _locates(iri: str, parent: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", urljoin(parent, iri)) is not None
+
+
+def _fetching(g: str, limit: int):
+    """Locations to the quads of what they hold, with the hash of the content; or to what went wrong."""
+
+    def run(batches):
+        names = ["g", "s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang", "url", "content", "problem"]
+        for batch in batches:
+            for url in batch.column(0).to_pylist():
+                rows, content, problem = [], None, None
+                try:
+                    data = fetch(url, limit)
+                    rows, _ = parse_any(data.decode("utf-8-sig"), formats.type_of(urlparse(url).path), g, url, url)
+                    content = hashlib.sha256(data).hexdigest()
+                except (OSError, ValueError) as e:
+                    problem = str(e)
+                out = [*[(*r, url, None, None) for r in rows], (*[None] * 8, url, content, problem)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*out, strict=True)], names=names)
+
+    return run
+
+
 def import_iris(quads: DataFrame) -> list[str]:
     return [r["o"] for r in quads.where((F.col("p") == OWL + "imports") & (F.col("o_kind") == "I")).select("o").distinct().collect()]
 
