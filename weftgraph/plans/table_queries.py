@@ -247,6 +247,7 @@ def type_priority(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     typ = F.when(F.col("o_orderstatus") == "P", OWL + "DeprecatedClass").when(F.col("o_orderstatus") == "F", RDFS + "Class").otherwise(OWL + "Class")
     found = Assembler(_quads(orders, _iri("c", "o_custkey"), TYPE, typ))
+    found.same_properties()
     found.types()
     return found.nodes.select("term", "element_type")
 
