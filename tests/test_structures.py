@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators.assemble import assemble
-from weftgraph.operators.closure import closure, list_members, signed_components
+from weftgraph.operators.closure import closure, list_members, over_hubs, prepared, signed_components, strong_components
 from weftgraph.sources.store import Store, rows_frame
 from weftgraph.sources.turtle import read_turtle
 
@@ -96,6 +96,57 @@ def test_closures_of_chains_and_of_others(spark, reflexive):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def reach(edges, seeds, reflexive):
+    """Pairs by plain search."""
+    onward: dict = {}
+    for a, b in edges:
+        onward.setdefault(a, []).append(b)
+    out = set()
+    for s in seeds:
+        seen, front = ({s} if reflexive else set()), [s]
+        while front:
+            new = [b for a in front for b in onward.get(a, ())]
+            front = [b for b in dict.fromkeys(new) if b not in seen]
+            seen.update(front)
+        out |= {(s, x) for x in seen}
+    return out
+
+
+def test_a_cycle_of_ten_thousand_nodes(spark):
+    """One closed by pointers alone, and one that branches: both in a few rounds, not one for each node."""
+    n = 10_000
+    ring = spark.range(n).select(F.col("id").alias("a"), ((F.col("id") + 1) % n).alias("b"))
+    seeds = spark.createDataFrame([(0,), (77,)], "a long")
+    assert sorted(map(tuple, closure(ring, seeds, False, rounds=40).groupBy("a").count().collect())) == [(0, n), (77, n)]
+    # chords, a tail of 5,000 that leads in, one that leads out, and a ring of 3,000 of its own
+    more = [(0, 5000), (2500, 7500), (7500, 0)] + [(20_000 + i, 20_001 + i) for i in range(5000)] + [(25_000, 100), (9000, 40_000)]
+    more += [(40_000 + i, 40_001 + i) for i in range(3000)] + [(60_000 + i, 60_000 + (i + 1) % 3000) for i in range(3000)]
+    edges = [(i, (i + 1) % n) for i in range(n)] + more
+    starts = [20_010, 3, 41_000, 60_005, 43_000, 0]
+    got = closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(s,) for s in starts], "a long"), False, rounds=40)
+    count, mark = got.count(), got.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0]
+    want = spark.createDataFrame(sorted(reach(edges, starts, False)), "a long, b long")
+    assert (count, mark) == (want.count(), want.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0])
+
+
+def test_closures_by_hubs_and_components(spark):
+    """A random graph with chains, self loops and separate rings, over the condensed graph and over the plain one."""
+    rng = random.Random(1)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(32)} | {(5, 5), (50, 51), (51, 50), (60, 60), (70, 71)}
+    edges |= {(100 + i, 101 + i) for i in range(9)} | {(3, 100), (109, 3), (109, 50)}
+    seeds = sorted({x for e in edges for x in e}) + [999]
+    frame, starts = prepared(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "a string, b string")), spark.createDataFrame([(f"n{s}",) for s in seeds], "a string")
+    for reflexive, many in ((True, 0), (False, 10_000)):
+        want = sorted((f"n{a}", f"n{b}") for a, b in reach(edges, seeds, reflexive))
+        assert sorted(map(tuple, over_hubs(frame, starts, reflexive, many=many).collect())) == want
+    pairs = reach(edges, seeds, True)
+    roots = {r["node"]: r["root"] for r in strong_components(frame).collect()}
+    for a in seeds:
+        both = {f"n{b}" for b in seeds if (a, b) in pairs and (b, a) in pairs}
+        assert (roots.get(f"n{a}") in both) if len(both) > 1 else f"n{a}" not in roots
+        assert len({roots.get(x) for x in both}) == 1
+
+
 # ---- signs
 def test_signed_components(spark):
     edges = [("p", "q", True), ("q", "r", True), ("r", "s", False), ("z", "y", True), ("y", "x", True), ("x", "z", True), ("b", "p", True), ("k", "l", False), ("e", "e", True)]

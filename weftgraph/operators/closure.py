@@ -48,22 +48,136 @@ def walks(pointers: DataFrame, seeds: DataFrame, tables: list[DataFrame]) -> Dat
     return found
 
 
+def circling(pointers: DataFrame, seeds: DataFrame, tables: list[DataFrame], reflexive: bool) -> DataFrame:
+    """(a, b): the nodes that a chain leads through from each seed a which leads into a cycle, each once.
+
+    Doubling as in ``walks``; the tables of ``jumps`` cover at least as many steps as there are nodes, so the cycle is closed.
+    """
+    start = seeds.select("a").distinct()
+    if reflexive:
+        found = cut(start.select("a", F.col("a").alias("b")))
+    else:
+        found = cut(start.join(pointers, start["a"] == pointers["_from"]).select("a", F.col("_to").alias("b")))
+    for table in tables:
+        further = found.join(table, found["b"] == table["_from"]).select("a", F.col("_to").alias("b"))
+        found = cut(found.unionByName(further).distinct())
+    return found
+
+
 def closure(edges: DataFrame, seeds: DataFrame, reflexive: bool = True, rounds: int = 10_000) -> DataFrame:
     """Distinct pairs (a, b): b is reachable from the seed a over ``edges`` (a, b).
 
-    Where no node has two edges (lists, redirects) chains are followed by doubling, in a logarithmic number of rounds;
-    else, and from nodes that lead into a cycle, by ``frontiers``. ``seeds`` has a column a; ``edges`` may be ``prepared``.
+    Where no node has two edges (lists, redirects) chains are followed by doubling, in a logarithmic number of rounds,
+    cycles too; else ``over_hubs``. ``seeds`` has a column a; ``edges`` may be ``prepared``.
     """
     edges = edges if "_from" in edges.columns else prepared(edges)
     if edges.isEmpty():
         return seeds.select("a").distinct().select("a", F.col("a").alias("b")).where(F.lit(reflexive))
     if not edges.groupBy("_from").count().where("count > 1").isEmpty():
-        return frontiers(edges, seeds, reflexive, rounds)
+        return over_hubs(edges, seeds, reflexive, rounds)
     tables, endless = jumps(edges)
     cyclic = not endless.isEmpty()
     straight = seeds.join(endless, "a", "left_anti") if cyclic else seeds
     pairs = walks(edges, straight, tables).where(F.col("step") > (-1 if reflexive else 0)).select("a", "b")
-    return pairs.unionByName(frontiers(edges, seeds.join(endless, "a", "left_semi"), reflexive, rounds)) if cyclic else pairs
+    return pairs.unionByName(circling(edges, seeds.join(endless, "a", "left_semi"), tables, reflexive)) if cyclic else pairs
+
+
+#: From more starts than these a closure goes over the condensed graph; fewer reach less than condensing reads.
+MANY_STARTS = 64
+
+
+def over_hubs(edges: DataFrame, seeds: DataFrame, reflexive: bool, rounds: int = 10_000, many: int = MANY_STARTS) -> DataFrame:
+    """Closure over any ``prepared`` edges, in as many rounds as there are hubs one after the other.
+
+    A node with one edge in and one out lies inside a chain, any other is a hub. Chains between hubs become one edge each, by
+    doubling. Of many starts, hubs that reach each other count as one (``strong_components``), so a pair is found once for
+    a component and not for each of its nodes and edges. Then each hub's chains are put back: as a node lies inside one
+    chain at most, what is joined there is the result and repeats only hubs.
+    """
+    degrees = edges.select(F.explode(F.array(F.struct(F.col("_from").alias("n"), F.lit(1).alias("out")), F.struct(F.col("_to").alias("n"), F.lit(0).alias("out")))).alias("e"))
+    inner = cut(degrees.groupBy("e.n").agg(F.sum("e.out").alias("out"), F.count("*").alias("all")).where("out = 1 AND all = 2").select("n"))
+    marked = edges.join(inner.select(F.col("n").alias("_from"), F.lit(True).alias("from_in")), "_from", "left")
+    marked = cut(marked.join(inner.select(F.col("n").alias("_to"), F.lit(True).alias("to_in")), "_to", "left").select("_from", "_to", F.coalesce("from_in", F.lit(False)).alias("from_in"), F.coalesce("to_in", F.lit(False)).alias("to_in")))
+    pointers = marked.where("from_in AND to_in").select("_from", "_to")
+    tables, endless = jumps(pointers)  # a cycle without a hub is met from its own nodes alone
+    leaving = marked.where("from_in AND NOT to_in").select(F.col("_from").alias("last"), F.col("_to").alias("exit"))
+    lasts = representatives(pointers.select(F.col("_from").alias("a"), F.col("_to").alias("b")).join(endless, "a", "left_anti"))
+    exits = cut(leaving.select(F.col("last").alias("cell"), "exit").unionByName(lasts.join(leaving, lasts["root"] == leaving["last"]).select(F.col("a").alias("cell"), "exit")))
+    entering = marked.where("NOT from_in AND to_in").select(F.col("_from").alias("hub"), F.col("_to").alias("a"))
+    far = entering.join(exits, entering["a"] == exits["cell"]).select(F.col("hub").alias("_from"), F.col("exit").alias("_to"))
+    links = cut(marked.where("NOT from_in AND NOT to_in").select("_from", "_to").unionByName(far).distinct())
+    chained = entering.join(walks(pointers, entering.select("a"), tables), "a").select("hub", F.col("b").alias("node"))
+    below = cut(links.select(F.col("_from").alias("hub"), F.col("_to").alias("node")).unionByName(chained))
+
+    start = cut(seeds.select("a").distinct())
+    inside = start.join(inner, start["a"] == inner["n"], "left_semi")
+    # of a seed inside a chain: its own cells after it, the hub they lead to, and what that reaches
+    ends = inside.join(exits, inside["a"] == exits["cell"]).select("a", F.col("exit").alias("hub"))
+    starts = cut(start.join(inner, start["a"] == inner["n"], "left_anti").select("a", F.col("a").alias("hub")).unionByName(ends))
+    hubs = starts.select(F.col("hub").alias("a")).distinct()
+    if hubs.limit(many + 1).count() > many:
+        strong = strong_components(links)
+        named = lambda c, to: F.coalesce(to, F.col(c)).alias(c)
+        by = lambda frame, c: frame.join(strong.select(F.col("node").alias(c), F.col("root").alias("_root")), c, "left").select(*[named(c, F.col("_root")) if x == c else x for x in frame.columns])
+        starts, below = by(starts, "hub"), cut(by(below, "hub").distinct())
+        links = cut(by(by(links, "_from"), "_to").where("_from <> _to").distinct())
+        hubs = starts.select(F.col("hub").alias("a")).distinct()
+    reached = frontiers(links, hubs, True, rounds).select(F.col("a").alias("hub"), F.col("b").alias("_at"))
+    found = starts.join(reached, "hub").join(below.select(F.col("hub").alias("_at"), F.col("node").alias("b")), "_at").select("a", "b")
+    own = walks(pointers, inside.join(endless, "a", "left_anti"), tables).where("step > 0").select("a", "b")
+    found = found.unionByName(own).unionByName(ends.select("a", F.col("hub").alias("b")))
+    found = found.unionByName(circling(pointers, inside.join(endless, "a", "left_semi"), tables, reflexive))
+    if reflexive:
+        found = found.unionByName(start.select("a", F.col("a").alias("b")))
+    return found.distinct()
+
+
+def _spread(edges: DataFrame, marks: DataFrame, rounds: int) -> DataFrame:
+    """(node, mark): the least of ``marks`` (node, mark) that leads to each node over ``edges`` (_from, _to); a round takes
+    only nodes whose mark has just changed."""
+    known = front = marks
+    for _ in range(rounds):
+        offered = front.join(edges, front["node"] == edges["_from"]).groupBy(F.col("_to").alias("node")).agg(F.min("mark").alias("offer"))
+        step = cut(known.join(offered, "node", "left").select("node", F.least("mark", "offer").alias("mark"), F.coalesce(F.col("offer") < F.col("mark"), F.lit(False)).alias("moved")))
+        known, front = step.select("node", "mark"), step.where("moved").select("node", "mark")
+        if front.isEmpty():
+            return known
+    raise RuntimeError("marks did not settle")
+
+
+def strong_components(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, root) for every node of ``edges`` (_from, _to) that lies on a cycle of two or more nodes: nodes that reach each other
+    share a root, one of them.
+
+    Forward-backward colouring: nodes that nothing leads to, or that lead nowhere, are trimmed until none is left; each node
+    takes the least mark that reaches it; where a mark's own node is reached back inside its colour, that is a component.
+    Marks are in the order of a hash, so a colour that holds several components is halved by a round, about, however they are named.
+    """
+    left = cut(edges.select("_from", "_to").where("_from <> _to").distinct())
+    done = left.select(F.col("_from").alias("node"), F.col("_to").alias("root")).where(F.lit(False))
+    for _ in range(rounds):
+        before = left.count()
+        while before:
+            kept = left.join(left.select(F.col("_to").alias("_from")).distinct(), "_from", "left_semi")
+            left = cut(kept.join(left.select(F.col("_from").alias("_to")).distinct(), "_to", "left_semi").select("_from", "_to"))
+            before, last = left.count(), before
+            if before == last:
+                break
+        if not before:
+            return done
+        mark = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+        nodes = left.select(F.col("_from").alias("node")).distinct()  # trimmed: each node has an edge out
+        colours = _spread(left, cut(nodes.select("node", mark.alias("mark"))), rounds)
+        ends = left.join(colours.select(F.col("node").alias("_from"), F.col("mark").alias("one")), "_from").join(colours.select(F.col("node").alias("_to"), F.col("mark").alias("two")), "_to")
+        left = cut(ends.where("one = two").select("_from", "_to"))
+        back = left.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))
+        met = frontiers(back, colours.where("mark.n = node").select(F.col("node").alias("a")), True, rounds).select(F.col("b").alias("node"), F.col("a").alias("root"))
+        whole = met.groupBy("root").count().where("count > 1").select("root")
+        done = cut(done.unionByName(met.join(whole, "root", "left_semi").select("node", "root")))
+        over = met.select("node")
+        left = left.join(over.select(F.col("node").alias("_from")), "_from", "left_anti").join(over.select(F.col("node").alias("_to")), "_to", "left_anti")
+        left = cut(left.select("_from", "_to"))
+    raise RuntimeError("components did not settle")
 
 
 def frontiers(edges: DataFrame, seeds: DataFrame, reflexive: bool, rounds: int) -> DataFrame:
@@ -93,13 +207,13 @@ def list_members(rest: DataFrame, heads: DataFrame, firsts: DataFrame) -> DataFr
     if rest.isEmpty():
         cells = seeds.select("a", F.col("a").alias("b"), F.lit(0).cast("long").alias("step"))
     elif not rest.groupBy("_from").count().where("count > 1").isEmpty():
-        cells = frontiers(rest, seeds, True, 10_000).withColumn("step", none)
+        cells = closure(rest, seeds).withColumn("step", none)
     else:
         tables, endless = jumps(rest)
         cyclic = not endless.isEmpty()
         cells = walks(rest, seeds.join(endless, "a", "left_anti") if cyclic else seeds, tables)
         if cyclic:
-            cells = cells.unionByName(frontiers(rest, seeds.join(endless, "a", "left_semi"), True, 10_000).withColumn("step", none))
+            cells = cells.unionByName(circling(rest, seeds.join(endless, "a", "left_semi"), tables, True).withColumn("step", none))
     placed = cells.select(F.col("a").alias("head"), F.col("b").alias("cell"), F.col("step").alias("position"))
     return heads.join(placed, "head").join(firsts, "cell").drop("cell")
 
