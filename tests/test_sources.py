@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from test_assemble import CASES, HEAD, PIECES
 from weftgraph.functions.vocabulary import PREFIXES, RDF, XSD
 from weftgraph.sources import formats
-from weftgraph.sources.store import CATALOG, READERS, WRITERS, Store, StoreError, graph_name, parse_any, read_documents, read_lines, rejected_lines, write_lines
+from weftgraph.sources.store import CATALOG, READERS, WRITERS, Store, StoreError, graph_name, parse_any, parse_lines, read_documents, read_lines, rejected_lines, write_lines
 from weftgraph.sources.turtle import ParseError, read_nquads, read_turtle, write_nquads
 
 ONTOLOGY = {
@@ -196,6 +196,18 @@ def test_lines_are_read_like_documents(spark, tmp_path):
     assert store.quads.count() == 3 and store.diagnostics().count() == 2
 
 
+def test_very_long_literals_in_lines(spark, tmp_path):
+    """Neither the length nor the number of escapes of a literal or an IRI needs a stack; and a text's own line end is kept."""
+    texts = ["x" * 300_000, "a\\n\\\\\\u00e9" * 40_000, "\\t" * 100_000]
+    lines = [f'<urn:{"y" * 50_000}{i}> <urn:p\\u00e9> "{x}"@en <urn:g> . # "' for i, x in enumerate(texts)]
+    (tmp_path / "f").write_text("\n".join(lines))
+    want = sorted(read_nquads("\n".join(lines), "g", "", "f"))
+    assert sorted(map(tuple, read_lines(spark, str(tmp_path / "f"), "g").collect())) == want and len(want) == 3
+    got = parse_lines(spark.createDataFrame([('<urn:a> <urn:b> "one\ntwo" .',), ("\n" * 10,)], "value string"), "g").collect()
+    assert [(r["s"], r["o"], r["o_kind"]) for r in got] == [("urn:a", "one\ntwo", "L")]
+
+
+
 def test_streaming_intake(spark, tmp_path):
     from weftgraph.streaming.ingest import counts_by_graph, quads_of, start
 

@@ -104,13 +104,19 @@ def decoded(text: Column) -> Column:
 
 def parse_lines(lines: DataFrame, graph: str) -> DataFrame:
     """Quads of lines (a column value) of N-Triples or N-Quads, taken apart by the JVM; ``rejected_lines`` has those that are no statement."""
-    part = lambda i: F.regexp_extract("value", turtle.STATEMENT, i)
-    iri = lambda i: decoded(F.nullif(part(i), F.lit("")))
-    blank = lambda i: F.concat(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1), F.lit("#"), F.nullif(part(i), F.lit("")))
+    # a line is taken apart once: its groups on lines of their own after an empty one, the literal's text, which alone may hold a line end, last
+    order = (1, 2, 3, 4, 5, 7, 8, 9, 10, 6)
+    groups = "".join(f"\n${i}" for i in order)
+    parts = F.split(F.regexp_replace("value", F.lit(turtle.STATEMENT), F.lit(groups)), "\n", 11)
+    whole = F.when(F.contains("value", F.lit("\n")), F.col("value").rlike(turtle.STATEMENT)).otherwise(F.size("_parts") == 11)
+    lines = lines.withColumn("_parts", parts).where(whole)
+    part = lambda i: F.col("_parts")[order.index(i) + 1]
+    iri = lambda i: F.when(part(i) != "", decoded(part(i)))
+    blank = lambda i: F.when(part(i) != "", F.concat(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1), F.lit("#"), part(i)))
     # an object that is neither IRI nor blank is a literal, though its text may be empty
     literal = (part(4) == "") & (part(5) == "")
     lang = F.nullif(part(8), F.lit(""))
-    return lines.where(F.col("value").rlike(turtle.STATEMENT)).select(
+    return lines.select(
         F.coalesce(iri(9), blank(10), F.lit(graph)).alias("g"),
         F.when(part(2) == "", "I").otherwise("B").alias("s_kind"),
         F.coalesce(blank(2), decoded(part(1))).alias("s"),

@@ -230,9 +230,10 @@ def read_n3(text: str, graph: str, base: str, label: str) -> list[tuple]:
 # subject (IRI, blank), 3 the predicate, 4-8 the object (IRI, blank, literal, datatype, language), 9, 10 the graph (IRI, blank).
 _CODE = r"\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|\\U(?!0000[dD][89a-fA-F])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
 _S = r"[\x20\x09-\x0d]"
-_IRI = rf"<((?:[^<>\x00-\x20\\]|{_CODE})+)>"
+# What may be long is matched possessively, run by run: without a step back, and in Java without a frame for each character.
+_IRI = rf"<((?!>)[^<>\x00-\x20\\]*+(?:(?:{_CODE})[^<>\x00-\x20\\]*+)*+)>"
 _BLANK = r"_:([^\x00-\x20]+{0})"
-_TEXT = rf"""\"((?:[^"\\]|\\[tbnrf"'\\]|{_CODE})*)\"(?:\^\^{_IRI}|@([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*))?"""
+_TEXT = rf"""\"([^"\\]*+(?:(?:\\[tbnrf"'\\]|{_CODE})[^"\\]*+)*+)\"(?:\^\^{_IRI}|@([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*))?"""
 STATEMENT = rf"^{_S}*(?:{_IRI}|{_BLANK.format('')}){_S}*{_IRI}{_S}*(?:{_IRI}|{_BLANK.format('?')}|{_TEXT}){_S}*(?:{_IRI}|{_BLANK.format('?')})?{_S}*\.{_S}*(?:#[\s\S]*)?(?![\s\S])"
 LINE = re.compile(STATEMENT)
 
