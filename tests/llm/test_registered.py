@@ -1,5 +1,6 @@
 """The registered queries over the smallest tables, and the pipeline on a small fixture, against plain versions."""
 
+import base64
 import hashlib
 import math
 import random
@@ -166,6 +167,11 @@ def test_op10_with_links_against_sql(spark):
     assert 20 < sum("'block'" in r for r in got) < len(got) - 20
 
 
+def test_no_piece_of_the_vocabulary_is_left_out():
+    with open(Q.PIECES, "rb") as f:
+        assert set(language_id.read_pieces(Q.PIECES)) >= {base64.b64decode(line.split()[0]) for line in f if line.strip()}
+
+
 def test_long_words_are_summed_in_runs(monkeypatch):
     pieces = [bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bc", b" a", b"abcabcabcabcabca"]
     model = language_id.Model(pieces, ["x", "y"], np.random.default_rng(3).dirichlet(np.ones(len(pieces)), 2).T.copy())
@@ -174,6 +180,10 @@ def test_long_words_are_summed_in_runs(monkeypatch):
         word = b" " + bytes(np.random.default_rng(n).choice(list(b"abc"), n))
         whole = language_id.Lattice(model.automaton, model.sizes, [word]).log_probability(model.p)[0]
         assert language_id.long_log_probability(model.automaton, model.sizes, model.p, word) == pytest.approx(whole, rel=1e-9)
+    model = language_id.Model([*pieces, b"abc" * 20], ["x", "y"], np.random.default_rng(4).dirichlet(np.ones(len(pieces) + 1), 2).T.copy())
+    for word in (b" " + b"abc" * 900, b" " + b"cab" * 15 + b"acb" * 300 + b"abc" * 20, b"a" * 2000):  # a piece of over WIDE bytes is found, or isn't
+        whole = language_id.Lattice(model.automaton, model.sizes, [word]).log_probability(model.p)[0]
+        assert language_id.long_log_probability(model.automaton, model.sizes, model.p, word) == pytest.approx(whole, rel=1e-9)
     long = "abc" * 1000
     assert model.score([long, long + " ab"])[0] == model.score([long + " " + "ab", long])[0][::-1]
 

@@ -46,10 +46,12 @@ PER_LANGUAGE = 500
 ROUNDS = 4
 #: Words a worker remembers before it starts anew.
 MEMORY = 200_000
-LONGEST = 16
 CHUNK = 8_000
 #: Words of so many bytes are scored one by one, in runs of RUN bytes of at most about SLAB bytes (for one language) at a time.
 LONG, RUN, SLAB = 2048, 256, 1 << 17
+#: Up to this longest piece the runs of a long word are solved side by side, for each value they may start from; beyond it one
+#: after the other, as side by side costs the square of the length.
+WIDE = 32
 #: Words of more bytes don't teach: a bound of the sample, for hardly a word of a language is so long.
 TEACH = 128
 #: What smoothing adds: so many uses, spread as the pieces are used in all languages.
@@ -57,10 +59,10 @@ SMOOTHING = 200.0
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The pieces of a published vocabulary of at most LONGEST bytes, and all single bytes."""
+    """All pieces of a published vocabulary, and all single bytes."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    return sorted({p for p in pieces if len(p) <= LONGEST} | {bytes([b]) for b in range(256)})
+    return sorted((pieces - {b""}) | {bytes([b]) for b in range(256)})
 
 
 class Lattice:
@@ -113,7 +115,8 @@ class Lattice:
 def _solutions(a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Run the recursion f[e] = sum over l of a[e, l] f[e - l] for many runs at once.
 
-    ``a``: run, step, language, length; ``state``: run, start, language, the LONGEST values before, the nearest first.
+    ``a``: run, step, language, length; ``state``: run, start, language, the values before, as many as the longest piece
+    has bytes, the nearest first.
     Gives the last state, scaled, and the logarithms of the scales (run, language).
     """
     scale = np.zeros((a.shape[0], a.shape[2]))
@@ -130,26 +133,32 @@ def _solutions(a: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def long_log_probability(automaton, sizes_of: np.ndarray, p: np.ndarray, word: bytes) -> np.ndarray:
     """log probability of one long word for each language: the forward pass over runs of ``RUN`` bytes side by side.
 
-    A run is solved for each of the LONGEST values it may start from, and the runs are put together one after the other.
+    A run is solved for each of the values it may start from, as many as the longest piece found in the word has bytes
+    (over ``WIDE``: from the values it does start from), and the runs are put together one after the other.
     Memory is bounded by ``SLAB`` bytes of the word, whatever its length.
     """
     langs = p.shape[1]
-    state, total = np.zeros((langs, LONGEST)), np.zeros(langs)
+    longest = _longest(automaton, sizes_of, word)
+    state, total = np.zeros((langs, longest)), np.zeros(langs)
     state[:, 0] = 1.0
-    slab = max(RUN, SLAB // max(langs, 1) // RUN * RUN)
+    slab = max(RUN, SLAB * 16 // max(langs * longest, 16) // RUN * RUN)
     for at in range(0, len(word), slab):
         n = min(slab, len(word) - at)
         runs = -(-n // RUN)
-        a = np.zeros((runs * RUN, langs, LONGEST))
-        before = max(0, at - LONGEST + 1)
-        hits = np.fromiter(chain.from_iterable(automaton.iter(word[before : at + n].decode("latin-1"))), np.int64).reshape(-1, 2)
+        a = np.zeros((runs * RUN, langs, longest))
+        before = max(0, at - longest + 1)
+        hits = _hits(automaton, word[before : at + n])
         end, size = hits[:, 0] + before, sizes_of[hits[:, 1]]
         ok = (end >= at) & (end + 1 - size >= 0)
         a[end[ok] - at, :, size[ok] - 1] = p[hits[ok, 1]]
-        a = a.reshape(runs, RUN, langs, LONGEST)
+        if longest > WIDE:
+            solved, scale = _solutions(a[None, :n], state[None, None])
+            state, total = solved[0, 0], total + scale[0]
+            continue
+        a = a.reshape(runs, RUN, langs, longest)
         last = n - (runs - 1) * RUN  # the last run may be shorter
-        parts = [_solutions(a[: runs - 1], np.broadcast_to(np.eye(LONGEST)[None, :, None, :], (runs - 1, LONGEST, langs, LONGEST)).copy())] if runs > 1 else []
-        parts.append(_solutions(a[runs - 1 :, :last], np.eye(LONGEST)[None, :, None, :].repeat(langs, axis=2)))
+        parts = [_solutions(a[: runs - 1], np.broadcast_to(np.eye(longest)[None, :, None, :], (runs - 1, longest, langs, longest)).copy())] if runs > 1 else []
+        parts.append(_solutions(a[runs - 1 :, :last], np.eye(longest)[None, :, None, :].repeat(langs, axis=2)))
         for solved, scale in parts:
             for c in range(len(solved)):
                 state = np.einsum("gb,bgl->gl", state, solved[c])
@@ -159,6 +168,17 @@ def long_log_probability(automaton, sizes_of: np.ndarray, p: np.ndarray, word: b
     return total + np.log(np.maximum(state[:, 0], 1e-300))
 
 
+def _hits(automaton, part: bytes) -> np.ndarray:
+    """(last byte, piece) of every piece in a part of a word."""
+    return np.fromiter(chain.from_iterable(automaton.iter(part.decode("latin-1"))), np.int64).reshape(-1, 2)
+
+
+def _longest(automaton, sizes_of: np.ndarray, word: bytes) -> int:
+    """Bytes of the longest piece in a word, which is read in slabs that overlap by the longest piece of all."""
+    overlap = int(sizes_of.max(initial=1)) - 1
+    return max(int(sizes_of[_hits(automaton, word[max(0, at - overlap) : at + SLAB])[:, 1]].max(initial=1)) for at in range(0, len(word), SLAB))
+
+
 class Model:
     def __init__(self, pieces: list[bytes], languages: list[str], p: np.ndarray | None = None):
         self.pieces, self.languages, self.p = pieces, languages, p
