@@ -12,6 +12,7 @@ from weftgraph.operators import assemble as A
 from weftgraph.operators import facets
 from weftgraph.plans import snippets
 from weftgraph.session import cut, ensure_checkpoint_dir, table
+from weftgraph.sources.pieces import read_turtle_pieces, write_turtle_pieces
 from weftgraph.sources.store import parse_lines, read_lines, rejected_lines, write_lines
 from weftgraph.sources.turtle import STRING
 
@@ -88,6 +89,14 @@ def graph_lines_round_trip(spark, sf_dir):
     return read_lines(spark, path, G).groupBy("p", "o_kind").agg(F.count("*").alias("n"))
 
 
+def graph_turtle_round_trip(spark, sf_dir):
+    """The catalogue written as Turtle by all tasks, and read again in pieces."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/turtle-{uuid.uuid4().hex}"
+    write_turtle_pieces(catalogue(spark, sf_dir), path)
+    return read_turtle_pieces(spark, path, G)[0].groupBy("p", "o_kind").agg(F.count("*").alias("n"))
+
+
 def graph_clause(spark, sf_dir):
     """Customers of a nation in a graph of its own: each graph with its name, and one by its name."""
     customer = table(spark, sf_dir, "customer")
@@ -131,6 +140,11 @@ _SOLUTIONS = f"""WITH c AS (SELECT count(*) AS parts, count(DISTINCT p_type) AS
   UNION ALL SELECT '{RDFS}subClassOf', 2, pairs FROM c UNION ALL SELECT '{OWL}ObjectProperty', NULL, 1 UNION ALL SELECT '{OWL}FunctionalProperty', NULL, 1 UNION ALL SELECT '{OWL}DatatypeProperty', NULL, 1
   UNION ALL SELECT '{OWL}NamedIndividual', 2, parts + types + brands + 4 FROM c UNION ALL SELECT '{BASE}#madeAs', 2, 2 * types FROM c UNION ALL SELECT '{BASE}#size', 2, 1 UNION ALL SELECT NULL, NULL, types FROM c"""
 
+_STORED = f"""SELECT p, o_kind, count(*) AS n FROM (
+          SELECT '{TYPE}' AS p, 'I' AS o_kind FROM part UNION ALL SELECT '{TYPE}', 'I' FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT '{TYPE}', 'I' FROM (SELECT DISTINCT p_brand FROM part)
+          UNION ALL SELECT '{TYPE}', 'I' FROM range(4) UNION ALL SELECT '{OWL}versionInfo', 'L' UNION ALL SELECT '{RDFS}label', 'L' FROM (SELECT DISTINCT p_type FROM part)
+          UNION ALL SELECT '{RDFS}domain', 'I' FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT '{RDFS}subClassOf', 'I' FROM (SELECT DISTINCT p_type, p_brand FROM part)) GROUP BY 1, 2"""
+
 QUERIES = {
     "graph_nodes": (graph_nodes, _NODES),
     "graph_edges": (graph_edges, _EDGES),
@@ -141,13 +155,8 @@ QUERIES = {
     ),
     "graph_solutions": (graph_solutions, _SOLUTIONS),
     "graph_search": (graph_search, "SELECT 'owl:Class' AS element_type, string_agg(DISTINCT concat('Type ', p_type), ',' ORDER BY concat('Type ', p_type)) AS labels FROM part"),
-    "graph_lines_round_trip": (
-        graph_lines_round_trip,
-        f"""SELECT p, o_kind, count(*) AS n FROM (
-          SELECT '{TYPE}' AS p, 'I' AS o_kind FROM part UNION ALL SELECT '{TYPE}', 'I' FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT '{TYPE}', 'I' FROM (SELECT DISTINCT p_brand FROM part)
-          UNION ALL SELECT '{TYPE}', 'I' FROM range(4) UNION ALL SELECT '{OWL}versionInfo', 'L' UNION ALL SELECT '{RDFS}label', 'L' FROM (SELECT DISTINCT p_type FROM part)
-          UNION ALL SELECT '{RDFS}domain', 'I' FROM (SELECT DISTINCT p_type FROM part) UNION ALL SELECT '{RDFS}subClassOf', 'I' FROM (SELECT DISTINCT p_type, p_brand FROM part)) GROUP BY 1, 2""",
-    ),
+    "graph_lines_round_trip": (graph_lines_round_trip, _STORED),
+    "graph_turtle_round_trip": (graph_turtle_round_trip, _STORED),
     "graph_clause": (
         graph_clause,
         "SELECT concat('urn:n:', c_nationkey) AS g, concat('urn:c:', c_custkey) AS c, c_mktsegment AS s FROM customer UNION ALL SELECT NULL, concat('urn:c:', c_custkey), c_mktsegment FROM customer WHERE c_nationkey = 3",

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.vocabulary import OWL, PREFIXES
 from weftgraph.plans.sparql import unescape
 from weftgraph.sources import formats, owl, rdfxml, turtle
+from weftgraph.sources.pieces import read_turtle_pieces, write_turtle_pieces
 from weftgraph.sources.turtle import QUAD, ParseError
 from weftgraph.session import cut, ensure_checkpoint_dir, ship
 
@@ -197,6 +198,7 @@ class Store:
             self.commits.append(self._commit(len(self.commits)))
         self.notes: list[dict] = []
         self.line_notes: list[str] = []
+        self.large_notes: list[DataFrame] = []
         self.uploads: dict[str, list] = {}
 
     def _commit(self, n: int) -> str:
@@ -222,6 +224,8 @@ class Store:
         out = self.spark.createDataFrame([tuple(n.values()) for n in self.notes], "timestamp string, severity string, error_type string, message string")
         for path in self.line_notes:
             out = out.unionByName(rejected_lines(self.spark.read.text(path)))
+        for notes in self.large_notes:
+            out = out.unionByName(notes)
         return out
 
     def add(self, quads: DataFrame, graphs: list[str] | None = None) -> None:
@@ -271,6 +275,15 @@ class Store:
             self._take(g, quads, path, [g] if kind != "trig" else None)
         return g
 
+    def insert_large(self, path: str, name: str | None = None) -> str:
+        """A Turtle file of any size, or a directory of such files, read in pieces; its graph's name. Statements that can't be
+        read are in ``diagnostics``, the others are kept."""
+        g = graph_name(name or path.rstrip("/").rsplit("/", 1)[-1], self.user)
+        quads, notes = read_turtle_pieces(self.spark, path, g)
+        self._take(g, quads, path, [g])
+        self.large_notes.append(notes)
+        return g
+
     def insert_text(self, text: str, name: str, base: str | None = None) -> str:
         """A document in memory; its type is a hint, any reader that takes it will do."""
         if len(text.encode()) > self.limit:
@@ -367,6 +380,10 @@ class Store:
         """One graph as N-Quads or N-Triples, written by all tasks: for graphs of any size."""
         write_lines(self.graph(g), path, graphs)
 
+    def export_turtle(self, g: str, path: str) -> None:
+        """One graph as Turtle files, written by all tasks: for graphs of any size."""
+        write_turtle_pieces(self.graph(g), path)
+
 
 def write_lines(quads: DataFrame, path: str, graphs: bool = True) -> None:
     def node(kind, text):

@@ -43,7 +43,7 @@ class Turtle:
         self.text, self.graph, self.base, self.label = text, graph, base, label
         self.graphs, self.n3 = graphs, n3
         self.prefixes: dict[str, str] = {"": base + "#"} if n3 else {}
-        self.at, self.blanks, self.out = 0, 0, []
+        self.at, self.blanks, self.mark, self.out = 0, 0, "", []
         self.kind = self.token = ""
         self.advance()
 
@@ -78,8 +78,9 @@ class Turtle:
             raise ParseError(f"expected {token!r}, found {self.token!r} at {self.at}")
 
     def fresh(self) -> tuple:
+        """A blank node without a label; no label has a tilde. ``mark`` tells pieces of one document apart."""
         self.blanks += 1
-        return "B", f"{self.label}#b{self.blanks}", None, None
+        return "B", f"{self.label}#b~{self.mark}{self.blanks}", None, None
 
     def parse(self) -> list[tuple]:
         while self.kind != "end":
