@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # The groups of element types that filters switch together.
@@ -42,11 +42,29 @@ def entries(counted: DataFrame) -> DataFrame:
     return counted.select(display_name(F.col("element_type")).alias("name"), "element_type", "n").orderBy("name", "element_type")
 
 
+# What a summary counts of nodes and of edges.
+def _of_nodes() -> list[Column]:
+    return [F.count("*").alias("nodes"), F.count("label").alias("node_labels"), F.coalesce(F.sum("individuals"), F.lit(0)).alias("individuals")]
+
+
+def _of_edges() -> list[Column]:
+    traits = F.coalesce(F.sum((F.size("characteristics") > 0).cast("long")), F.lit(0))
+    return [F.count("*").alias("edges"), F.count("label").alias("edge_labels"), F.count(F.coalesce("card_min", "card_max")).alias("cardinalities"), traits.alias("with_characteristics")]
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Totals of a display graph, one row."""
-    n = nodes.agg(F.count("*").alias("nodes"), F.count("label").alias("node_labels"), F.coalesce(F.sum("individuals"), F.lit(0)).alias("individuals"))
-    e = edges.agg(F.count("*").alias("edges"), F.count("label").alias("edge_labels"), F.count(F.coalesce("card_min", "card_max")).alias("cardinalities"), F.coalesce(F.sum((F.size("characteristics") > 0).cast("long")), F.lit(0)).alias("with_characteristics"))
-    return n.crossJoin(e)  # one row each
+    return nodes.agg(*_of_nodes()).crossJoin(edges.agg(*_of_edges()))  # one row each
+
+
+def write(nodes: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
+    """Nodes and edges as tables in ``path``; the totals of ``summary``, counted while the rows are written."""
+    seen = {}
+    for name, df, counted in (("nodes", nodes, _of_nodes()), ("edges", edges, _of_edges())):
+        totals = Observation()
+        df.observe(totals, *counted).write.mode("overwrite").parquet(f"{path}/{name}")
+        seen |= totals.get
+    return seen
 
 
 def visible(counted: DataFrame, shown: dict[str, bool]) -> DataFrame:

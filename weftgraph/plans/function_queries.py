@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weftgraph.functions import terms
 from weftgraph.functions import vocabulary as V
 from weftgraph.functions.vocabulary import OWL, XSD
-from weftgraph.operators import facets
-from weftgraph.session import table
+from weftgraph.operators import facets, label_index
+from weftgraph.session import ensure_checkpoint_dir, table
 
 
 def fn_graph_name(spark, sf_dir):
@@ -79,6 +81,14 @@ def fn_prefix_search(spark, sf_dir):
     return facets.search(parts, "SM").select("element_type", F.size("labels").cast("long").alias("n"))
 
 
+def fn_label_index(spark, sf_dir):
+    """The same kind of search in an index of labels, of which only files that can hold the prefix are read."""
+    ensure_checkpoint_dir(spark)
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("element_type"), F.col("p_name").alias("label"))
+    index = label_index.build(parts, f"{spark.sparkContext.getCheckpointDir()}/labels-{uuid.uuid4().hex}")
+    return index.find("SM")
+
+
 QUERIES = {
     "fn_graph_name": (fn_graph_name, "SELECT c_custkey, concat('urn:weftgraph:user:', c_mktsegment, ':graph:a_file_', replace(translate(c_name, '()[]', ''), ' ', '_'), '1.ttl') AS g FROM customer"),
     "fn_synthetic": (fn_synthetic, "SELECT p_partkey, concat('urn:', p_type, CASE WHEN p_partkey % 2 = 0 THEN '_thing' ELSE '' END) AS term, p_partkey % 2 = 0 AS made FROM part"),
@@ -100,6 +110,7 @@ QUERIES = {
     ),
     "fn_term_of": (fn_term_of, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'I' ELSE 'B' END AS kind FROM pages"),
     "fn_type_groups": (fn_type_groups, "SELECT CASE WHEN event_id % 23 < 7 THEN 'classes' WHEN event_id % 23 < 10 THEN 'rdf' WHEN event_id % 23 < 15 THEN 'set_operators' WHEN event_id % 23 < 22 THEN 'properties' ELSE 'other' END AS filter_group, count(*) AS n FROM events GROUP BY 1"),
+    "fn_label_index": (fn_label_index, "SELECT DISTINCT p_brand AS element_type, p_name AS label FROM part WHERE starts_with(lower(p_name), 'sm') AND p_brand IS NOT NULL"),
     "fn_prefix_search": (fn_prefix_search, "SELECT p_type AS element_type, count(DISTINCT p_name) AS n FROM part WHERE starts_with(lower(p_name), 'sm') GROUP BY 1"),
 }
 

@@ -67,6 +67,14 @@ def graph_facets(spark, sf_dir):
     return facets.counts(shown.nodes, shown.edges)
 
 
+def graph_totals(spark, sf_dir):
+    """The display graph stored, and its totals, counted on the way."""
+    ensure_checkpoint_dir(spark)
+    shown = A.assemble(catalogue(spark, sf_dir))
+    totals = facets.write(shown.nodes, shown.edges, f"{spark.sparkContext.getCheckpointDir()}/display-{uuid.uuid4().hex}")
+    return spark.createDataFrame([tuple(totals.values())], ", ".join(f"{n} long" for n in totals))
+
+
 def graph_visible(spark, sf_dir):
     shown = A.assemble(catalogue(spark, sf_dir))
     return facets.visible(facets.counts(shown.nodes, shown.edges), {"rdfs:subClassOf": False})
@@ -149,6 +157,10 @@ QUERIES = {
     "graph_nodes": (graph_nodes, _NODES),
     "graph_edges": (graph_edges, _EDGES),
     "graph_facets": (graph_facets, _COUNTS),
+    "graph_totals": (
+        graph_totals,
+        f"SELECT * FROM (SELECT count(*) AS nodes, count(label) AS node_labels, sum(individuals)::BIGINT AS individuals FROM ({_NODES})), (SELECT count(*) AS edges, count(label) AS edge_labels, 0::BIGINT AS cardinalities, count(nullif(traits, '')) AS with_characteristics FROM ({_EDGES}))",
+    ),
     "graph_visible": (
         graph_visible,
         f"SELECT CASE WHEN element_type IN ('owl:Class','owl:Thing') THEN 'classes' WHEN element_type='rdfs:Literal' THEN 'rdf' ELSE 'properties' END AS filter_group, sum(CASE WHEN element_type='rdfs:subClassOf' THEN 0 ELSE n END)::BIGINT AS shown, sum(n)::BIGINT AS total FROM ({_COUNTS}) GROUP BY 1",
