@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators.assemble import assemble
-from weftgraph.operators.closure import closure, list_members, over_hubs, prepared, signed_components, strong_components
+from weftgraph.operators.closure import closure, list_members, over_hubs, prepared, representatives, signed_components, strong_components
 from weftgraph.sources.store import Store, rows_frame
 from weftgraph.sources.turtle import read_turtle
 
@@ -191,3 +191,50 @@ def test_ends_by_rank(spark):
     text = CLASSES + ":U a owl:Class ; owl:unionOf ( :A :B ) . :p a owl:ObjectProperty ; rdfs:domain :U , :B ; rdfs:range :U . :q a owl:ObjectProperty ; owl:inverseOf :p ."
     _, edges = drawn(spark, text)
     assert [e for e in edges if e[1] == "owl:InverseOf"] == [(":B", "owl:InverseOf", ":p", ":U", "p\nq"), (":U", "owl:InverseOf", ":q", ":B", "p\nq")]
+
+
+# ---- representatives
+def most_records_of_a_task(spark, run):
+    """What ``run`` returns, and the most shuffled records that one of its tasks reads."""
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.dagScheduler().nextStageId()
+    out = run()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    most = 0
+    for stage in range(first, sc.dagScheduler().nextStageId()):
+        tasks = sc.statusStore().taskList(stage, 0, 1000)
+        for i in range(tasks.size()):
+            metrics = tasks.apply(i).taskMetrics()
+            most = max(most, metrics.get().shuffleReadMetrics().recordsRead() if metrics.isDefined() else 0)
+    return out, most
+
+
+@pytest.fixture
+def unmerged(spark):
+    """Partitions as they are dealt: none put together, none split, nothing broadcast unasked."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_the_rows_of_a_tree_do_not_meet_in_one_task(spark, unmerged):
+    n = 16_000
+    halves = spark.range(1, n).selectExpr("id AS a", "id div 2 AS b")
+    got, most = most_records_of_a_task(spark, lambda: representatives(halves).collect())
+    assert sorted(map(tuple, got)) == [(a, 0) for a in range(1, n)]
+    assert most < n * 3 // 5
+
+
+def test_rows_that_point_at_one_node_do_not_meet_in_one_task(spark, unmerged):
+    n = 16_000
+    star = spark.range(10, n).selectExpr("id AS a", "CASE WHEN id % 100 = 0 THEN id - 1 ELSE 3L END AS b")
+    pointers = star.unionByName(spark.createDataFrame([(3, 2), (2, 1), (1, -1)], "a long, b long"))
+    got, most = most_records_of_a_task(spark, lambda: representatives(pointers, hot=1_000).collect())
+    assert sorted(map(tuple, got)) == [(a, -1) for a in (1, 2, 3, *range(10, n))]
+    assert most < n * 3 // 5
+    with pytest.raises(RuntimeError, match="cycle"):
+        representatives(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"), rounds=4)

@@ -238,15 +238,38 @@ def signed_components(edges: DataFrame) -> DataFrame:
     return named.select("node", F.col("home").alias("root"), (F.col("up") != F.concat(plain, "home")).alias("opposite"), (F.col("up") == F.col("down")).alias("torn"))
 
 
-def representatives(pointers: DataFrame, rounds: int = 64) -> DataFrame:
-    """(a, root) for every a of a forest of pointers (a, b): pointer doubling, so a chain of n takes log n rounds."""
-    now = cut(pointers.select("a", F.col("b").alias("root")))
+#: Pointers to one node that make it hot: so many, and this share of all pointers, so there are at most as many hot nodes as the share has parts.
+HOT, HOT_SHARE = 100_000, 10_000
+
+
+def _led_on(rows: DataFrame, known: DataFrame, many: int) -> DataFrame:
+    """``rows`` (a, root) with their root replaced by that which ``known`` (a, root, done) has for it, and whether it is the last.
+
+    The few nodes that very many rows point at are looked up apart and sent to every task, so their rows don't meet in one.
+    """
+    to = known.select(F.col("a").alias("_a"), F.col("root").alias("_next"), F.col("done").alias("_done"))
+    shown = ["a", F.coalesce("_next", "root").alias("root"), F.coalesce("_done", F.lit(True)).alias("done")]
+    counts = rows.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > many).select("root")
+    hot = cut(counts.join(to, counts["root"] == to["_a"], "left").select(F.col("root").alias("_hot"), "_next", "_done"))
+    if hot.isEmpty():
+        return rows.join(to, rows["root"] == to["_a"], "left").select(*shown)
+    spread = rows.join(F.broadcast(hot), rows["root"] == hot["_hot"]).select(*shown)
+    rest = rows.join(F.broadcast(hot.select("_hot")), rows["root"] == hot["_hot"], "left_anti")
+    return spread.unionByName(rest.join(to, rest["root"] == to["_a"], "left").select(*shown))
+
+
+def representatives(pointers: DataFrame, rounds: int = 64, hot: int = HOT) -> DataFrame:
+    """(a, root) for every a of a forest of pointers (a, b): pointer doubling, so a chain of n takes log n rounds.
+
+    Rows that have come to a root leave the rounds: else all rows of a tree would be joined by its root, in one task.
+    """
+    known = cut(pointers.select("a", F.col("b").alias("root"), F.lit(False).alias("done")))
+    many = max(hot, known.count() // HOT_SHARE)
     for _ in range(rounds):
-        on = now.select(F.col("a").alias("_a"), F.col("root").alias("_next"))
-        step = cut(now.join(on, now["root"] == on["_a"], "left").select("a", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
-        now = step.select("a", "root")
-        if step.where("_moved").isEmpty():
-            return now
+        step = _led_on(known.where("NOT done").select("a", "root"), known, many)
+        known = cut(step.unionByName(known.where("done")))
+        if known.where("NOT done").isEmpty():
+            return known.select("a", "root")
     raise RuntimeError("the pointers have a cycle")
 
 
