@@ -1,4 +1,7 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.plans import algebra as A
 from weftgraph.plans import compile as C
@@ -73,3 +76,18 @@ def test_parse_tree():
     assert q.distinct and q.limit == 3 and q.offset == 1 and not q.order[0][1]
     assert [t.p.iri for t in q.pattern.triples] == ["urn:q", "urn:p", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"]
     assert isinstance(q.pattern, A.Bgp)
+
+
+def test_parts_of_compatible_solutions_are_dealt_out_evenly(spark):
+    """Few values and unbound ones give many pairs from small files: the pairs are made by as many tasks as there are partitions, none has many more than its share."""
+    one = spark.range(900).coalesce(1).selectExpr("id AS a", "CASE WHEN id % 3 > 0 THEN id % 2 END AS n")
+    two = spark.range(300).coalesce(1).selectExpr("id AS b", "CASE WHEN id % 4 > 0 THEN id % 2 END AS n")
+    whole, n = C.Bound(datatype=C.INTEGER), C.Bound(datatype=C.INTEGER, maybe=True)
+    got = C.join(C.Relation(one, {"a": whole, "n": n}), C.Relation(two, {"b": whole, "n": n})).df
+    rows = got.select("a", "b", "n", F.spark_partition_id().alias("task")).collect()
+    x, y = one.collect(), two.collect()
+    want = sorted((i["a"], j["b"], i["n"] if i["n"] is not None else j["n"]) for i in x for j in y if i["n"] is None or j["n"] is None or i["n"] == j["n"])
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
+    assert sorted((tuple(r)[:3] for r in rows), key=key) == sorted(want, key=key)
+    most = Counter(r["task"] for r in rows).most_common(1)[0][1]
+    assert most < len(rows) / 8

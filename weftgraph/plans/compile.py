@@ -12,6 +12,7 @@ an error is null, COALESCE passes over errors, FILTER takes null for false.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import chain, combinations
@@ -366,6 +367,29 @@ def _compatible(left: Relation, right: Relation, shared: list[str], also: list[C
         yield left.df if on_left is None else left.df.where(on_left), parts
 
 
+#: Rows of a part, counted first, that may go to every task.
+SMALL_PART = 100_000
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _all_with_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of one side with every one of the other: both are dealt out evenly, whatever files they come from, so the pairs,
+    which grow with the product of the sides, are made by some four times as many tasks as there are shuffle partitions."""
+    n = 2 * math.ceil(math.sqrt(_tasks(left)))
+    return left.repartition(n).crossJoin(right.repartition(n))
+
+
+def _by_few_values(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """An equality join of which nothing says that either side has a value once: of few values each gives many pairs from few bytes, and
+    by their size all would come to one task. A small right side goes to all tasks, over which the left is dealt out evenly."""
+    if right.limit(SMALL_PART + 1).count() > SMALL_PART:
+        return left.join(right, on)
+    return left.repartition(_tasks(left)).join(F.broadcast(right), on)
+
+
 def _pieces(left: Relation, right: Relation, shared: list[str], how: str, also: list[Column]) -> DataFrame:
     """The join of two aligned relations, both sides' columns side by side; for semi and anti joins the left's alone."""
     out = None
@@ -375,8 +399,11 @@ def _pieces(left: Relation, right: Relation, shared: list[str], how: str, also:
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
 
     def one(rows: DataFrame, part: DataFrame, on: list[Column], how: str) -> DataFrame:
+        if loose and how == "inner":
+            return _by_few_values(rows, part, _all(on)) if on else _all_with_all(rows, part)
         return rows.join(part, _all(on), how) if on else rows.crossJoin(part) if how == "inner" else rows.join(part, F.lit(True), how)
 
+    loose = any(r.vars[v].maybe for r in (left, right) for v in shared)
     for rows, parts in _compatible(left, right, shared, also):
         if len(parts) == 1 or how == "inner":
             for part, on in parts:
