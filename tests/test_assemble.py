@@ -5,9 +5,11 @@ import re
 import pytest
 
 from weftgraph.functions import vocabulary as V
+from weftgraph.operators import assemble as assemble_module
 from weftgraph.operators import closure, facets
 from weftgraph.operators.assemble import assemble, elements, to_json
-from weftgraph.plans import snippets
+from weftgraph.plans import snippets, table_queries
+from weftgraph.session import cut_some
 from weftgraph.sources.store import rows_frame
 from weftgraph.sources.turtle import read_turtle
 
@@ -174,3 +176,22 @@ def test_elements_are_numbered(spark):
     term = {r["id"]: r["term"] for r in drawn}
     assert {(term[r["domain"]], term[r["range"]]) for r in triples} == {(r["domain"], r["range"]) for r in d.edges.collect()}
     assert [r["name"] for r in facets.entries(facets.counts(d.nodes, d.edges)).collect()] == sorted(r["name"] for r in facets.entries(facets.counts(d.nodes, d.edges)).collect())
+
+
+def test_edges_are_told_apart_without_sorting(spark, monkeypatch):
+    """Whole rows are told apart by hashing, and where every end is known no edge is dealt out to look for it."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_some(df)
+
+    monkeypatch.setattr(assemble_module, "cut_some", seen)
+    lines = spark.createDataFrame([(o, s) for o in range(20) for s in range(o % 5)], "l_orderkey long, l_suppkey long")
+    monkeypatch.setattr(table_queries, "table", lambda *a: lines)
+    got = table_queries.symmetric_edge_dedup(spark, "")
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    assert not [p for p in plans if "SortAggregate" in p and "edge_type" in p]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = table_queries.disjoint_suppliers(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" in pairs and pairs.count("Exchange hashpartitioning(l_orderkey") + pairs.count("Exchange hashpartitioning(l_suppkey") <= 3

@@ -21,7 +21,7 @@ from weftgraph.functions import terms
 from weftgraph.functions import vocabulary as V
 from weftgraph.functions.vocabulary import DC, DCTERMS, OWL, RDF, RDFS
 from weftgraph.operators.closure import least_members, list_members, representatives, signed_components
-from weftgraph.session import cut, cut_some, nothing, numbered
+from weftgraph.session import cut, cut_some, nothing, numbered, without_rows
 
 NODE = "term string, term_kind string, element_type string, label string, individuals long"
 EDGE = ["domain", "range", "edge_type", "property", "label", "card_min", "card_max"]
@@ -246,7 +246,7 @@ class Assembler:
         edges = edges.unionByName(members.select(*edge("owner", "member", F.lit(NO_DRAW))))
         self.member_nodes = members.groupBy("member").agg(F.max(F.when(F.col("o_kind") == "L", F.col("o"))).alias("label"), F.max("o_kind").alias("k"))
         self.members = members.where("o_kind <> 'L'").select(F.col("owner").alias("cls"), F.col("o").alias("one"))
-        self.struct_edges = cut_some(self.moved(edges, "domain", "range").where("domain <> range OR edge_type NOT IN ('NoDraw', 'rdfs:subClassOf')"))
+        self.struct_edges = self.moved(edges, "domain", "range").where("domain <> range OR edge_type NOT IN ('NoDraw', 'rdfs:subClassOf')")  # read once, in output
 
     def property_edges(self) -> None:
         """Edges of properties between declared ends; a missing end is a Thing or a Literal made for it."""
@@ -357,14 +357,18 @@ class Assembler:
         edges = struct.unionByName(plain).unionByName(folded).unionByName(two)
         swap = F.col("edge_type") == "owl:disjointWith"
         edges = edges.withColumns({"domain": F.when(swap, F.least("domain", "range")).otherwise(F.col("domain")), "range": F.when(swap, F.greatest("domain", "range")).otherwise(F.col("range"))})
-        edges = cut_some(edges.dropDuplicates(["domain", "range", "edge_type", "property", "card_min", "card_max"]))
+        # the label follows from type and property; whole rows are told apart without sorting them
+        edges = cut_some(edges.distinct())
         nodes = self._nodes(edges)
         # an edge with an end that nothing tells of is reported, not drawn
         lost = nodes.where(F.col("element_type") == UNRESOLVED).select("term")
-        self.lost = cut_some(edges.withColumn("end", F.explode(F.array_distinct(F.array("domain", "range")))).join(lost.withColumnRenamed("term", "end"), "end"))
-        nodes = nodes.where(F.col("element_type") != UNRESOLVED)
-        for end in ("domain", "range"):
-            edges = edges.join(lost.withColumnRenamed("term", end), end, "left_anti")
+        if lost.isEmpty():  # as a rule: then no edge is dealt out again to look for its ends
+            self.lost = without_rows(edges.withColumn("end", F.col("domain")))
+        else:
+            self.lost = cut_some(edges.withColumn("end", F.explode(F.array_distinct(F.array("domain", "range")))).join(lost.withColumnRenamed("term", "end"), "end"))
+            nodes = nodes.where(F.col("element_type") != UNRESOLVED)
+            for end in ("domain", "range"):
+                edges = edges.join(lost.withColumnRenamed("term", end), end, "left_anti")
         traits = self.as_same(self.typed(*[OWL + x for x in V.CHARACTERISTICS]).select(F.col("s").alias("property"), F.regexp_replace("o", "^.*#", "").alias("trait")), "property").select("property", "trait")
         partner = self.inverse.where("fits").select(F.col("p1").alias("property"), F.col("p2").alias("o")).unionByName(self.inverse.where("fits").select(F.col("p2").alias("property"), F.col("p1").alias("o")))
         traits = traits.unionByName(partner.join(traits.select(F.col("property").alias("o"), "trait"), "o").select("property", "trait"))
