@@ -55,6 +55,10 @@ TOGETHER, COUNTED = 4_000_000, 400_000
 LOG10 = np.log(10.0)
 #: Rows of logits that are worked on at a time: they stay in a core's cache.
 ROWS = 1024
+#: Weights that a step moves at a time, and rows of input weights: with their moments and gradients they stay in a core's cache too.
+BLOCK, IN_ROWS = 4096, 48
+#: Of an input met at least so often in a window the gradients are summed apart.
+OFTEN = 6
 #: Bytes of text whose words are looked up at once.
 TEXT = 4 << 20
 
@@ -195,8 +199,9 @@ class Lanes:
         self.told = np.concatenate([part for d in self.placed for part in (docs[d], end)]) if len(docs) else end[:0]
         self.codes = codes
 
-    def windows(self, window: int):
+    def windows(self, window: int, named: bool = True):
         """(inputs, targets, doc) of each window, for the lanes that go on through some of it; with whether a step is one.
+        Without ``named`` doc is None.
 
         Only a window is laid out: a document much longer than the others takes no place in their lanes.
         """
@@ -210,7 +215,7 @@ class Lanes:
             before = np.where(at > 0, self.told[at - 1], 0).astype(np.int32)
             read = np.where(before > 0, before + 1, n_short + 1 - before - self.codes.n_short_classes)
             inputs = np.where(real & (before != 0), read, 0).astype(np.int32)  # after an end a document begins
-            yield inputs, target, self.placed[np.searchsorted(self.begins, at, "right") - 1], real
+            yield inputs, target, self.placed[np.searchsorted(self.begins, at, "right") - 1] if named else None, real
 
 
 def states(p: dict, inputs: np.ndarray, h: np.ndarray, keep: bool = False):
@@ -265,17 +270,54 @@ def _shifted_words(p: dict, codes: Codes) -> tuple[np.ndarray, bool]:
 
 
 def _softmax(logits: np.ndarray, told: np.ndarray, safe: bool, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The log probability of the columns ``told``; with ``whole`` also all probabilities, made in place of ``logits``."""
+    """The log probability of the columns ``told``; with ``whole`` also the gradient, all probabilities less 1 at ``told``,
+    made in place of ``logits``."""
     if not safe:
         logits -= logits.max(axis=1, keepdims=True)
-    log = logits[np.arange(len(told)), told]
+    flat, at = logits.reshape(-1), np.arange(0, logits.size, logits.shape[1]) + told
+    log = flat[at]
     np.exp(logits, out=logits)
     total = logits @ np.ones(logits.shape[1], logits.dtype)
     if whole:
         logits *= (1 / total)[:, None]
+        flat[at] -= 1
     return logits, log - np.log(total)
 
 
+def _summed_rows(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``of``, and for each the sum of its rows of ``x``."""
+    order = np.argsort(of.astype(np.int16), kind="stable")
+    ordered, rows = of[order], x.take(order, axis=0)
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    sizes = np.diff(np.r_[starts, len(ordered)])
+    out = rows.take(starts, axis=0)
+    some = np.flatnonzero(sizes > 1)
+    for i in some[sizes[some] >= OFTEN].tolist():
+        np.add.reduce(rows[starts[i] : starts[i] + sizes[i]], axis=0, out=out[i])
+    some = some[sizes[some] < OFTEN]
+    for k in range(1, OFTEN - 1):
+        some = some[sizes[some] > k]
+        out[some] += rows.take(starts[some] + k, axis=0)
+    return ordered[starts], out
+
+
+def _step(p: np.ndarray, m: np.ndarray, v: np.ndarray, x: np.ndarray, scale: float, step: float) -> None:
+    """Adam's step of the weights ``p``, with their moments, by ``scale`` times the gradient ``x``; in place, ``x`` too."""
+    x *= scale
+    change = x - m
+    change *= 0.1
+    m += change
+    x *= x
+    x -= v
+    x *= 0.001
+    v += x
+    np.sqrt(v, out=x)
+    x += 1e-6
+    np.divide(m, x, out=x)
+    x *= step
+    p -= x
+
+
 def _class_of(codes: Codes, target: np.ndarray) -> np.ndarray:
     return np.where(target >= 0, codes.class_of[np.maximum(target, 0)], -target)
 
@@ -313,14 +355,24 @@ class Learner:
     """Truncated backpropagation with Adam steps."""
 
     def __init__(self, p: dict, codes: Codes, moments=None):
-        self.p, self.codes = {k: v.copy() for k, v in p.items()}, codes
-        self.m, self.v, self.steps = moments or ({k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0)
+        self.codes = codes
+        # all but the inputs' weights move in every step: they, their moments and gradients lie in one piece each
+        self.dense = [k for k in p if k != "x"]
+        self.p, self.flat_p = self._laid_out(p)
+        zeros = {k: np.zeros_like(x) for k, x in p.items()}
+        m, v, self.steps = moments or (zeros, zeros, 0)
+        (self.m, self.flat_m), (self.v, self.flat_v), (self.g, self.flat_g) = self._laid_out(m), self._laid_out(v), self._laid_out(zeros)
+
+    def _laid_out(self, parts: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        flat = np.concatenate([parts[k].reshape(-1) for k in self.dense])
+        ends = np.cumsum([parts[k].size for k in self.dense]).tolist()
+        return {"x": parts["x"].copy()} | {k: flat[b - parts[k].size : b].reshape(parts[k].shape) for k, b in zip(self.dense, ends, strict=True)}, flat
 
     def learn(self, docs: list[np.ndarray], rate: float) -> float:
         lanes = Lanes(docs, LANES, self.codes)
         h = np.zeros((len(lanes.sizes), HIDDEN), np.float32)
         lost, seen = 0.0, 0
-        for inputs, targets, _, real in lanes.windows(WINDOW):
+        for inputs, targets, _, real in lanes.windows(WINDOW, named=False):
             h = h[: inputs.shape[1]]
             h, loss = self.window(inputs, targets, real, h, rate)
             lost, seen = lost + loss, seen + int(real.sum())
@@ -337,7 +389,8 @@ class Learner:
         cls = _class_of(codes, target)
         bias, safe = _shifted(p["wc"], p["bc"])
         ones, loss = np.ones(len(cls), out.dtype), 0.0
-        g = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "wo", "bo")}
+        g = self.g
+        self.flat_g.fill(0)
         dh, back_wc = np.empty_like(flat), np.ascontiguousarray(p["wc"].T)
         for i in range(0, len(cls), ROWS):
             rows, own = flat[i : i + ROWS], cls[i : i + ROWS]
@@ -345,7 +398,6 @@ class Learner:
             logits += bias
             d, log = _softmax(logits, own, safe, True)
             loss -= float(log.sum())
-            d[np.arange(len(own)), own] -= 1
             g["wc"] += rows.T @ d
             g["bc"] += ones[: len(own)] @ d
             np.matmul(d, back_wc, out=dh[i : i + ROWS])
@@ -353,17 +405,16 @@ class Learner:
         if met:
             bias, safe = _shifted_words(p, codes)
             order = order[: met[-1][1].stop]
-            sorted_h, told, inner_dh = flat[order], target[order], np.zeros((len(order), n), out.dtype)
+            sorted_h, told, inner_dh, logs = flat[order], target[order], np.zeros((len(order), n), out.dtype), np.zeros(len(order), out.dtype)
             for words, rows in met:
-                inner = sorted_h[rows] @ p["wo"][words].T
+                some_h, w = sorted_h[rows], p["wo"][words]
+                inner = some_h @ w.T
                 inner += bias[words]
-                own = told[rows] - words.start
-                e, log = _softmax(inner, own, safe, True)
-                loss -= float(log.sum())
-                e[np.arange(len(e)), own] -= 1
-                g["wo"][words] = e.T @ sorted_h[rows]
-                g["bo"][words] = ones[: len(e)] @ e
-                np.matmul(e, p["wo"][words], out=inner_dh[rows])
+                e, logs[rows] = _softmax(inner, told[rows] - words.start, safe, True)
+                np.matmul(e.T, some_h, out=g["wo"][words])
+                np.matmul(ones[: len(e)], e, out=g["bo"][words])
+                np.matmul(e, w, out=inner_dh[rows])
+            loss -= float(logs.sum())
             dh[order] += inner_dh
         if some is not None:
             whole = np.zeros((real.size, n), out.dtype)
@@ -391,32 +442,21 @@ class Learner:
             if any_begin[t]:
                 back *= ~begins[t]
         dx[..., : 2 * n] = dhu[..., : 2 * n]
-        du = before.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
-        db = dhu[..., 2 * n :].sum(axis=(0, 1))
-        read = inputs.reshape(-1)
-        order = np.argsort(read, kind="stable")
-        starts = np.flatnonzero(np.r_[True, read[order][1:] != read[order][:-1]])
-        rows, gx = read[order][starts], np.add.reduceat(dx.reshape(-1, 3 * n)[order], starts, axis=0)
-        g |= {"u": du, "b": db}
+        np.matmul(before.reshape(-1, n).T, dhu.reshape(-1, 3 * n), out=g["u"])
+        g["b"][:] = dhu[..., 2 * n :].sum(axis=(0, 1))
+        rows, gx = _summed_rows(dx.reshape(-1, 3 * n), inputs.reshape(-1))
         self.steps += 1
-        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in (*g.values(), gx))) / count
+        norm = float(np.sqrt(float(np.vdot(self.flat_g, self.flat_g)) + float(np.vdot(gx, gx)))) / count
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / count
-        step = rate * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        for k, x in [*g.items(), ("x", gx)]:
-            at = rows if k == "x" else slice(None)
-            x *= x.dtype.type(scale)
-            m, v = self.m[k][at], self.v[k][at]  # views, or copies of the rows of "x"
-            m += 0.1 * (x - m)
-            x *= x
-            x -= v
-            v += 0.001 * x
-            if k == "x":
-                self.m[k][at], self.v[k][at] = m, v
-            change = np.sqrt(v, out=x)
-            change += 1e-6
-            np.divide(m, change, out=change)
-            change *= step
-            p[k][at] -= change
+        step = rate * float(np.sqrt(1 - 0.999**self.steps)) / (1 - 0.9**self.steps)
+        for i in range(0, len(self.flat_g), BLOCK):
+            at = slice(i, i + BLOCK)
+            _step(self.flat_p[at], self.flat_m[at], self.flat_v[at], self.flat_g[at], scale, step)
+        for i in range(0, len(rows), IN_ROWS):
+            at = rows[i : i + IN_ROWS]
+            moved = [a["x"].take(at, axis=0) for a in (p, self.m, self.v)]
+            _step(*moved, gx[i : i + IN_ROWS], scale, step)
+            p["x"][at], self.m["x"][at], self.v["x"][at] = moved
         return last, loss
 
 
