@@ -91,3 +91,23 @@ def test_parts_of_compatible_solutions_are_dealt_out_evenly(spark):
     assert sorted((tuple(r)[:3] for r in rows), key=key) == sorted(want, key=key)
     most = Counter(r["task"] for r in rows).most_common(1)[0][1]
     assert most < len(rows) / 8
+
+
+@pytest.mark.parametrize("terms", [False, True])
+def test_few_values_of_two_large_sides_are_joined_in_cells(spark, monkeypatch, terms):
+    """Where neither side is small, a value's rows still don't meet in one task, and no task has many more pairs than its share."""
+    monkeypatch.setattr(C, "SMALL_PART", 50)
+    monkeypatch.setattr(C, "CELL", (16, 16), raising=False)
+    one = spark.range(900).coalesce(1).selectExpr("id AS a", "CASE WHEN id % 9 > 0 THEN id % 2 END AS n")
+    two = spark.range(300).coalesce(1).selectExpr("id AS b", "CASE WHEN id % 10 > 0 THEN id % 2 END AS n")
+    whole, n = C.Bound(datatype=C.INTEGER), C.Bound(datatype=C.INTEGER, maybe=True)
+    left, right = C.Relation(one, {"a": whole, "n": n}), C.Relation(two, {"b": whole, "n": n})
+    if terms:
+        left, right = C.as_term(left, "n"), C.as_term(right, "n")
+    rows = C.join(left, right).df.select("a", "b", "n", F.spark_partition_id().alias("task")).collect()
+    x, y = one.collect(), two.collect()
+    want = sorted((i["a"], j["b"], i["n"] if i["n"] is not None else j["n"]) for i in x for j in y if i["n"] is None or j["n"] is None or i["n"] == j["n"])
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else int(r[2]))
+    assert sorted(((r[0], r[1], r[2] if r[2] is None else int(r[2])) for r in rows), key=key) == sorted(want, key=key)
+    most = Counter(r["task"] for r in rows if r["n"] is not None).most_common(1)[0][1]
+    assert most < len(rows) / 8

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.vocabulary import NUMERIC, RDF, TYPE, XSD
 from weftgraph.operators.closure import closure, prepared
 from weftgraph.plans import algebra as A
+from weftgraph.session import cut
 
 INTEGER, DOUBLE, STRING, BOOLEAN, DATETIME = (XSD + x for x in ("integer", "double", "string", "boolean", "dateTime"))
 PARTS = ("", "#k", "#d", "#g")
@@ -329,15 +330,15 @@ def _suffixed(rel: Relation) -> DataFrame:
     return rel.df.select(*[_c(c).alias(c + "~") for c in rel.columns()])
 
 
+def _compared(left: Relation, right: Relation, v: str) -> list[str]:
+    """The columns of a shared variable that tell whether it is bound alike; the last two of four may be null on both sides."""
+    a, b = left.vars[v], right.vars[v]
+    return [v] if a.native else [v + p for p in (PARTS if a.kind != "I" and b.kind != "I" else PARTS[:2])]
+
+
 def _same(left: Relation, right: Relation, v: str) -> Column:
     """A variable bound alike on both sides."""
-    a, b = left.vars[v], right.vars[v]
-    same = _c(v) == _c(v + "~")
-    if not a.native:
-        same &= _c(v + "#k") == _c(v + "#k~")
-        if a.kind != "I" and b.kind != "I":
-            same &= _c(v + "#d").eqNullSafe(_c(v + "#d~")) & _c(v + "#g").eqNullSafe(_c(v + "#g~"))
-    return same
+    return _all([_c(c).eqNullSafe(_c(c + "~")) if c in (v + "#d", v + "#g") else _c(c) == _c(c + "~") for c in _compared(left, right, v)])
 
 
 #: Variables that may be unbound by which a side is taken apart; a join has one or two as a rule.
@@ -358,36 +359,81 @@ def _bound_or_not(rel: Relation, shared: list[str]) -> list[tuple[Column | None,
 
 def _compatible(left: Relation, right: Relation, shared: list[str], also: list[Column]):
     """Compatible solutions agree where both are bound. Each side is taken apart by what it leaves unbound, so that every
-    part is joined by equality: (left's rows, [(right's rows, conditions)])."""
+    part is joined by equality: (left's rows, [(right's rows, conditions, columns that these compare)])."""
     for on_left, no_left in _bound_or_not(left, shared):
         parts = []
         for on_right, no_right in _bound_or_not(right, shared):
             rows = right.df if on_right is None else right.df.where(on_right)
-            parts.append((_suffixed(Relation(rows, right.vars)), [_same(left, right, v) for v in shared if v not in no_left | no_right] + also))
+            both = [v for v in shared if v not in no_left | no_right]
+            parts.append((_suffixed(Relation(rows, right.vars)), [_same(left, right, v) for v in both] + also, [c for v in both for c in _compared(left, right, v)]))
         yield left.df if on_left is None else left.df.where(on_left), parts
 
 
 #: Rows of a part, counted first, that may go to every task.
 SMALL_PART = 100_000
+#: Rows of one value, of the left and of the right side, that a cell of a join takes. A row of the left is followed by those of the right that
+#: it is paired with, again and again the same ones: so few that a page of a Parquet file holds many repeats, which compress.
+CELL = 4096, 256
 
 
 def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _if_few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL_PART + 1).count() <= SMALL_PART else df
+
+
 def _all_with_all(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every row of one side with every one of the other: both are dealt out evenly, whatever files they come from, so the pairs,
-    which grow with the product of the sides, are made by some four times as many tasks as there are shuffle partitions."""
+    """Every row of one side with every one of the other. Both are dealt out evenly, whatever files they come from: the pairs, which grow with
+    the product of the sides, are made by some four times as many tasks as there are shuffle partitions. Many pairs are made in cells."""
+    if left.count() * right.count() > 4 * _tasks(left) * math.prod(CELL):
+        return _in_cells(left, right, [], [])
     n = 2 * math.ceil(math.sqrt(_tasks(left)))
     return left.repartition(n).crossJoin(right.repartition(n))
 
 
-def _by_few_values(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+def _in_cells(left: DataFrame, right: DataFrame, columns: list[str], also: list[Column]) -> DataFrame:
+    """An equality join on ``columns`` (the right's end in ~) of two large sides; without columns, every row with every one of the other side.
+
+    The rows of a value are dealt by a hash into blocks of some ``CELL`` rows (rows alike in all columns stay together), and a row goes to the cells of its block with each of the other
+    side's. So no value meets in one task, what is buffered is bounded, and the rows that are sent more than once are fewer than the pairs by
+    a factor of ``CELL``. The cells are dealt over some four times as many tasks as there are shuffle partitions."""
+    n = _tasks(left)
+    keyed, keys, blocks = [], [], []
+    for df, end, rows in zip((left, right), ("", "~"), CELL, strict=True):
+        of = [[c for c in columns if c.split("#")[0] == v] for v in dict.fromkeys(c.split("#")[0] for c in columns)]
+        key = [_c(x[0] + end) if len(x) == 1 else F.struct(*[_c(c + end).alias(f"_{i}") for i, c in enumerate(x)]) for x in of]  # in a struct nulls are alike
+        named = {f"key~{i}{end}": k for i, k in enumerate(key)}
+        df = df.where(_all([_c(x[0] + end).isNotNull() for x in of])) if of else df
+        keyed.append(df.withColumns(named) if named else df)
+        keys.append(list(named))
+        if columns:
+            counts = keyed[-1].groupBy(*[_c(k) for k in named]).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+            blocks.append(_if_few(cut(counts.select(*[_c(k).alias(f"of~{i}") for i, k in enumerate(named)], F.ceil(F.col("_n") / rows).cast("int").alias("_n")))))
+        else:  # whatever there is, as many blocks as keep all tasks busy
+            whole = df.count()
+            blocks.append(max(1, math.ceil(whole / rows), min(whole, 2 * math.ceil(math.sqrt(n)))))
+    sides = []
+    for i, df in enumerate((left, right)):
+        end, dealt, many = "~" * i, keyed[i], [F.lit(b) for b in blocks] if not columns else [F.coalesce(_c(f"blocks~{j}"), F.lit(1)) for j in range(2)]
+        for j, b in enumerate(blocks if columns else ()):
+            b = b.withColumnRenamed("_n", f"blocks~{j}")
+            dealt = dealt.join(b, _all([_c(k) == _c(f"of~{x}") for x, k in enumerate(keys[i])]), "left").drop(*b.columns[:-1])
+        own = F.pmod(F.xxhash64(*[_c(c) for c in df.columns]), many[i]).cast("int").alias(f"cell~{i}{end}")
+        each = F.explode(F.sequence(F.lit(0), many[1 - i] - 1)).alias(f"cell~{1 - i}{end}")
+        by = [*keys[i], f"cell~0{end}", f"cell~1{end}"]
+        sides.append(dealt.select(*[_c(c) for c in (*df.columns, *keys[i])], own, each).repartition(4 * n, *[_c(c) for c in by]))
+    on = [_c(c) == _c(c + "~") for c in (*keys[0], "cell~0", "cell~1")]
+    return sides[0].join(sides[1].hint("merge"), _all(on + also)).select(*[_c(c) for c in (*left.columns, *right.columns)])
+
+
+def _by_few_values(left: DataFrame, right: DataFrame, on: list[Column], columns: list[str], also: list[Column]) -> DataFrame:
     """An equality join of which nothing says that either side has a value once: of few values each gives many pairs from few bytes, and
-    by their size all would come to one task. A small right side goes to all tasks, over which the left is dealt out evenly."""
+    by their size all would come to one task. A small right side goes to all tasks, over which the left is dealt out evenly; else ``_in_cells``."""
     if right.limit(SMALL_PART + 1).count() > SMALL_PART:
-        return left.join(right, on)
-    return left.repartition(_tasks(left)).join(F.broadcast(right), on)
+        return _in_cells(left, right, columns, also) if columns else left.join(right, _all(on))
+    return left.repartition(_tasks(left)).join(F.broadcast(right), _all(on))
 
 
 def _pieces(left: Relation, right: Relation, shared: list[str], how: str, also: list[Column]) -> DataFrame:
@@ -398,24 +444,24 @@ def _pieces(left: Relation, right: Relation, shared: list[str], how: str, also:
         nonlocal out
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
 
-    def one(rows: DataFrame, part: DataFrame, on: list[Column], how: str) -> DataFrame:
+    def one(rows: DataFrame, part: DataFrame, on: list[Column], columns: list[str], how: str) -> DataFrame:
         if loose and how == "inner":
-            return _by_few_values(rows, part, _all(on)) if on else _all_with_all(rows, part)
+            return _by_few_values(rows, part, on, columns, also) if on else _all_with_all(rows, part)
         return rows.join(part, _all(on), how) if on else rows.crossJoin(part) if how == "inner" else rows.join(part, F.lit(True), how)
 
     loose = any(r.vars[v].maybe for r in (left, right) for v in shared)
     for rows, parts in _compatible(left, right, shared, also):
         if len(parts) == 1 or how == "inner":
-            for part, on in parts:
-                add(one(rows, part, on, how))
+            for part, on, columns in parts:
+                add(one(rows, part, on, columns, how))
             continue
         rest = rows
-        for part, on in parts:
+        for part, on, columns in parts:
             if how == "left":
-                add(one(rows, part, on, "inner"))
+                add(one(rows, part, on, columns, "inner"))
             elif how == "left_semi":
-                add(one(rest, part, on, "left_semi"))
-            rest = one(rest, part, on, "left_anti")
+                add(one(rest, part, on, columns, "left_semi"))
+            rest = one(rest, part, on, columns, "left_anti")
         if how != "left_semi":  # what no part fits
             add(rest)
     return out
@@ -495,7 +541,7 @@ def minus(left: Relation, right: Relation) -> Relation:
         return left
     out = None
     for rows, parts in _compatible(left, right, shared, []):
-        for part, on in parts:
+        for part, on, _ in parts:
             if on:  # some variable is bound on both sides
                 rows = rows.join(part, _all(on), "left_anti")
         out = rows if out is None else out.unionByName(rows)
