@@ -446,3 +446,12 @@ def test_pipeline(spark, docs):
     assert 80003 in ids[1] and 80003 not in ids[3] and max(ids[3].values()) == 1
     assert max(ids[4].values()) <= 3 and ids[5] == ids[4]
     assert seen[-1].where("NOT round_trip").count() == 0
+
+
+def test_learning_languages_gives_the_drivers_memory_back(spark, monkeypatch):
+    """The driver learns; what that took is returned to the system before the model is used, not kept beside the stages that follow."""
+    given = []
+    monkeypatch.setattr(language_id, "give_back", lambda: given.append(1), raising=False)
+    docs = spark.createDataFrame([(1, "the cat sat", "en"), (2, "der hund lief", "de")], "doc_id long, text string, lang string")
+    assert language_id.fit(docs, Q.PIECES, rounds=1).languages == ["de", "en"]
+    assert given == [1]

@@ -77,7 +77,7 @@ def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
 _keeper: list = [None, None]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return free memory to the system: workers live on after a task, beside the next one's JVM work."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -99,6 +99,6 @@ def tidy(run, name: str = "", forget=None):
             _keeper[1]()
         _keeper[:] = name, forget
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return tidied

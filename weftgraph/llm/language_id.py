@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import append_columns, slices, tidy
+from weftgraph.llm.common import append_columns, give_back, slices, tidy
 
 WORDS = regex.compile(r"\p{L}+")
 #: Labelled documents of each language that learning reads, about: the bound of its sample.
@@ -284,6 +284,8 @@ def fit(labelled: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE,
     counts = np.zeros((len(words), len(languages)))
     counts[rows["word"].map(at).to_numpy(int), rows["lang"].map(col).to_numpy(int)] = rows["n"].to_numpy(float)
     model.learn([b" " + w.encode() for w in words], counts, rounds)
+    del rows, words, at, counts
+    give_back()  # else the driver keeps what learning took, beside all that follows
     return model
 
 
